@@ -17,6 +17,8 @@ def pack(values: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype)
     width = np.dtype(dtype).itemsize
     planes = np.frombuffer(data, np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_scoring, quality, simhash, token_output
+from . import exact_dedup, lm_scoring, quality, simhash, substring, token_output
 from .base import read
 
 
@@ -30,9 +30,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op8_substring, op9_lm_scoring)}
 SQL = {"op2_exact_dedup": exact_dedup.SQL}
