@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_scoring, quality, simhash, substring, token_output
+from . import decontaminate, exact_dedup, lm_scoring, quality, simhash, substring, token_output
 from .base import read
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op8_substring, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op8_substring, op9_lm_scoring)}
 SQL = {"op2_exact_dedup": exact_dedup.SQL}
