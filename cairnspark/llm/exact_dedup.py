@@ -38,7 +38,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, every: int = EVERY) ->
 def verified_digest(chunks: DataFrame, digests: dict = DIGESTS) -> str:
     """The first digest under which every identifier has one chunk text."""
     for name, digest in digests.items():
-        distinct = chunks.select(F.explode("chunks").alias("chunk")).distinct()
+        # outer: a plain explode would also filter on the array, and so cut each text twice more
+        distinct = chunks.select(F.explode_outer("chunks").alias("chunk")).distinct()
         clashes = distinct.groupBy(digest(F.col("chunk")).alias("id")).count().where("count > 1")
         if clashes.limit(1).count() == 0:
             return name
