@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, lm_scoring, quality, simhash, substring, token_output
+from . import chat, decontaminate, exact_dedup, lm_scoring, mixing, pii, quality, simhash, substring, token_output
 from .base import read
 
 
@@ -34,6 +34,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"), mixing.production_plan())
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(read(spark, sf_dir, "conversations"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -42,5 +50,9 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op8_substring, op9_lm_scoring)}
-SQL = {"op2_exact_dedup": exact_dedup.SQL}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op6_mixing, op7_chat, op8_substring, op9_lm_scoring, op10_pii)}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_chat": chat.SQL}
