@@ -29,7 +29,7 @@ from .blobs import buckets_for, input_bytes, pack, unpack
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 #: Words a task holds at once; a longer document is held alone.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 18
 #: Bits of the fixed-size filter that spares most documents a second shuffle.
 FILTER_BITS = 1 << 24
 #: Null doc_ids come last in the order of documents.
@@ -284,7 +284,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = texts(docs, id_col, text_col)
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     rows = rows.withColumn("row", F.hash("text") if repeated else F.lit(0))
-    buckets = buckets_for(input_bytes(docs))
+    buckets = buckets_for(input_bytes(docs), each_mb=2)
     anchors = rows.mapInArrow(_anchors(buckets), ENTRY).groupBy("bucket").applyInArrow(_met(False), FOUND)
     gather = lambda found: found.groupBy("doc_id", "row").agg(F.collect_list("places").alias("places"))
     shared = stored(gather(anchors), "anchors")
