@@ -127,7 +127,7 @@ def truncated_source(c: Column | str, limit: int) -> Column:
 def signature(source: Column | str, lines: int = 4) -> Column:
     """The first useful lines of a definition, up to the one that ends in a
     colon, joined by blanks."""
-    useful = F.slice(F.filter(F.transform(F.split(_col(source), "\n"), F.trim), lambda x: (x != "") & ~x.startswith("@") & ~x.startswith("#")), 1, lines)
+    useful = F.slice(F.filter(F.transform(F.split(_col(source), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("@")), 1, lines)
     ends = F.array_position(F.transform(useful, lambda x: x.endswith(":")), True)
     return F.array_join(F.when(ends > 0, F.slice(useful, F.lit(1), ends.cast("int"))).otherwise(useful), " ")
 

@@ -133,7 +133,7 @@ def default_keywords(name: Column, parent: Column) -> Column:
 
 def merged_list(a: Column, b: Column) -> Column:
     """First ``a`` then ``b``, trimmed, without blanks, each once."""
-    return F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def overlap(a: Column, b: Column) -> Column:

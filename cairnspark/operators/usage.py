@@ -52,7 +52,7 @@ def runs_table(runs: DataFrame) -> DataFrame:
     run_id, project, ok, steps, total_tokens, generated_tests."""
     label = F.when(F.col("ok").isNull(), "unknown").when(F.col("ok"), "passed").otherwise("failed")
     return runs.select(
-        "path", "run_id", "project", label.alias("status"), F.aggregate(F.coalesce("steps", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d, F.lit(0))).alias("duration_ms"),
+        "path", "run_id", "project", label.alias("status"), F.coalesce(F.aggregate("steps", F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d.duration_ms, F.lit(0))), F.lit(0)).alias("duration_ms"),
         F.coalesce(F.col("total_tokens").cast("string").try_cast("bigint"), F.lit(0)).alias("total_tokens"), (F.coalesce("generated_tests", F.lit(0)) > 0).alias("had_generated_tests"),
     ).orderBy(F.desc("path"))
 

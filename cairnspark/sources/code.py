@@ -25,13 +25,41 @@ _ARROW = pa.schema(
 )
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*.py", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+def _underscored(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Paths whose names begin with an underscore, as package files' do;
+    Spark's own listing takes those for hidden."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        name = found.next().getPath()
+        if name.getName().startswith("_") and name.getName().endswith(suffix):
+            out.append(name.toString())
+    return out
+
+
+def _contents(batches):
+    from pyarrow import fs
+
+    for batch in batches:
+        paths, out = batch.column("path").to_pylist(), []
+        for p in paths:
+            system, inner = fs.FileSystem.from_uri("file://" + p.removeprefix("file:").replace("//", "/") if p.startswith(("file:", "/")) else p)
+            with system.open_input_stream(inner) as f:
+                out.append(f.read())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+def scan(spark: SparkSession, root: str, suffix: str = ".py", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(file_path, file_hash, module_name, content) of a tree's files, paths
-    relative to ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), rf"^.*?/{base}/", "") if not root.startswith("/") else F.replace(F.regexp_replace("path", r"^file:/*", "/"), F.lit(root.rstrip("/") + "/"), F.lit(""))
-    rows = files.select(rel.alias("file_path"), F.sha2("content", 256).alias("file_hash"), "content")
+    relative to ``root``. Executors read all contents; only the names of
+    package files pass through the driver. Files of no bytes are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path", "content")
+    hidden = _underscored(spark, root, suffix)
+    if hidden:
+        named = spark.createDataFrame([(p,) for p in hidden], "path string")
+        files = files.unionByName(named.mapInArrow(_contents, "path string, content binary").where(F.length("content") > 0))
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    rows = files.select(F.replace(plain(F.col("path")), plain(F.lit(root.rstrip("/") + "/")), F.lit("")).alias("file_path"), F.sha2("content", 256).alias("file_hash"), "content")
     rows = rows.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*[F.lit(x) for x in ignored])))
     return rows.select("file_path", "file_hash", module_name(F.col("file_path")).alias("module_name"), "content")
 

@@ -72,7 +72,7 @@ def snippet(source: Column, start: Column, end: Column, most: int) -> Column:
 def query_text(title: Column, description: Column, constraints: Column) -> Column:
     """A change request as one query; null where nothing is said."""
     parts = F.filter(F.flatten(F.array(F.array(title, description), F.coalesce(constraints, F.array().cast("array<string>")))), lambda p: p.isNotNull() & (F.trim(p) != ""))
-    return F.nullif(F.array_join(F.transform(parts, F.trim), " "), F.lit(""))
+    return F.nullif(F.array_join(F.transform(parts, lambda p: F.trim(p)), " "), F.lit(""))
 
 
 def balanced_object(text: str) -> str | None:
