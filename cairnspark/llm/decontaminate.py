@@ -55,17 +55,17 @@ def shingle_codes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def window_fingerprints(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHashes of ``size`` consecutive shingles at each start."""
+    """SimHashes of ``size`` consecutive shingles at each of the ascending
+    starts. Only the stretches that windows cover are summed."""
     out = np.zeros(len(starts), dtype="<u8")
-    for at in range(0, len(codes), BLOCK):
-        own = np.flatnonzero((starts >= at) & (starts < at + BLOCK))
-        if len(own):
-            part = codes[at : at + BLOCK + size]
-            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.zeros((len(part) + 1, 64), dtype=np.int32)
-            np.cumsum(bits, axis=0, out=sums[1:])
-            s = starts[own] - at
-            out[own] = np.packbits((sums[s + size] - sums[s]) * 2 > size, axis=1, bitorder="little").view("<u8")[:, 0]
+    cuts = np.flatnonzero((np.diff(starts) > size) | (starts[1:] // BLOCK != starts[:-1] // BLOCK)) + 1
+    for own in np.split(np.arange(len(starts)), cuts):
+        at, end = int(starts[own[0]]), int(starts[own[-1]]) + size
+        bits = np.unpackbits(codes[at:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((end - at + 1, 64), dtype=np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
+        s = starts[own] - at
+        out[own] = np.packbits((sums[s + size] - sums[s]) * 2 > size, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -100,7 +100,8 @@ class Index:
         for length, (known, low) in self.known.items():
             codes = shingle_codes(hashes, length)
             maybe = np.flatnonzero(low[codes & np.uint64(0xFFFF)])
-            hits = maybe[np.isin(codes[maybe], known)]
+            found = codes[maybe]
+            hits = maybe[known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found]
             if len(hits):
                 for size in self.sizes:
                     if min(SHINGLE, size) == length:
@@ -122,9 +123,16 @@ class Index:
         for b in range(1, 8):
             listed = listed | tables[b][blocks[:, b]]
         at, which = np.nonzero(np.unpackbits(listed, axis=1)[:, : len(items)])
-        far = _POP[(found[at] ^ prints[which]).view(np.uint8).reshape(-1, 8)].sum(axis=1)
+        near = _POP[(found[at] ^ prints[which]).view(np.uint8).reshape(-1, 8)].sum(axis=1) <= self.radius
+        at, which = at[near], which[near]
+        # what two bags share is at most the window's shingles that some item has
+        shared = np.zeros(len(codes) + 1, dtype=np.int64)
+        shared[hits + 1] = 1
+        np.cumsum(shared, out=shared)
+        some = shared[starts[at] + m] - shared[starts[at]]
+        enough = some + 1e-9 >= self.similarity * (2 * m - some)
         best: dict[int, list] = {}
-        for w, k in zip(at[far <= self.radius].tolist(), which[far <= self.radius].tolist(), strict=True):
+        for w, k in zip(at[enough].tolist(), which[enough].tolist(), strict=True):
             window = Counter(codes[starts[w] : starts[w] + m].tolist())
             both = sum((window & bags[k]).values())
             s = both / (2 * m - both)
