@@ -357,3 +357,21 @@ def test_streams(spark, sf, tmp_path, root):
     for _ in range(2):  # a second run finds nothing new
         events.index_changes(spark, root, store, "p", f"{tmp_path}/ck").awaitTermination(120)
     assert store.read("symbols").where("kind = 'class'").count() == 3 and len(store._versions("symbols")) == 1
+
+
+def test_engine_front(spark, root, tmp_path):
+    from cairnspark.plans.engine import Engine, Recorder
+
+    engine = Engine(spark, Store(spark, f"file://{tmp_path}/store"), "p", KNOWLEDGE)
+    run = Recorder("r")
+    first = engine.build(root, recorder=run)
+    assert first["indexed"] == len(FILES) - 1 and first["documents_changed"] > 0
+    again = engine.build(root)
+    assert again == {"indexed": 0, "unchanged": len(FILES) - 1, "deleted": 0, "documents_changed": 0}
+    assert [r["step_name"] for r in run.table(spark).collect()] == ["scan", "graph_indexing", "knowledge_relations", "search_documents"]
+    assert engine.search("текст уведомления", 3).first()["qualname"] == "shop.services.texts.build_text"
+    assert engine.context(["shop.services.orders.OrderService.place"]).count() == 1
+    assert engine.impact("shop.services.texts.build_text").count() == 3
+    with pytest.raises(ZeroDivisionError):
+        run.step("bad", lambda: 1 // 0)
+    assert run.rows[-1][2] == "failed"
