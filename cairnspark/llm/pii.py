@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts
+from .base import hash_sample, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ANY = re.compile("[0-9@]")
@@ -208,8 +208,8 @@ def train(sample: list[Nodes], steps: int = 300, rate: float = 0.5, decay: float
 def fit(docs: DataFrame, max_docs: int = 1000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Train on ``max_docs`` documents with a digit or an at sign, the first
     in a seeded hash order; no others come to the driver."""
-    some = texts(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    picked = some.orderBy("h", "text").limit(max_docs).collect()
+    some = texts(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]")).select("text")
+    picked = hash_sample(some, ["text"], max_docs, seed)
     return train([nodes_of(r["text"], base_spans(r["text"])) for r in picked])
 
 
