@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,10 +165,6 @@ def close_names(refs: DataFrame, names: DataFrame, most: int = 5, cutoff: float
     """Suggestions for names that were not found: the same tail first, then
     those close by difflib's ratio. Pairs meet on a shared token of the
     names, so no all-pairs comparison is made; (ref, suggestion, rank)."""
-    import difflib
-
-    import pandas as pd
-
     from ..functions.text import identifier_tokens
     from .search import top_per_key
 
