@@ -106,3 +106,69 @@ def test_budgets():
     with pytest.raises(ValueError):
         workspace.within_budget(payload, workspace.json_size, 3, steps)
     assert workspace.first_fitting([{"a": "x" * 9}, {"a": "x"}], workspace.json_size, 12) == {"a": "x"} and workspace.least_doc_chars(1000, 100, 0.5) == 500
+
+
+def test_services(spark, tmp_path):
+    from cairnspark.operators import services
+    from cairnspark.operators.store import Store
+
+    make = spark.createDataFrame
+    projects = make([("a", "/r"), ("b", "/r"), ("c", "/s")], "project_id string, project_root string")
+    every, rejected = services.registered(projects, make([("d", "/r"), ("e", "/t")], "project_id string, project_root string"))
+    assert every.count() == 4 and [r["project_id"] for r in rejected.collect()] == ["d"]
+    assert services.by_root(projects, "/s/").count() == 1
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write("search_docs", make([("/s", "d1", "q", "f", "symbol", "", "t")], store.read("search_docs").schema))
+    assert services.unregistered(projects, store, "a")[1]["warnings"] == ["root is shared; data kept"]
+    rest, report = services.unregistered(projects, store, "c")
+    assert rest.count() == 2 and report["deleted"]["search_docs"] == 1 and report["warnings"] == ["documents 1, vectors 0"]
+    meta = make([('{"p": "x"}',), ('{"p": "y"}',), (None,)], "meta string")
+    assert services.without_meta(meta, "p", "x").count() == 2
+    blocks = make([("r", "generated_test", False), ("r", "production", True), ("s", "production", False), ("s", "generated_test", False)], "run_id string, block string, ok boolean")
+    assert {r["run_id"]: r["generated_only"] for r in services.generated_only_failure(blocks, ["run_id"]).collect()} == {"r": True, "s": False}
+    checks = services.checks_to_blocks(make([("r", "pytest", None, "x\n\ny")], "run_id string, name string, ok boolean, output string")).first()
+    assert tuple(checks) == ("r", "production", False, "pytest_failed", "x\ny")
+    p = make([("q", "import_change", 0.5, 0), ("q", "import_change", 0.9, 1), ("q", "import_change", 0.9, 2)], "query string, change_kind string, confidence double, pos int")
+    assert services.import_change_candidate(p, ["query"]).first()["pos"] == 1
+
+
+def test_service_columns(one):
+    from cairnspark.operators import services
+
+    none = F.array().cast("array<string>")
+    got = val(
+        one, h=services.appended(F.array(F.lit("a"), F.lit("b")), F.lit("a")), h2=services.appended(none, F.lit("x")), r=services.requirement_ids(F.array(F.lit("R1 "), F.lit("R2")), F.lit("R2, ,R3")),
+        t=services.target_choice(F.lit(" "), F.lit(None).cast("string"), F.lit("x")), c=services.has_code(F.array(F.lit("w")), ("w", "v")), i=services.insufficient(F.lit("insufficient"), F.lit(""), none),
+        g=services.generated_test_path(F.lit("tests/a/test_generated_x.py")), g2=services.generated_test_path(F.lit("src/test_generated_x.py")),
+    )
+    assert got == {"h": ["a", "b"], "h2": ["x"], "r": ["R1", "R2", "R3"], "t": "x", "c": True, "i": True, "g": True, "g2": False}
+
+
+def test_cards_and_flows(spark):
+    from cairnspark.operators import services
+
+    rows = [("m.py", "m", "m", "m", "module", None, 1, "", ""), ("m.py", "m", "Form", "m.Form", "class", "m", 1, "", ""), ("m.py", "m", "setup_ui", "m.Form.setup_ui", "method", "m.Form", 2, "", "button"), ("m.py", "m", "save", "m.Form.save", "method", "m.Form", 5, "", ""), ("n.py", "n", "save", "n.save", "function", "n", 1, "", "")]
+    symbols = spark.createDataFrame(rows, "file_path string, module_name string, name string, qualname string, kind string, parent_qualname string, start_line int, docstring string, source_code string")
+    relations = spark.createDataFrame([("m.Form.save", "calls", "n.save", "save")], "source_qualname string, relation_kind string, target_qualname string, target_ref string")
+    found = services.cards(spark.createDataFrame([("m.Form.save", 0), ("m.Form.setup_ui", 1), ("gone", 2)], "qualname string, pos int"), symbols, relations, 3).cache()
+    by = {r["qualname"]: r for r in found.collect()}
+    assert by["m.Form.save"]["members"] == ["setup_ui"] and by["m.Form.save"]["calls"] == ["n.save"] and by["gone"]["name"] is None and by["gone"]["id"] == "c3"
+    ranked = services.prioritised(found, services.card_priority("Add a button next to save", ["setup_ui"], [])).collect()
+    assert [(r["qualname"], r["priority"]) for r in ranked] == [("m.Form.setup_ui", 45 + 45 + 25), ("m.Form.save", 10 + 12), ("gone", 0)]
+    hit, miss = services.mapped_ids(spark.createDataFrame([("c1", 1), ("c9", 2)], "id string, rank int"), found)
+    assert hit.first()["qualname"] == "m.Form.save" and miss.first()["id"] == "c9" and services.mentioned(found, ["save"]).count() == 1
+    steps = spark.createDataFrame([(1, "call `m.Form.save` and Form.setup_ui, `m.py`, `x.y.save` or Zed.nothing_like")], "step_id int, step string")
+    out = {r["ref"]: (r["target"], r["reason"]) for r in services.flow_references(steps, symbols).collect()}
+    assert out["m.Form.save"] == ("m.Form.save", "symbol") and out["Form.setup_ui"] == ("m.Form.setup_ui", "alias") and out["m.py"] == ("m", "file")
+    assert out["x.y.save"][1] == "similar" and out["Zed.nothing_like"][1] == "missing"
+    layers = spark.createDataFrame([("a", "m"), ("b", "m")], "layer string, module string")
+    kept, odd = services.merged_layers(layers, spark.createDataFrame([("a", "n"), ("a", "zz")], "layer string, module string"), symbols.where("kind <> 'x'").select(F.col("module_name").alias("module")))
+    assert [tuple(r) for r in kept.collect()] == [("a", "n"), ("b", "m")] and odd.first()["module"] == "zz"
+    assert sorted(r["qualname"] for r in services.direct_children(symbols, "m.Form").collect()) == ["m.Form.save", "m.Form.setup_ui"]
+    traced = services.traced(symbols.where("kind = 'method'"), spark.createDataFrame([("m.Form.save",)], "qualname string"), spark.createDataFrame([("m",)], "module string"))
+    assert {r["qualname"]: (r["target"], r["how"]) for r in traced.collect()} == {"m.Form.save": ("m.Form.save", "symbol"), "m.Form.setup_ui": ("m", "module")}
+    assert services.chat_json(lambda s, u: 'ok {"a": 1,}', "s", "u") == {"a": 1}
+    with pytest.raises(ValueError):
+        services.chat_json(lambda s, u: "no", "s", "u")
+    with pytest.raises(ValueError):
+        services.chat_json(lambda s, u: "{}", "s", "u", 1)
