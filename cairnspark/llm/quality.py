@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts
+from .base import hash_sample, texts
 
 #: Words remembered by a scoring task; the memory is emptied when full.
-MEMORY_WORDS = 1 << 20
+MEMORY_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -125,38 +125,36 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, settin
     train_on = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     train_on = train_on.where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
     prior = {r["y"]: r["count"] for r in train_on.groupBy("y").count().collect()}
-    order = [F.xxhash64(F.lit(settings.seed), "doc_id"), F.col("doc_id")]
-    picked = [train_on.where(F.col("y") == y).distinct().orderBy(*order).limit(settings.max_docs // 2) for y in (0, 1)]
-    ids = [(r["doc_id"], r["y"]) for p in picked for r in p.collect()]
+    ids = [(r["doc_id"], y) for y in (0, 1) for r in hash_sample(train_on.where(F.col("y") == y).distinct(), ["doc_id"], settings.max_docs // 2, settings.seed)]
     if not ids:
         return Model(np.zeros(settings.buckets), 0.0, settings)
     small = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
-    found = texts(docs).join(F.broadcast(small), "doc_id").select("doc_id", "y", "text").collect()
-    found = sorted((r["doc_id"], r["y"], r["text"].encode()) for r in found)[: 2 * settings.max_docs]
+    found = texts(docs).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    found = sorted((r["doc_id"], r["y"], r["text"].encode()) for r in found)
     return train([(t, y) for _, y, t in found], (prior.get(0, 0), prior.get(1, 0)), settings)
 
 
 class Scorer:
-    """Scores texts, remembering what it has worked out for words."""
+    """Scores texts, remembering what it has worked out for words: the sum of
+    a word's margins and, as the imaginary part, the number of its features,
+    so that one pass adds up both."""
 
     def __init__(self, model: Model):
         self.model, self.margins = model, model.margins.tolist()
-        self.totals: dict[bytes, float] = {}
-        self.sizes: dict[bytes, int] = {}
-        self.repeat = 8 * self.margins[crc32(REPEAT.encode()) & (model.settings.buckets - 1)]
+        self.known: dict[bytes, complex] = {}
+        self.repeat = complex(8 * self.margins[crc32(REPEAT.encode()) & (model.settings.buckets - 1)], 8)
 
     def __call__(self, text: bytes) -> float:
-        words, totals, sizes = text.split(), self.totals, self.sizes
-        new = {w for w in words if w not in totals}
-        if len(totals) + len(new) > MEMORY_WORDS:
-            totals.clear()
-            sizes.clear()
+        words, known = text.split(), self.known
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > MEMORY_WORDS:
+            known.clear()
             new = set(words)
         for w in new:
             f = features(w.decode(), self.model.settings)
-            totals[w], sizes[w] = sum(map(self.margins.__getitem__, f)), len(f)
-        r = repeats(words)
-        return self.model.score(sum(map(totals.__getitem__, words)) + r * self.repeat, sum(map(sizes.__getitem__, words)) + 8 * r)
+            known[w] = complex(sum(map(self.margins.__getitem__, f)), len(f))
+        total = sum(map(known.__getitem__, words), repeats(words) * self.repeat)
+        return self.model.score(total.real, int(total.imag))
 
 
 def _scores(shared):
