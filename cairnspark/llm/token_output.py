@@ -14,11 +14,15 @@ entries u64, chunks, and but for the last level bitmap and directory (u32).
 
 from __future__ import annotations
 
+import gc
+import json
+import os
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +33,8 @@ END_ID = 2
 STEP = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_TOKENS = 1 << 20
-#: Words remembered by a tokenising task; the memory is emptied when full.
-MEMORY_WORDS = 1 << 20
+#: Pieces of words remembered by a worker; the memory is emptied when full.
+MEMORY_WORDS = 1 << 19
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -97,36 +101,101 @@ class Segment:
         return out
 
 
+#: Signs that end a word without joining its letters.
+TAIL = ".,;:!?|"
+#: Documents that are encoded together.
+ENCODED = 1024
+#: Words of letters that are encoded in one call.
+JOINED = 4096
+
+
 class WordTokenizer:
-    """Whole-text encoding through the tokenizers library, one call per
-    distinct word.
+    """Whole-text encoding through the tokenizers library, once per distinct
+    word.
 
     Fit for tokenizers whose tokens never span ASCII white space and drop it
     (as ``word_bpe_49k.json`` does): a text's ids are then its words' ids in
-    order. Other tokenizers take ``whole=True``.
+    order, and a word of letters and closing signs has the ids of both. Words
+    of letters are encoded many at a time; each is one piece, so it ends at
+    the only token that carries the end-of-word suffix. Where that count is
+    off, they are encoded singly. Other tokenizers take ``whole=True``.
     """
 
     def __init__(self, path: str, whole: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of their own would contend
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.whole = whole
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.parts: dict[str, bytes] = {"": b""}
+        suffix = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _single(self, parts: list[str]) -> None:
+        for part, e in zip(parts, self.model.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.parts[part] = array("I", e.ids).tobytes()
+
+    def _letters(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), JOINED):
+            own = parts[at : at + JOINED]
+            ids = np.array(self.model.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(own) or (len(ids) and last[-1] != len(ids)):
+                self._single(own)
+                continue
+            data, begin = ids.tobytes(), 0
+            for part, end in zip(own, (4 * last).tolist(), strict=True):
+                self.parts[part] = data[begin:end]
+                begin = end
+
+    def _pieces(self, words: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Distinct pieces of the words, and each word's two: its letters and
+        its closing signs, or all of it and the empty piece."""
+        cores = pc.utf8_rtrim(words, characters=TAIL)
+        letters = pc.utf8_is_alpha(cores)
+        first = pc.if_else(letters, pc.ascii_lower(cores), words)
+        tails = pc.if_else(letters, pc.replace_substring_regex(words, pattern=f"^.*[^{TAIL}]", replacement=""), "")
+        coded = pa.concat_arrays([first, tails]).dictionary_encode()
+        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.parts) > MEMORY_WORDS:
+            self.parts = {"": b""}
+        plain = letters.to_numpy(zero_copy_only=False)
+        alpha = np.zeros(len(pieces), dtype=bool)
+        alpha[which[: len(words)][plain]] = True
+        new = [i for i, p in enumerate(pieces) if p not in self.parts]
+        self._letters([pieces[i] for i in new if alpha[i]])
+        self._single([pieces[i] for i in new if not alpha[i]])
+        return pieces, which.reshape(2, -1).T
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and each text's number.
+        Words and their pieces are told apart in Arrow; Python sees each
+        distinct piece once."""
         if self.whole:
-            return [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        words = [t.split() for t in texts]  # bytes split at ASCII white space only
-        every = {w for d in words for w in d}
-        new = [w for w in every if w not in self.known]
-        if len(self.known) + len(new) > MEMORY_WORDS:
-            self.known.clear()
-            new = list(every)
-        for word, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = array("I", e.ids).tobytes()
-        ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, d)), dtype=np.uint32) for d in words]
+            found = self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return np.array([i for e in found for i in e.ids], dtype=np.uint32), np.array([len(e.ids) for e in found], dtype=np.int64)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        pieces, two = self._pieces(coded.dictionary)
+        parts = [self.parts[p] for p in pieces]
+        ids, _ = gathered(np.frombuffer(b"".join(parts), dtype=np.uint32), np.array([len(p) for p in parts], dtype=np.int64) // 4, two.reshape(-1))
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)[two].sum(axis=1) // 4 if len(two) else np.zeros(0, np.int64)
+        out, ends = gathered(ids, sizes, coded.indices.to_numpy())
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
+        return out, np.diff(upto)
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``which`` names, end to end, and their
+    ends; run i has sizes[i] values."""
+    if not len(which):
+        return values[:0], np.zeros(0, np.int64)
+    each = sizes[which]
+    ends = np.cumsum(each)
+    return values[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each) + np.arange(ends[-1])], ends
 
 
 _tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
@@ -143,6 +212,7 @@ def _encode(path: str, end_id: int, segment_tokens: int, whole: bool):
     def run(batches):
         model, part = tokenizer_of(path, whole), TaskContext.get().partitionId()
         docs, lens, ids, held, seg, before = [], [], [], 0, 0, 0
+        gc.disable()  # words and ids hold no cycles, and a full collection would visit them all
 
         def segment():
             return pa.RecordBatch.from_pydict(
@@ -151,13 +221,17 @@ def _encode(path: str, end_id: int, segment_tokens: int, whole: bool):
             )
 
         for batch in batches:
-            rows, found = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for at in range(0, len(rows), 64):
-                for doc, own in zip(rows[at : at + 64], model.encode(found[at : at + 64]), strict=True):
+            for at in range(0, batch.num_rows, ENCODED):
+                own = batch.slice(at, ENCODED)
+                found, sizes = model.encode(own.column("text"))
+                # each document's ids with the end id behind them
+                found, ends = np.insert(found, np.cumsum(sizes), end_id), np.cumsum(sizes + 1).tolist()
+                begin = 0
+                for doc, end in zip(own.column("doc_id").to_pylist(), ends, strict=True):
                     docs.append(doc)
-                    lens.append(len(own) + 1)
-                    ids += [own, np.array([end_id], dtype=np.uint32)]
-                    held += len(own) + 1
+                    lens.append(end - begin)
+                    ids.append(found[begin:end])
+                    held, begin = held + end - begin, end
                     if held >= segment_tokens:
                         yield segment()
                         docs, lens, ids, seg, before, held = [], [], [], seg + 1, before + held, 0
@@ -179,7 +253,7 @@ def write_codes(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segment_t
     the written table, one row per segment, in the order of (part, seg)."""
     rows = texts(docs, id_col, text_col)
     rows = rows.repartitionByRange(shuffle_parts(rows), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(_encode(tokenizer, end_id, segment_tokens, whole), SEGMENTS), "codes", "none")
+    return stored(rows.mapInArrow(_encode(tokenizer, end_id, segment_tokens, whole), SEGMENTS), "codes")
 
 
 def _decode(starts: dict[int, int]):
