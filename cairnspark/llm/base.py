@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 SALTS = 64
 #: ASCII white space of the word rules; bytes.split() splits at exactly these.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Folders of our own, by application, where the cluster names none.
+_own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in
     ``spark.checkpoint.dir``; a local one is set only where none is named."""
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+    key, context = "spark.checkpoint.dir", spark.sparkContext
+    found = spark.conf.get(key, None) or context.getConf().get(key, None) or _own.get(context.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
-        spark.conf.set(key, found)
+        found = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
     return found.rstrip("/") + "/cairnspark"
 
 
