@@ -10,6 +10,7 @@ the vectors: a feature is one number, a word the sum of its features.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -58,19 +59,22 @@ def repeats(words: list[bytes]) -> int:
 REPEAT = "\x00repeat"
 
 
-def document(text: bytes, s: Settings, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of a text and their shares."""
+def document(text: bytes, s: Settings, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of a text and their shares. ``known`` holds the packed
+    buckets of words met before."""
     words = text.split()
-    counts: Counter[int] = Counter()
-    for w, n in Counter(words).items():
+    counts = Counter(words)
+    for w in counts:
         if w not in known:
-            known[w] = features(w.decode(), s)
-        for f in known[w]:
-            counts[f] += n
+            known[w] = array("i", features(w.decode(), s)).tobytes()
+    packed = [known[w] for w in counts]
+    weights = np.repeat(np.fromiter(counts.values(), np.float32, len(counts)), [len(p) // 4 for p in packed])
+    found = np.frombuffer(b"".join(packed), dtype=np.int32)
     if r := repeats(words):
-        counts[crc32(REPEAT.encode()) & (s.buckets - 1)] += r * 8
-    share = np.fromiter(counts.values(), np.float32, len(counts))
-    return np.fromiter(counts.keys(), np.int64, len(counts)), share / max(share.sum(), 1)
+        found, weights = np.append(found, np.int32(crc32(REPEAT.encode()) & (s.buckets - 1))), np.append(weights, np.float32(8 * r))
+    buckets, which = np.unique(found, return_inverse=True)
+    share = np.bincount(which, weights=weights, minlength=len(buckets)).astype(np.float32)
+    return buckets, share / max(share.sum(), 1)
 
 
 @dataclass
@@ -89,6 +93,7 @@ def train(sample: list[tuple[bytes, int]], prior: tuple[int, int], s: Settings)
     among all training rows: the sample's own balance is taken out again."""
     rng, known = np.random.default_rng(s.seed), {}
     docs = [document(t, s, known) for t, _ in sample]
+    known.clear()
     labels = np.array([y for _, y in sample], dtype=np.int64)
     vectors = ((rng.random((s.buckets, s.dim)) - 0.5) / s.dim).astype(np.float32)
     top, bias = (rng.standard_normal((2, s.dim)) / math.sqrt(s.dim)).astype(np.float32), np.zeros(2, np.float32)
