@@ -303,6 +303,68 @@ def _(c):
     return found(missing(there, c.project, ["module", "name"]), F.concat_ws(".", "module", "name"))
 
 
+@rule("unknown_model_attribute", "production")
+def _(c):
+    reads = of(c.after, "attribute_read").where("not startswith(name, '_')").withColumn("_var", F.col("detail")).join(instances(c.after), ["unit", "owner", "_var"])
+    known = c.fields.select("type", F.col("field").alias("name")).unionByName(c.members.select("type", F.col("member").alias("name")))
+    return found(missing(reads.join(c.fields.select("type").distinct(), "type", "left_semi"), known, ["type", "name"]), F.concat_ws(".", "type", "name"))
+
+
+@rule("unknown_injected_dependency_method", "production")
+def _(c):
+    calls = of(c.after, "call").withColumn("_p", F.split("name", r"\.")).where((F.size("_p") == 3) & (F.element_at("_p", 1) == "self"))
+    calls = calls.select("unit", "file_path", F.element_at(F.split("owner", r"\."), 1).alias("_class"), F.element_at("_p", 2).alias("_attr"), F.element_at("_p", 3).alias("member"))
+    types = of(c.after, "attribute_type").select("unit", F.col("owner").alias("_class"), F.col("name").alias("_attr"), F.col("detail").alias("type"))
+    owned = calls.join(types, ["unit", "_class", "_attr"]).join(c.members.select("type").distinct(), "type", "left_semi")
+    return found(missing(owned, c.members, ["type", "member"]), F.concat_ws(".", "type", "member"))
+
+
+@rule("required_contract_not_used", "production")
+def _(c):
+    if "contracts" not in c.request.columns:
+        return found(c.request.limit(0), "qualname")
+    asked = c.request.select("unit", F.explode("contracts").alias("_full")).withColumn("_u", F.element_at(F.split("_full", r"\."), -1))
+    return found(missing(asked, used_names(c.after), ["unit", "_u"]), "_full")
+
+
+@rule("contract_method_called_on_class_instead_of_instance", "production")
+def _(c):
+    return found(class_calls(c.after, c), F.concat_ws(".", "type", "member"))
+
+
+def function_calls(c: Case) -> DataFrame:
+    """Calls of functions of the patched module with their signatures."""
+    own = of(c.after, "function_signature").select("unit", "name", F.filter(F.split("detail", ","), lambda x: x != "").alias("required"), F.col("items").alias("allowed"))
+    closed = missing(own, of(c.after, "open_signature").where("owner = ''"), ["unit", "name"])
+    return of(c.after, "call").where("detail = ''").join(closed, ["unit", "name"])
+
+
+@rule("contract_call_missing_required_positional_args", "production")
+def _(c):
+    rows = function_calls(c).withColumn("_left", F.array_except(F.slice("required", F.col("n") + 1, F.greatest(F.size("required") - F.col("n"), F.lit(0))), "items"))
+    return found(rows.where(F.size("_left") > 0), "name", F.array_join("_left", ","))
+
+
+@rule("contract_call_missing_required_keyword_only_args", "production")
+def _(c):
+    need = of(c.after, "required_keywords").select("unit", "name", F.col("items").alias("_need"))
+    rows = function_calls(c).join(need, ["unit", "name"]).withColumn("_left", F.array_except("_need", "items"))
+    return found(rows.where(F.size("_left") > 0), "name", F.array_join("_left", ","))
+
+
+@rule("duplicated_import_change_with_local_import", "production", "warning")
+def _(c):
+    added = missing(of(c.after, "import_from").where("owner = ''"), of(c.before, "import_from"), ["unit", "name"])
+    return found(added.join(of(c.after, "local_import").select("unit", "name").distinct(), ["unit", "name"], "left_semi"), "name")
+
+
+def class_calls(facts: DataFrame, c: Case) -> DataFrame:
+    """Calls of a known type's method on the type itself."""
+    rows = of(facts, "call").withColumn("_p", F.split("name", r"\.")).where(F.size("_p") >= 2).withColumn("type", F.element_at("_p", -2)).withColumn("member", F.element_at("_p", -1))
+    free = of(facts, "method").where(F.exists("items", lambda d: d.isin("staticmethod", "classmethod"))).select(F.col("owner").alias("type"), F.col("name").alias("member")).distinct()
+    return rows.join(c.members, ["type", "member"], "left_semi").join(free, ["type", "member"], "left_anti")
+
+
 # --- the artefact of a replacement ------------------------------------------
 
 
@@ -323,9 +385,53 @@ def _(c):
     return found(with_request(of(c.after, "nested_definition"), replacing(c)), F.concat_ws(".", "owner", "name"))
 
 
+@rule("code_artifact_missing_code", "artifact")
+def _(c):
+    return found(c.request.join(c.after.select("unit").distinct(), "unit", "left_anti"), "qualname")
+
+
+@rule("code_artifact_ast_parse_failed", "artifact")
+def _(c):
+    return found(of(c.after, "parse_error"), "file_path", F.col("detail"))
+
+
+@rule("code_artifact_unexpected_operation", "artifact")
+def _(c):
+    if "expected_operation" not in c.request.columns:
+        return found(c.request.limit(0), "qualname")
+    return found(c.request.where("expected_operation <> operation"), "operation")
+
+
+@rule("code_artifact_unexpected_target", "artifact")
+def _(c):
+    if "expected_qualname" not in c.request.columns:
+        return found(c.request.limit(0), "qualname")
+    return found(c.request.where("expected_qualname <> qualname"), "qualname")
+
+
 # --- the generated test -----------------------------------------------------
 
 
+@rule("generated_test_file_missing", "generated_test")
+def _(c):
+    if "test_file" not in c.request.columns:
+        return found(c.request.limit(0), "qualname")
+    return found(c.request.where("test_file is not null").join(c.tests.select("unit").distinct(), "unit", "left_anti"), "test_file")
+
+
+@rule("generated_test_calls_project_instance_method_on_class", "generated_test")
+def _(c):
+    rows = class_calls(c.tests, c).join(replacing(c).select("unit", F.col("parent").alias("type"), F.col("target").alias("member")), ["unit", "type", "member"], "left_anti")
+    return found(rows, F.concat_ws(".", "type", "member"))
+
+
+@rule("generated_test_constructor_argument_type_mismatch", "generated_test")
+def _(c):
+    paths = c.fields.where(F.element_at(F.split(F.regexp_replace("note", r"\[.*$", ""), r"\."), -1).isin("Path", "PurePath"))
+    rows = of(c.tests, "string_keyword").select("unit", "file_path", F.col("detail").alias("type"), F.col("name").alias("field"))
+    return found(rows.join(paths.select("type", "field").distinct(), ["type", "field"], "left_semi"), F.concat_ws(".", "type", "field"))
+
+
 @rule("generated_test_ast_parse_failed", "generated_test")
 def _(c):
     return found(of(c.tests, "parse_error"), "file_path", F.col("detail"))
@@ -526,3 +632,26 @@ def case_of(request: DataFrame, facts: DataFrame, project: DataFrame) -> Case:
     fields = of(own, "field").select(F.col("owner").alias("type"), F.col("name").alias("field"), F.col("detail").alias("note"), (F.col("n") == 1).alias("required")).distinct()
     members = of(own, "method", "known_attribute").select(F.col("owner").alias("type"), F.col("name").alias("member")).distinct()
     return Case(request, part("before/"), part("after/"), part("tests/"), project, fields, members)
+
+
+def structural(facts: DataFrame) -> DataFrame:
+    """Review of changed files: files that do not parse, symbols defined
+    twice, and one row of information where there is neither."""
+    broken = of(facts, "parse_error").select("unit", F.lit("ast_parse").alias("code"), F.lit("error").alias("severity"), "file_path", F.col("detail").alias("message"))
+    twice = of(facts, "definition", "method").groupBy("unit", "file_path", "owner", "name").count().where("count > 1")
+    twice = twice.select("unit", F.lit("duplicate_symbol_definition").alias("code"), F.lit("error").alias("severity"), "file_path", F.concat_ws(".", F.nullif("owner", F.lit("")), "name").alias("message"))
+    issues = broken.unionByName(twice)
+    clean = facts.select("unit").distinct().join(issues.select("unit").distinct(), "unit", "left_anti")
+    return issues.unionByName(clean.select("unit", F.lit("structural_review").alias("code"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("file_path"), F.lit("no issues").alias("message")))
+
+
+def repair_issues(repairs: DataFrame) -> DataFrame:
+    """Issues of repairs (unit, applied, error, failed_blocks, diff): the
+    application raised, was not usable, still fails, or changed nothing."""
+    code = (
+        F.when(F.col("error").isNotNull(), "repair_candidate_apply_failed")
+        .when(~F.coalesce("applied", F.lit(False)), "repair_not_applied")
+        .when(F.trim(F.coalesce("diff", F.lit(""))) == "", "repair_intent")
+        .when(F.col("failed_blocks") > 0, "repair_candidate_rejected")
+    )
+    return repairs.withColumn("code", code).where("code is not null").select("unit", "code", F.lit("error").alias("severity"), F.coalesce("error", F.lit("")).alias("message"))

@@ -29,7 +29,8 @@ class Reader(ast.NodeVisitor):
     Facts: import, import_from, definition, nested_definition, method,
     load, bind, call, self_read, self_write, self_call, known_attribute,
     field, annotation, assertion, raises, fixture_use, dict_key,
-    dunder_dict_return, docstring, module_end.
+    dunder_dict_return, docstring, attribute_read, attribute_type,
+    function_signature, required_keywords, local_import, string_keyword.
     """
 
     def __init__(self):
@@ -51,6 +52,8 @@ class Reader(ast.NodeVisitor):
 
     def visit_ImportFrom(self, node):
         for a in node.names:
+            if self.functions:
+                self.add("local_import", node, a.asname or a.name)
             self.add("import_from", node, a.name, node.module or "", node.level)
             self.add("bind", node, a.asname or a.name)
 
@@ -103,6 +106,18 @@ class Reader(ast.NodeVisitor):
                 self.add("open_signature", node, node.name, owner=self.classes[-1])
             if not any(isinstance(x, ast.Name) and x.id == plain[0] for b in node.body for x in ast.walk(b)):
                 self.add("selfless", node, node.name, owner=self.classes[-1])
+        if not self.classes and not self.functions:
+            required = plain[: len(plain) - len(node.args.defaults)]
+            named = [a.arg for a, d in zip(node.args.kwonlyargs, node.args.kw_defaults, strict=True) if d is None]
+            self.add("function_signature", node, node.name, ",".join(required), len(plain), [*plain, *(a.arg for a in node.args.kwonlyargs)])
+            self.add("required_keywords", node, node.name, items=named)
+            if node.args.vararg or node.args.kwarg:
+                self.add("open_signature", node, node.name, owner="")
+        if self.classes and not self.functions and node.name == "__init__":
+            notes = {a.arg: ast.unparse(a.annotation) for a in node.args.args if a.annotation is not None}
+            for x in ast.walk(node):
+                if isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.value, ast.Name) and x.value.id in notes and (t := dotted(x.targets[0]) or "").startswith("self.") and t.count(".") == 1:
+                    self.add("attribute_type", x, t[5:], notes[x.value.id].split("[")[0].split(".")[-1].strip("'\""), owner=self.classes[-1])
         returns = ast.unparse(node.returns) if node.returns else ""
         for x in ast.walk(node):
             if isinstance(x, ast.Return) and isinstance(x.value, ast.Attribute) and x.value.attr == "__dict__":
@@ -147,6 +162,8 @@ class Reader(ast.NodeVisitor):
                 self.add("known_attribute", node, node.attr, owner=self.classes[-1])
         elif not isinstance(node.ctx, ast.Load):
             self.add("attribute_write", node, node.attr, dotted(node.value) or "")
+        elif isinstance(node.value, ast.Name):
+            self.add("attribute_read", node, node.attr, node.value.id)
         self.generic_visit(node)
 
     def visit_Call(self, node):
@@ -157,6 +174,9 @@ class Reader(ast.NodeVisitor):
             self.add("call", node, name, "star" if starred else "", len(node.args), words)
             if name.startswith("self.") and name.count(".") == 1 and self.classes:
                 self.add("self_call", node, name[5:], "star" if starred else "", len(node.args), words, owner=self.classes[-1])
+            for k in node.keywords:
+                if k.arg and isinstance(k.value, ast.Constant) and isinstance(k.value.value, str):
+                    self.add("string_keyword", node, k.arg, name.split(".")[-1])
             if name in ("pytest.raises", "raises"):
                 self.add("raises", node, name)
             if name.endswith("patch") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):

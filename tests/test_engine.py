@@ -329,6 +329,33 @@ def test_validators(spark):
     assert validate.validated(case, codes=["artifact"]) is None and len(validate.RULES) > 45
 
 
+def test_more_rules(spark):
+    before = "x = 1\n"
+    after = (
+        "from dataclasses import dataclass\nfrom os import path\n\n\n@dataclass\nclass M:\n    a: int\n\n\nclass D:\n    def do(self):\n        pass\n\n\nclass S:\n    def __init__(self, d: D):\n        self.d = d\n\n"
+        "    def go(self):\n        self.d.do()\n        self.d.gone()\n        D.do()\n\n\ndef f(a, b=1, *, k):\n    from os import path\n    m = M(1)\n    m.a\n    m.zzz\n    return path\n\n\ndef g():\n    f()\n    f(1, k=2)\n"
+    )
+    test = "def test_a():\n    c = C(p='x')\n    D.do()\n    assert c\n"
+    f = facts.facts(spark.createDataFrame([("u", "before/a.py", before), ("u", "after/a.py", after + "\n\nclass C:\n    def __init__(self, p: Path):\n        self.p = p\n"), ("u", "tests/t.py", test)], "unit string, file_path string, source string"))
+    request = spark.createDataFrame(
+        [("u", "replace_symbol", "f", None, "m.f", "", ["a.py"], "a.py", ["lib.used", "lib.f"], "insert_after_symbol", "m.other", "t.py"), ("v", "replace_symbol", "f", None, "m.f", "", ["a.py"], "a.py", [], "replace_symbol", "m.f", "t.py")],
+        "unit string, operation string, target string, parent string, qualname string, text string, changed array<string>, target_file string, contracts array<string>, expected_operation string, expected_qualname string, test_file string",
+    )
+    case = validate.case_of(request, f, spark.createDataFrame([("os", "path")], "module string, name string"))
+    got = {(r["unit"], r["code"], r["symbol"]) for r in validate.validated(case, ("production", "artifact", "generated_test")).collect()}
+    for code, symbol in {
+        "unknown_model_attribute": "M.zzz", "unknown_injected_dependency_method": "D.gone", "required_contract_not_used": "lib.used", "contract_method_called_on_class_instead_of_instance": "D.do",
+        "contract_call_missing_required_positional_args": "f", "contract_call_missing_required_keyword_only_args": "f", "duplicated_import_change_with_local_import": "path", "code_artifact_unexpected_operation": "replace_symbol",
+        "code_artifact_unexpected_target": "m.f", "generated_test_calls_project_instance_method_on_class": "D.do", "generated_test_constructor_argument_type_mismatch": "C.p",
+    }.items():
+        assert ("u", code, symbol) in got, code
+    assert {("v", "code_artifact_missing_code", "m.f"), ("v", "generated_test_file_missing", "t.py")} <= got
+    assert ("u", "required_contract_not_used", "lib.f") not in got and ("u", "unknown_model_attribute", "M.a") not in got
+    assert {r["code"] for r in validate.structural(f).collect()} == {"structural_review"}
+    fix = spark.createDataFrame([("a", True, None, 0, "d"), ("b", True, "E", 0, "d"), ("c", False, None, 0, "d"), ("d", True, None, 1, "d"), ("e", True, None, 0, " ")], "unit string, applied boolean, error string, failed_blocks int, diff string")
+    assert {r["unit"]: r["code"] for r in validate.repair_issues(fix).collect()} == {"b": "repair_candidate_apply_failed", "c": "repair_not_applied", "d": "repair_candidate_rejected", "e": "repair_intent"}
+
+
 def test_replies_and_bundles(spark, tmp_path):
     raw = ['{"a": 1}', '```json\n{"a": [1, 2,],}\n```', 'text {"a": "}"} tail', '{"a": 1\n"b": 2}', "none", None, '{"a": 1}, "late": 2}', "“x”"]
     rows = documents.replies(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string"), late_fields=("late",)).orderBy("i").collect()
