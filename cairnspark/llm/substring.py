@@ -220,25 +220,18 @@ def _windows(buckets: int):
     return run
 
 
-def place_filter(found: DataFrame) -> np.ndarray:
-    """Bit set of the documents in ``found`` by the low bits of their ids: of
-    fixed size, and without a false negative."""
-    bit = F.expr(f"doc_id & {FILTER_BITS - 1}L")
-    words = found.groupBy((bit / 64).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, int((doc_id & {FILTER_BITS - 1}L) % 64)))").alias("m")).collect()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words:
-        out[r["w"]] = r["m"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _in_filter(shared, inside: bool):
-    def run(batches):
-        bits = shared.value
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(LAST).to_numpy()
-            yield batch.filter(pa.array(bits[ids & (FILTER_BITS - 1)] == inside, pa.bool_()))
+def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``near``: false only for rows whose document is not in ``found``.
 
-    return run
+    A bit set over the low bits of doc_ids, as a table of FILTER_BITS / 64
+    words at most, which is what makes it fit to broadcast at any size; it
+    has no false negative.
+    """
+    bit = f"(coalesce(doc_id, {LAST}L) & {FILTER_BITS - 1}L)"
+    word, own = F.expr(f"shiftright({bit}, 6)").alias("_word"), f"shiftleft(1L, int({bit} & 63L))"
+    words = found.select(word, F.expr(own).alias("_bit")).groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    joined = rows.withColumn("_word", F.expr(f"shiftright({bit}, 6)")).join(F.broadcast(words), "_word", "left")
+    return joined.withColumn("near", F.expr(f"coalesce(_bits, 0L) & {own} <> 0L")).drop("_word", "_bits")
 
 
 def kept_words(words: list[bytes], places: np.ndarray) -> list[bytes]:
@@ -280,7 +273,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that share a doc_id are rows of their own, told apart by a hash of
     their text, and neither is smaller than the other.
     """
-    spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     rows = rows.withColumn("row", F.hash("text") if repeated else F.lit(0))
@@ -291,9 +283,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def beside(found: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
         """Rows the filter rules out, and the others joined to their places."""
-        bits = spark.sparkContext.broadcast(place_filter(found))
-        near = rows.mapInArrow(_in_filter(bits, True), rows.schema).withColumn("key", F.coalesce("doc_id", F.lit(int(LAST))))
-        far = rows.mapInArrow(_in_filter(bits, False), rows.schema)
+        flagged = marked(rows, found)
+        near = flagged.where("near").drop("near").withColumn("key", F.coalesce("doc_id", F.lit(int(LAST))))
+        far = flagged.where("not near").drop("near")
         joined = near.join(found.select(F.col("doc_id").alias("key"), "row", "places"), ["key", "row"], how)
         return far, joined.select("doc_id", "row", "text", "places")
 
