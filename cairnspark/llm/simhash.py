@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, group_lookup, stored, texts
+from .base import components, group_lookup, shuffle_parts, stored, texts
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK = 1 << 15
@@ -90,7 +90,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "codes")
-    roots = stored(components(links(codes.select("fp"))), "roots")
+    # a code is a few bytes and has 65 keys: dealt out first, or few tasks would make them all
+    roots = stored(components(links(codes.select("fp").repartition(shuffle_parts(rows), "fp"))), "roots")
     placed = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"))
     classes = group_lookup(
         placed, ["root"], F.col("fp"), {"component_id": (F.min("first_id"), F.min("component_id")), "group_size": (F.sum("n"), F.sum("group_size"))}
