@@ -24,7 +24,14 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get(key, None) or context.getConf().get(key, None) or _own.get(context.applicationId)
     if not found:
         found = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
-    return found.rstrip("/") + "/cairnspark"
+    return f"{found.rstrip('/')}/cairnspark/{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder, once no result
+    that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
