@@ -7,12 +7,14 @@ of queries.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import match_kind, normalise, tokens
+from .text import TERM_PATTERN, match_kind, normalise, tokens
 
 # Field weights in tie order, in hundredths of a point, the
 # multipliers of the match kinds and the bonuses.
@@ -36,21 +38,50 @@ def with_fields(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
 
 
 def matches(terms: Column, fields: Column, weights: Mapping[str, int]) -> Column:
-    """Per matched term its best field: the first with the most points."""
+    """Per matched term its best field: the first with the most points.
+    ``terms`` is an array of (term, root)."""
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
 
-    def best(term: Column) -> Column:
-        kinds = F.transform(fields, lambda f: F.struct(f.field.alias("field"), match_kind(term, f.text, f.tokens).alias("kind")))
+    def best(t: Column) -> Column:
+        kinds = F.transform(fields, lambda f: F.struct(f.field.alias("field"), match_kind(t.term, t.root, f.text, f.tokens).alias("kind")))
         scored = F.transform(
             F.filter(kinds, lambda k: k.kind.isNotNull()),
             lambda k: F.struct((F.element_at(weight, k.field) * F.when(k.kind == "exact_token", MULTIPLIERS["exact_token"]).when(k.kind == "substring", MULTIPLIERS["substring"]).otherwise(MULTIPLIERS["stem"]) / 100).cast("int").alias("points"), k.field.alias("field"), k.kind.alias("kind")),
         )
         top = F.array_max(F.transform(scored, lambda s: s.points))
-        return F.struct(term.alias("term"), F.get(F.filter(scored, lambda s: s.points == top), 0).alias("best"))
+        return F.struct(t.term.alias("term"), F.get(F.filter(scored, lambda s: s.points == top), 0).alias("best"))
 
     return F.filter(F.transform(terms, best), lambda m: m.best.isNotNull())
 
 
+def literal_terms(terms: list[tuple[str, str]]) -> Column:
+    """Terms of a query known beforehand, as ``matches`` takes them."""
+    if not terms:
+        return F.array().cast("array<struct<term:string,root:string>>")
+    return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(r).alias("root")) for t, r in terms])
+
+
+def best_points(terms: list[tuple[str, str]], fields: Mapping[str, Column], weights: Mapping[str, int]) -> list[Column]:
+    """Per term of a query known beforehand the best points of any field, in
+    hundredths. ``fields`` are normal forms. Only plain comparisons, which
+    compile into the stage; a term is a whole token where no letter or
+    underscore touches it."""
+    letters = TERM_PATTERN[1 : TERM_PATTERN.index("]")]
+
+    def one(term: str, root: str, field: Column, w: int) -> Column:
+        whole = field.rlike(f"(?<![{letters}]){re.escape(term)}(?![{letters}])")
+        inside = F.when(whole, w).otherwise(w * MULTIPLIERS["substring"] // 100)
+        out = F.when(F.contains(field, F.lit(term)), inside)
+        return (out.when(F.contains(field, F.lit(root)), w * MULTIPLIERS["stem"] // 100) if root and root != term else out).otherwise(0)
+
+    each = [[one(t, r, c, weights[f]) for f, c in fields.items()] for t, r in terms]
+    return [F.greatest(*cols) if len(cols) > 1 else cols[0] for cols in each]
+
+
+def total(points_: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, points_, F.lit(0))
+
+
 def lexical(matched: Column) -> Column:
     """Sum of the best points in hundredths."""
     return F.aggregate(matched, F.lit(0), lambda acc, m: acc + m.best.points)

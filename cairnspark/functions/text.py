@@ -3,6 +3,8 @@ identifiers, truncation and JSON repair."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,24 @@ def query_terms(c: Column | str) -> Column:
     return F.array_sort(F.array_union(kept, F.filter(stems, lambda t: t != "")))
 
 
+def rooted(terms: Column) -> Column:
+    """Terms with their stems, for matching: array<struct<term, root>>."""
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), stem(t).alias("root")))
+
+
+def plain_stem(word: str) -> str:
+    """``stem`` of one word, for a query that is known when the plan is made."""
+    word = word.lower().translate(str.maketrans("ёς", "еσ")).replace("ß", "ss")
+    return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) - len(s) >= LEAST_STEM), word)
+
+
+def plain_terms(query: str) -> list[tuple[str, str]]:
+    """``query_terms`` of such a query, each with its stem."""
+    folded = query.lower().translate(str.maketrans("ёς", "еσ")).replace("ß", "ss")
+    kept = {t for t in re.findall(TERM_PATTERN, folded) if t not in STOP_WORDS}
+    return [(t, plain_stem(t)) for t in sorted(kept | {plain_stem(t) for t in kept if len(t) >= LEAST_STEM} - {""})]
+
+
 def reference_terms(c: Column | str) -> Column:
     """Terms of the reference library, repeats included."""
     return F.filter(tokens(F.lower(_col(c)), REFERENCE_TERM_PATTERN), lambda t: ~t.isin(*REFERENCE_STOP_WORDS))
@@ -69,14 +89,9 @@ def meaningful_tokens(c: Column | str, stop: tuple[str, ...] = (), least: int =
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= least) & (~t.isin(*stop) if stop else F.lit(True))))
 
 
-def match_kind(term: Column, field: Column, field_tokens: Column) -> Column:
+def match_kind(term: Column, root: Column, field: Column, field_tokens: Column) -> Column:
     """exact_token, substring, stem or null."""
-    root = stem(term)
-    return (
-        F.when(F.array_contains(field_tokens, term), "exact_token")
-        .when(F.contains(field, term), "substring")
-        .when((root != "") & F.contains(field, root), "stem")
-    )
+    return F.when(F.contains(field, term), F.when(F.array_contains(field_tokens, term), "exact_token").otherwise("substring")).when((root != "") & F.contains(field, root), "stem")
 
 
 def identifier_tokens(c: Column | str) -> Column:

@@ -134,10 +134,10 @@ def hybrid_topk(t):
     vectors = t("embeddings")
     one = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     sims = vectors.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), scoring.similarity(scoring.cosine_distance(F.col("embedding").cast("array<double>"), F.col("q"))).alias("sim"))
-    docs = scoring.with_fields(t("documents"), {f: F.col(f) for f in SEARCH_FIELDS}).join(sims, "doc_id", "left")
-    lex = scoring.lexical(scoring.matches(text.query_terms(F.lit(SEARCH_TEXT)), F.col("_fields"), SEARCH_FIELDS)) / 100.0
-    rows = docs.select("doc_id", lex.alias("lex"), F.coalesce("sim", F.lit(0.0)).alias("sim")).where("lex + sim > 0").withColumn("raw", F.col("lex") + 4 * F.col("sim"))
-    return rows.orderBy(F.desc("raw"), "doc_id").limit(20).select("doc_id", F.round("raw", 4).alias("score"))
+    docs = t("documents").select("doc_id", *[text.normalise(f).alias(f) for f in SEARCH_FIELDS]).join(sims, "doc_id", "left")
+    lex = scoring.total(scoring.best_points(text.plain_terms(SEARCH_TEXT), {f: F.col(f) for f in SEARCH_FIELDS}, SEARCH_FIELDS)) / 100.0
+    rows = docs.select("doc_id", (lex + 4 * F.coalesce("sim", F.lit(0.0))).alias("raw"))
+    return rows.orderBy(F.desc("raw"), "doc_id").limit(20).where("raw > 0").select("doc_id", F.round("raw", 4).alias("score"))
 
 
 @query(
