@@ -385,7 +385,7 @@ def usage_rollup(t):
     return out.select(F.coalesce("run_id", F.lit(0)).alias("run_id"), "step", F.col("calls").cast("long").alias("calls"), F.round("total", 4).alias("total"))
 
 
-@query("""select conv_id as run_id, sum(length(text)) as duration_ms, count(*) as steps, count(*) filter (role = 'system') as failed from conversations group by 1""")
+@query("""select conv_id as run_id, sum(length(text))::bigint as duration_ms, count(*) as steps, count(*) filter (role = 'system') as failed from conversations group by 1""")
 def run_duration(t):
     steps = t("conversations").select(F.col("conv_id").alias("run_id"), F.length("text").alias("duration_ms"), F.when(F.col("role") == "system", "failed").otherwise("ok").alias("status"))
     return usage.run_durations(steps)
