@@ -55,4 +55,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op6_mixing, op7_chat, op8_substring, op9_lm_scoring, op10_pii)}
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_chat": chat.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_chat": chat.SQL, "op8_substring": substring.SQL}

@@ -293,3 +293,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     removed = stored(gather(extended.mapInArrow(_windows(buckets), ENTRY).groupBy("bucket").applyInArrow(_met(True), FOUND)), "removed")
     untouched, touched = beside(removed, "left")
     return untouched.mapInArrow(_cut(with_text), RESULT).unionByName(touched.mapInArrow(_cut(with_text), RESULT))
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, s, array_to_string(w[s:s + 12], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as s from d where len(w) >= 13)),
+first as (select k, min(doc_id) as m from win group by k),
+gone as (select distinct doc_id, unnest(range(s, s + 13)) as p from win join first using (k) where m < doc_id),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1)::bigint as p from d),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""

@@ -267,6 +267,13 @@ def test_substring(docs, rows, empty):
     assert substring.deduplicated(empty).count() == 0
 
 
+def test_substring_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got(queries.op8_substring(spark, sf), *cols) == sorted(con.sql(f"select {', '.join(cols)} from ({substring.SQL})").fetchall(), key=str)
+
+
 def test_substring_at_every_offset(spark):
     """Matches of exactly 13 and 12 words at all pairs of offsets modulo 7."""
     rows, k = [], 0
