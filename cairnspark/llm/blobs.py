@@ -3,7 +3,11 @@ a few large rows in place of many small ones."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -39,3 +43,21 @@ def buckets_for(size_bytes: int, each_mb: int = 8, least: int = 16) -> int:
 
 def input_bytes(df) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def tidied(run):
+    """``run`` over Arrow batches, giving memory back when a task ends:
+    workers outlive their tasks, and what one stage's tasks keep is missing
+    in the next."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped

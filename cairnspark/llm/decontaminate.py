@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import texts
-from .blobs import word_hashes
+from .blobs import tidied, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
 #: A benchmark of more items is taken in blocks of about so many.
@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     schema = "doc_id long, item_id long, similarity double, start long, n_windows long"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in passes(benchmark, radius, similarity):
-        out = out.unionByName(rows.mapInArrow(_found(sc.broadcast(index)), schema))
+        out = out.unionByName(rows.mapInArrow(tidied(_found(sc.broadcast(index))), schema))
     return out
 
 
@@ -204,5 +204,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
     out = docs
     for index in passes(benchmark, radius, similarity):
-        out = out.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_judged")).mapInArrow(clean(sc.broadcast(index)), docs.schema)
+        out = out.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_judged")).mapInArrow(tidied(clean(sc.broadcast(index))), docs.schema)
     return out

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import hash_sample, texts
+from .blobs import tidied
 
 KINDS = ("email", "ip", "card", "phone")
 ANY = re.compile("[0-9@]")
@@ -276,5 +277,5 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
     field = field or fit(docs, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     return texts(docs, id_col, text_col).mapInArrow(
-        _found(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        tidied(_found(shared)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )

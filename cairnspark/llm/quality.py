@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import hash_sample, texts
+from .blobs import tidied
 
 #: Words remembered by a scoring task; the memory is emptied when full.
 MEMORY_WORDS = 1 << 18
@@ -175,7 +176,7 @@ def _scores(shared):
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row's whole text; an empty or null text has
     the model's bias alone. The model broadcast has a fixed size."""
-    return texts(docs, id_col, text_col).mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+    return texts(docs, id_col, text_col).mapInArrow(tidied(_scores(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, score double")
 
 
 def classified(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, settings: Settings = Settings()) -> DataFrame:
@@ -198,4 +199,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
             good = [rate(t) >= threshold for t in batch.column("_rated").cast(pa.binary()).to_pylist()]
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
-    return docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_rated")).mapInArrow(run, docs.schema)
+    return docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_rated")).mapInArrow(tidied(run), docs.schema)

@@ -14,6 +14,8 @@ taken from it is checked by its complete distance.
 
 from __future__ import annotations
 
+from itertools import islice, repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import components, group_lookup, shuffle_parts, stored, texts
+from .blobs import LOWER, tidied
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK = 1 << 15
 
 
@@ -32,16 +34,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     if len(words) < shingle:
-        grams = [b" ".join(words)]
+        grams = iter([b" ".join(words)])
     else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+        grams = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    codes = np.array([digest(g, seed) for g in grams], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(codes), BLOCK):
-        bits = np.unpackbits(codes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts, n, codes = np.zeros(64, dtype=np.int64), 0, map(digest, grams, repeat(seed))
+    while len(block := np.array(list(islice(codes, BLOCK)), dtype="<u8")):
+        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(codes), bitorder="little").view("<u8")[0])
+        n += len(block)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches):
@@ -53,7 +55,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) for every row, null texts as empty ones."""
-    return texts(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(tidied(_fingerprints), "doc_id long, fp long")
 
 
 def links(codes: DataFrame, segments: int = 4) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import stored, texts
-from .blobs import buckets_for, input_bytes, pack, unpack
+from .blobs import buckets_for, input_bytes, pack, tidied, unpack
 
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
@@ -277,7 +277,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     rows = rows.withColumn("row", F.hash("text") if repeated else F.lit(0))
     buckets = buckets_for(input_bytes(docs), each_mb=2)
-    anchors = rows.mapInArrow(_anchors(buckets), ENTRY).groupBy("bucket").applyInArrow(_met(False), FOUND)
+    anchors = rows.mapInArrow(tidied(_anchors(buckets)), ENTRY).groupBy("bucket").applyInArrow(_met(False), FOUND)
     gather = lambda found: found.groupBy("doc_id", "row").agg(F.collect_list("places").alias("places"))
     shared = stored(gather(anchors), "anchors")
 
@@ -290,9 +290,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return far, joined.select("doc_id", "row", "text", "places")
 
     _, extended = beside(shared, "inner")
-    removed = stored(gather(extended.mapInArrow(_windows(buckets), ENTRY).groupBy("bucket").applyInArrow(_met(True), FOUND)), "removed")
+    removed = stored(gather(extended.mapInArrow(tidied(_windows(buckets)), ENTRY).groupBy("bucket").applyInArrow(_met(True), FOUND)), "removed")
     untouched, touched = beside(removed, "left")
-    return untouched.mapInArrow(_cut(with_text), RESULT).unionByName(touched.mapInArrow(_cut(with_text), RESULT))
+    return untouched.mapInArrow(tidied(_cut(with_text)), RESULT).unionByName(touched.mapInArrow(tidied(_cut(with_text)), RESULT))
 
 
 SQL = r"""

@@ -14,7 +14,6 @@ entries u64, chunks, and but for the last level bitmap and directory (u32).
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import zlib
@@ -28,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import shuffle_parts, stored, texts
+from .blobs import tidied
 
 END_ID = 2
 STEP = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_TOKENS = 1 << 20
 #: Pieces of words remembered by a worker; the memory is emptied when full.
-MEMORY_WORDS = 1 << 19
+MEMORY_WORDS = 3 << 17
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -212,7 +212,6 @@ def _encode(path: str, end_id: int, segment_tokens: int, whole: bool):
     def run(batches):
         model, part = tokenizer_of(path, whole), TaskContext.get().partitionId()
         docs, lens, ids, held, seg, before = [], [], [], 0, 0, 0
-        gc.disable()  # words and ids hold no cycles, and a full collection would visit them all
 
         def segment():
             return pa.RecordBatch.from_pydict(
@@ -253,7 +252,7 @@ def write_codes(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segment_t
     the written table, one row per segment, in the order of (part, seg)."""
     rows = texts(docs, id_col, text_col)
     rows = rows.repartitionByRange(shuffle_parts(rows), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(_encode(tokenizer, end_id, segment_tokens, whole), SEGMENTS), "codes")
+    return stored(rows.mapInArrow(tidied(_encode(tokenizer, end_id, segment_tokens, whole)), SEGMENTS), "codes")
 
 
 def _decode(starts: dict[int, int]):
@@ -285,7 +284,7 @@ def read_index(codes: DataFrame) -> DataFrame:
     starts, at = {}, 0
     for part in sorted(totals):
         starts[part], at = at, at + totals[part]
-    return codes.mapInArrow(_decode(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return codes.mapInArrow(tidied(_decode(starts)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(codes: DataFrame, place: int) -> int:
