@@ -8,7 +8,9 @@ looked up in a multi-index of the items' SimHashes: the eight bytes are the
 blocks, each item is entered under all byte values within ``radius // 8``
 bits of its own, and so every item within ``radius`` bits of a window is
 found. Its complete distance is checked next, and then the exact similarity:
-shingles weighted by their number, sum of minima over sum of maxima.
+shingles weighted by their number, sum of minima over sum of maxima. A
+document of fewer shingles than an item is one window as a whole; it is
+compared exactly, without fingerprints.
 
 At a similarity of 0.8 the expected distance is under 10 bits and its
 standard deviation under 3; the default radius of 24 leaves out about one
@@ -110,13 +112,13 @@ class Index:
 
     def _sized(self, codes, hits, size):
         m, items, bags, prints, tables = self.sizes[size]
+        if len(codes) < m:
+            return self._whole(codes, len(hits), m, items, bags)
         mark = np.zeros(len(codes) + 1, dtype=np.int32)
         np.add.at(mark, np.maximum(hits - m + 1, 0), 1)
         np.add.at(mark, hits + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
         starts = starts[starts <= len(codes) - m]
-        if not len(starts):
-            return []
         found = window_fingerprints(codes, starts, m)
         blocks = found.view(np.uint8).reshape(-1, 8)
         listed = tables[0][blocks[:, 0]]
@@ -143,6 +145,20 @@ class Index:
                     x[:2] = s, int(starts[w])
         return [(items[k], *x) for k, x in best.items()]
 
+    def _whole(self, codes, some, m, items, bags):
+        """A document of fewer shingles than the items have, ``some`` of them
+        known: their sum of maxima is of unequal sizes."""
+        n = len(codes)
+        if some + 1e-9 < self.similarity * (n + m - some):
+            return []
+        window, out = Counter(codes.tolist()), []
+        for item, bag in zip(items, bags, strict=True):
+            both = sum((window & bag).values())
+            s = both / (n + m - both)
+            if s >= self.similarity:
+                out.append((item, s, 0, 1))
+        return out
+
     def of(self, text: bytes) -> list[tuple[int, float, int, int]]:
         words = plain_words(text)
         return sorted(self.matches(word_hashes(words))) if words else []
@@ -174,7 +190,8 @@ def _found(shared):
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it repeats: doc_id,
     item_id, similarity of the best window, start (its first word, counted
-    in words) and n_windows at or over ``similarity``.
+    in words) and n_windows at or over ``similarity``. A document shorter than
+    the item is its own single window.
 
     Null, empty and wordless texts and items match nothing. Repeated rows of
     ``docs`` give repeated results; equal items with different ids are found

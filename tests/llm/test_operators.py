@@ -324,6 +324,32 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_documents_shorter_than_the_item(spark):
+    """All lengths and places of a piece of an item, at and around 0.8."""
+    item = [f"w{i}" for i in range(60)]
+    pieces = [(a, b) for a in (0, 1, 5, 9) for b in range(40, 61) if a < b]
+    pieces += [(0, n) for n in range(1, 40)]
+    docs = [(k, " ".join(item[a:b])) for k, (a, b) in enumerate(pieces)]
+    docs += [(900, " ".join(item[:30] + ["new"] + item[31:56])), (901, " ".join(item[:5] * 11)), (902, ""), (903, None)]
+    items = [(1, " ".join(item)), (2, " ".join(item[:9])), (3, "w0 w1 w2 w3"), (4, " ".join(item[:5] * 12))]
+    want = set()
+    for d, t in docs:
+        w = plain(t)
+        for i, u in items:
+            u = plain(u)
+            n = min(5, len(u))
+            mine, theirs = [tuple(w[x : x + n]) for x in range(len(w) - n + 1)], Counter(tuple(u[x : x + n]) for x in range(len(u) - n + 1))
+            m = min(len(u) - n + 1, len(mine))
+            best = max((sum((Counter(mine[s : s + m]) & theirs).values()) / sum((Counter(mine[s : s + m]) | theirs).values()) for s in range(len(mine) - m + 1)), default=0)
+            if best >= 0.8:
+                want.add((d, i, round(best, 9)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert (pieces.index((0, 55)), 1, round(51 / 56, 9)) in want and (901, 4) in {x[:2] for x in want}
+    assert {(x["doc_id"], x["item_id"], round(x["similarity"], 9)) for x in decontaminate.contaminated(table, bench).collect()} == want
+    assert {x["doc_id"] for x in decontaminate.decontaminated(table, bench).collect()} == {d for d, _ in docs} - {x[0] for x in want}
+
+
 def test_index_finds_all_within_radius():
     r = np.random.default_rng(4)
     items = [(k, " ".join(f"w{x}" for x in r.integers(0, 999, 20)).encode()) for k in range(30)]
