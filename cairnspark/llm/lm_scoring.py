@@ -1,17 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram over word classes: each of the most frequent
-``states`` words is a class of its own, all other words are one class. States
-are the classes and a start; an arc carries the log-probability of a seen
-class pair, and where a state has no arc its failure arc leads, at the
-backoff weight, to the root, whose arcs are the class unigrams. Within the
-class of rare words the word's own smoothed count decides, so the root's
-distribution is the add-one unigram model over all words.
-
-Word counts cover the whole training part and have no bound, so they are
-never broadcast: documents are packed into batches, each batch asks the
-count shards for its own words, and the answers travel back to it. The
-automaton has (states + 2) x (states + 1) weights at any input size.
+The model is a smoothed bigram over all words: every word of the training part
+is a state, and so is the start. An arc carries the log-probability of a seen
+pair of words, and where a state has no arc its failure arc leads, at the
+backoff weight, to the root, whose arcs are the add-one unigram model over all
+words.
+
+Counts of words and of pairs cover the whole training part and have no bound,
+so they are never broadcast: documents are packed into batches, each batch
+asks the count shards for its own words and pairs, and the answers travel back
+to it. Pairs of the most frequent ``states`` words would be asked by every
+batch; a dense automaton over these words answers them in place, with the same
+weights.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .base import dropped, stored, texts
 from .blobs import LOWER, buckets_for, input_bytes, pack, tidied, unpack, word_hashes
 
+#: Words whose pairs are answered by the dense automaton; a cache, whose size
+#: changes no score.
 STATES = 2048
 #: Weight of the root's distribution against a state's own counts.
 BACKOFF = 64.0
@@ -34,6 +36,8 @@ BACKOFF = 64.0
 BATCH_WORDS = 1 << 20
 #: No word is empty: the hash of the empty string stands for the end.
 END = b""
+#: No word holds a space: stands before the first word of a document.
+START = b" "
 
 PACKED = "batch_id long, doc_ids array<long>, trained array<boolean>, lens array<long>, tokens binary, words binary, counts binary"
 
@@ -83,24 +87,75 @@ def _packed(fold: int, held: int, batch_words: int):
     return run
 
 
+def shard_edges(shards: int) -> np.ndarray:
+    """A key's highest bits are its shard, so sorted keys are cut in order."""
+    return (np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - shards.bit_length() + 1)) if shards > 1 else np.zeros(0, np.uint64)
+
+
+def _cut(batch_id: int, keys: np.ndarray, counts: np.ndarray, shards: int):
+    """Sorted keys and their counts, a record batch for each shard."""
+    at = [0, *np.searchsorted(keys, shard_edges(shards)).tolist(), len(keys)]
+    for shard in range(shards):
+        a, b = at[shard], at[shard + 1]
+        if a < b:
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "batch_id": [batch_id], "words": [keys[a:b].tobytes()], "counts": [pack(counts[a:b])]})
+
+
 def _asked(shards: int):
-    """Each batch's distinct words and their counts, cut by shard; a word's
-    highest bits are its shard, so the sorted words are cut in order."""
-    edges = (np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - shards.bit_length() + 1)) if shards > 1 else np.zeros(0, np.uint64)
+    """Each batch's distinct words and their counts, cut by shard."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = np.frombuffer(row["words"], np.uint64), unpack(row["counts"], "<u4")
-                at = [0, *np.searchsorted(words, edges).tolist(), len(words)]
-                for shard in range(shards):
-                    a, b = at[shard], at[shard + 1]
-                    if a < b:
-                        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "batch_id": [row["batch_id"]], "words": [words[a:b].tobytes()], "counts": [pack(counts[a:b])]})
+                yield from _cut(row["batch_id"], np.frombuffer(row["words"], np.uint64), unpack(row["counts"], "<u4"), shards)
 
     return run
 
 
+def pair_keys(words: np.ndarray, tokens: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each token's word with the word before it."""
+    own = words[tokens]
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[np.cumsum(lens) - lens] = word_hashes([START])[0]
+    out = before * np.uint64(0x9E3779B97F4A7C15) + own
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def uncached(kinds: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
+    """Tokens whose pair the dense automaton of ``k`` words does not hold."""
+    return (kinds == k) | (paired(kinds, lens, k + 1) == k)
+
+
+def _asked_pairs(shared, shards: int):
+    """Each batch's distinct pairs outside the dense automaton and their
+    counts in training documents, cut by shard."""
+
+    def run(batches):
+        top = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                lens, train = np.array(row["lens"]), np.array(row["trained"], dtype=bool)
+                words, tokens = np.frombuffer(row["words"], np.uint64), unpack(row["tokens"], "<u4")
+                out = uncached(classes_of(words, top)[tokens], lens, len(top))
+                keys, place = np.unique(pair_keys(words, tokens, lens)[out], return_inverse=True)
+                counts = np.bincount(place[np.repeat(train, lens)[out]], minlength=len(keys))
+                yield from _cut(row["batch_id"], keys, counts.astype(np.uint32), shards)
+
+    return run
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Packed in the least width that holds them, which is the first byte."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + pack(values.astype(f"<u{width}"))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], f"<u{data[0]}").astype(np.int64)
+
+
 def _answered(states: int):
     """One shard: its total counts, sent back to every batch in the order of
     its words; the shard's size and most frequent words in a row of their own."""
@@ -118,7 +173,7 @@ def _answered(states: int):
             {
                 "batch_id": pa.array([r["batch_id"] for r in rows] + [None], pa.int64()),
                 "shard": pa.array([shard] * (n + 1), pa.int32()),
-                "totals": pa.array([pack(totals[place[e - len(a) : e]]) for a, e in zip(asked, ends, strict=True)] + [None], pa.binary()),
+                "totals": pa.array([pack_counts(totals[place[e - len(a) : e]]) for a, e in zip(asked, ends, strict=True)] + [None], pa.binary()),
                 "n": pa.array([None] * n + [int(totals.sum())], pa.int64()),
                 "v": pa.array([None] * n + [int((totals > 0).sum())], pa.int64()),
                 "top_words": pa.array([None] * n + [words[top].view(np.int64).tolist()], pa.list_(pa.int64())),
@@ -208,15 +263,22 @@ class Automaton:
 
 def _scored(shared, fold: int, held: int):
     def run(batches):
-        automaton, top, n, v, rare = shared.value
+        automaton, top, n, v, backoff = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 lens = np.array(row["lens"])
-                totals = np.concatenate([unpack(a["totals"], "<i8") for a in row["answers"]])
+                counts = [np.concatenate([np.zeros(0, np.int64), *(unpack_counts(a["totals"]) for a in row["answers"] if a["pairs"] == pairs)]) for pairs in (False, True)]
+                totals = counts[0]
                 words, tokens = np.frombuffer(row["words"], np.uint64), unpack(row["tokens"], "<u4")
-                kinds = classes_of(words, top)
-                base = np.log10((totals + 1) / (n + v + 1))
-                inner = np.where(kinds == len(top), np.log10((totals + 1) / rare), 0.0)
+                kinds = classes_of(words, top)[tokens]
+                root = ((totals + 1) / (n + v + 1))[tokens]
+                out = uncached(kinds, lens, len(top))
+                _, place = np.unique(pair_keys(words, tokens, lens)[out], return_inverse=True)
+                # each training document starts once and ends once
+                starts = totals[np.searchsorted(words, word_hashes([END])[0])]
+                left = paired(totals[tokens], lens, starts)[out]
+                weights = automaton.run(kinds, lens)
+                weights[out] = np.log10((counts[1][place] + backoff * root[out]) / (left + backoff))
                 at = np.cumsum(lens) - lens
                 add = lambda x: np.add.reduceat(x, at)  # noqa: E731  no document is without a token: each has its end
                 yield pa.RecordBatch.from_pydict(
@@ -226,8 +288,8 @@ def _scored(shared, fold: int, held: int):
                         "n_tokens": lens,
                         "n_known": add((totals > 0)[tokens].astype(np.int64)),
                         "train_tokens": np.full(len(lens), n, dtype=np.int64),
-                        "base_score": add(base[tokens]),
-                        "score": add(automaton.run(kinds[tokens], lens) + inner[tokens]),
+                        "base_score": add(np.log10(root)),
+                        "score": add(weights),
                     }
                 )
 
@@ -240,8 +302,8 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES,
 
     Learns from rows whose crc32(doc_id as text) mod ``fold`` is not ``held``.
     Null and empty texts have one token, the end. With no training row all
-    words are unknown and both scores are 0. Words are told apart by 64-bit
-    hashes.
+    words are unknown and both scores are 0. Words, and pairs of words, are
+    told apart by 64-bit hashes. ``states`` changes no score.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
@@ -256,14 +318,18 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES,
     order = np.argsort(top)
     top, frequent = top[order], np.array([r[1] for r in picked], dtype=np.int64)[order]
     k = len(top)
-    blocks = packed.select("trained", "lens", "words", "tokens").mapInArrow(tidied(_pairs(spark.sparkContext.broadcast(top))), "block int, counts binary")
+    sent = spark.sparkContext.broadcast(top)
+    blocks = packed.select("trained", "lens", "words", "tokens").mapInArrow(tidied(_pairs(sent)), "block int, counts binary")
     pairs = np.zeros((k + 2, k + 1), dtype=np.int64)
     for r in blocks.groupBy("block").applyInArrow(_summed, "block int, counts binary").collect():
         block = unpack(bytes(r["counts"]), "<i8").reshape(-1, k + 1)
         pairs[r["block"] : r["block"] + len(block)] = block
     rare = n - int(frequent.sum()) + v - k + 1
     root = np.append(frequent + 1, rare) / (n + v + 1)
-    shared = spark.sparkContext.broadcast((Automaton(pairs, root, backoff), top, n, v, rare))
-    back = answers.where("batch_id is not null").groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("shard", "totals"))).alias("answers"))
+    shared = spark.sparkContext.broadcast((Automaton(pairs, root, backoff), top, n, v, backoff))
+    asked = packed.select("batch_id", "trained", "lens", "words", "tokens").mapInArrow(tidied(_asked_pairs(sent, shards)), "shard int, batch_id long, words binary, counts binary")
+    pair_answers = stored(asked.groupBy("shard").applyInArrow(_answered(0), ANSWERS), "pair_answers")
+    every = answers.withColumn("pairs", F.lit(False)).unionByName(pair_answers.withColumn("pairs", F.lit(True))).where("batch_id is not null")
+    back = every.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pairs", "shard", "totals"))).alias("answers"))
     joined = packed.select("batch_id", "doc_ids", "lens", "tokens", "words").join(back, "batch_id")
     return joined.mapInArrow(tidied(_scored(shared, fold, held)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -228,6 +228,24 @@ def test_lm_scoring(docs, rows, empty):
     assert all(r["score"] == r["base_score"] == 0 for r in lm_scoring.scored(docs.where("doc_id = 9999 or doc_id is null and false")).collect())
 
 
+def test_lm_scoring_knows_all_pairs(docs, rows):
+    """Every observed pair of words counts, however few words are cached."""
+    tokens = [[*words(lower(t)), None] for _, t, *_ in rows]
+    train = [t for (d, *_), t in zip(rows, tokens, strict=True) if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    count, left, seen = Counter(w for t in train for w in t), Counter(), Counter()
+    for t in train:
+        for a, b in zip([""] + t, t, strict=False):
+            left[a] += 1
+            seen[a, b] += 1
+    n, v = sum(count.values()), len(count)
+    weigh = lambda a, b: math.log10((seen[a, b] + 64 * (count[b] + 1) / (n + v + 1)) / (left[a] + 64))
+    want = sorted((str(d), len(t), sum(weigh(a, b) for a, b in zip([""] + t, t, strict=False))) for (d, *_), t in zip(rows, tokens, strict=True))
+    for states in (0, 5, 2048):
+        mine = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm_scoring.scored(docs, states=states, batch_words=500).collect())
+        assert [x[:2] for x in mine] == [x[:2] for x in want]
+        assert np.allclose([x[2] for x in mine], [x[2] for x in want], rtol=1e-6)
+
+
 def test_automaton_is_a_distribution_and_one_pass():
     r = np.random.default_rng(1)
     pairs, root = r.integers(0, 4, (7, 6)), r.random(6)
