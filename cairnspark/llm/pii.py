@@ -4,8 +4,10 @@ Base patterns find email addresses, IP addresses, payment cards and phone
 numbers. Tokens with a digit or an at sign are the nodes of the field;
 neighbours are linked, and so are distant tokens that repeat one another or
 share their digits or local part. Emission, transition and skip potentials
-are trained by pseudo-likelihood on base labels of a bounded sample; loopy
-message passing then carries a label from a certain mention to its repeats.
+are trained by pseudo-likelihood on base labels of a bounded sample, where
+each repeat is linked to the one before it. Loopy message passing then carries
+a label from a certain mention to its repeats, each linked to the nearest
+certain one, and runs until the messages stop changing.
 A token gets a span of its own where the field is sure and one of its linked
 mentions lies in a base span.
 """
@@ -95,7 +97,8 @@ class Nodes:
     x: np.ndarray  # features
     labels: np.ndarray  # of base spans: 0 none, else kind + 1
     chain: np.ndarray  # pairs of neighbours
-    skip: np.ndarray  # pairs of distant mentions
+    skip: np.ndarray  # pairs of distant mentions, each with the last one before
+    links: np.ndarray  # (surer, less sure) pairs of distant mentions
 
 
 def token_features(token: str, before: bool, after: bool) -> np.ndarray:
@@ -122,6 +125,37 @@ def keys_of(token: str) -> set[tuple[str, str]]:
     return out
 
 
+def nearest_links(keys: list[set], labels: np.ndarray) -> set[tuple[int, int]]:
+    """(surer, less sure) links along which labels travel. Mentions in base spans are sure; the
+    others get their level by the number of keys from one. All open mentions
+    of a key are linked to the nearest of its lowest level, however many
+    repeats lie between. Mentions that no base span reaches have no link."""
+    by_key: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, own in enumerate(keys):
+        for key in own:
+            by_key[key].append(i)
+    level = {i: 0 for i in range(len(keys)) if labels[i]}
+    out, edge, done = set(), list(level), set()
+    while edge:
+        fresh = []
+        for key in sorted({key for i in edge for key in keys[i]} - done):
+            done.add(key)
+            low = min(level[i] for i in by_key[key] if i in level)
+            hubs = np.array([i for i in by_key[key] if level.get(i) == low])
+            for i in by_key[key]:
+                if not labels[i] and level.get(i) != low:
+                    at = int(np.searchsorted(hubs, i))
+                    hub = min(hubs[max(at - 1, 0) : at + 1].tolist(), key=lambda h: (abs(h - i), h))
+                    out.add((hub, i))
+                    if i not in level:
+                        fresh.append(i)
+        # a level is given only after all keys of the one before were looked at
+        n = max(level.values()) + 1
+        edge = sorted(set(fresh))
+        level |= dict.fromkeys(edge, n)
+    return out
+
+
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
     found = list(TOKEN.finditer(text))
     spans, covered = [m.span() for m in found], sorted((s, e, k) for k, s, e in base)
@@ -137,13 +171,14 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
     x = np.array([token_features(m[0], *b) for m, b in zip(found, beside, strict=True)]).reshape(-1, FEATURES)
     last: dict[tuple[str, str], int] = {}
     skip = set()
-    for i, m in enumerate(found):
-        for key in keys_of(m[0]):
+    keys = [keys_of(m[0]) for m in found]
+    for i, own in enumerate(keys):
+        for key in own:
             if key in last:
                 skip.add((last[key], i))
             last[key] = i
     pairs = lambda p: np.array(sorted(p), dtype=np.int64).reshape(-1, 2)
-    return Nodes(spans, x, labels, pairs((i, i + 1) for i in near), pairs(skip))
+    return Nodes(spans, x, labels, pairs((i, i + 1) for i in near), pairs(skip), pairs(nearest_links(keys, labels)))
 
 
 @dataclass
@@ -152,29 +187,38 @@ class Field:
     chain: np.ndarray  # left label x right label
     skip: np.ndarray  # symmetric
 
-    def marginals(self, n: Nodes, rounds: int = 10, damping: float = 0.5) -> np.ndarray:
-        """Loopy sum-product; tokens in base spans keep their label."""
+    def marginals(self, n: Nodes, damping: float = 0.5, still: float = 1e-6) -> np.ndarray:
+        """Loopy sum-product until no message changes by ``still``; tokens in
+        base spans keep their label, and all mentions that hang on another
+        answer it with one voice, so that no number of repeats outvotes it.
+        Messages that circle for longer than the
+        longest chain takes are damped more and more, so that they settle."""
         k = len(KINDS) + 1
         own = n.x @ self.emit.T
         sure = n.labels > 0
-        own[sure] = -12.0
+        own[sure] = -1e9
         own[sure, n.labels[sure]] = 0.0
-        edges = np.concatenate([n.chain, n.skip])
-        pots = np.concatenate([np.repeat(self.chain[None], len(n.chain), 0), np.repeat(self.skip[None], len(n.skip), 0)])
+        edges = np.concatenate([n.chain, n.links])
+        pots = np.concatenate([np.repeat(self.chain[None], len(n.chain), 0), np.repeat(self.skip[None], len(n.links), 0)])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
         back = np.roll(np.arange(len(src)), len(edges))
+        hung = np.bincount(n.links[:, 0], minlength=len(own))[n.links[:, 0]]
+        voice = np.concatenate([np.ones(len(edges) + len(n.chain)), 1 / hung])[:, None]
         messages = np.full((len(src), k), -np.log(k))
-        for _ in range(rounds):
+        patience, rounds, change = 2 * len(n.spans) + 50, 0, np.inf
+        while len(src) and change > still:
             belief = own.copy()
-            np.add.at(belief, dst, messages)
-            out = (belief[src] - messages[back])[:, :, None] + pots
+            np.add.at(belief, dst, voice * messages)
+            out = (belief[src] - (voice * messages)[back])[:, :, None] + pots
             high = out.max(axis=1, keepdims=True)
             out = np.log(np.exp(out - high).sum(axis=1)) + high[:, 0]
             out -= np.log(np.exp(out - out.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + out.max(axis=1, keepdims=True)
-            messages = damping * messages + (1 - damping) * out
+            step = (1 - damping) * 0.5 ** (rounds // patience)
+            change, rounds = step * np.abs(out - messages).max(), rounds + 1
+            messages = messages + step * (out - messages)
         belief = own.copy()
-        np.add.at(belief, dst, messages)
+        np.add.at(belief, dst, voice * messages)
         belief = np.exp(belief - belief.max(axis=1, keepdims=True))
         return belief / belief.sum(axis=1, keepdims=True)
 
@@ -220,7 +264,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, sure:
         return []  # no mention to be consistent with
     n = nodes_of(text, base)
     linked = defaultdict(set)
-    for a, b in n.skip.tolist():
+    for a, b in n.links.tolist():
         linked[a].add(b)
         linked[b].add(a)
     open_nodes = {i for i in linked if not n.labels[i]}

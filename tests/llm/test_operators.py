@@ -480,6 +480,58 @@ def test_field_carries_labels_along_skip_links():
     assert pii.added_spans(alone, pii.base_spans(alone), field) == []
 
 
+@pytest.mark.parametrize("base, again, kind", [("+1 (017) 555-7713", "555-7713", 3), ("4041894974608795", "4041.8949.7460.8795", 2)])
+def test_field_reaches_all_repeats(base, again, kind):
+    """Fifty repeats, with no emission preference: each has the one link's marginal."""
+    field = pii.Field(np.zeros((5, pii.FEATURES)), np.zeros((5, 5)), 6 * np.eye(5))
+    for n in (1, 2, 50):
+        text = f"call {base} now " + " or then ".join([again] * n) + f", then {base} in 1999 " + " and ".join([again] * n)
+        spans = pii.base_spans(text)
+        nodes = pii.nodes_of(text, spans)
+        found = field.marginals(nodes)[[i for i, (s, e) in enumerate(nodes.spans) if not nodes.labels[i] and text[s:e].strip(",") == again]]
+        assert len(found) == 2 * n and np.allclose(found[:, kind + 1], np.exp(6) / (np.exp(6) + 4), atol=1e-4)
+        assert [(k, text[s:e]) for k, s, e in pii.added_spans(text, spans, field)] == [(kind, again)] * (2 * n)
+
+
+def test_links_are_to_the_nearest_surest_mention():
+    keys = [{"a"}, {"a"}, {"a", "b"}, {"a"}, {"a"}, {"b"}, {"b"}, {"c"}, {"c"}, set()]
+    labels = np.array([1, 0, 0, 0, 1, 0, 0, 0, 0, 0])
+    assert pii.nearest_links(keys, labels) == {(0, 1), (0, 2), (4, 3), (2, 5), (2, 6)}
+    assert pii.nearest_links(keys, labels * 0) == set() == pii.nearest_links([], labels[:0])
+
+
+def test_repeats_do_not_outvote_an_open_mention():
+    emit = np.zeros((5, pii.FEATURES))
+    emit[4, 0] = 2  # all tokens look like phones
+    field = pii.Field(emit, np.zeros((5, 5)), 6 * np.eye(5))
+    found = []
+    for n in (1, 50):
+        text = "mail bob1@x.org then bob1@5557713 or " + " or then ".join(["1-555-7713"] * n)
+        nodes = pii.nodes_of(text, pii.base_spans(text))
+        m = field.marginals(nodes)
+        assert len(m) == n + 2 and (m[1:].argmax(axis=1) == 1).all()
+        found.append(m[1])
+    assert np.allclose(*found, atol=0.02)
+
+
+def test_messages_run_until_they_are_still():
+    """Along a chain of neighbours: as exact as summing over all labellings forwards and backwards."""
+    r = np.random.default_rng(3)
+    field = pii.Field(r.normal(size=(5, pii.FEATURES)) * 0.05, 5 * np.eye(5), 4 * np.eye(5))
+    text = "x 10.2.3.44 " + " ".join(f"k{i}" for i in range(60))
+    nodes = pii.nodes_of(text, pii.base_spans(text))
+    own = nodes.x @ field.emit.T
+    own[0] = np.where(np.arange(5) == nodes.labels[0], 0, -1e9)
+    own, pot, n = np.exp(own), np.exp(field.chain), len(own)
+    ahead, back = own.copy(), np.ones_like(own)
+    for i in range(1, n):
+        ahead[i] *= (ahead[i - 1] / ahead[i - 1].sum()) @ pot
+    for i in range(n - 2, -1, -1):
+        back[i] = pot @ (own[i + 1] * back[i + 1] / back[i + 1].sum())
+    want = ahead * back
+    assert len(nodes.chain) == 60 and np.allclose(field.marginals(nodes), want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
