@@ -407,6 +407,17 @@ def verdict_fold(t):
     return usage.verdict(blocks, ["source"])
 
 
+@query(
+    """select source, lang, case when bool_or(quality = 0 and lang = 'en') then 'verification_failed' when bool_or(quality = 0 and lang <> 'en') then 'generated_test_verification_failed' else 'ready_for_merge_review' end as verdict
+    from documents join labels using (doc_id) group by 1, 2"""
+)
+def verdict_fold_all(t):
+    """All labelled documents, by source and language."""
+    rows = t("documents").join(t("labels"), "doc_id")
+    blocks = rows.select("source", "lang", F.when(F.col("lang") == "en", "production").otherwise("generated_test").alias("block"), (F.col("quality") == 1).alias("ok"))
+    return usage.verdict(blocks, ["source", "lang"])
+
+
 @query(
     f"""select distinct token from (select unnest(regexp_extract_all({folded('text')}, '{PATTERN}')) as token from benchmark)
     where token not in (select unnest(regexp_extract_all({folded('text')}, '{PATTERN}')) from documents)"""

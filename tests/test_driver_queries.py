@@ -47,3 +47,9 @@ def test_query(name, spark, sf, con):
     assert len(rows) == len(want)
     for a, b in zip(rows, want, strict=True):
         assert a == pytest.approx(b, rel=1e-6) if all(isinstance(x, (int, float)) for x in a) else a == b
+
+
+def test_every_labelled_document_has_a_say(spark, sf, con):
+    """Each (source, language) with a label has a verdict."""
+    want = con.sql("select distinct source, lang from documents join labels using (doc_id)").fetchall()
+    assert sorted((r["source"], r["lang"]) for r in dq.QUERIES["verdict_fold_all"](spark, sf).collect()) == sorted(want)
