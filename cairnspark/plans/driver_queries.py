@@ -474,6 +474,16 @@ def names_and_slugs(t):
     return t("documents").select("doc_id", text.slug(F.concat_ws("/", "source", "lang")).alias("slug"), text.collection_name("kb", "source").alias("collection"), text.collapsed(F.substring("text", 1, 200)).alias("head"))
 
 
+@query(
+    r"""select doc_id, sha256(c) as sha256, length(c)::bigint as size
+    from (select doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^ | $', '', 'g') as c from documents)"""
+)
+def collapsed_texts(t):
+    """The white space of whole texts, however long; their digests and lengths."""
+    whole = t("documents").select("doc_id", text.collapsed("text").alias("c"))
+    return whole.select("doc_id", F.sha2("c", 256).alias("sha256"), F.length("c").cast("long").alias("size"))
+
+
 @query(
     """with a as (select distinct doc_id from documents where doc_id % 4 <> 0), b as (select distinct vec_id as doc_id from embeddings)
     select count(a.doc_id) as documents, count(b.doc_id) as vectors, count(*) filter (b.doc_id is null) as missing_vectors, count(*) filter (a.doc_id is null) as orphan_vectors from a full join b using (doc_id)"""

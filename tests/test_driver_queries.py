@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import hashlib
 import math
 
 import duckdb
@@ -53,3 +54,12 @@ def test_every_labelled_document_has_a_say(spark, sf, con):
     """Each (source, language) with a label has a verdict."""
     want = con.sql("select distinct source, lang from documents join labels using (doc_id)").fetchall()
     assert sorted((r["source"], r["lang"]) for r in dq.QUERIES["verdict_fold_all"](spark, sf).collect()) == sorted(want)
+
+
+def test_white_space_of_whole_texts(spark, tmp_path):
+    """White space after the 200th character is collapsed too."""
+    docs = [(1, " a \n\t b " * 5000), (2, "x" * 300 + "  \n y "), (3, ""), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["sha256"], r["size"]) for r in dq.QUERIES["collapsed_texts"](spark, str(tmp_path)).collect()}
+    whole = {d: " ".join(t.split()) if t is not None else None for d, t in docs}
+    assert out == {d: (hashlib.sha256(t.encode()).hexdigest(), len(t)) if t is not None else (None, None) for d, t in whole.items()}
