@@ -76,6 +76,16 @@ def text_tokens(t):
     return each.groupBy("token", "doc_id").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("docs")).where("n > 1")
 
 
+@query(
+    f"""select token, count(*) as n, count(distinct doc_id) as docs
+    from (select doc_id, unnest(regexp_extract_all({folded('text')}, '{PATTERN}')) as token from documents) group by token"""
+)
+def text_tokens_all(t):
+    """Every token, those that occur once among them."""
+    each = t("documents").select("doc_id", F.explode(text.tokens(text.normalise("text"))).alias("token"))
+    return each.groupBy("token", "doc_id").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
+
+
 @query(
     f"""with w as (select distinct unnest(regexp_extract_all({folded("p_name || ' ' || p_type")}, '{PATTERN}')) as term from part)
     select term, {text.stem_sql('term')} as stem, length(term) >= 4 as long_term from w"""

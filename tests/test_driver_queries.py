@@ -63,3 +63,10 @@ def test_white_space_of_whole_texts(spark, tmp_path):
     out = {r["doc_id"]: (r["sha256"], r["size"]) for r in dq.QUERIES["collapsed_texts"](spark, str(tmp_path)).collect()}
     whole = {d: " ".join(t.split()) if t is not None else None for d, t in docs}
     assert out == {d: (hashlib.sha256(t.encode()).hexdigest(), len(t)) if t is not None else (None, None) for d, t in whole.items()}
+
+
+def test_tokens_that_occur_once(spark, sf):
+    """The tokens that ``text_tokens`` leaves out are those that occur once."""
+    every = {tuple(r) for r in dq.QUERIES["text_tokens_all"](spark, sf).select("token", "n", "docs").collect()}
+    some = {tuple(r) for r in dq.QUERIES["text_tokens"](spark, sf).select("token", "n", "docs").collect()}
+    assert some < every and {(n, docs) for _, n, docs in every - some} == {(1, 1)}
