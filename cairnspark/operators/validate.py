@@ -250,6 +250,13 @@ def _(c):
     return found(rows.where(F.size("_odd") > 0), F.concat_ws(".", "owner", "name"), F.array_join("_odd", ","))
 
 
+@rule("self_method_call_missing_required_keyword_only_args", "production")
+def _(c):
+    need = of(c.after, "method_keywords").select("unit", "owner", "name", F.col("items").alias("_need"))
+    rows = of(c.after, "self_call").where("detail <> 'star'").join(need, ["unit", "owner", "name"]).withColumn("_left", F.array_except("_need", F.coalesce("items", F.array().cast("array<string>"))))
+    return found(rows.where(F.size("_left") > 0), F.concat_ws(".", "owner", "name"), F.array_join("_left", ","))
+
+
 def constructions(facts: DataFrame) -> DataFrame:
     return of(facts, "call").where("detail <> 'star'").withColumn("type", F.element_at(F.split("name", r"\."), -1))
 

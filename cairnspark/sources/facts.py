@@ -30,7 +30,8 @@ class Reader(ast.NodeVisitor):
     load, bind, call, self_read, self_write, self_call, known_attribute,
     field, annotation, assertion, raises, fixture_use, dict_key,
     dunder_dict_return, docstring, attribute_read, attribute_type,
-    function_signature, required_keywords, local_import, string_keyword.
+    function_signature, required_keywords, method_keywords, local_import,
+    string_keyword.
     """
 
     def __init__(self):
@@ -102,6 +103,7 @@ class Reader(ast.NodeVisitor):
         if self.classes and not self.functions and plain:
             required = plain[1 : len(plain) - len(node.args.defaults)]
             self.add("signature", node, node.name, ",".join(required), len(plain) - 1, [*plain[1:], *(a.arg for a in node.args.kwonlyargs)], owner=self.classes[-1])
+            self.add("method_keywords", node, node.name, items=[a.arg for a, d in zip(node.args.kwonlyargs, node.args.kw_defaults, strict=True) if d is None], owner=self.classes[-1])
             if node.args.vararg or node.args.kwarg:
                 self.add("open_signature", node, node.name, owner=self.classes[-1])
             if not any(isinstance(x, ast.Name) and x.id == plain[0] for b in node.body for x in ast.walk(b)):

@@ -7,7 +7,7 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.operators import contracts, decisions, workspace
+from cairnspark.operators import contracts, decisions, validate, workspace
 from cairnspark.sources import facts
 
 
@@ -172,3 +172,14 @@ def test_cards_and_flows(spark):
         services.chat_json(lambda s, u: "no", "s", "u")
     with pytest.raises(ValueError):
         services.chat_json(lambda s, u: "{}", "s", "u", 1)
+
+
+def test_self_calls_without_required_keywords(spark):
+    body = "class A:\n    def f(self, a, *, key, opt=1):\n        return a\n\n    def g(self, *args, key):\n        return self\n\n    def run(self, **kw):\n        {}\n\n\ndef f(*, other):\n    return other\n"
+    calls = {"bad": "self.f(1, opt=2)", "open": "self.g(1)", "good": "self.f(1, key=2)", "star": "self.f(1, **kw)"}
+    rows = [(u, "after/a.py", body.format(c)) for u, c in calls.items()] + [(u, "before/a.py", "") for u in calls]
+    f = facts.facts(spark.createDataFrame(rows, "unit string, file_path string, source string"))
+    request = spark.createDataFrame([(u, "replace_symbol", "run", "A", "m.A.run", "", ["a.py"], "a.py") for u in calls], "unit string, operation string, target string, parent string, qualname string, text string, changed array<string>, target_file string")
+    case = validate.case_of(request, f, spark.createDataFrame([], "module string, name string"))
+    issues = validate.validated(case, codes=["self_method_call_missing_required_keyword_only_args"])
+    assert {(r["unit"], r["symbol"], r["message"], r["severity"]) for r in issues.collect()} == {("bad", "A.f", "key", "error"), ("open", "A.g", "key", "error")}
