@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 
@@ -101,8 +102,12 @@ class Segment:
         return out
 
 
-#: Signs that end a word without joining its letters.
-TAIL = ".,;:!?|"
+#: Letters that are their own NFC form and whose small form is one such letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Signs that end a word without joining its letters: all of ASCII's but the
+#: apostrophe, which the tokenizer takes together with some letters.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+ALL_LETTERS = "".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{LETTERS}]", c))
 #: Documents that are encoded together.
 ENCODED = 1024
 #: Words of letters that are encoded in one call.
@@ -111,28 +116,44 @@ JOINED = 4096
 
 class WordTokenizer:
     """Whole-text encoding through the tokenizers library, once per distinct
-    word.
+    word; the ids are those of ``Tokenizer.encode`` with its defaults, special
+    tokens in a text included.
 
     Fit for tokenizers whose tokens never span ASCII white space and drop it
     (as ``word_bpe_49k.json`` does): a text's ids are then its words' ids in
-    order, and a word of letters and closing signs has the ids of both. Words
-    of letters are encoded many at a time; each is one piece, so it ends at
-    the only token that carries the end-of-word suffix. Where that count is
-    off, they are encoded singly. Other tokenizers take ``whole=True``.
+    order. A word of LETTERS and closing signs has the ids of both, as
+    neither changes the other; every other word is encoded as it stands.
+    Words of letters are encoded many at a time; each is one piece, so it ends
+    at the only token that carries the end-of-word suffix. Where that count is
+    off, they are encoded singly. Such words need no normal form but lower
+    case, which they are given beforehand, so the same vocabulary and merges
+    run behind a plain split at spaces; where a probe shows another result, the
+    whole tokenizer takes them. Other tokenizers take ``whole=True``.
     """
 
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of their own would contend
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.whole = whole
         self.parts: dict[str, bytes] = {"": b""}
         suffix = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
         if suffix:
             self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
+        small = [c for c in map(chr, range(97, 256)) if c.islower() and re.fullmatch(f"[{LETTERS}]", c)]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters, self.bytes_of = Tokenizer(self.model.model), {c: level.pre_tokenize_str(c)[0][0] for c in small if not c.isascii()}
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = " ".join("".join(small[i : i + n]) for n in (1, 2, 3, 5, 9) for i in range(len(small)))
+        if self._joined(probe) != self.model.encode(probe, add_special_tokens=False).ids:
+            self.letters, self.bytes_of = self.model, {}
+
+    def _joined(self, words: str) -> list[int]:
+        for letter, as_bytes in self.bytes_of.items():  # no letter's bytes hold another letter
+            words = words.replace(letter, as_bytes)
+        return self.letters.encode_batch_fast([words], add_special_tokens=False)[0].ids
 
     def _single(self, parts: list[str]) -> None:
         for part, e in zip(parts, self.model.encode_batch_fast(parts, add_special_tokens=False), strict=True):
@@ -141,34 +162,34 @@ class WordTokenizer:
     def _letters(self, parts: list[str]) -> None:
         for at in range(0, len(parts), JOINED):
             own = parts[at : at + JOINED]
-            ids = np.array(self.model.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ids = np.array(self._joined(" ".join(own)), dtype=np.uint32)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(own) or (len(ids) and last[-1] != len(ids)):
                 self._single(own)
                 continue
-            data, begin = ids.tobytes(), 0
-            for part, end in zip(own, (4 * last).tolist(), strict=True):
-                self.parts[part] = data[begin:end]
-                begin = end
-
-    def _pieces(self, words: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Distinct pieces of the words, and each word's two: its letters and
-        its closing signs, or all of it and the empty piece."""
+            data, ends = ids.tobytes(), (4 * last).tolist()
+            self.parts.update(zip(own, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _pieces(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of the distinct pieces of the words, and each word's two
+        pieces: its letters and its closing signs, or all of it and nothing."""
         cores = pc.utf8_rtrim(words, characters=TAIL)
-        letters = pc.utf8_is_alpha(cores)
-        first = pc.if_else(letters, pc.ascii_lower(cores), words)
-        tails = pc.if_else(letters, pc.replace_substring_regex(words, pattern=f"^.*[^{TAIL}]", replacement=""), "")
+        letters = pc.match_substring_regex(cores, pattern=f"^[{LETTERS}]+$")
+        first = pc.if_else(letters, pc.utf8_lower(cores), words)
+        tails = pc.if_else(letters, pc.utf8_ltrim(words, characters=ALL_LETTERS), "")
         coded = pa.concat_arrays([first, tails]).dictionary_encode()
-        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        pieces, which = listed(coded.dictionary), coded.indices.to_numpy()
         if len(self.parts) > MEMORY_WORDS:
             self.parts = {"": b""}
-        plain = letters.to_numpy(zero_copy_only=False)
-        alpha = np.zeros(len(pieces), dtype=bool)
-        alpha[which[: len(words)][plain]] = True
-        new = [i for i, p in enumerate(pieces) if p not in self.parts]
-        self._letters([pieces[i] for i in new if alpha[i]])
-        self._single([pieces[i] for i in new if not alpha[i]])
-        return pieces, which.reshape(2, -1).T
+        found = list(map(self.parts.get, pieces))
+        if None in found:
+            alpha = np.zeros(len(pieces), dtype=bool)
+            alpha[which[: len(words)][letters.to_numpy(zero_copy_only=False)]] = True
+            new = [i for i, p in enumerate(found) if p is None]
+            self._letters([pieces[i] for i in new if alpha[i]])
+            self._single([pieces[i] for i in new if not alpha[i]])
+            found = list(map(self.parts.__getitem__, pieces))
+        return found, which.reshape(2, -1).T
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's number.
@@ -179,15 +200,23 @@ class WordTokenizer:
             return np.array([i for e in found for i in e.ids], dtype=np.uint32), np.array([len(e.ids) for e in found], dtype=np.int64)
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        pieces, two = self._pieces(coded.dictionary)
-        parts = [self.parts[p] for p in pieces]
-        ids, _ = gathered(np.frombuffer(b"".join(parts), dtype=np.uint32), np.array([len(p) for p in parts], dtype=np.int64) // 4, two.reshape(-1))
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)[two].sum(axis=1) // 4 if len(two) else np.zeros(0, np.int64)
+        parts, two = self._pieces(coded.dictionary)
+        each = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        ids, _ = gathered(np.frombuffer(b"".join(parts), dtype=np.uint32), each, two.reshape(-1))
+        sizes = each[two].sum(axis=1) if len(two) else np.zeros(0, np.int64)
         out, ends = gathered(ids, sizes, coded.indices.to_numpy())
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
         return out, np.diff(upto)
 
 
+def listed(words: pa.Array) -> list[str]:
+    """The words, none of which holds a space, as one string cut apart: far
+    quicker than value by value."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``values`` that ``which`` names, end to end, and their
     ends; run i has sizes[i] values."""
