@@ -29,6 +29,20 @@ MODEL_NAMES = ("summary", "model", "dto", "schema", "entity")
 BUILDER_NAMES = ("build_", "create_", "update_", "assign_")
 CATEGORY = {"high": "высокая", "medium": "средняя", "low": "низкая"}
 VECTOR_WEIGHT = 4.0
+FIELD_LABELS = {
+    "name": "имени символа", "qualname": "полном имени символа", "file_path": "пути к файлу", "docstring": "docstring в коде", "module_title": "названии модуля из knowledge",
+    "module_description": "описании модуля из knowledge", "symbol_title": "названии символа из knowledge", "symbol_description": "описании символа из knowledge",
+    "keywords": "keywords из knowledge", "requirement_text": "связанных требованиях", "layer": "архитектурном слое",
+}
+MATCH_LABELS = {"exact_token": "точное совпадение", "substring": "совпадение", "stem": "совпадение по основе слова"}
+REASON_TERM = "термин «%s» дал %s в %s"
+REASON_VECTOR = "векторное сходство по human-readable описаниям: %.2f"
+REASON_KIND = "это исполняемая точка логики: функция или метод"
+REASON_SERVICES = "символ находится в service-слое, который обычно является основной точкой бизнес-логики"
+REASON_STORAGE = "domain/storage-слой чаще хранит данные или инфраструктуру, а не основной use-case"
+REASON_KNOWLEDGE = "для символа есть knowledge-описание в overlay"
+REASON_REQUIREMENT = "символ явно связан с requirement-артефактами"
+REASON_FIRST = "symbol указан как первичная точка реализации требования"
 
 
 def with_fields(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
@@ -115,6 +129,22 @@ def symbol_bonus(matched: Column) -> Column:
     )
 
 
+def reasons(matched: Column) -> Column:
+    """Why a symbol was found: its vector, its terms in order, and what the
+    bonuses of ``symbol_bonus`` are for."""
+    label = lambda table, c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
+    terms = F.transform(matched, lambda m: F.format_string(REASON_TERM, m.term, label(MATCH_LABELS, m.best.kind), label(FIELD_LABELS, m.best.field)))
+    described = (F.coalesce("symbol_title", F.lit("")) != "") | (F.coalesce("symbol_description", F.lit("")) != "")
+    bonuses = F.array(
+        F.when(F.col("kind").isin("function", "method"), REASON_KIND),
+        F.when(F.col("layer") == "services", REASON_SERVICES).when(F.col("layer") == "storage", REASON_STORAGE),
+        F.when(described, REASON_KNOWLEDGE),
+        F.when(F.size("requirement_ids") > 0, REASON_REQUIREMENT),
+        F.when((F.size("requirement_ids") > 0) & (F.col("requirement_rank") == 0), REASON_FIRST),
+    )
+    return F.array_compact(F.concat(F.array(F.when(F.col("similarity") > 0, F.format_string(REASON_VECTOR, "similarity"))), terms, bonuses))
+
+
 def intent_bonus(query: Column) -> Column:
     """For queries about texts and notifications, in hundredths."""
     about = F.concat_ws(" ", "name", F.coalesce("docstring", F.lit("")), F.coalesce("symbol_title", F.lit("")), F.coalesce("symbol_description", F.lit("")))

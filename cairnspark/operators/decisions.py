@@ -8,11 +8,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Texts the classifiers look for.
-PROTECTIVE = ("не менять", "не изменять", "не трогать", "не удалять", "не ломать", "сохранить", "оставить", "do not", "don't", "must not", "should not", "keep", "preserve", "without changing", "avoid", "never")
-STUBS = ("NotImplementedError", "raise NotImplemented", "TODO", "pass  # stub", "...")
-UI_ACTIONS = ("button", "click", "window", "dialog", "menu", "кнопк", "окн", "диалог", "меню", "форм")
-IMPLEMENT = ("implement", "реализ", "заполн", "допис")
+# Texts the classifiers look for, in lower case.
+PROTECTIVE = (
+    "не менять", "не изменять", "не трогать", "не реализовывать", "не подключать", "не добавлять", "не создавать", "не дублировать", "не удалять",
+    "сохранить ", "оставить ", "do not change", "do not modify", "do not touch", "keep ", "preserve ",
+)
+IMPORTS = ("import", "импорт")
+CHANGES = ("измен", "замен", "исправ", "удал", "добав", "change", "replace", "fix", "remove", "add")
+DEPENDENCIES = ("зависим", "компонент", "библиотек", "пакет", "dependency", "component", "library", "package")
+CONNECTIONS = ("подключ", "распозна", "не найден", "не найдена", "недоступ", "установлен", "installed", "not found", "unavailable", "detect")
+REPAIRS = ("исправ", "почин", "fix", "repair")
+IMPLEMENT = ("реализ", "дореализ", "заполн", "убрать заглуш", "заменить заглуш", "добавить реализац", "нужно реализ")
+STUBS = ("notimplementederror", "todo: реализ", "todo реализ", "метод требует реализации", "требует реализации")
+UI_ACTIONS = ("панел", "инструмент", "кнопк", "toolbar", "tool bar", "action", "button", "меню", "окн", "ui", "интерфейс")
+MEANINGLESS = (
+    "и", "или", "в", "во", "на", "по", "для", "из", "с", "со", "к", "как", "что", "это",
+    "the", "a", "an", "and", "or", "to", "of", "in", "on", "for", "by", "with",
+    "реализовать", "реализует", "реализация", "добавить", "создать", "метод", "функция",
+    "должен", "должна", "должно", "нужно", "требуется", "полный", "полного",
+)
+SUMMARY_TOPIC = (("стат", "summary", "summar", "свод", "отчет", "отчёт", "report"), ("stat", "stats", "statistics", "summary", "summar", "report"))
+TICKET_TOPIC = (("тикет", "ticket"), ("ticket",))
+REUSE = ("использ", "переиспольз", "reuse", "use existing", "existing")
+EXISTING = ("существ", "сервис", "service", "контракт", "contract", "функц", "helper")
+NO_DUPLICATES = ("не дублир", "не копир", "не повтор", "do not duplicate", "without duplicating")
+STUB_BLOCKERS = ("missing_stub_module", "unsupported_new_file_required")
+LEAST_RELEVANCE = 0.12
 SCOPES = ("module_body", "class_body")
 KINDS = ("class", "function", "method")
 SURE_TARGET = 0.65
@@ -30,7 +51,7 @@ def any_of(c: Column, parts: tuple[str, ...]) -> Column:
 def protective(c: Column) -> Column:
     """A constraint that guards what exists: it begins, bullets aside, with
     one of the fixed openings."""
-    bare = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\-*•–\d.)]+", ""))
+    bare = F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\-–—•]+", "")))
     out = F.lit(False)
     for p in PROTECTIVE:
         out = out | bare.startswith(p)
@@ -41,17 +62,16 @@ def named_symbols(c: Column) -> Column:
     """Identifiers with an underscore or a dot in texts that are no guards,
     with their last segments; dunders aside."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)"), F.lit(1))
-    names = F.filter(found, lambda n: (F.contains(n, F.lit("_")) | F.contains(n, F.lit("."))) & ~n.rlike(r"^__.*__$"))
-    both = F.array_union(names, F.transform(names, lambda n: F.element_at(F.split(n, r"\."), -1)))
-    return F.when(protective(c), F.array().cast("array<string>")).otherwise(F.array_distinct(both))
+    dunder = r"^__.*__$"
+    names = F.filter(found, lambda n: (F.contains(n, F.lit("_")) | F.contains(n, F.lit("."))) & ~n.rlike(dunder))
+    tails = F.filter(F.transform(names, lambda n: F.element_at(F.split(n, r"\."), -1)), lambda n: ~n.rlike(dunder))
+    return F.when(protective(c), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_union(names, tails)))
 
 
 def import_change(c: Column) -> Column:
     """About imports and a change of them, or about a dependency, its
-    connection and a fix."""
-    about = any_of(c, ("import", "импорт")) & any_of(c, ("change", "replace", "remove", "add", "измен", "замен", "удал", "добав"))
-    dependency = any_of(c, ("dependency", "зависимост")) & any_of(c, ("connect", "подключ")) & any_of(c, ("fix", "исправ"))
-    return about | dependency
+    connection and a repair."""
+    return (any_of(c, IMPORTS) & any_of(c, CHANGES)) | (any_of(c, DEPENDENCIES) & any_of(c, CONNECTIONS) & any_of(c, REPAIRS))
 
 
 def implementation(c: Column) -> Column:
@@ -63,12 +83,19 @@ def ui_action(c: Column) -> Column:
 
 
 def stub(source: Column) -> Column:
-    return any_of(source, STUBS[:4]) | F.coalesce(source, F.lit("")).rlike(r":\s*\n\s+(\.\.\.|pass)\s*$")
+    return any_of(source, STUBS)
+
+
+def topics(c: Column) -> Column:
+    """Tokens of the two topics that a request may be about."""
+    none = F.array().cast("array<string>")
+    each = [F.when(any_of(c, stems), F.array(*[F.lit(t) for t in tokens])).otherwise(none) for stems, tokens in (SUMMARY_TOPIC, TICKET_TOPIC)]
+    return F.array_sort(F.array_union(*each))
 
 
 def reuse(c: Column) -> Column:
-    """(reuse and existing) or avoid duplicates."""
-    return (any_of(c, ("reuse", "использ")) & any_of(c, ("existing", "существующ"))) | any_of(c, ("avoid duplic", "не дублир"))
+    """(reuse and something that exists) or avoid duplicates."""
+    return (any_of(c, REUSE) & any_of(c, EXISTING)) | any_of(c, NO_DUPLICATES)
 
 
 def first_valid(allowed: tuple[str, ...], *choices: Column) -> Column:
@@ -124,22 +151,39 @@ def merge_plan(reports: DataFrame) -> DataFrame:
     return reports.withColumn("merge_status", F.when(ready, "ready").when(F.size("changed_files") == 0, "nothing_to_merge").otherwise("blocked"))
 
 
-def stub_relevance(query: Column, name: Column) -> Column:
-    """Overlap of the meaningful tokens of a request and of a name."""
-    from ..functions.text import identifier_tokens, meaningful_tokens
+def meaningful(c: Column) -> Column:
+    """Distinct words of three letters or more, the fixed ones aside."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([A-Za-zА-Яа-яЁё0-9_]+)"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*MEANINGLESS)))
+
+
+def stub_relevance(query: Column, *texts: Column) -> Column:
+    """Overlap of the meaningful words of a request and of a candidate's
+    texts: name, qualname, docstring, knowledge title and symbol docstring."""
     from .knowledge import overlap
 
-    return overlap(meaningful_tokens(query), identifier_tokens(name))
+    return overlap(meaningful(query), meaningful(F.concat_ws(" ", *texts)))
 
 
-def best_stub(candidates: DataFrame, by: list[str], least: float = 0.12) -> DataFrame:
+def best_stub(candidates: DataFrame, by: list[str], least: float = LEAST_RELEVANCE) -> DataFrame:
     """The stub of the highest relevance + score / 100 + confidence / 10, the
-    first on ties (``pos``), among those relevant enough."""
-    total = F.col("relevance") + F.col("score") / 100 + F.col("confidence") / 10
+    first on ties (``pos``), among those relevant enough. ``candidates`` with
+    a column ``kind`` give functions and methods only."""
+    total = F.col("relevance") + F.greatest(F.col("score"), F.lit(0.0)) / 100 + F.greatest(F.col("confidence"), F.lit(0.0)) / 10
     rows = candidates.where(F.col("is_stub") & (F.col("relevance") >= least))
+    if "kind" in candidates.columns:
+        rows = rows.where(F.col("kind").isin("method", "function"))
     return rows.groupBy(*by).agg(F.max_by("qualname", F.struct(total, -F.col("pos"))).alias("qualname"))
 
 
+def stub_kept(operation: Column, recommended_operation: Column, review: Column, codes: Column, query: Column, kind: Column, is_stub: Column, relevance: Column) -> Column:
+    """Whether a recommended replacement of a stub stands over an insertion
+    that was asked for."""
+    blocked = F.arrays_overlap(F.coalesce(codes, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in STUB_BLOCKERS]))
+    rule = (operation == "insert_after_symbol") & ~F.coalesce(review, F.lit(False)) & ~blocked & implementation(query) & (recommended_operation == "replace_symbol")
+    return F.coalesce(rule & kind.isin("method", "function") & is_stub & (relevance >= LEAST_RELEVANCE), F.lit(False))
+
+
 def failed_paths(output: Column) -> Column:
     """Paths that a test run's output names as failed, in order, each once."""
     found = F.regexp_extract_all(F.coalesce(output, F.lit("")), F.lit(r"(?m)^(?:FAILED|ERROR)\s+(\S+?\.py)|File \"([^\"]+\.py)\""), F.lit(0))

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import top_per_key
+from ..functions.tables import stored
+from .search import per_pass, top_per_key
 
 # Edge kinds.
 CALL_KINDS = ("calls", "covered_by_test", "exposed_by_controller")
@@ -47,18 +48,30 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst:
     """Nodes from which ``start`` (root, node) is reached within ``depth``
     edges, with the fewest: (root, node, hops). Only nodes of ``expand``, if
     given, are passed through. Each level is one join on the node; visited
-    nodes go by an anti-join, so cycles end."""
+    nodes go by an anti-join, so cycles end. A level is written to the shared
+    folder, so the next one reads it in place of working it out again; a hub's
+    edges are a skewed join, which the adaptive planner splits."""
     back = edges.select(F.col(src).alias("_from"), F.col(dst).alias("node")).where("_from is not null and node is not null").distinct()
+    back = stored(back, "edges") if depth > 1 else back
     seen = start.select("root", "node").distinct().withColumn("hops", F.lit(0))
     edge = seen
     for hop in range(1, depth + 1):
         via = edge.select("root", "node") if expand is None or hop == 1 else edge.select("root", "node").join(expand.select("node"), "node", "left_semi")
         new = via.join(back, "node").select("root", F.col("_from").alias("node")).distinct()
         edge = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        if hop < depth:
+            edge = stored(edge, f"hop{hop}")
+            if edge.isEmpty():
+                break
         seen = seen.unionByName(edge)
     return seen
 
 
+def unresolved(names: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Names that nothing known has, each once."""
+    return names.select(key).distinct().join(known.select(key).distinct(), key, "left_anti")
+
+
 def related_tests(edges: DataFrame, symbols: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """Tests that reach each root within ``depth`` call edges through symbols
     that are no tests: (root, test, hops)."""
@@ -92,14 +105,17 @@ def children(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def file_based_tests(symbols: DataFrame, targets: DataFrame) -> DataFrame:
     """Tests whose file is named after the target's module, or whose name
     holds the target's name: (qualname of the target, test). The name rule is
-    a substring test against the stated targets, kept few by the caller."""
+    a substring test against the stated targets, a bounded block of them at a
+    time."""
     tests = symbols.where(is_test_path(F.col("file_path")) & F.col("kind").isin("function", "method")).select(
         F.col("qualname").alias("test"), F.lower("name").alias("_tname"), F.lower("qualname").alias("_tqual"), F.regexp_extract("file_path", r"([^/]+)\.py$", 1).alias("_stem")
     )
     wanted = targets.select("qualname", F.lower("name").alias("_name"), F.concat(F.lit("test_"), F.element_at(F.split("module_name", r"\."), -1)).alias("_file"))
     by_file = tests.join(wanted, F.col("_stem") == F.col("_file")).select("qualname", "test")
-    by_name = tests.join(wanted, F.contains("_tname", F.col("_name")) | F.contains("_tqual", F.col("_name"))).select("qualname", "test")
-    return by_file.unionByName(by_name).distinct()
+    out = by_file
+    for part in per_pass(wanted, "qualname"):
+        out = out.unionByName(tests.join(part, F.contains("_tname", F.col("_name")) | F.contains("_tqual", F.col("_name"))).select("qualname", "test"))
+    return out.distinct()
 
 
 def related_symbols(edges: DataFrame, symbols: DataFrame, targets: DataFrame, keep: int = 12) -> DataFrame:
@@ -175,22 +191,37 @@ def cascade(refs: DataFrame, column: str, tables: list[tuple[str, DataFrame]]) -
     return out.select(*refs.columns, F.coalesce(*[F.col(f"_t_{n}") for n in names]).alias("target"), step.alias("step"))
 
 
-def running_total(df: DataFrame, size: str, order: list[str], ranges: int = 256) -> DataFrame:
+def ranged(df: DataFrame, size: str, first: str, ranges: int, rows: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``df`` with ``_range``, cut at quantiles of a numeric column, and each
+    range's total; there are more ranges for more rows, up to 10,000."""
+    n = min(max(ranges, df.count() // rows), 10_000)
+    key = F.col(first).cast("double")
+    marks = sorted(set(df.select(key.alias("_q")).approxQuantile("_q", [k / n for k in range(1, n)], min(0.001, 0.2 / n)))) if n > 1 else []
+    listed = F.array(*[F.lit(m) for m in marks])
+    out = df.withColumn("_range", F.size(F.filter(listed, lambda m: m < key)) if marks else F.lit(0))
+    return out, sorted((r["_range"], r["_n"]) for r in out.groupBy("_range").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_n")).collect())
+
+
+def running_total(df: DataFrame, size: str, order: list[str], ranges: int = 256, rows: int = 1_000_000, budget: int | None = None) -> DataFrame:
     """Adds ``running``, the sum of ``size`` up to each row in the order of
     ``order`` (a numeric column first, unique together). The rows are cut at
     quantiles of the first column; sums of whole ranges are added to sums
-    within each, so no task holds more than one range."""
-    first = F.col(order[0]).cast("double")
-    marks = df.select(first.alias("_q")).approxQuantile("_q", [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
-    marks = sorted(set(marks))
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m < first)) if marks else F.lit(0))
-    sums = ranged.groupBy("_range").agg(F.sum(size).alias("_n"))
-    before = sums.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within each, so no task holds more than one range. With a ``budget``, only
+    ranges up to the one that passes it are put in order."""
+    out, sums = ranged(df, size, order[0], ranges, rows)
+    before, total = [], 0
+    for k, n in sums:
+        before.append((k, total))
+        total += n
+        if budget is not None and total > budget:
+            break
+    table = df.sparkSession.createDataFrame(before, "_range int, _before long")  # one row per range
     own = F.sum(size).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # one row per range, at most ``ranges`` of them
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("running", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+    kept = out.join(F.broadcast(table), "_range")
+    return kept.withColumn("running", own + F.col("_before")).drop("_before", "_range")
 
 
 def running_budget(df: DataFrame, size: str, order: list[str], budget: int) -> DataFrame:
-    """Rows whose running total stays within the budget, in order."""
-    return running_total(df, size, order).where(F.col("running") <= budget)
+    """Rows whose running total stays within the budget, in order. Sizes are
+    not negative."""
+    return running_total(df, size, order, budget=budget).where(F.col("running") <= budget)

@@ -73,6 +73,11 @@ def module_layers(k: Knowledge) -> DataFrame:
     return own.join(listed, "module", "full_outer").select("module", F.coalesce("_own", "_listed").alias("layer")).where("layer is not null")
 
 
+def layer_groups(rows: DataFrame, layer: str = "layer", module: str = "module") -> DataFrame:
+    """Per layer its distinct modules, sorted, and their number."""
+    return rows.where(F.col(layer).isNotNull()).groupBy(F.col(layer).alias("layer")).agg(F.array_sort(F.collect_set(module)).alias("modules")).withColumn("n", F.size("modules").cast("long"))
+
+
 def bundled(symbols: DataFrame, k: Knowledge) -> DataFrame:
     """Symbols with what the knowledge says of them; missing texts are empty,
     missing layers null."""

@@ -15,8 +15,9 @@ from .diff import reconciled
 from .search import top_per_key
 from .store import Store
 
-# Name parts of methods that set a user interface up, and the
-# points of the card priority.
+# Source patterns of user-interface code, name parts of methods
+# that set it up, and the points of the card priority.
+UI_SOURCE = ("qtoolbar", "addtoolbar", "actionstoolbar", "actions_toolbar", "addaction", "qaction", ".triggered", ".connect", "панель инструментов", "кнопк")
 UI_SETUP = ("setup", "init", "ui", "toolbar", "action")
 CARD_POINTS = {"preferred": 60, "query": 45, "query_in_source": 10, "ui_source": 45, "ui_name": 25, "qualname_in_request": 20, "name_in_request": 12}
 
@@ -146,26 +147,31 @@ def cards(candidates: DataFrame, symbols: DataFrame, relations: DataFrame, keep:
     return out.withColumn("id", F.concat(F.lit("c"), F.row_number().over(Window.orderBy("pos"))))  # at most ``keep`` rows
 
 
-def card_text() -> Column:
-    """All that a card says, in lower case."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("qualname", "name", "docstring", "source_code")]
+def card_text(knowledge_title: Column | None = None) -> Column:
+    """What a card's source, texts, members and calls say, in lower case."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("source_code", "docstring")]
+    parts += [F.coalesce(knowledge_title, F.lit(""))] if knowledge_title is not None else []
     lists = [F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "\n") for c in ("members", "calls")]
     return F.lower(F.concat_ws("\n", *parts, *lists))
 
 
-def card_priority(request: str, queries: list[str], preferred: list[str], ui_patterns: tuple[str, ...] = decisions.UI_ACTIONS) -> Column:
+def ui_source(text: Column) -> Column:
+    return decisions.any_of(text, UI_SOURCE)
+
+
+def card_priority(request: str, queries: list[str], preferred: list[str]) -> Column:
     """Points of a card for a request: preferred names, planned queries in its
     identity or text, user-interface patterns, names in the request."""
     text, low = card_text(), request.lower()
     name, qual = F.lower(F.coalesce("name", F.element_at(F.split("qualname", r"\."), -1))), F.lower("qualname")
     identity = F.concat_ws("\n", qual, name, F.lower(F.coalesce("parent_qualname", F.lit(""))))
-    ui = any(p in low for p in ui_patterns)
+    ui = any(p in low for p in decisions.UI_ACTIONS)
     score = F.when(F.col("qualname").isin(preferred) if preferred else F.lit(False), CARD_POINTS["preferred"]).otherwise(0)
     for q in filter(None, (q.lower().strip() for q in queries)):
         score = score + F.when(F.contains(identity, F.lit(q)), CARD_POINTS["query"]).when(F.contains(text, F.lit(q)), CARD_POINTS["query_in_source"]).otherwise(0)
     if ui:
         part = lambda c, parts: reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
-        score = score + F.when(part(text, ui_patterns), CARD_POINTS["ui_source"]).otherwise(0)
+        score = score + F.when(ui_source(text), CARD_POINTS["ui_source"]).otherwise(0)
         score = score + F.when((F.col("kind") == "method") & part(name, UI_SETUP), CARD_POINTS["ui_name"]).otherwise(0)
     word = F.regexp_like(F.lit(low), F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), F.regexp_replace(name, r"([\\.^$|?*+()\[\]{}])", r"\\$1"), F.lit(r"($|[^\p{L}\p{N}_])")))
     return score + F.when((qual != "") & F.contains(F.lit(low), qual), CARD_POINTS["qualname_in_request"]).when((name != "") & word, CARD_POINTS["name_in_request"]).otherwise(0)

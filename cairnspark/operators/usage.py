@@ -41,10 +41,30 @@ def failed_codes(issues: DataFrame, by: list[str]) -> DataFrame:
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "code"))), lambda x: x.code).alias("codes"))
 
 
+#: Lines of a duplicate that one row lists.
+LINES = 1 << 16
+
+
 def duplicates(rows: DataFrame, keys: list[str], line: str | None = None) -> DataFrame:
-    """Keys that occur more than once."""
-    extra = [F.array_sort(F.collect_list(line)).alias("lines")] if line else []
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *extra).where("n > 1")
+    """Keys that occur more than once, with ``n``. With ``line``, a number
+    that identifies a row, their lines too: a row for each ``part``, a stretch
+    of LINES numbers, so that no row grows with a key's copies. Keys that
+    occur once are gone before any line is gathered."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    if not line:
+        return counts
+    parts = rows.withColumn("part", F.expr(f"`{line}` div {LINES}"))
+    some = parts.groupBy(*keys, "part").agg(F.count("*").alias("_c")).join(counts, keys).drop("_c")
+    return parts.join(some, [*keys, "part"]).groupBy(*keys, "n", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+def first_seen(rows: DataFrame, by: list[str], value: str, order: str, most: int | None = None) -> DataFrame:
+    """(by, values): the distinct values of each group in the order first
+    seen, the first ``most`` of them."""
+    first = rows.groupBy(*by, value).agg(F.min(order).alias("_o"))
+    if most:
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_o", value))).where(F.col("_n") <= most)
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", value))), lambda x: x[value]).alias("values"))
 
 
 def runs_table(runs: DataFrame) -> DataFrame:

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import diff, graph, knowledge, search, usage
+from ..sources import code
 from ..sources import documents as sources
+from .registry import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None):
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
+__all__ = ["QUERIES", "SQL"]
 
 PATTERN = text.TERM_PATTERN
 FOLDED = "replace(translate(lower({c}), 'ёς', 'еσ'), 'ß', 'ss')"
@@ -68,31 +51,30 @@ def weighted_search(t):
 
 @query(
     f"""select token, count(*) as n, count(distinct doc_id) as docs
-    from (select doc_id, unnest(regexp_extract_all({folded('text')}, '{PATTERN}')) as token from documents) group by token having count(*) > 1"""
+    from (select doc_id, unnest(regexp_extract_all({folded('text')}, '{PATTERN}')) as token from documents) group by token"""
 )
 def text_tokens(t):
+    """Every token, those that occur once among them."""
     each = t("documents").select("doc_id", F.explode(text.tokens(text.normalise("text"))).alias("token"))
     # (token, document) first: the count of documents is then a plain sum
-    return each.groupBy("token", "doc_id").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("docs")).where("n > 1")
+    return each.groupBy("token", "doc_id").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
 
 
-@query(
-    f"""select token, count(*) as n, count(distinct doc_id) as docs
-    from (select doc_id, unnest(regexp_extract_all({folded('text')}, '{PATTERN}')) as token from documents) group by token"""
-)
-def text_tokens_all(t):
-    """Every token, those that occur once among them."""
-    each = t("documents").select("doc_id", F.explode(text.tokens(text.normalise("text"))).alias("token"))
-    return each.groupBy("token", "doc_id").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
+#: Words of every suffix, long enough and one letter short, and of none.
+STEM_WORDS = [f"{root}{suffix}" for suffix in dict.fromkeys(text.SUFFIXES) for root in ("слов", "сло", "Ёлк", "word")] + ["нет", "уведомление", "ТЕКСТАМИ", "straße", "x_y"]
+_stem_words = "select unnest([" + ", ".join(f"'{w}'" for w in STEM_WORDS) + "]) as text"
 
 
 @query(
-    f"""with w as (select distinct unnest(regexp_extract_all({folded("p_name || ' ' || p_type")}, '{PATTERN}')) as term from part)
-    select term, {text.stem_sql('term')} as stem, length(term) >= 4 as long_term from w"""
+    f"""with w as (select distinct unnest(regexp_extract_all({folded("text")}, '{PATTERN}')) as term from (select text from documents union all {_stem_words}))
+    select term, {text.stem_sql('term')} as stem, length(term) >= 4 as long_term, case when length(term) >= 4 then list_sort(list_distinct([term, {text.stem_sql('term')}])) else [term] end as terms from w
+    where term not in ({", ".join(f"'{w}'" for w in text.STOP_WORDS)})"""
 )
 def term_expand(t):
-    words = t("part").select(F.explode(text.tokens(text.normalise(F.concat_ws(" ", "p_name", "p_type")))).alias("term")).distinct()
-    return words.select("term", text.stem("term").alias("stem"), (F.length("term") >= text.LEAST_STEM).alias("long_term"))
+    """All words of the documents and words of every suffix of the stem rule."""
+    every = t("documents").select("text").unionByName(t.spark.createDataFrame([(w,) for w in STEM_WORDS], "text string"))
+    words = every.select(F.explode(text.tokens(text.normalise("text"))).alias("term")).distinct().where(~F.col("term").isin(*text.STOP_WORDS))
+    return words.select("term", text.stem("term").alias("stem"), (F.length("term") >= text.LEAST_STEM).alias("long_term"), text.query_terms("term").alias("terms"))
 
 
 PART_FIELDS = {"p_name": 340, "p_type": 280, "p_brand": 100}
@@ -143,11 +125,9 @@ def vector_topk(t):
 def hybrid_topk(t):
     vectors = t("embeddings")
     one = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    sims = vectors.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), scoring.similarity(scoring.cosine_distance(F.col("embedding").cast("array<double>"), F.col("q"))).alias("sim"))
-    docs = t("documents").select("doc_id", *[text.normalise(f).alias(f) for f in SEARCH_FIELDS]).join(sims, "doc_id", "left")
-    lex = scoring.total(scoring.best_points(text.plain_terms(SEARCH_TEXT), {f: F.col(f) for f in SEARCH_FIELDS}, SEARCH_FIELDS)) / 100.0
-    rows = docs.select("doc_id", (lex + 4 * F.coalesce("sim", F.lit(0.0))).alias("raw"))
-    return rows.orderBy(F.desc("raw"), "doc_id").limit(20).where("raw > 0").select("doc_id", F.round("raw", 4).alias("score"))
+    sims = vectors.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), scoring.similarity(scoring.cosine_distance(F.col("embedding").cast("array<double>"), F.col("q"))).alias("similarity"))
+    found = search.hybrid_search(t("documents"), SEARCH_TEXT, {f: F.col(f) for f in SEARCH_FIELDS}, SEARCH_FIELDS, sims, "doc_id", 20)
+    return found.select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query(
@@ -219,8 +199,13 @@ def relation_dedupe(t):
     qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"""
 )
 def upsert_latest(t):
+    """The later half of the event types' rows comes as an update."""
     rows = t("events").select("user_id", "event_type", "ts", "event_id", "value")
-    return diff.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+    cut = rows.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("_cut"))
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    marked = rows.crossJoin(F.broadcast(cut))  # one row
+    old, new = (marked.where(c).drop("_cut") for c in ("ts < _cut", "ts >= _cut or ts is null"))
+    return diff.upserted(diff.latest(old, keys, order), diff.latest(new, keys, order), keys).select("user_id", "event_type", "event_id", "value")
 
 
 @query(
@@ -328,16 +313,17 @@ def context_pack(t):
 
 
 @query(
-    """with q as (select distinct unnest(string_split(lower(p_name), ' ')) as word from part)
-    select word, count(*) as docs from q join documents on contains(lower(text), word) group by 1"""
+    """with w as (select distinct unnest(string_split(lower(p_name), ' ')) as name from part), s as (select p_partkey, lower(p_name || ' ' || p_type) as name from part)
+    select w.name as qualname, 'p' || p_partkey as test from w join s on contains(s.name, w.name)"""
 )
 def substring_tests(t):
-    """Words of part names inside document texts: a stated, small query set
-    against all rows."""
-    words = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    listed = words.agg(F.collect_set("word").alias("words"))
-    docs = t("documents").select(F.lower("text").alias("text")).crossJoin(F.broadcast(listed))
-    return docs.select(F.explode(F.filter("words", lambda w: F.contains("text", w))).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+    """Words of part names as targets, parts as tests: a stated set against
+    all rows."""
+    part = t("part")
+    words = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
+    targets = words.select(F.col("name").alias("qualname"), "name", F.lit("m.none").alias("module_name"))
+    tests = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("qualname"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.lit("function").alias("kind"), F.lit("tests/parts.py").alias("file_path"))
+    return graph.file_based_tests(tests, targets)
 
 
 _links = "select doc_id, 'R' || (doc_id % 17) as req_id, (doc_id % 5)::int as pos, 'direct' as origin from labels where quality = 1 union all select doc_id, 'R' || (n_chars % 13), (n_chars % 4)::int, 'linked' from documents"
@@ -360,7 +346,7 @@ def req_links(t):
 @query("""select r_name as layer, string_agg(distinct n_name, ',' order by n_name) as modules, count(distinct n_name) as n from nation join region on n_regionkey = r_regionkey group by 1""")
 def layer_groups(t):
     rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy(F.col("r_name").alias("layer")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("modules"), F.count_distinct("n_name").alias("n"))
+    return knowledge.layer_groups(rows, "r_name", "n_name").select("layer", F.array_join("modules", ",").alias("modules"), "n")
 
 
 _urls = "select page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') as p from pages"
@@ -401,18 +387,21 @@ def run_duration(t):
     return usage.run_durations(steps)
 
 
-@query("""select md5(text) as text_md5, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as lines from documents group by text having count(*) > 1""")
+@query(
+    f"""with d as (select md5(text) as text_md5, doc_id, count(*) over (partition by text) as n from documents)
+    select text_md5, n, doc_id // {usage.LINES} as part, string_agg(doc_id::varchar, ',' order by doc_id) as lines from d where n > 1 group by all"""
+)
 def dup_definitions(t):
     rows = t("documents").select(F.md5("text").alias("text_md5"), "doc_id")
-    return usage.duplicates(rows, ["text_md5"], "doc_id").select("text_md5", "n", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+    return usage.duplicates(rows, ["text_md5"], "doc_id").select("text_md5", "n", "part", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
 @query(
     """select source, case when bool_or(quality = 0 and lang = 'en') then 'verification_failed' when bool_or(quality = 0 and lang <> 'en') then 'generated_test_verification_failed' else 'ready_for_merge_review' end as verdict
-    from documents join labels using (doc_id) where doc_id % 9 = 0 group by 1"""
+    from documents join labels using (doc_id) group by 1"""
 )
 def verdict_fold(t):
-    rows = t("documents").join(t("labels"), "doc_id").where("doc_id % 9 = 0")
+    rows = t("documents").join(t("labels"), "doc_id")
     blocks = rows.select("source", F.when(F.col("lang") == "en", "production").otherwise("generated_test").alias("block"), (F.col("quality") == 1).alias("ok"))
     return usage.verdict(blocks, ["source"])
 
@@ -434,7 +423,7 @@ def verdict_fold_all(t):
 )
 def unresolved_names(t):
     names = lambda df: df.select(F.explode(text.tokens(text.normalise("text"))).alias("token")).distinct()
-    return names(t("benchmark")).join(names(t("documents")), "token", "left_anti")
+    return graph.unresolved(names(t("benchmark")), names(t("documents")), "token")
 
 
 @query(
@@ -461,14 +450,12 @@ def truncate_sig(t):
     select conv_id, string_agg(role, ',' order by n) as roles from r where n <= 8 group by 1"""
 )
 def ordered_dedupe(t):
-    first = t("conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    rows = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "role"))).alias("r"))
-    return rows.select("conv_id", F.array_join(F.slice(F.array_distinct(F.transform("r", lambda x: x.role)), 1, 8), ",").alias("roles"))
+    return usage.first_seen(t("conversations"), ["conv_id"], "role", "turn", 8).select("conv_id", F.array_join("values", ",").alias("roles"))
 
 
 @query("select page_id, sha256(html) as sha256, length(html)::bigint as size from pages")
 def fingerprints(t):
-    return t("pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.length("html").cast("long").alias("size"))
+    return t("pages").select("page_id", code.fingerprint(F.col("html")).alias("sha256"), F.length("html").cast("long").alias("size"))
 
 
 @query("""select doc_id, running::bigint as running from (select doc_id, sum(n_chars) over (order by doc_id) as running from documents) where running <= 500000""")
@@ -478,10 +465,10 @@ def prompt_budget(t):
 
 @query(
     r"""select doc_id, left(regexp_replace(lower(source || '/' || lang), '[^a-z0-9]+', '_', 'g'), 40) as slug, 'kb_' || left(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), 40) || '_' || left(sha1(source), 8) as collection,
-    regexp_replace(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')), '^ | $', '', 'g') as head from documents"""
+    sha256(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^ | $', '', 'g')) as whole_sha256 from documents"""
 )
 def names_and_slugs(t):
-    return t("documents").select("doc_id", text.slug(F.concat_ws("/", "source", "lang")).alias("slug"), text.collection_name("kb", "source").alias("collection"), text.collapsed(F.substring("text", 1, 200)).alias("head"))
+    return t("documents").select("doc_id", text.slug(F.concat_ws("/", "source", "lang")).alias("slug"), text.collection_name("kb", "source").alias("collection"), F.sha2(text.collapsed("text"), 256).alias("whole_sha256"))
 
 
 @query(
@@ -518,3 +505,6 @@ def json_recovery(t):
     raw = F.expr("""concat('Sure:\n```json\n{"doc": ', doc_id, ',}\n```')""")
     rows = t("documents").select("doc_id", raw.alias("raw"))
     return sources.replies(rows).select((~F.col("needs_review")).alias("ok"), "doc_id", "json")
+
+
+from . import operator_queries  # noqa: E402, F401  registers its queries

@@ -49,6 +49,11 @@ def _contents(batches):
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
 
 
+def fingerprint(content: Column) -> Column:
+    """SHA-256 of a file's bytes, lower-case hex."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def scan(spark: SparkSession, root: str, suffix: str = ".py", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(file_path, file_hash, module_name, content) of a tree's files, paths
     relative to ``root``. Executors read all contents; only the names of
@@ -59,7 +64,7 @@ def scan(spark: SparkSession, root: str, suffix: str = ".py", ignored: tuple[str
         named = spark.createDataFrame([(p,) for p in hidden], "path string")
         files = files.unionByName(named.mapInArrow(_contents, "path string, content binary").where(F.length("content") > 0))
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    rows = files.select(F.replace(plain(F.col("path")), plain(F.lit(root.rstrip("/") + "/")), F.lit("")).alias("file_path"), F.sha2("content", 256).alias("file_hash"), "content")
+    rows = files.select(F.replace(plain(F.col("path")), plain(F.lit(root.rstrip("/") + "/")), F.lit("")).alias("file_path"), fingerprint(F.col("content")).alias("file_hash"), "content")
     rows = rows.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*[F.lit(x) for x in ignored])))
     return rows.select("file_path", "file_hash", module_name(F.col("file_path")).alias("module_name"), "content")
 

@@ -51,8 +51,8 @@ def test_contract_text(one):
 
 def test_decisions(one):
     got = val(
-        one, p=decisions.protective(F.lit(" - Не менять API")), q=decisions.protective(F.lit("Add x")), s=decisions.named_symbols(F.lit("call a.do_it and __x__ plain")), g=decisions.named_symbols(F.lit("keep do_it")),
-        m=decisions.import_change(F.lit("Change the import")), u=decisions.ui_action(F.lit("the Button")), st=decisions.stub(F.lit("def f():\n    pass")), ns=decisions.stub(F.lit("def f():\n    return 1")),
+        one, p=decisions.protective(F.lit(" – Не менять API")), q=decisions.protective(F.lit("Add x")), s=decisions.named_symbols(F.lit("call a.do_it and __x__ plain")), g=decisions.named_symbols(F.lit("keep do_it")),
+        m=decisions.import_change(F.lit("Change the import")), u=decisions.ui_action(F.lit("the Button")), st=decisions.stub(F.lit("def f():\n    raise NotImplementedError")), s2=decisions.stub(F.lit("x = 1  # TODO: later\n    pass")), ns=decisions.stub(F.lit("def f():\n    return 1")),
         sc=decisions.insert_scope(F.lit("x"), F.lit("class_body")), k=decisions.expected_kind(F.lit(None).cast("string"), F.lit("property")), t=decisions.accepted_target(F.lit("a"), F.lit(0.7)), t0=decisions.accepted_target(F.lit("a"), F.lit(0.1)),
         b=decisions.generation_block(F.lit("insert_after_symbol"), F.lit("method"), F.lit(None).cast("string")), b2=decisions.generation_block(F.lit("insert_after_symbol"), F.lit("method"), F.lit("class_body")),
         r=decisions.manual_review(F.lit(True), F.lit(False), F.lit(False), F.lit("t"), F.array(F.lit("w")), ("w",)), r2=decisions.manual_review(F.lit(False), F.lit(False), F.lit(True), F.lit("t"), F.array(F.lit("w")), ("w",)),
@@ -60,7 +60,7 @@ def test_decisions(one):
         x=decisions.failure_excerpt(F.lit("a\n\nb\nc"), 2), fl=decisions.flow_references(F.lit("run `a.b.c` then self.x.y and Svc.go or a.b")),
     )
     assert got == {
-        "p": True, "q": False, "s": ["a.do_it", "do_it"], "g": [], "m": True, "u": True, "st": True, "ns": False, "sc": "class_body", "k": "method", "t": "a", "t0": None, "b": "ambiguous_insert_scope", "b2": None,
+        "p": True, "q": False, "s": ["a.do_it", "do_it"], "g": [], "m": True, "u": True, "st": True, "s2": False, "ns": False, "sc": "class_body", "k": "method", "t": "a", "t0": None, "b": "ambiguous_insert_scope", "b2": None,
         "r": True, "r2": False, "o": "insert_after_symbol", "f": ["tests/a.py", "b.py"], "x": "a\nb", "fl": ["a.b.c", "Svc.go"],
     }
 
@@ -147,7 +147,7 @@ def test_service_columns(one):
 def test_cards_and_flows(spark):
     from cairnspark.operators import services
 
-    rows = [("m.py", "m", "m", "m", "module", None, 1, "", ""), ("m.py", "m", "Form", "m.Form", "class", "m", 1, "", ""), ("m.py", "m", "setup_ui", "m.Form.setup_ui", "method", "m.Form", 2, "", "button"), ("m.py", "m", "save", "m.Form.save", "method", "m.Form", 5, "", ""), ("n.py", "n", "save", "n.save", "function", "n", 1, "", "")]
+    rows = [("m.py", "m", "m", "m", "module", None, 1, "", ""), ("m.py", "m", "Form", "m.Form", "class", "m", 1, "", ""), ("m.py", "m", "setup_ui", "m.Form.setup_ui", "method", "m.Form", 2, "", "bar.addAction(save)"), ("m.py", "m", "save", "m.Form.save", "method", "m.Form", 5, "", ""), ("n.py", "n", "save", "n.save", "function", "n", 1, "", "")]
     symbols = spark.createDataFrame(rows, "file_path string, module_name string, name string, qualname string, kind string, parent_qualname string, start_line int, docstring string, source_code string")
     relations = spark.createDataFrame([("m.Form.save", "calls", "n.save", "save")], "source_qualname string, relation_kind string, target_qualname string, target_ref string")
     found = services.cards(spark.createDataFrame([("m.Form.save", 0), ("m.Form.setup_ui", 1), ("gone", 2)], "qualname string, pos int"), symbols, relations, 3).cache()
