@@ -8,7 +8,11 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -41,8 +45,50 @@ def buckets_for(size_bytes: int, each_mb: int = 8, least: int = 16) -> int:
     return n
 
 
-def input_bytes(df) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: A size that no estimate of a real table reaches.
+UNKNOWN = 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that ``df`` reads, by the optimizer's sizes of its tables; what
+    it thinks of joins and filters over them is left out. A table whose size
+    it does not know is measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if max(sizes, default=0) < UNKNOWN:
+        return sum(sizes)
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    row = F.lit(8 * len(df.columns)).cast("long")
+    for w in wide:
+        row = row + w
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``which`` names, end to end, and their
+    ends; run i has sizes[i] values."""
+    if not len(which):
+        return values[:0], np.zeros(0, np.int64)
+    each = sizes[which]
+    ends = np.cumsum(each)
+    return values[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each) + np.arange(ends[-1])], ends
+
+
+#: Bytes of text that are worked on at once; a longer text stands alone.
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE):
+    """The batch in runs of rows whose texts have up to ``most`` bytes."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 def tidied(run):

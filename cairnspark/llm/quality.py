@@ -3,36 +3,36 @@
 Words and their character n-grams are hashed to learned vectors; a document
 is the average of its vectors and a softmax layer reads it. Trained by
 stochastic gradient descent in numpy on a bounded, seeded sample of labelled
-documents, taken in full length. For scoring the softmax layer is folded into
-the vectors: a feature is one number, a word the sum of its features.
+documents, taken in full length and turned into features where they are read.
+For scoring the softmax layer is folded into the vectors: a feature is one
+number, a word the sum of its features. Features are worked out for all
+distinct words of some documents at once.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter
+import zlib
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import hash_sample, texts
-from .blobs import tidied
-
-#: Words remembered by a scoring task; the memory is emptied when full.
-MEMORY_WORDS = 1 << 18
+from .base import clear_of, hash_sample, texts
+from .blobs import gathered, slices, tidied
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_docs bounds the training sample (half of it per label); the rest
-    are the sizes of the model and of its training."""
+    """max_docs bounds the training sample (half of it per label) and
+    max_features the distinct features of its documents together, beyond which
+    none is taken; the rest are the sizes of the model and of its training."""
 
     max_docs: int = 4000
+    max_features: int = 1 << 25
     buckets: int = 1 << 17
     dim: int = 8
     ngrams: tuple[int, int] = (3, 4)
@@ -42,40 +42,47 @@ class Settings:
     seed: int = 7
 
 
-def features(word: str, s: Settings) -> list[int]:
-    """Buckets of a word: the word itself and its character n-grams, the ends
-    of the word being characters too."""
-    mask, marked = s.buckets - 1, f"<{word}>".encode("utf-32-le")
-    out = [crc32(b"w" + marked) & mask]
-    for n in range(s.ngrams[0], s.ngrams[1] + 1):
-        out += [crc32(marked[i : i + 4 * n]) & mask for i in range(0, len(marked) - 4 * n + 1, 4)]
-    return out
-
-
-def repeats(words: list[bytes]) -> int:
-    """Words equal to their predecessor; each counts as the feature REPEAT."""
-    return sum(a == b for a, b in zip(words, words[1:], strict=False))
-
-
-REPEAT = "\x00repeat"
-
-
-def document(text: bytes, s: Settings, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of a text and their shares. ``known`` holds the packed
-    buckets of words met before."""
-    words = text.split()
-    counts = Counter(words)
-    for w in counts:
-        if w not in known:
-            known[w] = array("i", features(w.decode(), s)).tobytes()
-    packed = [known[w] for w in counts]
-    weights = np.repeat(np.fromiter(counts.values(), np.float32, len(counts)), [len(p) // 4 for p in packed])
-    found = np.frombuffer(b"".join(packed), dtype=np.int32)
-    if r := repeats(words):
-        found, weights = np.append(found, np.int32(crc32(REPEAT.encode()) & (s.buckets - 1))), np.append(weights, np.float32(8 * r))
-    buckets, which = np.unique(found, return_inverse=True)
-    share = np.bincount(which, weights=weights, minlength=len(buckets)).astype(np.float32)
-    return buckets, share / max(share.sum(), 1)
+def features(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, one word's after another's, and each word's
+    number: the word itself and its character n-grams, the ends of the word
+    being characters too."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "><")[0].as_py()
+    signs = np.frombuffer(f"<{joined}>".encode("utf-32-le"), dtype=np.uint32)
+    sizes = pc.utf8_length(words).to_numpy().astype(np.int64) + 2
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(signs)) - np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place
+    step = np.uint32(0x9E3779B1)
+    powers = np.cumprod(np.full(int(sizes.max()), step, dtype=np.uint32), dtype=np.uint32)
+    low, high = s.ngrams
+    found = np.zeros((len(signs), high - low + 2), dtype=np.uint32)
+    found[starts, 0] = np.add.reduceat(signs * powers[place], starts, dtype=np.uint32) ^ np.uint32(0x85EBCA6B)
+    code = signs.copy()
+    for n in range(2, high + 1):
+        code = code[:-1] * step + signs[n - 1 :]
+        if n >= low:
+            found[: len(code), n - low + 1] = code + np.uint32(n)
+    found = (found ^ (found >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    found ^= found >> np.uint32(13)
+    held = left[:, None] >= np.array([0, *range(low, high + 1)])
+    held[:, 0] = place == 0
+    return (found[held] & np.uint32(s.buckets - 1)).astype(np.int64), np.add.reduceat(held.sum(axis=1), starts)
+
+
+def documents(texts: pa.Array, s: Settings):
+    """Feature buckets of each text and their shares, all of weight one."""
+    words = pc.ascii_split_whitespace(texts)
+    coded = words.flatten().dictionary_encode()
+    buckets, sizes = features(coded.dictionary, s)
+    which, ends = coded.indices.to_numpy(), np.cumsum(words.value_lengths().to_numpy())
+    for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        own, count = np.unique(which[begin:end], return_counts=True)
+        found, _ = gathered(buckets, sizes, own)
+        some, at = np.unique(found, return_inverse=True)
+        share = np.bincount(at, weights=np.repeat(count, sizes[own]), minlength=len(some)).astype(np.float32)
+        yield some, share / max(share.sum(), 1)
 
 
 @dataclass
@@ -84,18 +91,30 @@ class Model:
     bias: float
     settings: Settings
 
-    def score(self, total: float, n: int) -> float:
-        z = self.bias + (total / n if n else 0.0)
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Of every text; one without words has the bias alone."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        buckets, sizes = features(coded.dictionary, self.settings)
+        total = np.add.reduceat(self.margins[buckets], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        which, lens = coded.indices.to_numpy(), words.value_lengths().to_numpy().astype(np.int64)
+        z, some = np.full(len(lens), self.bias), lens > 0
+        if some.any():
+            at = (np.cumsum(lens) - lens)[some]
+            z[some] += np.add.reduceat(total[which], at) / np.add.reduceat(sizes[which], at)
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
 def train(sample: list[tuple[bytes, int]], prior: tuple[int, int], s: Settings) -> Model:
-    """Fit on (text, label) pairs. ``prior`` holds the counts of both labels
-    among all training rows: the sample's own balance is taken out again."""
-    rng, known = np.random.default_rng(s.seed), {}
-    docs = [document(t, s, known) for t, _ in sample]
-    known.clear()
-    labels = np.array([y for _, y in sample], dtype=np.int64)
+    """``learn`` from (text, label) pairs."""
+    return learn(list(documents(pa.array([t.decode() for t, _ in sample], pa.string()), s)), [y for _, y in sample], prior, s)
+
+
+def learn(docs: list[tuple[np.ndarray, np.ndarray]], marks: list[int], prior: tuple[int, int], s: Settings) -> Model:
+    """Fit on the documents' features and labels. ``prior`` holds the counts
+    of both labels among all training rows: the sample's own balance is taken
+    out again."""
+    rng, labels = np.random.default_rng(s.seed), np.array(marks, dtype=np.int64)
     vectors = ((rng.random((s.buckets, s.dim)) - 0.5) / s.dim).astype(np.float32)
     top, bias = (rng.standard_normal((2, s.dim)) / math.sqrt(s.dim)).astype(np.float32), np.zeros(2, np.float32)
     steps, step = max(1, s.epochs * -(-len(docs) // s.batch)), 0
@@ -123,11 +142,22 @@ def train(sample: list[tuple[bytes, int]], prior: tuple[int, int], s: Settings)
     return Model((vectors @ (top[1] - top[0])).astype(np.float64), float(bias[1] - bias[0]) + shift, s)
 
 
+def _featured(s: Settings):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                packed = [zlib.compress(b.astype("<u4").tobytes() + w.astype("<f4").tobytes(), 1) for b, w in documents(part.column("text"), s)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, settings: Settings = Settings(), label: str = "quality") -> Model:
     """Train on labelled rows whose crc32(doc_id as text) mod ``fold`` is not
-    ``held``. Only ``settings.max_docs`` ids, labels and texts come to the
-    driver: of each label those first in a seeded hash order. Rows with a null
-    label or doc_id are not used."""
+    ``held``: of each label those first in a seeded hash order, within
+    ``settings.max_docs`` and ``settings.max_features``. No text comes to the
+    driver. Rows with a null label or doc_id are not used; of several labels
+    of a doc_id both are, and of several texts the smallest."""
     train_on = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     train_on = train_on.where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
     prior = {r["y"]: r["count"] for r in train_on.groupBy("y").count().collect()}
@@ -135,40 +165,33 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, settin
     if not ids:
         return Model(np.zeros(settings.buckets), 0.0, settings)
     small = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
-    found = texts(docs).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    found = sorted((r["doc_id"], r["y"], r["text"].encode()) for r in found)
-    return train([(t, y) for _, y, t in found], (prior.get(0, 0), prior.get(1, 0)), settings)
+    found = texts(docs).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = found.mapInArrow(tidied(_featured(settings)), "doc_id long, y int, features binary")
+    sample, room = [], settings.max_features
+    for r in found.orderBy(F.xxhash64(F.lit(settings.seed), "doc_id"), "doc_id", "y").toLocalIterator():
+        data = zlib.decompress(r["features"])
+        room -= len(data) // 8
+        if room < 0:
+            break
+        sample.append(((np.frombuffer(data, "<u4", len(data) // 8).astype(np.int64), np.frombuffer(data, "<f4", offset=len(data) // 2)), r["y"]))
+    return learn([f for f, _ in sample], [y for _, y in sample], (prior.get(0, 0), prior.get(1, 0)), settings)
 
 
 class Scorer:
-    """Scores texts, remembering what it has worked out for words: the sum of
-    a word's margins and, as the imaginary part, the number of its features,
-    so that one pass adds up both."""
+    """Scores one text."""
 
     def __init__(self, model: Model):
-        self.model, self.margins = model, model.margins.tolist()
-        self.known: dict[bytes, complex] = {}
-        self.repeat = complex(8 * self.margins[crc32(REPEAT.encode()) & (model.settings.buckets - 1)], 8)
+        self.model = model
 
     def __call__(self, text: bytes) -> float:
-        words, known = text.split(), self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > MEMORY_WORDS:
-            known.clear()
-            new = set(words)
-        for w in new:
-            f = features(w.decode(), self.model.settings)
-            known[w] = complex(sum(map(self.margins.__getitem__, f)), len(f))
-        total = sum(map(known.__getitem__, words), repeats(words) * self.repeat)
-        return self.model.score(total.real, int(total.imag))
+        return float(self.model.scores(pa.array([text.decode()], pa.string()))[0])
 
 
 def _scores(shared):
     def run(batches):
-        rate = Scorer(shared.value)
         for batch in batches:
-            out = [rate(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -181,22 +204,25 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def classified(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``. With
-    no labelled row every score is 0.5."""
+    no labelled row every score is 0.5. A null doc_id is not held out; null
+    and empty texts have the score of no feature; rows of one doc_id are
+    scored each by its own text; an empty table gives an empty result."""
     rows = scored(docs, fit(docs, labels, fold, held, settings))
     return rows.select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % fold == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score at least ``threshold``, with all columns:
-    the score is computed beside the row, so nothing is joined."""
+    the score is computed beside the row, so nothing is joined. Null texts
+    are scored as empty ones; ``docs`` may have columns of any name."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    (rated,) = clear_of(names, "_rated")
 
     def run(batches):
-        rate = Scorer(shared.value)
         for batch in batches:
-            good = [rate(t) >= threshold for t in batch.column("_rated").cast(pa.binary()).to_pylist()]
-            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+            for part in slices(batch, rated):
+                yield part.select(names).filter(pa.array(shared.value.scores(part.column(rated)) >= threshold))
 
-    return docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_rated")).mapInArrow(tidied(run), docs.schema)
+    return docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(rated)).mapInArrow(tidied(run), docs.schema)
