@@ -7,9 +7,10 @@ one common offset. Anchors that stand in two documents or more are extended:
 the 13-word windows around them are compared, and a word goes if a window
 over it also starts in a document with a smaller doc_id.
 
-Each task settles what it can among its own documents and sends one entry
-for an anchor or window that is frequent there, so no key's entries exceed
-the number of tasks; entries travel as packed arrays, by hash bucket.
+Each task settles what it can among its own documents, those it holds at once
+and, of anchors and windows that were frequent in these, those that come
+later. So a frequent key sends one document's entries a task and another's only
+where that is smaller; entries travel as packed arrays, by hash bucket.
 Windows are compared by 128-bit hashes of 128-bit word hashes.
 """
 
@@ -30,6 +31,8 @@ WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 #: Words a task holds at once; a longer document is held alone.
 HELD_WORDS = 1 << 18
+#: Frequent keys that a task remembers, the most frequent ones.
+KNOWN_KEYS = 1 << 16
 #: Bits of the fixed-size filter that spares most documents a second shuffle.
 FILTER_BITS = 1 << 24
 #: Null doc_ids come last in the order of documents.
@@ -114,6 +117,7 @@ def extent(group: np.ndarray, n: int, doc: np.ndarray):
 
 def _anchors(buckets: int):
     def run(batches):
+        known = Known()
         for docs in held_documents(batches):
             codes, starts, doc, row, pos = word_codes([w for d in docs for w in d[2]]), [], [], [], []
             at = 0
@@ -127,38 +131,76 @@ def _anchors(buckets: int):
                 at += len(words)
             starts, doc, row, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, doc, row, pos))
             lo = window_codes(codes[:, 0], starts, ANCHOR, 1)
-            yield from settled_and_sent(buckets, lo, np.zeros(len(lo), np.uint8), doc, row.astype(np.int32), pos.astype(np.int32), False)
+            yield from settled_and_sent(buckets, lo, np.zeros(len(lo), np.uint8), doc, row, pos.astype(np.int32), False, known)
 
     return run
 
 
-def settled_and_sent(buckets, lo, hi, doc, row, pos, smaller: bool):
-    """What the held documents settle among themselves, and what must meet
+class Known:
+    """Keys that several documents of a task had so far, and the smallest of
+    these documents."""
+
+    def __init__(self):
+        self.lo, self.hi, self.least, self.n = (np.zeros(0, t) for t in ("<u8", "<u8", "<i8", "<i8"))
+
+    def find(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and the smallest document of each."""
+        if not len(self.lo):
+            return np.zeros(len(lo), bool), np.full(len(lo), LAST)
+        at = np.minimum(np.searchsorted(self.lo, lo), len(self.lo) - 1)
+        there = (self.lo[at] == lo) & (self.hi[at] == hi)
+        return there, np.where(there, self.least[at], LAST)
+
+    def add(self, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, n: np.ndarray) -> None:
+        """Keys in several documents, these entries among them."""
+        lo, hi, least, n = (np.concatenate(x) for x in ((self.lo, lo), (self.hi, hi), (self.least, least), (self.n, n)))
+        group, groups = grouped(lo, hi)
+        first = np.zeros(groups, dtype=np.int64)
+        first[group[::-1]] = np.arange(len(lo))[::-1]
+        small, total = extent(group, groups, least)[0], np.bincount(group, weights=n, minlength=groups).astype(np.int64)
+        if groups > KNOWN_KEYS:
+            keep = np.sort(np.argpartition(-total, KNOWN_KEYS)[:KNOWN_KEYS])
+            first, small, total = first[keep], small[keep], total[keep]
+        lo, hi = lo[first], hi[first]
+        order = np.argsort(lo, kind="stable")
+        self.lo, self.hi, self.least, self.n = lo[order], hi[order], small[order], total[order]
+
+
+def settled_and_sent(buckets, lo, hi, doc, row, pos, smaller: bool, known: Known):
+    """What the task's documents settle among themselves, and what must meet
     the other tasks' entries.
 
     ``smaller`` False: an entry counts where its key is in two documents.
     All entries of a key that is shared here count; one of them is sent.
     ``smaller`` True: an entry counts where its key is in a smaller document.
-    Entries of other documents than the smallest here count; the smallest
+    Entries of other documents than the smallest so far count; the smallest
     document's entries are sent.
     """
     group, n = grouped(lo, hi)
     least, most = extent(group, n, doc)
+    before, smallest = known.find(lo, hi)
     if smaller:
-        done = doc > least[group]
+        done = doc > np.minimum(least[group], smallest)
         send, place = ~done, pos
     else:
-        done = (least != most)[group]
+        done = (least != most)[group] | before
         first = np.zeros(len(lo), bool)
         order = np.lexsort((doc, group))
         first[order[_runs(group[order])[0]]] = True
-        send = ~done | first
+        send = (~done | first) & ~before
         place = np.where(done, np.int32(-1), pos)  # -1: already counted
+    often = np.zeros(n, bool)
+    often[group[before]] = True
+    often |= least != most
+    head = np.zeros(n, dtype=np.int64)
+    head[group[::-1]] = np.arange(len(lo))[::-1]
+    if often.any():
+        known.add(lo[head][often], hi[head].astype(np.uint64)[often], least[often], np.bincount(group, minlength=n)[often])
     yield from sent(buckets, True, lo[done], hi[done], doc[done], row[done], pos[done])
     yield from sent(buckets, False, lo[send], hi[send], doc[send], row[send], place[send])
 
 
-FOUND = "doc_id long, row int, places array<int>"
+FOUND = "doc_id long, row long, places array<int>"
 
 
 def _met(smaller: bool):
@@ -167,7 +209,7 @@ def _met(smaller: bool):
     def run(table: pa.Table) -> pa.Table:
         kinds = np.array(table.column("settled").to_pylist(), dtype=bool)
         cols = {}
-        for name, dtype in (("lo", "<u8"), ("hi", "<u8" if smaller else "u1"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i4")):
+        for name, dtype in (("lo", "<u8"), ("hi", "<u8" if smaller else "u1"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4")):
             cols[name] = [unpack(x, dtype) for x in table.column(name).to_pylist()]
         take = lambda name, kind: np.concatenate([x for x, k in zip(cols[name], kinds, strict=True) if k == kind] or [np.zeros(0, cols[name][0].dtype)])
         lo, hi, doc, row, pos = (take(c, False) for c in ("lo", "hi", "doc", "row", "pos"))
@@ -181,7 +223,7 @@ def _met(smaller: bool):
         return pa.table(
             {
                 "doc_id": pa.array(doc[starts], pa.int64()),
-                "row": pa.array(row[starts], pa.int32()),
+                "row": pa.array(row[starts], pa.int64()),
                 "places": pa.ListArray.from_arrays(pa.array(np.append(starts, len(pos)).astype(np.int32)), pa.array(pos, pa.int32())),
             }
         )
@@ -200,6 +242,7 @@ def _windows(buckets: int):
     """Extend shared anchors to the 13-word windows that hold them."""
 
     def run(batches):
+        known = Known()
         for docs in held_documents(batches, "places"):
             codes, starts, doc, row, pos = word_codes([w for d in docs for w in d[2]]), [], [], [], []
             at = 0
@@ -215,7 +258,7 @@ def _windows(buckets: int):
                 at += len(words)
             starts, doc, row, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, doc, row, pos))
             lo, hi = window_codes(codes[:, 0], starts, WINDOW, 3), window_codes(codes[:, 1], starts, WINDOW, 5)
-            yield from settled_and_sent(buckets, lo, hi, doc, row.astype(np.int32), pos.astype(np.int32), True)
+            yield from settled_and_sent(buckets, lo, hi, doc, row, pos.astype(np.int32), True, known)
 
     return run
 
@@ -270,12 +313,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``with_text``, kept_text.
 
     Null and empty texts have no word. Null doc_ids count as the largest.
-    Rows that share a doc_id are rows of their own, told apart by a hash of
-    their text, and neither is smaller than the other.
+    Rows that share a doc_id are rows of their own, told apart by a 64-bit
+    hash of their text, and neither is smaller than the other. A very long
+    text is held alone, whole. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    rows = rows.withColumn("row", F.hash("text") if repeated else F.lit(0))
+    rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     buckets = buckets_for(input_bytes(docs), each_mb=2)
     anchors = rows.mapInArrow(tidied(_anchors(buckets)), ENTRY).groupBy("bucket").applyInArrow(_met(False), FOUND)
     gather = lambda found: found.groupBy("doc_id", "row").agg(F.collect_list("places").alias("places"))
