@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, group_lookup, stored, texts
+from .base import SPACES, dropped, group_lookup, stored, texts
 
 #: A piece is a word of up to 256 characters with the space that follows.
 PIECE = r"(?s)[^ ]{1,256} ?| "
@@ -52,11 +52,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after each run of ASCII white space is one
     space; null counts as empty. The smallest doc_id of equal texts stays; a
     null doc_id stays only where its group has no other. Rows that repeat a
-    doc_id and its text are all marked kept, being one document.
+    doc_id and its text are all marked kept, being one document. Very long
+    texts are chunked whole; an empty table gives an empty result.
     """
-    chunks = chunked(docs, id_col, text_col)
+    # cut once: both the chunks' identifiers and the recipes read this table
+    chunks = stored(chunked(docs, id_col, text_col).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "chunks"), "chunks")
     digest = digests[verified_digest(chunks, digests)]
-    rows = stored(chunks.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", lambda c: digest(c)).alias("recipe")), "recipes")
+    rows = stored(chunks.select("doc_id", "text_sha256", F.transform("chunks", lambda c: digest(c)).alias("recipe")), "recipes")
+    dropped(chunks)
     grouped = group_lookup(
         rows.withColumn("code", F.xxhash64("recipe")),
         ["code", "recipe"],
