@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts
+from .base import clear_of, texts
 from .blobs import tidied, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
 ITEMS_PER_PASS = 20_000
 #: Shingles of a document that are fingerprinted together.
 BLOCK = 1 << 14
+#: Pairs of a window and an item that are looked up together.
+CELLS = 1 << 22
 
 _punctuation = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PLAIN = bytes.maketrans(_punctuation + bytes(range(65, 91)), b" " * len(_punctuation) + bytes(range(97, 123)))
@@ -119,30 +121,34 @@ class Index:
         np.add.at(mark, hits + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
         starts = starts[starts <= len(codes) - m]
-        found = window_fingerprints(codes, starts, m)
-        blocks = found.view(np.uint8).reshape(-1, 8)
-        listed = tables[0][blocks[:, 0]]
-        for b in range(1, 8):
-            listed = listed | tables[b][blocks[:, b]]
-        at, which = np.nonzero(np.unpackbits(listed, axis=1)[:, : len(items)])
-        near = _POP[(found[at] ^ prints[which]).view(np.uint8).reshape(-1, 8)].sum(axis=1) <= self.radius
-        at, which = at[near], which[near]
         # what two bags share is at most the window's shingles that some item has
         shared = np.zeros(len(codes) + 1, dtype=np.int64)
         shared[hits + 1] = 1
         np.cumsum(shared, out=shared)
-        some = shared[starts[at] + m] - shared[starts[at]]
-        enough = some + 1e-9 >= self.similarity * (2 * m - some)
+        some = shared[starts + m] - shared[starts]
+        starts = starts[some + 1e-9 >= self.similarity * (2 * m - some)]
         best: dict[int, list] = {}
-        for w, k in zip(at[enough].tolist(), which[enough].tolist(), strict=True):
-            window = Counter(codes[starts[w] : starts[w] + m].tolist())
-            both = sum((window & bags[k]).values())
-            s = both / (2 * m - both)
-            if s >= self.similarity:
-                x = best.setdefault(k, [s, int(starts[w]), 0])
-                x[2] += 1
-                if s > x[0]:
-                    x[:2] = s, int(starts[w])
+        step = max(1, CELLS // len(items))
+        for begin in range(0, len(starts), step):
+            own = starts[begin : begin + step]
+            found = window_fingerprints(codes, own, m)
+            blocks = found.view(np.uint8).reshape(-1, 8)
+            listed = tables[0][blocks[:, 0]]
+            for b in range(1, 8):
+                listed |= tables[b][blocks[:, b]]
+            at, which = np.nonzero(np.unpackbits(listed, axis=1)[:, : len(items)])
+            near = _POP[(found[at] ^ prints[which]).view(np.uint8).reshape(-1, 8)].sum(axis=1) <= self.radius
+            last = window = None
+            for w, k in zip(own[at[near]].tolist(), which[near].tolist(), strict=True):
+                if w != last:
+                    last, window = w, Counter(codes[w : w + m].tolist())
+                both = sum((window & bags[k]).values())
+                s = both / (2 * m - both)
+                if s >= self.similarity:
+                    x = best.setdefault(k, [s, w, 0])
+                    x[2] += 1
+                    if s > x[0]:
+                        x[:2] = s, w
         return [(items[k], *x) for k, x in best.items()]
 
     def _whole(self, codes, some, m, items, bags):
@@ -207,19 +213,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that repeat no item, with all their columns; each
-    row is judged where it stands, so nothing is joined or shuffled."""
+    row is judged where it stands, so nothing is joined or shuffled. Null,
+    empty and wordless texts stay, repeated rows are judged each, a benchmark
+    of no item leaves ``docs`` as it is, and columns may have any name."""
     names, sc = docs.columns, docs.sparkSession.sparkContext
+    (judged,) = clear_of(names, "_judged")
 
     def clean(shared):
         def run(batches):
             index: Index = shared.value
             for batch in batches:
-                good = [not index.of(t) for t in batch.column("_judged").cast(pa.binary()).to_pylist()]
+                good = [not index.of(t) for t in batch.column(judged).cast(pa.binary()).to_pylist()]
                 yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
         return run
 
     out = docs
     for index in passes(benchmark, radius, similarity):
-        out = out.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_judged")).mapInArrow(tidied(clean(sc.broadcast(index))), docs.schema)
+        out = out.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(judged)).mapInArrow(tidied(clean(sc.broadcast(index))), docs.schema)
     return out
