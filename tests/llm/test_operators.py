@@ -156,12 +156,50 @@ def test_links_reach_all_pairs(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("segments, crowded", [(2, 0), (2, 3), (3, 64), (4, 2), (5, 64), (7, 64), (12, 0)])
+def test_segment_tables_find_all_links(spark, segments, crowded):
+    """Whatever the segments, and where a segment value is crowded: all pairs within two bits are connected, no others."""
+    r = random.Random(segments * 100 + crowded)
+    codes = {r.getrandbits(64) for _ in range(20)}
+    for base in list(codes)[:6]:
+        codes |= {base ^ 1 << a ^ 1 << b for a, b in ([r.sample(range(64), 2) for _ in range(12)] + [(63, 62), (0, 63), (31, 32), (63, 63 - 1)])}
+        codes |= {base ^ 1 << b for b in (0, 21, 31, 32, 62, 63)}
+        codes |= {base ^ 7 << b for b in (0, 30, 61)}
+    codes |= {0, (1 << 64) - 1}
+    codes, sign = sorted(codes), lambda c: c - (1 << 64) if c >> 63 else c
+    assert sum(n for _, n, _ in simhash.segment_widths(segments)) <= 64
+    found = {frozenset((x["u"] % (1 << 64), x["v"] % (1 << 64))) for x in simhash.links(spark.createDataFrame([(sign(c),) for c in codes], "fp long"), segments, crowded).collect()}
+    want = {frozenset((a, b)) for i, a in enumerate(codes) for b in codes[:i] if (a ^ b).bit_count() <= 2}
+    assert found <= want
+    if crowded == 64:
+        assert found == want
+
+    def classes(pairs):
+        top = {c: c for c in codes}
+        for _ in range(len(codes)):
+            for a, b in map(sorted, pairs):
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    assert classes(found) == classes(want)
+
+
+def test_near_duplicates_keep_one_row_of_a_class(spark):
+    """Repeated rows, texts that share a doc_id, null ids and columns of clashing names."""
+    same, other = "a b c d e f g", "one two three four five six"
+    rows = [(1, same, "x"), (1, same, "x"), (1, same, "y"), (2, same, "z"), (1, other, "p"), (3, other, "q"), (None, other, "n"), (None, "alone it stands here now", "m"), (None, "alone it stands here now", "m"), (5, None, "e"), (4, "", "f")]
+    df = spark.createDataFrame([(d, t, s, 1, 2, 3) for d, t, s in rows], "doc_id long, text string, source string, _id int, fp int, root int")
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    out = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert out == sorted([(1, same), (1, other), (None, "alone it stands here now"), (4, "")], key=str)
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def test_token_output(docs, rows, empty):
@@ -179,6 +217,20 @@ def test_token_output(docs, rows, empty):
     assert token_output.read_index(token_output.write_codes(empty, queries.tokenizer_path())).count() == 0
 
 
+def test_words_have_the_ids_of_the_whole_text():
+    """Special tokens, letters whose small or normal form is not one letter, marks, signs of all kinds."""
+    import pyarrow as pa
+
+    r, t, own = random.Random(1), tokenizer(), token_output.WordTokenizer(queries.tokenizer_path())
+    assert own.letters is not own.model
+    alpha = "abzé İıßſKÅµªº×÷ÿÀÞ.,!'\"-_<|>DžςΣσ9½٣ \t\nſ́\u0307क़यִיִ한中🙂\u00a0\u2003\u200d\x1c\x85`^~#@"
+    whole = ["BİLGİ.", "İ!", "<|endoftext|>", "<|startoftext|>", "it's", "don't.", "we'll", "l'été", "x<|endoftext|>y", "endoftext|>", "É.", "ÀÉ!!", "éa."]
+    for _ in range(60):
+        texts = ["".join(r.choice(whole) if r.random() < 0.08 else r.choice(alpha) for _ in range(r.randint(0, 40))) for _ in range(100)] + whole
+        ids, sizes = own.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(0, 5000, 7)), [300] * 2000])
 def test_codes_round_trip(ids):
     s = token_output.Segment(token_output.encode_segment(np.array(ids, dtype=np.uint32)))
@@ -327,11 +379,11 @@ def test_decontaminate(spark, docs, rows, empty):
         for item, u in items:
             u = plain(u)
             n = min(5, len(u))
-            if not u or len(w) < len(u):
+            if not u:
                 continue
             mine, theirs = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)], bag(tuple(u[i : i + n]) for i in range(len(u) - n + 1))
-            m = len(u) - n + 1
-            best = max(sum((bag(mine[s : s + m]) & theirs).values()) / sum((bag(mine[s : s + m]) | theirs).values()) for s in range(len(mine) - m + 1))
+            m = min(len(u) - n + 1, len(mine))  # a shorter document is one window as a whole
+            best = max((sum((bag(mine[s : s + m]) & theirs).values()) / sum((bag(mine[s : s + m]) | theirs).values()) for s in range(len(mine) - m + 1)), default=0)
             if best >= 0.8:
                 want.add((d, item, round(best, 9)))
     mine = {(x["doc_id"], x["item_id"], round(x["similarity"], 9)) for x in decontaminate.contaminated(docs, bench).collect()}
@@ -419,26 +471,52 @@ def test_mixture(spark, docs, rows, empty):
     assert mixing.mixture(empty, plan).count() == mixing.mixed(empty, plan).count() == 0
 
 
+CHAT = ("conv_id", "part", "perspective", "n_turns", "n_masked", "start", "rendered", "mask")
+
+
 def test_chat(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    cols = ("conv_id", "part", "perspective", "n_turns", "n_masked", "rendered", "mask")
-    assert got(queries.op7_chat(spark, sf), *cols) == sorted(con.sql(f"select {', '.join(cols)} from ({chat.SQL})").fetchall(), key=str)
+    assert got(queries.op7_chat(spark, sf), *CHAT) == sorted(con.sql(f"select {', '.join(CHAT)} from ({chat.SQL})").fetchall(), key=str)
 
 
 def test_chat_cases(spark):
-    odd = [(1, 0, "ann", "hi <|im_end|>"), (1, 1, "bob b", None), (1, 1, "bob b", None), (1, None, None, "é"), (1, 600, "ann", "late"), (None, 0, "x", "y"), (2, 0, "system", "s")]
+    odd = [(1, 0, "ann", "hi <|im_end|>"), (1, 1, "bob b", None), (1, 1, "bob b", None), (1, None, None, "é"), (1, 600, "bob_b", "late"), (None, 0, "x", "y"), (2, 0, "system", "s"), (3, 0, "p", "long " * 20000), (3, 0, "", "no name")]
     df = spark.createDataFrame([(*x, "extra") for x in odd], "conv_id long, turn long, role string, text string, part string")
     out = {(r["conv_id"], r["part"], r["perspective"]): r for r in chat.rotated(df).collect()}
-    assert set(out) == {(1, p, w) for p in (0, 2) for w in ("ann", "bob b", "unknown")} | {(None, 0, "x")}
+    assert set(out) == {(1, 0, w) for w in ("ann", "bob b", "bob_b", "unknown")} | {(None, 0, "x"), (3, 0, "p"), (3, 0, "")}
     r = out[1, 0, "ann"]
-    assert r["rendered"] == "<|im_start|>user name=unknown\né<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob_b\n<|im_end|>\n"
+    assert r["rendered"] == (
+        "<|im_start|>user name=unknown\né<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n"
+        "<|im_start|>user name=bob_20_b\n<|im_end|>\n<|im_start|>user name=bob_5F_b\nlate<|im_end|>\n"
+    )
     a, b = map(int, r["mask"].split(":"))
-    assert r["rendered"][a:b] == "hi < |im_end|><|im_end|>"
-    assert out[1, 2, "bob b"]["n_masked"] == 0 and out[1, 2, "bob b"]["mask"] == ""
+    assert r["rendered"][a:b] == "hi < |im_end|><|im_end|>" and r["start"] == 0
+    assert out[3, 0, ""]["rendered"].count("long ") == 20000
     assert chat.rotated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_turns", [1, 3, 256])
+def test_chat_parts_make_up_the_whole(spark, part_turns):
+    """Long conversations, null turn numbers and many rows of one number: the rows put together are the whole rendering."""
+    r = random.Random(4)
+    rows = [(c, t, r.choice(["a", "b", "system", None]), "".join(r.choice("xyé<| ") for _ in range(r.randint(0, 12)))) for c in (1, 2, None) for t in [None] * 9 + [5] * 12 + list(range(8))]
+    rows += rows[:5]
+    out = chat.rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns).collect()
+    for c in (1, 2, None):
+        turns = sorted({(-(2**63) if t is None else t, w or "unknown", x) for d, t, w, x in rows if d == c}, key=lambda x: (x[0], x[1], x[2].encode()))
+        for me in {w for _, w, _ in turns} - {"system"}:
+            text, mask = "", []
+            for _, w, x in turns:
+                text += "<|im_start|>" + ("assistant" if w == me else "system" if w == "system" else f"user name={w}") + "\n"
+                if w == me:
+                    mask.append(f"{len(text)}:{len(text + x.replace('<|', '< |') + '<|im_end|>')}")
+                text += x.replace("<|", "< |") + "<|im_end|>\n"
+            own = sorted((p for p in out if (p["conv_id"], p["perspective"]) == (c, me)), key=lambda p: p["part"])
+            assert "".join(p["rendered"] for p in own) == text and ",".join(p["mask"] for p in own if p["mask"]) == ",".join(mask)
+            assert all(text[p["start"] :].startswith(p["rendered"]) and p["n_turns"] <= part_turns for p in own) and sum(p["n_turns"] for p in own) == len(turns)
+
+
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -466,6 +544,8 @@ def test_personal_data(spark, docs, empty):
         base = brute_spans(t or "")
         listing = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
         assert out[i]["base_sha256"] == hashlib.sha256(listing.encode()).hexdigest()
+        assert [out[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(x[0] == k for x in base) for k in range(4)]
+        assert out[i]["n_spans"] == out[i]["n_added"] + len(base)
         assert set(listing.split(",")) <= set(out[i]["spans"].split(",")) and out[i]["n_added"] == len([x for x in out[i]["spans"].split(",") if x]) - len(base)
     assert out[1]["spans"] == "" and out[2]["spans"] == ""
     assert pii.personal_data(docs).count() == docs.count() and pii.personal_data(empty).count() == 0
@@ -480,6 +560,58 @@ def test_field_carries_labels_along_skip_links():
     assert pii.added_spans(alone, pii.base_spans(alone), field) == []
 
 
+def test_field_finds_spans_unaided():
+    """Mentions in forms that no pattern matches, in texts without a base span; numbers of other kinds stay clean."""
+    r = random.Random(6)
+
+    def card():
+        d = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    make = (lambda: f"{r.choice('abc')}{r.randint(10, 99)}@mail.org", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), card, lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}")
+    plain = lambda: r.choice(["in 1999", "version 2.0.", str(r.randint(10**15, 10**16)) + "0", "1,200 of 3.14", "2024-05-06"])
+    secret = lambda: 'token = "%s"' % "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"so {r.choice(make)()} and {plain()} or {secret() if r.random() < 0.3 else plain()} end" for _ in range(300)]
+    field = pii.train([n for t in texts for n in pii.lessons(t, 1)])
+    for _ in range(30):
+        c = card()
+        dotted = ".".join(c[i : i + 4] for i in (0, 4, 8, 12))
+        for text, want in ((f"so {dotted} end", (2, dotted)), ("so (724) 555-7058 end", (3, "(724) 555-7058")), (f"so {(s := secret())} end", (4, s[9:-1]))):
+            assert pii.base_spans(text) == [] and [(k, text[a:b]) for k, a, b in pii.added_spans(text, [], field)] == [want]
+        text = f"so {plain()} and {plain()}"
+        assert pii.added_spans(text, pii.base_spans(text), field) == []
+
+
+def test_training_mentions_written_anew():
+    r, text = random.Random(3), 'é a1@b.co, 10.2.3.44 or 4041894974608795 then +1 (724) 555-7058 token = "0123456789abcdef01"!'
+    spans = pii.spans_to_learn(text)
+    assert [k for k, *_ in spans] == [0, 1, 2, 3, 4]
+    for _ in range(50):
+        other, labels = pii.written_anew(text, spans, r)
+        assert {k for k, *_ in labels} == {0, 1, 2, 3, 4} and [other[a:b] for k, a, b in labels if k == 4][0] == "0123456789abcdef01"
+        assert not [x for x in pii.base_spans(other) if x[0] in (2, 3)]
+    assert [len(n.spans) for n in pii.lessons("no mention of 5", 1)] == [1] and pii.lessons("", 1)[0].spans == []
+
+
+def test_messages_are_exact_on_trees():
+    """Neighbour and skip links without a circle: as summing over all labellings."""
+    from itertools import product
+
+    r = np.random.default_rng(5)
+    for chain, links, sure in (([(0, 1), (1, 2)], [(0, 3)], {0: 2}), ([(1, 2)], [(0, 1), (3, 4)], {0: 1, 3: 4}), ([], [(0, 1), (1, 2), (2, 3)], {0: 5})):
+        field, n = pii.Field(r.normal(size=(6, pii.FEATURES)), r.normal(size=(6, 6)), (lambda a: a + a.T)(r.normal(size=(6, 6)))), 5
+        x, labels = r.normal(size=(n, pii.FEATURES)).astype(np.float32), np.array([sure.get(i, 0) for i in range(n)])
+        pairs = lambda p: np.array(p, dtype=np.int64).reshape(-1, 2)
+        nodes = pii.Nodes([(i, i + 1) for i in range(n)], x, labels, pairs(chain), pairs([]), pairs(links))
+        want = np.zeros((n, 6))
+        for y in product(range(6), repeat=n):
+            if all(y[i] == k for i, k in sure.items()):
+                score = sum(float(x[i] @ field.emit[y[i]]) for i in range(n) if i not in sure)
+                score += sum(field.chain[y[a], y[b]] for a, b in chain) + sum(field.skip[y[a], y[b]] for a, b in links)
+                want[range(n), y] += np.exp(score)
+        assert np.allclose(field.marginals(nodes), want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
 @pytest.mark.parametrize("base, again, kind", [("+1 (017) 555-7713", "555-7713", 3), ("4041894974608795", "4041.8949.7460.8795", 2)])
 def test_field_reaches_all_repeats(base, again, kind):
     """Fifty repeats, with no emission preference: each has the one link's marginal."""
