@@ -1,10 +1,15 @@
-"""Tables of versions: every write is a new snapshot, the newest complete one
-is the table. No file is changed in place, so readers and retried writers
-never see half a write."""
+"""Tables of versions. A write makes new folders of the projects it touches
+and then a new manifest, which names the folder of every table and project; the
+newest manifest is the state of the store. Nothing is changed in place, so
+readers see all tables of a change or none, and a write that stops half-way
+leaves only folders that no manifest names."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import urllib.parse
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,81 +26,195 @@ SCHEMAS = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the store since this write began."""
+
+
 @dataclass
 class Store:
-    """Snapshots under ``root``, a folder that all executors share. Tables are
-    partitioned by project, so lookups by project prune folders."""
+    """A store under ``root``, a folder that all executors share."""
 
     spark: SparkSession
     root: str
+    _open: dict | None = field(default=None, repr=False)
+
+    # --- the manifests ---
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        fs, base = self._fs(), self._path("manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest(self, number: int | None = None) -> dict[str, dict[str, str]]:
+        """Folders by table and project; a change's own while one is open."""
+        if number is None and self._open is not None:
+            return self._open["tables"]
+        numbers = self._numbers()
+        if not numbers:
+            return {}
+        text = self.spark.read.text(f"{self.root.rstrip('/')}/manifests/{number or numbers[-1]}.json", wholetext=True).first()[0]
+        return json.loads(text)
 
     def _versions(self, table: str) -> list[int]:
-        fs, base = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not fs.exists(base):
-            return []
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in fs.listStatus(base)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(done(f"{self.root}/{table}/{n}/_SUCCESS")))
-
-    def read(self, table: str) -> DataFrame:
-        found = self._versions(table)
-        schema = SCHEMAS[table]
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{found[-1]}")
-
-    def write(self, table: str, df: DataFrame) -> None:
-        names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
-        version = max(self._versions(table), default=0) + 1
-        df.select(*names).write.partitionBy("project_root").parquet(f"{self.root}/{table}/v{version}")
+        """The manifests that changed a table."""
+        out, last = [], {}
+        for n in self._numbers():
+            now = self._manifest(n).get(table, {})
+            if now != last:
+                out.append(n)
+            last = now
+        return out
+
+    def _commit(self, base: int, tables: dict[str, dict[str, str]]) -> None:
+        fs, number = self._fs(), base + 1
+        fresh, target = self._path("manifests", f"_{uuid.uuid4().hex}"), self._path("manifests", f"{number}.json")
+        fs.mkdirs(self._path("manifests"))
+        out = fs.create(fresh, False)
+        try:
+            out.write(bytearray(json.dumps(tables, ensure_ascii=False).encode()))
+        finally:
+            out.close()
+        if (self._numbers() or [0])[-1] != base or fs.exists(target) or not fs.rename(fresh, target):
+            fs.delete(fresh, False)
+            raise Conflict(f"version {number} exists")
+
+    def change(self, action):
+        """Run ``action``; all its writes become visible together, or none
+        where it fails. Changes within a change join it."""
+        if self._open is not None:
+            return action()
+        base = (self._numbers() or [0])[-1]
+        self._open = {"tables": {t: dict(p) for t, p in (self._manifest(base) if base else {}).items()}}
+        try:
+            out = action()
+            done = self._open["tables"]
+        finally:
+            self._open = None
+        if done != (self._manifest(base) if base else {}):
+            self._commit(base, done)
+        return out
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete manifests but the newest ``keep``, and folders that none of
+        these names; the number of folders deleted. Not beside a writer."""
+        fs, numbers = self._fs(), self._numbers()
+        used = {folder for n in numbers[-keep:] for projects in self._manifest(n).values() for folder in projects.values()}
+        for n in numbers[:-keep]:
+            fs.delete(self._path("manifests", f"{n}.json"), False)
+        gone = 0
+        for table in SCHEMAS:
+            base = self._path(table)
+            for write in fs.listStatus(base) if fs.exists(base) else []:
+                for part in fs.listStatus(write.getPath()):
+                    name = f"{table}/{write.getPath().getName()}/{part.getPath().getName()}"
+                    if part.isDirectory() and name not in used:
+                        fs.delete(part.getPath(), True)
+                        gone += 1
+        return gone
+
+    # --- tables ---
+
+    def read(self, table: str, project: str | None = None) -> DataFrame:
+        """A table, or one project's rows of it, whose folder alone is read."""
+        folders = self._manifest().get(table, {})
+        wanted = [f for p, f in sorted(folders.items()) if project is None or p == project]
+        if not wanted:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root.rstrip('/')}/{f}" for f in wanted])
+
+    def write(self, table: str, df: DataFrame, projects: list[str] | None = None) -> None:
+        """Put ``df`` in place of the rows of ``projects`` (all by default)."""
+
+        def action() -> None:
+            names, write = [c.split()[0] for c in SCHEMAS[table].split(", ")], uuid.uuid4().hex
+            rows = df.select(*names, F.col("project_root").alias("_p"))
+            rows = rows if projects is None else rows.where(F.col("project_root").isin(projects))
+            rows.write.partitionBy("_p").parquet(f"{self.root.rstrip('/')}/{table}/{write}")
+            made = {}
+            for s in self._fs().listStatus(self._path(table, write)):
+                name = s.getPath().getName()
+                if name.startswith("_p="):
+                    made[urllib.parse.unquote(name[3:])] = f"{table}/{write}/{name}"
+            now = self._open["tables"].setdefault(table, {})
+            for p in list(now) if projects is None else projects:
+                now.pop(p, None)
+            now.update(made)
+
+        self.change(action)
 
     def replace_files(self, project: str, files: DataFrame, symbols: DataFrame, relations: DataFrame) -> None:
         """New content of the given files; of their relations only indexed
-        ones go."""
-        touched = files.select("project_root", "file_path")
-        self.write("files", upserted(self.read("files"), files, ["project_root", "file_path"]))
-        self.write("symbols", replaced(self.read("symbols"), symbols, touched, ["project_root", "file_path"]))
-        self.write("relations", replaced(self.read("relations"), relations, touched, ["project_root", "file_path"], F.col("relation_source") == "index"))
+        ones go. All three tables change together."""
+        touched, keys = files.select("project_root", "file_path"), ["project_root", "file_path"]
+
+        def action() -> None:
+            self.write("symbols", replaced(self.read("symbols", project), symbols, touched, keys), [project])
+            self.write("relations", replaced(self.read("relations", project), relations, touched, keys, F.col("relation_source") == "index"), [project])
+            self.write("files", upserted(self.read("files", project), files, keys), [project])
+
+        self.change(action)
 
     def replace_source(self, project: str, source: str, relations: DataFrame) -> None:
         """All relations of one source of a project."""
-        old = self.read("relations")
-        self.write("relations", old.where(~((F.col("project_root") == project) & (F.col("relation_source") == source))).unionByName(relations))
+        old = self.read("relations", project)
+        self.write("relations", old.where(F.col("relation_source") != source).unionByName(relations), [project])
 
     def replace_project(self, table: str, project: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).where(F.col("project_root") != project).unionByName(rows))
+        self.write(table, rows, [project])
 
     def delete_files(self, doomed: DataFrame) -> None:
         """Files with their symbols and indexed relations."""
         keys = ["project_root", "file_path"]
-        for table, only in (("files", None), ("symbols", None), ("relations", F.col("relation_source") == "index")):
-            old = self.read(table)
-            self.write(table, replaced(old, old.limit(0), doomed, keys, only))
+        projects = [r[0] for r in doomed.select("project_root").distinct().collect()]
+
+        def action() -> None:
+            for table, only in (("symbols", None), ("relations", F.col("relation_source") == "index"), ("files", None)):
+                old = self.read(table)
+                self.write(table, replaced(old, old.limit(0), doomed, keys, only), projects)
+
+        self.change(action)
 
     def delete_project(self, project: str) -> dict[str, int]:
         """Rows deleted per table."""
-        out = {}
-        for table in SCHEMAS:
-            old = self.read(table)
-            out[table] = old.where(F.col("project_root") == project).count()
-            if out[table]:
-                self.write(table, old.where(F.col("project_root") != project))
+        out = {table: self.read(table, project).count() for table in SCHEMAS}
+
+        def action() -> None:
+            for table in SCHEMAS:
+                self._open["tables"].get(table, {}).pop(project, None)
+
+        self.change(action)
         return out
 
     def known_files(self, project: str) -> DataFrame:
-        return self.read("files").where(F.col("project_root") == project).select("file_path", "file_hash")
+        return self.read("files", project).select("file_path", "file_hash")
 
     def rows(self, table: str, project: str, condition: Column | None = None, *order: str) -> DataFrame:
         """The lookups: one project's rows, filtered and in order."""
-        out = self.read(table).where(F.col("project_root") == project)
+        out = self.read(table, project)
         out = out.where(condition) if condition is not None else out
         return out.orderBy(*order) if order else out
 
 
+def inbound(relations: DataFrame, qualname: str) -> DataFrame:
+    """Edges to a symbol by its full name, in order."""
+    return relations.where(F.col("target_qualname") == qualname).orderBy("source_qualname", "relation_kind")
+
+
+def inbound_by_name(relations: DataFrame, name: str) -> DataFrame:
+    """Edges that name a symbol but were not resolved, in order."""
+    return relations.where(F.col("target_qualname").isNull() & (F.col("target_ref") == name)).orderBy("source_qualname", "relation_kind")
+
+
+def of_kind(relations: DataFrame, kind: str) -> DataFrame:
+    return relations.where(F.col("relation_kind") == kind).orderBy("source_qualname", F.coalesce("target_qualname", "target_ref"))
+
+
 def outbound(relations: DataFrame, source: str) -> DataFrame:
     return relations.where(F.col("source_qualname") == source).orderBy("relation_kind", F.coalesce("target_qualname", "target_ref"))
 

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from .usage import verdict
 
 ISSUE = "unit string, code string, severity string, file_path string, symbol string, message string"
@@ -633,7 +634,9 @@ def report(issues: DataFrame, units: DataFrame, blocks: tuple[str, ...] = ("prod
 
 def case_of(request: DataFrame, facts: DataFrame, project: DataFrame) -> Case:
     """A case from facts whose files are named before/…, after/… and
-    tests/…; classes of the patched versions count as known."""
+    tests/…; classes of the patched versions count as known. The facts are
+    written once, as every rule reads them."""
+    facts = stored(facts, "facts")
     part = lambda p: facts.where(F.col("file_path").startswith(p))
     own = facts.where(~F.col("file_path").startswith("tests/"))
     fields = of(own, "field").select(F.col("owner").alias("type"), F.col("name").alias("field"), F.col("detail").alias("note"), (F.col("n") == 1).alias("required")).distinct()

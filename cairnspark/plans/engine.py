@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..operators import diff, graph, knowledge, search, validate
 from ..operators.store import Store
 from ..sources import code, documents, facts
@@ -91,12 +92,20 @@ class Engine:
             self.store.replace_source(self.project, "knowledge", self._mark(rows).select(self.store.read("relations").columns))
 
         def docs() -> int:
-            new = knowledge.search_documents(self._rows("symbols"), self.knowledge)
-            changed = diff.set_diff(self._rows("search_docs"), new, ["doc_id"]).count()
+            new = stored(knowledge.search_documents(self._rows("symbols"), self.knowledge), "search_docs")
+            changes = stored(diff.set_diff(self._rows("search_docs"), new, ["doc_id"]), "changes")
+            changed = changes.count()
             if changed:
-                self.store.replace_project("search_docs", self.project, self._mark(new))
-                vectors = documents.embedded(new.select("doc_id", "qualname", "text"), self.embedder).drop("text")
-                self.store.replace_project("doc_vectors", self.project, self._mark(vectors))
+                # only documents that are new or differ are embedded again
+                fresh = new.join(changes.where("change <> 'removed'"), "doc_id", "left_semi")
+                kept = self._rows("doc_vectors").join(changes, "doc_id", "left_anti")
+                vectors = documents.embedded(fresh.select("doc_id", "qualname", "text"), self.embedder).drop("text")
+
+                def write() -> None:
+                    self.store.replace_project("search_docs", self.project, self._mark(new))
+                    self.store.replace_project("doc_vectors", self.project, self._mark(kept.unionByName(vectors.select(kept.columns))))
+
+                self.store.change(write)
             return changed
 
         run.step("graph_indexing", index)

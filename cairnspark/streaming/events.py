@@ -34,6 +34,15 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def reindexed(store: Store, project: str, files: DataFrame) -> None:
+    """Extract some files (file_path, file_hash, module_name, content) again
+    and put what is found in place of what the index has of them."""
+    mark = F.lit(project).alias("project_root")
+    facts = code.facts(files).persist()
+    store.replace_files(project, files.select(mark, "file_path", "file_hash", "module_name"), code.symbols(facts).select(mark, "*"), code.relations(facts).select(mark, "*"))
+    facts.unpersist()
+
+
 def index_changes(spark: SparkSession, folder: str, store: Store, project: str, checkpoint: str) -> StreamingQuery:
     """Keep a project's index in step with files that arrive in ``folder``.
     A batch replaces the files it names, whatever it replaces, so a batch
@@ -46,14 +55,8 @@ def index_changes(spark: SparkSession, folder: str, store: Store, project: str,
         newest = batch.groupBy("path").agg(F.max_by("content", "modificationTime").alias("content")).select(rel.alias("file_path"), F.sha2("content", 256).alias("file_hash"), "content")
         scan = newest.withColumn("module_name", code.module_name(F.col("file_path")))
         changed = scan.join(store.known_files(project), ["file_path", "file_hash"], "left_anti").persist()
-        if changed.isEmpty():
-            return
-        mark = F.lit(project).alias("project_root")
-        facts = code.facts(changed).persist()
-        store.replace_files(
-            project, changed.select(mark, "file_path", "file_hash", "module_name"), code.symbols(facts).select(mark, "*"), code.relations(facts).select(mark, "*")
-        )
-        facts.unpersist()
+        if not changed.isEmpty():
+            reindexed(store, project, changed)
         changed.unpersist()
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
