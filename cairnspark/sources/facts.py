@@ -23,6 +23,23 @@ def dotted(node) -> str | None:
     return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else None
 
 
+def literal_type(node) -> str | None:
+    """The type of a literal; null for other values and for None."""
+    if isinstance(node, ast.Constant):
+        return None if node.value is None or node.value is Ellipsis else type(node.value).__name__
+    kinds = {ast.Dict: "dict", ast.List: "list", ast.Set: "set", ast.Tuple: "tuple", ast.JoinedStr: "str", ast.DictComp: "dict", ast.ListComp: "list", ast.SetComp: "set"}
+    return kinds.get(type(node))
+
+
+def may_be_none(node) -> bool:
+    """None, a choice that may be None, or a look-up without a default."""
+    if isinstance(node, ast.Constant):
+        return node.value is None
+    if isinstance(node, ast.IfExp):
+        return may_be_none(node.body) or may_be_none(node.orelse)
+    return isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "get" and len(node.args) == 1
+
+
 class Reader(ast.NodeVisitor):
     """Walks one module and lists its facts.
 
@@ -31,7 +48,9 @@ class Reader(ast.NodeVisitor):
     field, annotation, assertion, raises, fixture_use, dict_key,
     dunder_dict_return, docstring, attribute_read, attribute_type,
     function_signature, required_keywords, method_keywords, local_import,
-    string_keyword.
+    string_keyword, dependency_read, division, value_type, none_value,
+    argument_types, argument_type, literal_argument, returns, returned_call,
+    assigned_value, used_value, text (the file's own, in lower case).
     """
 
     def __init__(self):
@@ -121,7 +140,14 @@ class Reader(ast.NodeVisitor):
                 if isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.value, ast.Name) and x.value.id in notes and (t := dotted(x.targets[0]) or "").startswith("self.") and t.count(".") == 1:
                     self.add("attribute_type", x, t[5:], notes[x.value.id].split("[")[0].split(".")[-1].strip("'\""), owner=self.classes[-1])
         returns = ast.unparse(node.returns) if node.returns else ""
+        self.add("returns", node, node.name, returns)
+        if not self.functions:
+            skip = 1 if self.classes and plain else 0
+            self.add("argument_types", node, node.name, items=[ast.unparse(a.annotation) if a.annotation else "" for a in node.args.args[skip:]])
+            self._values(node)
         for x in ast.walk(node):
+            if isinstance(x, ast.Return) and isinstance(x.value, ast.Call) and (c := dotted(x.value.func)):
+                self.add("returned_call", x, c.split(".")[-1], returns, owner=node.name)
             if isinstance(x, ast.Return) and isinstance(x.value, ast.Attribute) and x.value.attr == "__dict__":
                 self.add("dunder_dict_return", x, node.name, returns)
         self.functions.append(node)
@@ -130,6 +156,17 @@ class Reader(ast.NodeVisitor):
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
+    def _values(self, node):
+        """Attributes and subscripts that a function assigns or gives out."""
+        for x in ast.walk(node):
+            if isinstance(x, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+                for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
+                    if isinstance(t, (ast.Attribute, ast.Subscript)):
+                        self.add("assigned_value", x, ast.unparse(t), owner=node.name)
+            for given in [x.value] if isinstance(x, (ast.Return, ast.Yield)) and x.value else [*x.values] if isinstance(x, ast.Dict) else [*x.args, *(k.value for k in x.keywords)] if isinstance(x, ast.Call) else []:
+                if isinstance(given, (ast.Attribute, ast.Subscript)):
+                    self.add("used_value", given, ast.unparse(given), owner=node.name)
+
     def visit_Lambda(self, node):
         for a in [*node.args.args, *node.args.kwonlyargs, *filter(None, (node.args.vararg, node.args.kwarg))]:
             self.add("bind", node, a.arg)
@@ -166,6 +203,8 @@ class Reader(ast.NodeVisitor):
             self.add("attribute_write", node, node.attr, dotted(node.value) or "")
         elif isinstance(node.value, ast.Name):
             self.add("attribute_read", node, node.attr, node.value.id)
+        if isinstance(node.ctx, ast.Load) and self.classes and (d := dotted(node)) and d.startswith("self.") and d.count(".") == 2:
+            self.add("dependency_read", node, *d.split(".")[1:], owner=self.classes[-1])
         self.generic_visit(node)
 
     def visit_Call(self, node):
@@ -176,9 +215,19 @@ class Reader(ast.NodeVisitor):
             self.add("call", node, name, "star" if starred else "", len(node.args), words)
             if name.startswith("self.") and name.count(".") == 1 and self.classes:
                 self.add("self_call", node, name[5:], "star" if starred else "", len(node.args), words, owner=self.classes[-1])
+            last = name.split(".")[-1]
             for k in node.keywords:
                 if k.arg and isinstance(k.value, ast.Constant) and isinstance(k.value.value, str):
-                    self.add("string_keyword", node, k.arg, name.split(".")[-1])
+                    self.add("string_keyword", node, k.arg, last)
+                if k.arg and (kind := literal_type(k.value)):
+                    self.add("value_type", node, k.arg, last, items=[kind])
+                if k.arg and may_be_none(k.value):
+                    self.add("none_value", node, k.arg, last)
+            for i, a in enumerate(node.args):
+                if kind := literal_type(a):
+                    self.add("argument_type", node, last, kind, i)
+                if isinstance(a, ast.Constant) and isinstance(a.value, (str, int, float)) and not isinstance(a.value, bool):
+                    self.add("literal_argument", node, last, str(a.value), i)
             if name in ("pytest.raises", "raises"):
                 self.add("raises", node, name)
             if name.endswith("patch") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
@@ -187,6 +236,13 @@ class Reader(ast.NodeVisitor):
             self.add("call", node, node.func.attr, "expression", len(node.args), [k.arg for k in node.keywords if k.arg])
         self.generic_visit(node)
 
+    def visit_BinOp(self, node):
+        if isinstance(node.op, ast.Div) and self.classes:
+            for side in (node.left, node.right):
+                if (d := dotted(side)) and d.startswith("self.") and d.count(".") == 2:
+                    self.add("division", node, *d.split(".")[1:], owner=self.classes[-1])
+        self.generic_visit(node)
+
     def visit_Assign(self, node):
         if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call) and (c := dotted(node.value.func)):
             self.add("instance", node, node.targets[0].id, c)
@@ -218,6 +274,8 @@ def _read(batches):
                 reader = Reader()
                 reader.visit(ast.parse(source or ""))
                 found = reader.rows
+                if path.startswith("tests/"):
+                    found.append(dict.fromkeys(_ARROW.names) | {"fact": "text", "detail": (source or "").lower(), "line": 0})
             except (SyntaxError, ValueError) as e:
                 found = [dict.fromkeys(_ARROW.names) | {"fact": "parse_error", "detail": str(e), "line": getattr(e, "lineno", 0) or 0}]
             rows += [x | {"unit": unit, "file_path": path} for x in found]

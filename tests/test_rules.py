@@ -183,3 +183,58 @@ def test_self_calls_without_required_keywords(spark):
     case = validate.case_of(request, f, spark.createDataFrame([], "module string, name string"))
     issues = validate.validated(case, codes=["self_method_call_missing_required_keyword_only_args"])
     assert {(r["unit"], r["symbol"], r["message"], r["severity"]) for r in issues.collect()} == {("bad", "A.f", "key", "error"), ("open", "A.g", "key", "error")}
+
+
+UNITS = "unit string, file_path string, source string"
+ASKED = "unit string, operation string, target string, parent string, qualname string, text string, changed array<string>, target_file string, contracts array<string>, removed_imports array<string>, code string"
+
+
+def asked(spark, *rows):
+    return spark.createDataFrame([(*r, *[None] * (11 - len(r))) for r in rows], ASKED)
+
+
+def issues_of(spark, sources, request, codes):
+    case = validate.case_of(request, facts.facts(spark.createDataFrame(sources, UNITS)), spark.createDataFrame([], "module string, name string"))
+    return {(r["unit"], r["code"], r["symbol"], r["message"]) for r in validate.validated(case, codes=codes).collect()}
+
+
+def test_rules_on_relevance(spark):
+    after = "def old():\n    pass\n\n\ndef Fresh():\n    pass\n"
+    sources = [(u, f"{v}/a.py", s) for u in "abcde" for v, s in (("before", "def old():\n    pass\n"), ("after", after if u in "ab" else "def old():\n    return 1\n"))]
+    sources += [("a", "tests/t.py", "def test_x():\n    assert fresh"), ("b", "tests/t.py", "def test_x():\n    assert old()"), ("c", "tests/t.py", "def test_x():\n    assert OLD"), ("d", "tests/t.py", "def test_x():\n    assert 1"), ("e", "tests/t.py", "def (")]
+    request = asked(spark, *[(u, "insert_after_symbol" if u in "ab" else "replace_symbol", "old", None, "m.old", "", ["a.py"], "a.py") for u in "abcde"])
+    codes = ["generated_test_ast_parse_failed_for_relevance", "generated_test_not_relevant", "generated_test_does_not_reference_new_symbol", "generated_test_does_not_reference_target_symbol"]
+    got = {(u, c) for u, c, *_ in issues_of(spark, sources, request, codes)}
+    assert got == {("b", codes[2]), ("d", codes[1]), ("d", codes[3]), ("e", codes[0])}
+    case = validate.case_of(request, facts.facts(spark.createDataFrame(sources, UNITS)), spark.createDataFrame([], "module string, name string"))
+    verdicts = {r["unit"]: r["verdict"] for r in validate.report(validate.validated(case, codes=codes), request).collect()}
+    assert verdicts == {"a": "ready_for_merge_review", "c": "ready_for_merge_review", **dict.fromkeys("bde", "generated_test_verification_failed")}
+
+
+def test_rules_on_types_and_values(spark):
+    model = "from dataclasses import dataclass, field\nfrom pathlib import Path\nfrom .x import y\n\n\n@dataclass\nclass M:\n    n: int\n    rate: float = 1.0\n    tags: list[str] = field(default_factory=list)\n    note: str = ''\n    root: Path = Path('.')\n    free: str | None = None\n\n\n"
+    after = model + (
+        "class Svc:\n    def __init__(self, m: M):\n        self.m = m\n\n    def go(self, d):\n        self.m.n\n        self.m.gone\n        self._m.n\n        self.m.root / 'a'\n        self.m.note / 'a'\n        self.m.n / 2\n"
+        "        M(n='x', rate=1)\n        M(n=1, tags=d.get('t'), note=None, free=None)\n        M(n=True, tags=None if d else [])\n        M(n=1, tags='a')\n\n\n"
+        "def load(path: Path, k: int = 0) -> M:\n    return M(n=1)\n\n\ndef as_dict(x) -> dict:\n    return load(x)\n\n\ndef use():\n    v = load('p', 3)\n    load(Path('q'), 'three')\n    v.n\n    v.zzz\n    return v\n"
+    )
+    sources = [("u", "before/a.py", model), ("u", "after/a.py", after)]
+    request = asked(spark, ("u", "replace_symbol", "go", "Svc", "m.Svc.go", "load with 3", ["a.py"], "a.py", ["m.load"], ["from pathlib import Path", "from .x import y as z", "import os", "from pathlib import PurePath"], "class A:\n    def b(self): pass\n"))
+    codes = [
+        "unknown_injected_dependency_attribute", "incompatible_operator_for_visible_type", "model_constructor_field_type_mismatch", "model_constructor_default_field_overridden_with_none", "unresolved_remove_import_change",
+        "contract_call_argument_type_mismatch", "contract_call_uses_unrequested_literal_arg", "dict_return_annotation_returns_contract_object", "unknown_contract_result_attribute", "replace_symbol_artifact_contains_extra_symbol_text",
+    ]
+    got = {(c, s, m) for _, c, s, m in issues_of(spark, sources, request, codes)}
+    assert got == {
+        (codes[0], "M.gone", ""), (codes[0], "Svc._m", ""), (codes[1], "M.note", "str"), (codes[2], "M.n", "str for int"), (codes[2], "M.tags", "str for list"), (codes[3], "M.tags", "list"),
+        (codes[4], "m.Svc.go", "import os"), (codes[4], "m.Svc.go", "from pathlib import PurePath"), (codes[5], "load", "str for Path"), (codes[5], "load", "str for int"), (codes[6], "load", "p"), (codes[6], "load", "three"),
+        (codes[7], "as_dict", "M of load"), (codes[8], "M.zzz", ""), (codes[9], "m.Svc.go", "A, b"),
+    }
+
+
+def test_rule_on_the_order_of_preserved_values(spark):
+    before = "def f(o):\n    o.total = 1\n    o['k'] = 2\n    return {'t': o.total, 'k': o['k']}\n"
+    late = "def f(o):\n    out = {'t': o.total}\n    o.total = 1\n    o['k'] = 2\n    send(o['k'])\n    return out\n"
+    sources = [(u, f"{v}/a.py", s) for u in "xyz" for v, s in (("before", before), ("after", before if u == "z" else late))]
+    request = asked(spark, *[(u, "replace_symbol", "f", None, "m.f", "keep the order" if u != "y" else "rework", ["a.py"], "a.py") for u in "xyz"])
+    assert issues_of(spark, sources, request, ["preserved_assignment_used_before_assignment"]) == {("x", "preserved_assignment_used_before_assignment", "m.f", "o.total")}
