@@ -18,8 +18,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest
-    doc_id."""
+    """One row of each near-duplicate group, that of the smallest doc_id."""
     return simhash.deduplicated(docs)
 
 
@@ -48,8 +47,10 @@ STAGES = [
     ("token-ID output", token_ids),
 ]
 
-#: A trained classifier and a tokenizer are beyond SQL; the tests hold every
-#: stage against a brute-force version.
+#: A trained classifier and a tokenizer are beyond SQL. The tests hold the
+#: classifier's scores, the near-duplicate groups, the matches of benchmark
+#: items, the mixture and the token ids each against a brute-force version,
+#: and the decisions of the first four stages against these.
 ORACLE_SQL = None
 
 
