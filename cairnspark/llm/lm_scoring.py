@@ -87,18 +87,14 @@ def _packed(fold: int, held: int, batch_words: int):
     return run
 
 
-def shard_edges(shards: int) -> np.ndarray:
-    """A key's highest bits are its shard, so sorted keys are cut in order."""
-    return (np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - shards.bit_length() + 1)) if shards > 1 else np.zeros(0, np.uint64)
-
-
 def _cut(batch_id: int, keys: np.ndarray, counts: np.ndarray, shards: int):
-    """Sorted keys and their counts, a record batch for each shard."""
-    at = [0, *np.searchsorted(keys, shard_edges(shards)).tolist(), len(keys)]
-    for shard in range(shards):
-        a, b = at[shard], at[shard + 1]
+    """Sorted keys and their counts, a record batch for each shard that has
+    any; a key's highest bits are its shard."""
+    own = keys >> np.uint64(64 - shards.bit_length() + 1) if shards > 1 else np.zeros(len(keys), np.uint64)
+    at = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(keys)]
+    for a, b in zip(at, at[1:], strict=False):
         if a < b:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "batch_id": [batch_id], "words": [keys[a:b].tobytes()], "counts": [pack(counts[a:b])]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([int(own[a])], pa.int32()), "batch_id": [batch_id], "words": [keys[a:b].tobytes()], "counts": [pack(counts[a:b])]})
 
 
 def _asked(shards: int):
@@ -301,7 +297,9 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES,
     train_tokens, base_score and score (log10).
 
     Learns from rows whose crc32(doc_id as text) mod ``fold`` is not ``held``.
-    Null and empty texts have one token, the end. With no training row all
+    Null and empty texts have one token, the end; a very long text is a batch
+    of its own; rows of one doc_id are scored each; an empty table gives an
+    empty result. With no training row all
     words are unknown and both scores are 0. Words, and pairs of words, are
     told apart by 64-bit hashes. ``states`` changes no score.
     """
