@@ -30,9 +30,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Signs whose folded form is not their small one, worked out from Python's
+#: tables for the first plane: those that fold to one sign, and to several.
+_folds = {c: c.casefold() for c in map(chr, range(128, 0xD800)) if c.casefold() != c.lower() and c.lower() == c} | {c: c.casefold() for c in map(chr, range(0xF900, 0xFFFF)) if c.casefold() != c.lower() and c.lower() == c}
+_one = {c: f for c, f in _folds.items() if len(f) == 1}
+_many = {c: f for c, f in _folds.items() if len(f) > 1 and c != "ß"}
+_rare = "[" + "".join(c for c in _folds if c not in "ßς") + "]"
+
+
+def _folded(small: Column) -> Column:
+    out = F.translate(small, "".join(_one), "".join(_one.values()))
+    for c, f in _many.items():
+        out = F.replace(out, F.lit(c), F.lit(f))
+    return out
+
+
 def normalise(c: Column | str) -> Column:
-    """Case-folded, with ё as е. Folding goes beyond lower case in ß and ς."""
-    return F.replace(F.translate(F.lower(_col(c)), "ёς", "еσ"), F.lit("ß"), F.lit("ss"))
+    """Case-folded, with ё as е. ß and ς are folded at once; texts with rarer
+    signs whose folded form is not their small one (ligatures and the like)
+    take the longer way."""
+    small = F.lower(_col(c))
+    plain = F.when(small.rlike(_rare), _folded(small)).otherwise(small)
+    return F.replace(F.translate(plain, "ёς", "еσ"), F.lit("ß"), F.lit("ss"))
 
 
 def tokens(c: Column | str, pattern: str = TERM_PATTERN) -> Column:
@@ -178,15 +197,6 @@ def plain_quotes(c: Column | str) -> Column:
     return F.translate(_col(c), "“”’", "\"\"'")
 
 
-def json_object(c: Column | str) -> Column:
-    """The first object of a model's reply, repaired as far as text rules go;
-    null where none parses. String-aware brace matching is left to
-    ``cairnspark.sources.replies``."""
-    body = F.regexp_extract(fence_stripped(plain_quotes(c)), r"(?s)(\{.*\})", 1)
-    variants = [body, trailing_commas_gone(body), trailing_commas_gone(missing_commas_added(body))]
-    return F.coalesce(*[F.when(F.try_parse_json(v).isNotNull() & (v != ""), v) for v in variants])
-
-
 def type_name(c: Column | str) -> Column:
     """A type's bare name: no quotes, typing prefix, subscript or module, the
     usual aliases resolved."""

@@ -17,6 +17,8 @@ OPEN_STATES = ("uncertain", "unknown", "insufficient")
 NEW_FILE_CODES = ("missing_stub_module", "unsupported_new_file_required")
 KEPT_CODES = ("analysis_llm_rerank_invalid_json_contract", "analysis_llm_rerank_json_repaired", "analysis_llm_rerank_json_recovered")
 RECOVERED_CODE = "analysis_llm_rerank_json_recovered"
+NON_SYMBOL_CODE = "non_symbol_change_not_supported_for_auto_target"
+SYMBOL_CATEGORY = "средняя"
 RELATION_ROLES = {"imports": "imported_contract", "exposed_by_controller": "controller_or_endpoint_contract", "belongs_to_layer": "same_layer_contract"}
 LAYERS = ("api", "services", "storage", "domain")
 CONFIDENCE_ORDER, DIRECTION_ORDER = ("high", "medium", "low"), ("outbound", "inbound")
@@ -75,6 +77,21 @@ def kept_warnings(codes: Column, review: Column, target: Column, sure: Column, l
     return F.when(_flag(settled), failures).otherwise(_list(codes))
 
 
+def non_symbol_change(review: Column, target: Column, sure: Column, codes: Column, import_change: Column) -> Column:
+    """A change of imports has no target of its own: none is kept, and it
+    needs review."""
+    yes = _flag(import_change)
+    return F.struct(
+        (_flag(review) | yes).alias("review"), F.when(~yes, target).alias("target"), F.when(yes, 0.0).otherwise(sure).alias("sure"), F.when(yes, "import_change").alias("role"),
+        F.when(yes, F.concat(_list(codes), F.array(F.lit(NON_SYMBOL_CODE)))).otherwise(_list(codes)).alias("codes"), F.when(yes, target).alias("previous_target"),
+    )
+
+
+def symbol_candidate(score: Column) -> Column:
+    """(score, confidence, category) of a symbol that is a candidate without a search."""
+    return F.struct(score.alias("score"), F.least(F.lit(1.0), score / 10.0).alias("confidence"), F.lit(SYMBOL_CATEGORY).alias("category"))
+
+
 def returned_candidates(candidates: DataFrame, by: list[str], recommended: str = "recommended", most: int = MOST_RETURNED) -> DataFrame:
     """What the caller gets, with ``rank``: the reranker's candidates by their
     rank, or where it ranked none the recommended one first and the others in

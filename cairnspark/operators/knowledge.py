@@ -60,6 +60,18 @@ def requirement_ranks(links: DataFrame) -> DataFrame:
     return links.where("origin = 'linked'").groupBy("qualname").agg(F.min("pos").alias("requirement_rank"))
 
 
+def entry(table: DataFrame, key: str, value: str) -> DataFrame:
+    """What the knowledge says of one module, symbol or requirement: a row, or
+    none."""
+    return table.where(F.col(key) == value).limit(1)
+
+
+def allowed_merge(target: Column, source: Column, allowed: tuple[str, ...]) -> Column:
+    """A map with the allowed keys of another over its own, blanks aside."""
+    over = F.map_filter(source, lambda k, v: k.isin(*allowed) & (F.trim(F.coalesce(v, F.lit(""))) != ""))
+    return F.map_concat(F.map_filter(target, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
 def requirement_details(k: Knowledge) -> DataFrame:
     """(qualname, req_id, ord, title, description); a missing title is the id."""
     found = requirement_links(k.links).join(k.requirements, "req_id", "left")

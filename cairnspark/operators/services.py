@@ -33,6 +33,11 @@ def registered(projects: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
     return projects.unionByName(free), new.join(taken, "project_root", "left_semi")
 
 
+def listed(projects: DataFrame, by: str = "path") -> DataFrame:
+    """All projects in the order of their registry files."""
+    return projects.orderBy(by, "project_id")
+
+
 def by_root(projects: DataFrame, root: str) -> DataFrame:
     return projects.where(F.regexp_replace("project_root", "/+$", "") == root.rstrip("/"))
 
@@ -95,6 +100,42 @@ def target_choice(*choices: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in choices])
 
 
+def resolved_target(requested: Column, selected: Column, recommended: Column) -> Column:
+    """(target, source): the request's target, the session's selected one or
+    its recommended one; without any ``error`` says so."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    choices = [(F.nullif(requested, F.lit("")), "request"), (blank(selected), "session_selected"), (blank(recommended), "session_recommended")]
+    target, source = F.coalesce(*[c for c, _ in choices]), F.coalesce(*[F.when(c.isNotNull(), s) for c, s in choices])
+    return F.struct(target.alias("target"), source.alias("source"), F.when(target.isNull(), "no target given and none recommended").alias("error"))
+
+
+def selected_targets(sessions: DataFrame, choices: DataFrame) -> DataFrame:
+    """Sessions after a user's choice (session_id, target, operation, scope):
+    its target, operation and scope where given, the status, and whether it
+    differs from what was selected or else recommended. A request too thin
+    still needs a decision (``thin``)."""
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    rows = sessions.join(choices, "session_id")
+    before = F.coalesce(blank("selected_target"), blank("recommended_target"))
+    status = F.when(F.coalesce("thin", F.lit(False)), "needs_user_decision").otherwise("target_selected")
+    return rows.select(
+        "session_id", F.col("target").alias("selected_target"), F.coalesce(F.nullif("operation", F.lit("")), "requested_operation").alias("requested_operation"),
+        F.coalesce(decisions.insert_scope(F.col("scope")), F.col("insert_scope")).alias("insert_scope"), status.alias("status"), (~blank("target").eqNullSafe(before)).alias("selection_changed"),
+    )
+
+
+def reclassified(reports: DataFrame) -> DataFrame:
+    """Reports (run_id, verdict, generated_only, paths) in which only
+    generated tests failed: their verdict, flags and files say so; others
+    stay as they are."""
+    only = F.coalesce("generated_only", F.lit(False))
+    none = F.array().cast("array<string>")
+    return reports.select(
+        "run_id", F.when(only, "generated_test_verification_failed").otherwise(F.col("verdict")).alias("verdict"), (~only & (F.col("verdict") == "verification_failed")).alias("production_failed"),
+        (only | (F.col("verdict") == "generated_test_verification_failed")).alias("generated_test_failed"), only.alias("runtime_only"), F.when(only, F.col("paths")).otherwise(none).alias("excluded_files"),
+    )
+
+
 def has_code(codes: Column, wanted: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.coalesce(codes, F.array().cast("array<string>")), F.array(*[F.lit(w) for w in wanted]))
 
@@ -244,6 +285,25 @@ def direct_children(symbols: DataFrame, parent: str) -> DataFrame:
     return symbols.where(F.col("qualname").startswith(parent + ".") & ~F.contains(tail, F.lit(".")) & (F.col("name") != "__init__"))
 
 
+def inserted_symbols(rows: DataFrame) -> DataFrame:
+    """What an insertion made: the changed symbols right below its parent
+    (constructors aside where a method was wanted), else the first name in its
+    code. ``rows``: run_id, changed, parent, target, kind, scope, file, code."""
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    above = F.when(F.contains(F.coalesce("target", F.lit("")), F.lit(".")), F.regexp_replace("target", r"\.[^.]+$", ""))
+    parent = F.coalesce(blank("parent"), F.when(F.col("scope") == "class_body", blank("target")).otherwise(above))
+    rows = rows.withColumn("_p", parent)
+    below = F.filter(F.coalesce("changed", F.array().cast("array<string>")), lambda x: F.startswith(x, F.concat("_p", F.lit("."))) & ~F.contains(F.substring(x, F.length("_p") + 2, F.length(x)), F.lit(".")))
+    below = F.when(F.col("_p").isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(below))
+    methods = F.filter(below, lambda x: ~x.endswith(".__init__"))
+    kept = F.when((F.col("kind") == "method") & (F.size(methods) > 0), methods).otherwise(below)
+    first = F.nullif(F.regexp_extract(F.coalesce("code", F.lit("")), r"(?m)^(?:async def|def|class)\s+([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
+    module = F.when(F.col("file").endswith(".py"), F.replace(F.regexp_replace("file", r"\.py$", ""), F.lit("/"), F.lit("."))).otherwise(above)
+    prefix = F.coalesce("_p", module)
+    fallback = F.when(first.isNotNull(), F.array(F.when(prefix.isNull(), first).otherwise(F.concat(prefix, F.lit("."), first)))).otherwise(F.array().cast("array<string>"))
+    return rows.select("run_id", F.when(F.size(kept) > 0, kept).otherwise(fallback).alias("symbols"))
+
+
 def traced(symbols: DataFrame, known_symbols: DataFrame, known_modules: DataFrame) -> DataFrame:
     """Where changed symbols are recorded: themselves if curated, else their
     module, else the nearest curated module: (qualname, target, how)."""

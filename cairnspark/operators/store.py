@@ -26,6 +26,16 @@ SCHEMAS = {
 }
 
 
+# The tables' keys, and the columns that lookups go by.
+KEYS = {"files": ("project_root", "file_path"), "symbols": ("project_root", "qualname", "file_path", "start_line"), "search_docs": ("project_root", "doc_id"), "doc_vectors": ("project_root", "doc_id")}
+INDEXES = {"files": ("file_path",), "symbols": ("qualname", "file_path"), "relations": ("target_qualname", "source_qualname"), "search_docs": ("doc_id",), "doc_vectors": ("doc_id",)}
+
+
+def repeated_keys(table: str, df: DataFrame) -> DataFrame:
+    """Rows' keys that a table would hold more than once."""
+    return df.groupBy(*KEYS[table]).agg(F.count("*").alias("n")).where("n > 1") if table in KEYS else df.limit(0)
+
+
 class Conflict(RuntimeError):
     """Another writer changed the store since this write began."""
 
@@ -135,6 +145,8 @@ class Store:
             names, write = [c.split()[0] for c in SCHEMAS[table].split(", ")], uuid.uuid4().hex
             rows = df.select(*names, F.col("project_root").alias("_p"))
             rows = rows if projects is None else rows.where(F.col("project_root").isin(projects))
+            # in the order of what lookups go by: row groups that cannot match are skipped
+            rows = rows.sortWithinPartitions("_p", *INDEXES[table])
             rows.write.partitionBy("_p").parquet(f"{self.root.rstrip('/')}/{table}/{write}")
             made = {}
             for s in self._fs().listStatus(self._path(table, write)):

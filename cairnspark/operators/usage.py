@@ -19,6 +19,14 @@ def usage_rollup(usage: DataFrame, run: str = "run_id", step: str = "step", metr
     return rolled.where("_g < 3").select(run, F.when(F.col("_g") == 1, "total").otherwise(F.col(step)).alias(step), *metrics)
 
 
+def analysis_usage(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Of the steps of an analysis (step, prompt_tokens, output_tokens,
+    prompt_chars): calls, the tokens of each kind and together, characters."""
+    total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("long")
+    out = steps.groupBy(*by).agg(F.count_distinct("step").alias("calls"), *[total(c).alias(c) for c in ("prompt_tokens", "output_tokens", "prompt_chars")])
+    return out.withColumn("total_tokens", F.col("prompt_tokens") + F.col("output_tokens"))
+
+
 def run_durations(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(F.sum(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms"), F.count("*").alias("steps"), F.count_if(F.col("status") == "failed").alias("failed"))
 

@@ -830,12 +830,13 @@ def case_of(request: DataFrame, facts: DataFrame, project: DataFrame) -> Case:
 
 
 def structural(facts: DataFrame) -> DataFrame:
-    """Review of changed files: files that do not parse, symbols defined
-    twice, and one row of information where there is neither."""
+    """Review of changed files: files that do not parse or compile, symbols
+    defined twice, and one row of information where there is neither."""
     broken = of(facts, "parse_error").select("unit", F.lit("ast_parse").alias("code"), F.lit("error").alias("severity"), "file_path", F.col("detail").alias("message"))
     twice = of(facts, "definition", "method").groupBy("unit", "file_path", "owner", "name").count().where("count > 1")
     twice = twice.select("unit", F.lit("duplicate_symbol_definition").alias("code"), F.lit("error").alias("severity"), "file_path", F.concat_ws(".", F.nullif("owner", F.lit("")), "name").alias("message"))
-    issues = broken.unionByName(twice)
+    compiled = of(facts, "compile_error").select("unit", F.lit("compileall").alias("code"), F.lit("error").alias("severity"), "file_path", F.col("detail").alias("message"))
+    issues = broken.unionByName(twice).unionByName(compiled)
     clean = facts.select("unit").distinct().join(issues.select("unit").distinct(), "unit", "left_anti")
     return issues.unionByName(clean.select("unit", F.lit("structural_review").alias("code"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("file_path"), F.lit("no issues").alias("message")))
 

@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,43 @@ def resolved_targets(targets: DataFrame, files: DataFrame, nodes: DataFrame) ->
     return out.select("target", path.alias("path"), F.when(F.col("_b").isNull(), "unresolved").when(F.col("_b.s") == 0, "resolved").otherwise("fallback_file").alias("status"))
 
 
+def target_batch(targets: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Test targets (target, pos) as a run takes them: (target, path, status,
+    pos, run_pos); ``run_pos`` is null for those that another of the same path
+    or of its file's node stands for, and for unresolved ones."""
+    clean = targets.withColumn("target", F.trim("target")).where("target <> ''")
+    found = resolved_targets(clean.select("target").distinct(), files, nodes).join(clean, "target")
+    first = found.where("path is not null").groupBy("path").agg(F.min("pos").alias("_first"))
+    kept = deduped_targets(first.withColumnRenamed("path", "target")).select(F.col("target").alias("path"), "_first")
+    return found.join(kept, "path", "left").select("target", "path", "status", "pos", F.when(F.col("pos") == F.col("_first"), F.col("pos")).alias("run_pos"))
+
+
+def all_targets(recommended: Column, generated: Column) -> Column:
+    """Recommended then generated test targets, blanks aside, each once."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.concat(F.coalesce(recommended, none), F.coalesce(generated, none)), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+
+
+def applied(spark: SparkSession, actions: DataFrame, workspace: str, project: str) -> dict[str, int]:
+    """Carry out the actions of ``diff.apply_actions`` on two trees: copied
+    files first, then deleted ones; how many of each. Paths that leave the
+    trees are refused before anything is done."""
+    rows = actions.where("action <> 'none'").orderBy("file_path").collect()
+    for r in rows:
+        if r["file_path"].startswith("/") or ".." in r["file_path"].split("/"):
+            raise ValueError(f"unsafe path {r['file_path']}")
+    hadoop, conf, out = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), {"copied": 0, "deleted": 0}
+    for r in sorted(rows, key=lambda r: r["action"]):
+        source, target = (hadoop.Path(f"{root.rstrip('/')}/{r['file_path']}") for root in (workspace, project))
+        to = target.getFileSystem(conf)
+        if r["action"] == "copied":
+            hadoop.FileUtil.copy(source.getFileSystem(conf), source, to, target, False, True, conf)
+        else:
+            to.delete(target, False)
+        out[r["action"]] += 1
+    return out
+
+
 def clipped(payload: dict, path: str, chars: int) -> dict:
     return payload | {path: [{k: (v[:chars] if isinstance(v, str) else v) for k, v in card.items()} for card in payload.get(path, [])]}
 

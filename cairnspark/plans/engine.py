@@ -115,6 +115,23 @@ class Engine:
         states.unpersist()
         return report
 
+    def sync_references(self, artifacts: DataFrame, library: str = "reference_library", force: bool = False) -> dict[str, int | bool]:
+        """Index the reference library as a project of its own, unless it is
+        there and nothing forces it. ``artifacts`` carry their source text."""
+        there = self.store.read("search_docs", library).count()
+        if there and not force:
+            return {"reference_documents_count": there, "reference_documents_changed": False}
+        mark = F.lit(library).alias("project_root")
+        docs = documents.reference_documents(artifacts)
+        rows = stored(docs.select(mark, "doc_id", "qualname", F.lit("").alias("file_path"), F.lit("reference").alias("source_kind"), "title", "text"), "references")
+
+        def write() -> None:
+            self.store.write("search_docs", rows, [library])
+            self.store.write("doc_vectors", documents.embedded(rows.select("project_root", "doc_id", "qualname", "text"), self.embedder).drop("text"), [library])
+
+        self.store.change(write)
+        return {"reference_documents_count": rows.count(), "reference_documents_changed": True}
+
     def bundled(self) -> DataFrame:
         return knowledge.bundled(self._rows("symbols"), self.knowledge)
 

@@ -887,3 +887,109 @@ def check_blocks(t):
 def import_candidates(t):
     rows = t("orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("pos"), F.expr("if(o_orderstatus = 'F', 'import_change', 'other')").alias("change_kind"), (F.col("o_totalprice") / 100000).alias("confidence"))
     return services.import_change_candidate(rows, ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+# --- sessions, targets and payloads ----------------------------------------------
+
+CHOSEN = Literal(
+    "session_id string, selected_target string, recommended_target string, requested_operation string, insert_scope string, thin boolean, target string, operation string, scope string",
+    ("s1", None, "m.a", "replace_symbol", None, False, "m.a", None, None), ("s2", " ", "m.a", "replace_symbol", "module_body", None, "m.b", "insert_after_symbol", "junk"), ("s3", "m.c", "m.a", "replace_symbol", None, True, "m.c", "", "class_body"), ("s4", None, None, "replace_symbol", None, False, "m.z", None, None), ("s5", None, None, "x", None, False, "", None, None),
+)
+
+
+@query(
+    f"""select session_id, target as selected_target, coalesce(nullif(operation, ''), requested_operation) as requested_operation, coalesce(case when scope in ('module_body', 'class_body') then scope end, insert_scope) as insert_scope, case when coalesce(thin, false) then 'needs_user_decision' else 'target_selected' end as status,
+    nullif(trim(target), '') is distinct from coalesce(nullif(trim(selected_target), ''), nullif(trim(recommended_target), '')) as selection_changed, coalesce(nullif(trim(selected_target), ''), nullif(trim(recommended_target), '')) as resolved,
+    case when nullif(trim(selected_target), '') is not null then 'session_selected' when nullif(trim(recommended_target), '') is not null then 'session_recommended' end as source, case when coalesce(nullif(trim(selected_target), ''), nullif(trim(recommended_target), '')) is null then 'no target given and none recommended' end as error from {CHOSEN}"""
+)
+def session_targets(t):
+    """Users' choices of targets, and what a run without one takes."""
+    rows = CHOSEN.df(t.spark)
+    own = ["session_id", "selected_target", "recommended_target", "requested_operation", "insert_scope", "thin"]
+    chosen = services.selected_targets(rows.select(*own), rows.select("session_id", "target", "operation", "scope"))
+    taken = rows.select("session_id", services.resolved_target(F.lit("").cast("string"), F.col("selected_target"), F.col("recommended_target")).alias("r"))
+    return chosen.join(taken.select("session_id", F.col("r.target").alias("resolved"), F.col("r.source").alias("source"), F.col("r.error").alias("error")), "session_id")
+
+
+MADE = Literal(
+    "run_id string, changed array<string>, parent string, target string, kind string, scope string, file string, code string",
+    ("i1", ["m.A.__init__", "m.A.go", "m.A.go.x", "m.B"], "m.A", "m.A", "method", "class_body", "m.py", ""), ("i2", ["m.A.__init__"], "m.A", "m.A", "method", "class_body", "m.py", "def go(self):\n    pass"), ("i3", ["m.x.y"], None, "m.f", "function", "module_body", "m.py", "x = 1\n\nasync def late():\n    pass"),
+    ("i4", [], "", "m.A", "method", "class_body", "m.py", "def go(self): ..."), ("i5", None, None, "top", None, None, "a/b.py", "class New:\n    pass"), ("i6", [], None, "top", None, None, None, "nothing"), ("i7", ["m.g", "m.h"], None, "m.f", "function", "module_body", "m.py", None),
+)
+_up = "case when contains(coalesce(target, ''), '.') then regexp_replace(target, '\\.[^.]+$', '') end"
+
+
+@query(
+    f"""with p as (select *, coalesce(nullif(trim(parent), ''), case when scope = 'class_body' then nullif(trim(target), '') else {_up} end) as p from {MADE}),
+    b as (select *, case when p is null then {_none} else list_filter(coalesce(changed, {_none}), lambda x: starts_with(x, p || '.') and not contains(substring(x, length(p) + 2), '.')) end as below from p),
+    k as (select *, case when kind = 'method' and len(list_filter(below, lambda x: not ends_with(x, '.__init__'))) > 0 then list_filter(below, lambda x: not ends_with(x, '.__init__')) else below end as kept, nullif(regexp_extract(coalesce(code, ''), '(?m)^(?:async def|def|class)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') as first,
+      coalesce(p, case when ends_with(file, '.py') then replace(regexp_replace(file, '\\.py$', ''), '/', '.') else {_up} end) as prefix from b)
+    select run_id, array_to_string(case when len(kept) > 0 then kept when first is null then {_none} when prefix is null then [first] else [prefix || '.' || first] end, ',') as symbols from k"""
+)
+def inserted_symbols(t):
+    return services.inserted_symbols(MADE.df(t.spark)).select("run_id", F.array_join("symbols", ",").alias("symbols"))
+
+
+REPORTS = Literal("run_id string, verdict string, generated_only boolean, paths array<string>", ("a", "verification_failed", True, ["t.py"]), ("b", "verification_failed", False, ["t.py"]), ("c", "generated_test_verification_failed", None, []), ("d", "ready_for_merge_review", False, []))
+
+
+@query(
+    f"""select run_id, case when coalesce(generated_only, false) then 'generated_test_verification_failed' else verdict end as verdict, not coalesce(generated_only, false) and verdict = 'verification_failed' as production_failed, coalesce(generated_only, false) or verdict = 'generated_test_verification_failed' as generated_test_failed,
+    coalesce(generated_only, false) as runtime_only, case when coalesce(generated_only, false) then array_to_string(paths, ',') else '' end as excluded from {REPORTS}"""
+)
+def reclassified_reports(t):
+    return services.reclassified(REPORTS.df(t.spark)).select("run_id", "verdict", "production_failed", "generated_test_failed", "runtime_only", F.array_join("excluded_files", ",").alias("excluded"))
+
+
+CHANGES = Literal("id int, review boolean, target string, sure double, codes array<string>, import_change boolean, score double", (1, False, "m.a", 0.9, ["w"], True, 4.0), (2, None, "m.a", 0.9, None, False, 12.0), (3, True, None, 0.1, [], None, 0.0))
+
+
+@query(
+    f"""select id, coalesce(review, false) or coalesce(import_change, false) as review, case when not coalesce(import_change, false) then target end as target, case when coalesce(import_change, false) then 0.0 else sure end as sure, case when import_change then 'import_change' end as role,
+    array_to_string(case when import_change then list_append(coalesce(codes, {_none}), '{analysis.NON_SYMBOL_CODE}') else coalesce(codes, {_none}) end, ',') as codes, case when import_change then target end as previous_target, least(1.0, score / 10.0) as confidence, 'средняя' as category from {CHANGES}"""
+)
+def import_reviews(t):
+    """Changes of imports lose their target; symbols that are candidates without a search."""
+    c = F.col
+    rows = CHANGES.df(t.spark).select("id", analysis.non_symbol_change(c("review"), c("target"), c("sure"), c("codes"), c("import_change")).alias("r"), analysis.symbol_candidate(c("score")).alias("s"))
+    return rows.select("id", "r.review", "r.target", "r.sure", "r.role", F.array_join("r.codes", ",").alias("codes"), "r.previous_target", "s.confidence", "s.category")
+
+
+BATCH = Literal("target string, pos int", ("tests.t", 2), ("tests.t.C.m", 0), ("tests.t.C.m ", 1), ("no.such", 3), (" ", 4), ("tests.u.test_x", 5), ("tests.u.test_y", 6))
+BATCH_FILES = Literal("file_path string", ("tests/t.py",), ("tests/u.py",))
+
+
+@query(
+    f"""with t as (select trim(target) as target, pos from {BATCH} where trim(target) <> ''), p as (select distinct target, string_split(target, '.') as p from t), e as (select target, n, array_to_string(p[1:n], '/') || '.py' as path, array_to_string(p[n + 1:], '::') as node from p, (select unnest(range(1, 9)) as n) where n <= len(p)),
+    h as (select e.*, node = '' or (path, node) in (select (path, node) from {TEST_NODES}) as has from e where path in (select file_path from {BATCH_FILES})), b as (select * from h qualify row_number() over (partition by target order by has desc, n desc) = 1),
+    r as (select t.*, case when has then path || case when node <> '' then '::' || node else '' end else path end as path, case when path is null then 'unresolved' when has then 'resolved' else 'fallback_file' end as status from t left join b using (target)),
+    f as (select path, min(pos) as first from r where path is not null group by 1), k as (select * from f where path not in (select string_split(path, '::')[1] from f where contains(path, '::')))
+    select target, r.path, status, pos, case when pos = k.first then pos end as run_pos from r left join k on r.path = k.path"""
+)
+def test_batch(t):
+    """Test targets as one run takes them."""
+    return workspace.target_batch(BATCH.df(t.spark), BATCH_FILES.df(t.spark), TEST_NODES.df(t.spark))
+
+
+@query(
+    """with s as (select conv_id, role as step, length(text) as prompt_tokens, turn as output_tokens, length(role) as prompt_chars from conversations)
+    select conv_id, count(distinct step) as calls, sum(prompt_tokens)::bigint as prompt_tokens, sum(output_tokens)::bigint as output_tokens, sum(prompt_chars)::bigint as prompt_chars, (sum(prompt_tokens) + sum(output_tokens))::bigint as total_tokens from s group by 1"""
+)
+def analysis_usage(t):
+    steps = t("conversations").select("conv_id", F.col("role").alias("step"), F.length("text").alias("prompt_tokens"), F.col("turn").alias("output_tokens"), F.length("role").alias("prompt_chars"))
+    return usage.analysis_usage(steps, ["conv_id"])
+
+
+@query(
+    f"""select n_nationkey as id, coalesce(case when n_nationkey % 3 = 0 then 'new' end, 't' || n_nationkey) as title, 'd' as descr, case when n_nationkey % 2 = 0 then 'x' end as extra, array_to_string(list_filter(['a', case when n_nationkey % 2 = 0 then 'b' else 'a' end, 'b'], lambda x, i: list_position(['a', case when n_nationkey % 2 = 0 then 'b' else 'a' end, 'b'], x) = i), ',') as targets,
+    concat_ws(' ', n_name, case when n_nationkey % 2 = 0 then 'doc' end) as summary from nation"""
+)
+def allowed_fields(t):
+    """Allowed keys over an entry's own, unions of test targets, target summaries."""
+    n = t("nation")
+    target = F.create_map(F.lit("title"), F.expr("concat('t', n_nationkey)"), F.lit("descr"), F.lit("d"))
+    source = F.create_map(F.lit("title"), F.expr("if(n_nationkey % 3 = 0, 'new', ' ')"), F.lit("extra"), F.expr("if(n_nationkey % 2 = 0, 'x', null)"), F.lit("forbidden"), F.lit("z"))
+    merged = knowledge.allowed_merge(target, source, ("title", "extra"))
+    both = workspace.all_targets(F.array(F.lit("a"), F.expr("if(n_nationkey % 2 = 0, 'b', ' ')")), F.array(F.lit("b"), F.lit("a")))
+    summary = sources.target_summary(F.col("n_name"), F.expr("if(n_nationkey % 2 = 0, 'doc', '')"), F.lit(None).cast("string"), F.lit(" "))
+    return n.select(F.col("n_nationkey").alias("id"), merged["title"].alias("title"), merged["descr"].alias("descr"), merged["extra"].alias("extra"), F.array_join(both, ",").alias("targets"), summary.alias("summary"))

@@ -69,6 +69,11 @@ def snippet(source: Column, start: Column, end: Column, most: int) -> Column:
     return F.array_join(F.when(F.size(lines) <= most, lines).otherwise(span), "\n")
 
 
+def target_summary(name: Column, docstring: Column, title: Column, description: Column) -> Column:
+    """What a reference search says of its target besides the request."""
+    return F.array_join(F.filter(F.array(name, docstring, title, description), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), " ")
+
+
 def query_text(title: Column, description: Column, constraints: Column) -> Column:
     """A change request as one query; null where nothing is said."""
     parts = F.filter(F.flatten(F.array(F.array(title, description), F.coalesce(constraints, F.array().cast("array<string>")))), lambda p: p.isNotNull() & (F.trim(p) != ""))

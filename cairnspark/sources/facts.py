@@ -50,7 +50,7 @@ class Reader(ast.NodeVisitor):
     function_signature, required_keywords, method_keywords, local_import,
     string_keyword, dependency_read, division, value_type, none_value,
     argument_types, argument_type, literal_argument, returns, returned_call,
-    assigned_value, used_value, text (the file's own, in lower case).
+    assigned_value, used_value, compile_error, text (the file's own, in lower case).
     """
 
     def __init__(self):
@@ -274,6 +274,10 @@ def _read(batches):
                 reader = Reader()
                 reader.visit(ast.parse(source or ""))
                 found = reader.rows
+                try:
+                    compile(source or "", path, "exec")
+                except (SyntaxError, ValueError) as e:
+                    found.append(dict.fromkeys(_ARROW.names) | {"fact": "compile_error", "detail": str(e), "line": getattr(e, "lineno", 0) or 0})
                 if path.startswith("tests/"):
                     found.append(dict.fromkeys(_ARROW.names) | {"fact": "text", "detail": (source or "").lower(), "line": 0})
             except (SyntaxError, ValueError) as e:

@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from cairnspark.functions import text
 from cairnspark.operators import analysis, bundles
 from cairnspark.operators.store import SCHEMAS, Conflict, Store, inbound, inbound_by_name, of_kind
 from cairnspark.plans.engine import Engine
@@ -190,6 +191,81 @@ def test_state_files(spark, tmp_path):
     assert state.new_id("run").startswith("run-") and len({state.new_id("x") for _ in range(50)}) == 50
 
 
+def test_case_folding(spark):
+    signs = [chr(c) for c in range(32, 0xD800)] + [chr(c) for c in range(0xF900, 0xFFFE)]
+    words = ["Straße", "ﬁnal ﬂow ﬃ", "ΣΑΣ ς", "ſet", "ŉx", "Ёлка", "K Å", "Ⅷ ǰ ẞ"] + ["".join(signs[i : i + 500]) for i in range(0, len(signs), 500)]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.normalise("w")).collect()]
+    java = lambda w: w.casefold().replace("ё", "е")
+    assert got[:8] == [java(w) for w in words[:8]]
+    whole = [(a, b) for w, g in zip(words, got, strict=True) for a, b in zip(java(w), g, strict=False) if a != b] if all(len(java(w)) == len(g) for w, g in zip(words, got, strict=True)) else None
+    assert whole is not None and len(whole) <= 400  # signs that the two runtimes' Unicode tables know differently
+
+
+def test_clients(spark):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    from cairnspark.operators import services
+    from cairnspark.sources import clients, documents
+
+    class Server(BaseHTTPRequestHandler):
+        batches = True
+        seen = []
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            Server.seen.append((self.path, self.headers.get("Authorization")))
+            if self.path == "/api/embed" and not Server.batches:
+                self.send_error(404)
+                return
+            replies = {"/api/embed": lambda: {"embeddings": [[len(t), 1] for t in body["input"]]}, "/api/embeddings": lambda: {"embedding": [len(body["prompt"]), 2]}, "/chat": lambda: {"message": {"content": 'so {"a": 1,}'}}}
+            data = json.dumps(replies[self.path]()).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        embed = clients.HttpEmbedder(url, "m", 10)
+        assert embed([]) == [] and embed(["a", "bb"]) == [[1.0, 1.0], [2.0, 1.0]]
+        Server.batches = False
+        assert embed(["abc"]) == [[3.0, 2.0]]
+        rows = documents.embedded(spark.createDataFrame([("x",), ("yy",)], "text string").coalesce(1), embed).collect()
+        assert [list(r["embedding"]) for r in rows] == [[1.0, 2.0], [2.0, 2.0]]
+        assert services.chat_json(clients.HttpChat(f"{url}/chat", "m", 10, key="k"), "s", "u", 10) == {"a": 1} and Server.seen[-1] == ("/chat", "Bearer k")
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_apply_and_references(spark, tmp_path, flows):
+    from cairnspark.operators import diff, workspace
+    from cairnspark.operators.store import repeated_keys
+    from cairnspark.sources import documents
+
+    for d, files in (("w", {"a/x.py": "new", "same.py": "1"}), ("p", {"gone.py": "old", "same.py": "1"})):
+        for path, body in files.items():
+            (tmp_path / d / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / d / path).write_text(body)
+    make = lambda *paths: spark.createDataFrame([(p,) for p in paths], "file_path string")
+    actions = diff.apply_actions(make("a/x.py", "gone.py", "none.py"), make("a/x.py", "same.py"), make("gone.py", "same.py"))
+    assert workspace.applied(spark, actions, f"file://{tmp_path}/w", f"file://{tmp_path}/p") == {"copied": 1, "deleted": 1}
+    assert (tmp_path / "p/a/x.py").read_text() == "new" and not (tmp_path / "p/gone.py").exists()
+    with pytest.raises(ValueError, match="unsafe"):
+        workspace.applied(spark, diff.apply_actions(make("../x"), make("../x"), make()), "file:///w", "file:///p")
+    arts = documents.manifest(spark, [{"artifact_id": "r1", "title": "One"}]).withColumn("source", F.lit('"""Doc."""'))
+    engine = flows.engine
+    assert engine.sync_references(arts) == {"reference_documents_count": 1, "reference_documents_changed": True}
+    assert engine.sync_references(arts)["reference_documents_changed"] is False and engine.sync_references(arts, force=True)["reference_documents_changed"] is True
+    assert engine.store.read("doc_vectors", "reference_library").count() == 1
+    assert repeated_keys("files", rows(spark, "files", ("p", "a", "1", "m"), ("p", "a", "2", "m"))).count() == 1 and repeated_keys("relations", engine.store.read("relations")).count() == 0
+
+
 def test_small_operators(spark):
     one = spark.range(1)
     objects = F.array(F.struct(F.lit(1).alias("a")), F.struct(F.lit(2).alias("a")), F.struct(F.lit(1).alias("a")))
