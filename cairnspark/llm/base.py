@@ -138,24 +138,24 @@ def components(edges: DataFrame) -> DataFrame:
     component's smallest node, itself among the nodes.
 
     Alternating large-star and small-star steps; each round is one job that
-    ends in a shared table. Hubs are handled by ``group_lookup``.
+    ends in a shared table, until a round leaves the edges as they were: as
+    many, and none that was not there. Hubs are handled by ``group_lookup``.
     """
-    spark = edges.sparkSession
     low = {"m": (F.min("v"), F.min("m"))}
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.hash("v", "u"))).first())
-        if sign == seen or not sign[0]:
-            break
-        seen = sign
+    n = now.count()
+    while n:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = group_lookup(both, ["u"], F.col("v"), low).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = group_lookup(large, ["u"], F.col("v"), low)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         then = stored(small, "edges")
+        m = then.count()
+        still = m == n and then.join(now, ["u", "v"], "left_anti").isEmpty()
         dropped(now)
-        now = then
+        now, n = then, m
+        if still:
+            break
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 

@@ -7,7 +7,7 @@ passes; what one cannot use goes to its siblings first, and leaves the
 subtree only where all of them are full. Each leaf then takes whole epochs
 and, of the next epoch's seeded order, the longest prefix of documents that
 fits. The prefix is found from sums over hash ranges, so that only the one
-range that holds its end is ever put in order.
+range that holds its end is ever put in order, and that by stretches.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import running, stored
 
-#: Hash ranges of a leaf's order.
-RANGES = 4096
+#: The hash range that holds a prefix's end is found in so many steps, each of
+#: so many bits of the hash.
+STEPS, BITS = 3, 6
 
 
 @dataclass(frozen=True)
@@ -120,17 +121,32 @@ def budgets(slim: DataFrame, plan: Plan) -> list[tuple]:
     supply = {tuple(k.split("\x1f")): n * plan.max_epochs for k, n in have.items()}
     target = {"\x1f".join(p): n for p, n in allocate(plan.weights, supply, int(total * plan.share)).items()}
     rows = [(k, n, n // have[k] if have.get(k) else 0) for k, n in sorted(target.items())]
-    goals = spark.createDataFrame(rows, "_leaf string, _target long, _epochs long") if rows else None
-    if goals is None:
+    if not rows:
         return []
-    ranged = slim.join(F.broadcast(goals), "_leaf").withColumn("_range", F.shiftrightunsigned(_order(plan, F.col("_epochs")), 52))
-    sums = ranged.groupBy("_leaf", "_range", "_epochs", "_target").agg(F.sum("_tokens").alias("n"))
-    run = sums.withColumn("upto", F.expr("sum(n) over (partition by _leaf order by _range)"))
-    run = run.join(F.broadcast(spark.createDataFrame(sorted(have.items()) or [("", 0)], "_leaf string, _have long")), "_leaf").withColumn("rest", F.expr("_target - _epochs * _have"))
-    ends = run.where("upto > rest").groupBy("_leaf").agg(F.min(F.struct("_range", (F.col("upto") - F.col("n")).alias("before"))).alias("end")).collect()
-    found = {r["_leaf"]: (r["end"]["_range"], r["end"]["before"]) for r in ends}
+    # the end's range: its first bits, the tokens before it, and whether it exists at all
+    ends = {k: (0, 0) for k, _, e in rows if have.get(k)}
+    rest = {k: n - e * have.get(k, 0) for k, n, e in rows}
+    for step in range(STEPS):
+        goals = spark.createDataFrame([(k, e, ends[k][0]) for k, _, e in rows if k in ends], "_leaf string, _epochs long, _prefix long")
+        ranged = slim.join(F.broadcast(goals), "_leaf").withColumn("_h", _order(plan, F.col("_epochs")))
+        if step:
+            ranged = ranged.where(F.shiftrightunsigned("_h", 64 - BITS * step) == F.col("_prefix"))
+        # at most 2 ** BITS rows for a leaf of the tree come to the driver
+        sums = ranged.groupBy("_leaf", F.shiftrightunsigned("_h", 64 - BITS * (step + 1)).cast("long").alias("_range")).agg(F.sum("_tokens").alias("n")).collect()
+        found = {}
+        for r in sorted(sums, key=lambda r: (r["_leaf"], r["_range"])):
+            leaf = r["_leaf"]
+            if leaf not in found:
+                before = ends[leaf][1]
+                if before + r["n"] > rest[leaf]:
+                    found[leaf] = (r["_range"], before)
+                else:
+                    ends[leaf] = (ends[leaf][0], before + r["n"])
+        ends = found
+        if not ends:
+            break
     # no end: the rest holds the whole epoch, which is an epoch of its own, so there is nothing to add
-    return [(k, n, e, *found.get(k, (-1, 0)), n - e * have.get(k, 0)) for k, n, e in rows]
+    return [(k, n, e, *ends.get(k, (-1, 0)), rest[k]) for k, n, e in rows]
 
 
 def selected(rows: DataFrame, plan: Plan, cuts: list[tuple]) -> DataFrame:
@@ -139,14 +155,13 @@ def selected(rows: DataFrame, plan: Plan, cuts: list[tuple]) -> DataFrame:
     spark = rows.sparkSession
     table = spark.createDataFrame(cuts, "_leaf string, _target long, _epochs long, _end long, _before long, _rest long")
     joined = rows.join(F.broadcast(table), "_leaf", "left").withColumn("_h", _order(plan, F.coalesce("_epochs", F.lit(0))))
-    joined = joined.withColumn("_range", F.shiftrightunsigned("_h", 52).cast("long"))
+    joined = joined.withColumn("_range", F.shiftrightunsigned("_h", 64 - BITS * STEPS).cast("long"))
     inside = "_leaf is not null and _epochs is not null and _range = _end"
     plain = joined.where(f"not coalesce({inside}, false)").withColumn("_copies", F.expr("coalesce(_epochs + int(_range < _end), 0)"))
-    edge = joined.where(inside).withColumn(
-        "_upto", F.expr("_before + sum(_tokens) over (partition by _leaf order by shiftrightunsigned(_h, 1), _h, doc_id, _text_code rows unbounded preceding)")
-    )
+    edge = joined.where(inside).withColumn("_high", F.shiftrightunsigned("_h", 1))
+    edge = running(edge, ["_leaf"], ["_high", "_h", "doc_id", "_text_code"], "_tokens", "_upto")
     # a document of no words may follow the last that fits; it fits too
-    edge = edge.withColumn("_copies", F.expr("_epochs + int(_upto <= _rest)")).drop("_upto")
+    edge = edge.withColumn("_copies", F.expr("_epochs + int(_before + _upto + _tokens <= _rest)")).drop("_upto", "_high")
     return plain.unionByName(edge)
 
 
@@ -170,10 +185,13 @@ def mixture(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def mixed(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``docs`` with each row as often as the mixture holds it."""
+    """``docs`` with each row as often as the mixture holds it (see
+    ``mixture``); columns may have any name."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     slim = stored(measured(docs, plan).select("doc_id", "_tokens", "_text_code", "_leaf"), "measured")
-    taken = selected(measured(docs, plan), plan, budgets(slim, plan)).where("_copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    taken = selected(measured(held, plan).drop("text"), plan, budgets(slim, plan)).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_nth")).select("_row.*")
 
 
 def production_plan() -> Plan:

@@ -21,21 +21,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import clear_of, hash_sample, texts
+from .base import clear_of, hash_sample, stored, texts
 from .blobs import gathered, slices, tidied
 
+#: Bytes of text whose words get their features at once.
+SLICE = 2 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
     """max_docs bounds the training sample (half of it per label) and
     max_features the distinct features of its documents together, beyond which
-    none is taken; the rest are the sizes of the model and of its training."""
+    none is taken. A document's average counts ``smooth`` features of no
+    weight besides its own, so that a few words settle little. The rest are
+    the sizes of the model and of its training."""
 
     max_docs: int = 4000
     max_features: int = 1 << 25
     buckets: int = 1 << 17
     dim: int = 8
     ngrams: tuple[int, int] = (3, 4)
+    smooth: float = 64.0
     epochs: int = 4
     batch: int = 16
     rate: float = 4.0
@@ -77,12 +83,14 @@ def documents(texts: pa.Array, s: Settings):
     coded = words.flatten().dictionary_encode()
     buckets, sizes = features(coded.dictionary, s)
     which, ends = coded.indices.to_numpy(), np.cumsum(words.value_lengths().to_numpy())
+    blank = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)  # stands before leading white space
     for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         own, count = np.unique(which[begin:end], return_counts=True)
+        own, count = own[~blank[own]], count[~blank[own]]
         found, _ = gathered(buckets, sizes, own)
         some, at = np.unique(found, return_inverse=True)
         share = np.bincount(at, weights=np.repeat(count, sizes[own]), minlength=len(some)).astype(np.float32)
-        yield some, share / max(share.sum(), 1)
+        yield some, share / (share.sum() + s.smooth)
 
 
 @dataclass
@@ -97,11 +105,13 @@ class Model:
         coded = words.flatten().dictionary_encode()
         buckets, sizes = features(coded.dictionary, self.settings)
         total = np.add.reduceat(self.margins[buckets], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        blank = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)  # stands before leading white space
+        total, sizes = np.where(blank, 0.0, total), np.where(blank, 0, sizes)
         which, lens = coded.indices.to_numpy(), words.value_lengths().to_numpy().astype(np.int64)
         z, some = np.full(len(lens), self.bias), lens > 0
         if some.any():
             at = (np.cumsum(lens) - lens)[some]
-            z[some] += np.add.reduceat(total[which], at) / np.add.reduceat(sizes[which], at)
+            z[some] += np.add.reduceat(total[which], at) / (np.add.reduceat(sizes[which], at) + self.settings.smooth)
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
@@ -145,7 +155,7 @@ def learn(docs: list[tuple[np.ndarray, np.ndarray]], marks: list[int], prior: tu
 def _featured(s: Settings):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 packed = [zlib.compress(b.astype("<u4").tobytes() + w.astype("<f4").tobytes(), 1) for b, w in documents(part.column("text"), s)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"])
 
@@ -166,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, settin
         return Model(np.zeros(settings.buckets), 0.0, settings)
     small = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
     found = texts(docs).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    found = found.mapInArrow(tidied(_featured(settings)), "doc_id long, y int, features binary")
+    found = stored(found.mapInArrow(tidied(_featured(settings)), "doc_id long, y int, features binary"), "features")
     sample, room = [], settings.max_features
     for r in found.orderBy(F.xxhash64(F.lit(settings.seed), "doc_id"), "doc_id", "y").toLocalIterator():
         data = zlib.decompress(r["features"])
@@ -190,7 +200,7 @@ class Scorer:
 def _scores(shared):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -222,7 +232,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, rated):
+            for part in slices(batch, rated, SLICE):
                 yield part.select(names).filter(pa.array(shared.value.scores(part.column(rated)) >= threshold))
 
     return docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(rated)).mapInArrow(tidied(run), docs.schema)

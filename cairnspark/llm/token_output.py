@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import shuffle_parts, stored, texts
-from .blobs import tidied
+from .blobs import gathered, slices, tidied
 
 END_ID = 2
 STEP = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_TOKENS = 1 << 20
 #: Pieces of words remembered by a worker; the memory is emptied when full.
-MEMORY_WORDS = 3 << 17
+MEMORY_WORDS = 1 << 18
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -108,8 +108,6 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: apostrophe, which the tokenizer takes together with some letters.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ALL_LETTERS = "".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{LETTERS}]", c))
-#: Documents that are encoded together.
-ENCODED = 1024
 #: Words of letters that are encoded in one call.
 JOINED = 4096
 
@@ -217,16 +215,6 @@ def listed(words: pa.Array) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
 
 
-def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of ``values`` that ``which`` names, end to end, and their
-    ends; run i has sizes[i] values."""
-    if not len(which):
-        return values[:0], np.zeros(0, np.int64)
-    each = sizes[which]
-    ends = np.cumsum(each)
-    return values[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each) + np.arange(ends[-1])], ends
-
-
 _tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
 
 
@@ -249,8 +237,7 @@ def _encode(path: str, end_id: int, segment_tokens: int, whole: bool):
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED):
-                own = batch.slice(at, ENCODED)
+            for own in slices(batch, "text"):
                 found, sizes = model.encode(own.column("text"))
                 # each document's ids with the end id behind them
                 found, ends = np.insert(found, np.cumsum(sizes), end_id), np.cumsum(sizes + 1).tolist()

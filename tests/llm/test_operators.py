@@ -251,6 +251,55 @@ def test_quality(spark, sf, docs, empty):
     assert quality.classified(empty, some).count() == 0
 
 
+def plain_features(word, s):
+    """Buckets of one word, sign by sign in whole numbers."""
+    mix = lambda h: (lambda x: (x ^ x >> 13) & (s.buckets - 1))((h ^ h >> 15) * 0x2C1B3C6D % 2**32)
+    step, signs, whole, power = 0x9E3779B1, [ord(c) for c in f"<{word}>"], 0, 1
+    for c in signs:
+        power = power * step % 2**32
+        whole = (whole + c * power) % 2**32
+    out = [mix(whole ^ 0x85EBCA6B)]
+    for n in range(s.ngrams[0], s.ngrams[1] + 1):
+        for i in range(len(signs) - n + 1):
+            code = 0
+            for c in signs[i : i + n]:
+                code = (code * step + c) % 2**32
+            out.append(mix((code + n) % 2**32))
+    return out
+
+
+def test_quality_scores_against_brute_force(spark, docs, rows):
+    s = quality.Settings(buckets=1 << 10)
+    r = np.random.default_rng(1)
+    model = quality.Model(r.normal(size=s.buckets), 0.3, s)
+    want = {}
+    for d, t, *_ in rows:
+        found = [b for w in words(t) for b in plain_features(w, s)]
+        z = 0.3 + sum(model.margins[b] for b in found) / (len(found) + s.smooth)
+        want.setdefault(d, []).append(round(1 / (1 + math.exp(-z)), 9))
+    mine = {}
+    for x in quality.scored(docs, model).collect():
+        mine.setdefault(x["doc_id"], []).append(round(x["score"], 9))
+    assert {d: sorted(v) for d, v in mine.items()} == {d: sorted(v) for d, v in want.items()}
+    import pyarrow as pa
+
+    buckets, share = next(quality.documents(pa.array(["aa bé aa\tx"]), s))
+    count = Counter(b for w in ("aa", "bé", "aa", "x") for b in plain_features(w, s))
+    assert dict(zip(buckets.tolist(), (share * (sum(count.values()) + s.smooth)).round(3).tolist(), strict=True)) == dict(count)
+    kept = quality.accepted(docs, model, 0.5)
+    assert kept.columns == docs.columns and kept.count() == sum(x >= 0.5 for v in want.values() for x in v)
+
+
+def test_quality_cases(spark, docs):
+    some = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (4, 1)], "doc_id long, quality int")
+    out = quality.classified(docs, some).collect()
+    assert {x["held_out"] for x in out if x["doc_id"] is None} == {False} and all(x["held_out"] is not None for x in out)
+    small = quality.fit(docs, some, settings=quality.Settings(max_features=1))
+    assert not small.margins.any() or small.margins.shape == (quality.Settings().buckets,)
+    odd = docs.withColumn("_rated", F.lit("x")).withColumn("_RATED2", F.lit(1))
+    assert quality.accepted(odd, quality.Model(np.zeros(1 << 17), 1.0, quality.Settings())).columns == odd.columns
+
+
 def test_quality_learns():
     r = random.Random(2)
     clean = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(50)).encode()
@@ -443,34 +492,84 @@ def test_mixing_split():
     assert got_ == {("a", "x", "s"): 5, ("a", "x", "t"): 15, ("a", "y", "u"): 20, ("b", "x", "v"): 40}
 
 
-def test_mixture(spark, docs, rows, empty):
-    plan = mixing.Plan({"d": (1, {"en": (2, {"src0": 3, "src1": 1}), "fr": (1, {"src0": 1, "src7": 1})})}, "'d'", Fraction(1, 2), 2)
+def spark_hash(*values):
+    """Spark's xxhash64 of (width, value) columns, one seeding the next."""
+    h = 42
+    for width, v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if width == "s" else v.to_bytes(width, "little", signed=True), h)
+    return h
+
+
+def brute_budget(tree, supply, budget, path=()):
+    """Shares by a common level: each child gets level x weight, at most its capacity; parts of a token to the largest rests."""
+    leafs = lambda x, at: sum(leafs(y[1] if isinstance(y, tuple) else None, (*at, k)) for k, y in x.items()) if isinstance(x, dict) else supply.get(at, 0)
+    kids = [(k, Fraction(str(x[0] if isinstance(x, tuple) else x)), leafs(x[1] if isinstance(x, tuple) else None, (*path, k)), x) for k, x in tree.items()]
+    left, weight = Fraction(min(budget, sum(c for *_, c, _ in kids))), sum(w for _, w, _, _ in kids)
+    level = None
+    for _, w, c, _ in sorted(kids, key=lambda x: x[2] / x[1]):
+        if left * w / weight < c:
+            level = left / weight
+            break
+        left, weight = left - c, weight - w
+    exact = [Fraction(c) if level is None else min(Fraction(c), level * w) for _, w, c, _ in kids]
+    shares = [int(e) for e in exact]
+    for i in sorted(range(len(kids)), key=lambda i: (shares[i] - exact[i], i))[: min(budget, sum(c for *_, c, _ in kids)) - sum(shares)]:
+        shares[i] += 1
+    out = {}
+    for (k, _, _, x), n in zip(kids, shares, strict=True):
+        out |= brute_budget(x[1], supply, n, (*path, k)) if isinstance(x, tuple) else {(*path, k): n}
+    return out
+
+
+def brute_mixture(rows, plan):
+    """(doc_id, source, tokens) with copies, by plain sorting of hashes worked out here."""
+    leaves = {("d", x, s) for x, (_, ss) in plan.weights["d"][1].items() for s in ss}
+    data = [(d, lang, source, len(words(t)), spark_hash(("s", t or "")), ("d", lang, source) if ("d", lang, source) in leaves else None) for d, t, lang, source, *_ in rows]
+    have = Counter()
+    for x in data:
+        have[x[5]] += x[3]
+    target = brute_budget(plan.weights, {k: have[k] * plan.max_epochs for k in leaves}, int(sum(x[3] for x in data) * plan.share))
+    out = Counter()
+    for leaf, goal in target.items():
+        own = [x for x in data if x[5] == leaf]
+        epochs = goal // have[leaf] if have[leaf] else 0
+        sign = lambda n: n - (1 << 64) if n >> 63 else n
+        own.sort(key=lambda x: (spark_hash((4, plan.seed), (8, epochs), (8, -1 if x[0] is None else x[0]), (8, sign(x[4]))), x[0] if x[0] is not None else -1))
+        used = 0
+        for x in own:
+            used += x[3]
+            out[x[0], x[2], x[3], epochs + (used <= goal - epochs * have[leaf])] += 1
+    for x in data:
+        if x[5] is None:
+            out[x[0], x[2], x[3], 0] += 1
+    return out
+
+
+@pytest.mark.parametrize("share, epochs", [(Fraction(1, 2), 2), (Fraction(9, 10), 1), (Fraction(2), 3)])
+def test_mixture(spark, docs, rows, empty, share, epochs):
+    plan = mixing.Plan({"d": (1, {"en": (2, {"src0": 3, "src1": 1}), "fr": (1, {"src0": 1, "src7": 1})})}, "'d'", share, epochs)
+    want = brute_mixture(rows, plan)
     out = mixing.mixture(docs, plan)
-    have, order = Counter(), {}
-    data = mixing.measured(docs, plan).select("*", *[mixing._order(plan, F.lit(e).cast("long")).alias(f"h{e}") for e in range(3)]).collect()
-    for r in data:
-        if r["_leaf"]:
-            have[r["_leaf"]] += r["_tokens"]
-    total = sum(len(words(t)) for _, t, *_ in rows)
-    target = mixing.allocate(plan.weights, {tuple(k.split("\x1f")): 2 * n for k, n in have.items()}, total // 2)
-    want = Counter()
-    for r in data:
-        if not r["_leaf"]:
-            want[r["doc_id"], r["source"], r["_tokens"], 0] += 1
-    for path, goal in target.items():
-        leaf = "\x1f".join(path)
-        e = goal // have[leaf] if have[leaf] else 0
-        rest, used = goal - e * have[leaf], 0
-        order = sorted((r for r in data if r["_leaf"] == leaf), key=lambda r: (r[f"h{e}"] % (1 << 64), r["doc_id"] or -1))
-        for r in order:
-            used += r["_tokens"]
-            want[r["doc_id"], r["source"], r["_tokens"], e + (used <= rest)] += 1
     assert Counter((r["doc_id"], r["source"], r["n_tokens"], r["copies"]) for r in out.collect()) == want
-    mixed = mixing.mixed(docs, plan)
-    assert mixed.columns == docs.columns and mixed.count() == sum(k[3] * n for k, n in want.items())
+    odd = docs.withColumns({c: F.lit("mine") for c in ("_leaf", "_tokens", "_row", "_nth", "_h", "_text_code", "_domain", "_copies")})
+    mixed = mixing.mixed(odd, plan)
+    got_ = mixed.select("doc_id", "source", "_leaf", "_row", "_copies").collect()
+    assert mixed.columns == odd.columns and len(got_) == sum(k[3] * n for k, n in want.items()) and all(tuple(x)[2:] == ("mine",) * 3 for x in got_)
+    assert Counter((x["doc_id"], x["source"]) for x in got_) == sum((Counter({(k[0], k[1]): k[3] * n}) for k, n in want.items()), Counter())
     assert mixing.mixture(empty, plan).count() == mixing.mixed(empty, plan).count() == 0
 
 
+def test_mixture_of_one_hot_leaf(spark):
+    """A leaf of many rows, most of them copies of one: every place of the prefix's end."""
+    rows = [(i % 40 if i % 3 else 7, "a b c" if i % 3 else "one same text", "en", "src0") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for share in (Fraction(1, 7), Fraction(1, 2), Fraction(99, 100)):
+        plan = mixing.Plan({"d": (1, {"en": (1, {"src0": 1})})}, "'d'", share, 1)
+        taken = sum(r["copies"] * r["n_tokens"] for r in mixing.mixture(df, plan).collect())
+        assert taken == int(1800 * share) // 3 * 3
+        assert mixing.mixed(df, plan).count() == taken // 3
+
+
 CHAT = ("conv_id", "part", "perspective", "n_turns", "n_masked", "start", "rendered", "mask")
 
 
@@ -664,6 +763,49 @@ def test_messages_run_until_they_are_still():
     assert len(nodes.chain) == 60 and np.allclose(field.marginals(nodes), want / want.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_pipeline_stages_on_odd_rows(spark, rows, sf):
+    """Nulls, repeated rows, columns of clashing names and an empty table, in every stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _rated string, _judged string, _leaf string, code long, fp long, row string, _id int"
+    odd = spark.createDataFrame([(d, t, lang, source, 1, "r", "j", "l", 1, 2, "x", 3) for d, t, lang, source, *_ in rows] + [(5, "again", None, None, None, None, None, None, None, None, None, None)] * 2, schema)
+    odd.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/odd_rows")
+    odd = spark.read.parquet(path)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, none = stage(spark, odd, sf), stage(spark, odd.limit(0), sf)
+        assert none.count() == 0, name
+        if k < 4:
+            assert out.columns == none.columns == odd.columns, name
+            left = Counter(map(str, out.collect()))
+            whole = Counter(map(str, odd.collect()))
+            assert set(left) <= set(whole) and (k == 3 or left <= whole), name
+            if k == 1:
+                assert left == Counter(dict.fromkeys(left, 1))
+                classes = {x["fingerprint"] for x in simhash.near_duplicates(odd).collect()}
+                assert sum(left.values()) <= len(classes)
+            if k == 2:
+                dirty = {x["doc_id"] for x in decontaminate.contaminated(odd, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+                assert sum(left.values()) == sum(x["doc_id"] not in dirty or x["doc_id"] is None for x in odd.collect())
+        else:
+            assert sorted((x["doc_id"] is not None, x["doc_id"] or 0) for x in out.collect()) == sorted((d["doc_id"] is not None, d["doc_id"] or 0) for d in odd.collect())
+
+
+def test_pipeline_quality_and_mixture_against_brute_force(spark, sf):
+    """What the classifier and the mixture decide is what the stages do."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = set()
+    for d in docs.collect():
+        found = [b for w in words(d["text"]) for b in plain_features(w, model.settings)]
+        if model.bias + sum(model.margins[b] for b in found) / (len(found) + model.settings.smooth) >= 0:
+            want.add(d["doc_id"])
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, sf).collect()} == want
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mixture(docs, mixing.production_plan()).collect()}
+    assert Counter(r["doc_id"] for r in corpus_pipeline.STAGES[3][1](spark, docs, sf).collect()) == Counter({d: n for d, n in copies.items() if n})
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
