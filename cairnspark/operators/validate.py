@@ -10,6 +10,7 @@ from __future__ import annotations
 import builtins
 import sys
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,6 +52,12 @@ class Case:
     members: DataFrame
 
 
+#: Rules that are planned together. One plan of all rules has hundreds of
+#: stages, and each that ends has the whole plan looked at again.
+TOGETHER = 6
+#: Groups of rules that are planned and run at once; planning is what takes time.
+AT_ONCE = 8
+
 Rule = Callable[[Case], DataFrame]
 RULES: dict[str, tuple[str, str, Rule]] = {}
 
@@ -797,13 +804,21 @@ def _(c):
 
 
 def validated(case: Case, blocks: tuple[str, ...] = ("production", "generated_test", "generated_test_relevance"), codes: list[str] | None = None) -> DataFrame:
-    """Issues of the named blocks' rules (or of ``codes``), with the block."""
-    out = None
-    for code, (block, severity, f) in RULES.items():
-        if (code in codes) if codes is not None else (block in blocks):
-            rows = f(case).select("unit", F.lit(code).alias("code"), F.lit(severity).alias("severity"), "file_path", "symbol", "message", F.lit(block).alias("block"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    """Issues of the named blocks' rules (or of ``codes``), with the block.
+    More rules than ``TOGETHER`` are worked out in groups, each written to the
+    shared folder."""
+    chosen = [code for code, (block, _, _) in RULES.items() if ((code in codes) if codes is not None else (block in blocks))]
+
+    def issues(some: list[str]) -> DataFrame:
+        rows = [(code, *RULES[code]) for code in some]
+        parts = [f(case).select("unit", F.lit(code).alias("code"), F.lit(severity).alias("severity"), "file_path", "symbol", "message", F.lit(block).alias("block")) for code, block, severity, f in rows]
+        return reduce(DataFrame.unionByName, parts)
+
+    if len(chosen) <= TOGETHER:
+        return issues(chosen) if chosen else None
+    groups = [chosen[at : at + TOGETHER] for at in range(0, len(chosen), TOGETHER)]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda g: stored(issues(g), "issues"), groups))
 
 
 def report(issues: DataFrame, units: DataFrame, blocks: tuple[str, ...] = ("production", "generated_test")) -> DataFrame:
