@@ -32,40 +32,47 @@ def _col(c: Column | str) -> Column:
 
 #: Signs whose folded form is not their small one, worked out from Python's
 #: tables for the first plane: those that fold to one sign, and to several.
-_folds = {c: c.casefold() for c in map(chr, range(128, 0xD800)) if c.casefold() != c.lower() and c.lower() == c} | {c: c.casefold() for c in map(chr, range(0xF900, 0xFFFF)) if c.casefold() != c.lower() and c.lower() == c}
+_folds = {c: c.casefold() for c in map(chr, [*range(128, 0xD800), *range(0xF900, 0xFFFF)]) if c.casefold() != c.lower() and c.lower() == c}
 _one = {c: f for c, f in _folds.items() if len(f) == 1}
-_many = {c: f for c, f in _folds.items() if len(f) > 1 and c != "ß"}
-_rare = "[" + "".join(c for c in _folds if c not in "ßς") + "]"
+_many = {c: f for c, f in _folds.items() if len(f) > 1}
 
 
-def _folded(small: Column) -> Column:
-    out = F.translate(small, "".join(_one), "".join(_one.values()))
-    for c, f in _many.items():
-        out = F.replace(out, F.lit(c), F.lit(f))
-    return out
+def _ranges(signs) -> str:
+    """A pattern of the signs, neighbours as ranges."""
+    codes, runs = sorted(map(ord, signs)), []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_several = _ranges(_many)
 
 
 def normalise(c: Column | str) -> Column:
-    """Case-folded, with ё as е. ß and ς are folded at once; texts with rarer
-    signs whose folded form is not their small one (ligatures and the like)
-    take the longer way."""
+    """Case-folded, with ё as е. Signs that fold to one other are translated
+    at once; only texts that hold a sign that folds to several (ligatures and
+    the like) are taken apart sign by sign, and ASCII texts are not looked at
+    again."""
     small = F.lower(_col(c))
-    plain = F.when(small.rlike(_rare), _folded(small)).otherwise(small)
-    return F.replace(F.translate(plain, "ёς", "еσ"), F.lit("ß"), F.lit("ss"))
+    plain = F.translate(small, "ё" + "".join(_one), "е" + "".join(_one.values()))
+    table = F.create_map(*[F.lit(x) for kv in _many.items() for x in kv])
+    apart = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(F.octet_length(small) == F.length(small), small).when(plain.rlike(_several), apart).otherwise(plain)
 
 
 def tokens(c: Column | str, pattern: str = TERM_PATTERN) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(f"({pattern})"), F.lit(1))
 
 
-def stem(c: Column | str) -> Column:
-    """Without the first suffix of the list that leaves four letters."""
-    word = normalise(c)
-    out = word
-    for suffix in reversed(SUFFIXES):
-        n = len(suffix)
-        out = F.when(word.endswith(suffix) & (F.length(word) - n >= LEAST_STEM), F.substring(word, F.lit(1), F.length(word) - n)).otherwise(out)
-    return out
+def stem(word: Column | str) -> Column:
+    """A folded word without the first suffix of the list that leaves four
+    letters."""
+    w = _col(word)
+    fits = F.filter(F.array(*[F.lit(x) for x in SUFFIXES]), lambda x: F.endswith(w, x) & (F.length(w) - F.length(x) >= LEAST_STEM))
+    return F.substring(w, F.lit(1), F.length(w) - F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0)))
 
 
 def stem_sql(word: str) -> str:
@@ -87,13 +94,13 @@ def rooted(terms: Column) -> Column:
 
 def plain_stem(word: str) -> str:
     """``stem`` of one word, for a query that is known when the plan is made."""
-    word = word.lower().translate(str.maketrans("ёς", "еσ")).replace("ß", "ss")
+    word = word.casefold().replace("ё", "е")
     return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) - len(s) >= LEAST_STEM), word)
 
 
 def plain_terms(query: str) -> list[tuple[str, str]]:
     """``query_terms`` of such a query, each with its stem."""
-    folded = query.lower().translate(str.maketrans("ёς", "еσ")).replace("ß", "ss")
+    folded = query.casefold().replace("ё", "е")
     kept = {t for t in re.findall(TERM_PATTERN, folded) if t not in STOP_WORDS}
     return [(t, plain_stem(t)) for t in sorted(kept | {plain_stem(t) for t in kept if len(t) >= LEAST_STEM} - {""})]
 
@@ -176,9 +183,19 @@ def safe_double(c: Column | str) -> Column:
 
 
 def duration_text(ms: Column | str) -> Column:
-    """12.3s under a minute, else 2m 5s."""
+    """12.3s under a minute, else 2m 5s. Tenths are those of the seconds as a
+    double: its exact value decides at a half, and an exact half goes to the
+    even tenth."""
     c = _col(ms).cast("long")
-    return F.when(c < 60000, F.format_string("%.1fs", c / 1000.0)).otherwise(F.format_string("%dm %ds", F.floor(c / 60000), F.floor(c % 60000 / 1000)))
+    size = F.abs(c)
+    # the double times 2^57 is a whole number under 2^63; both sides are exact
+    held = (size / F.lit(1000.0) * F.lit(float(1 << 57))).try_cast("long").cast("decimal(19,0)") * F.lit(1000).cast("decimal(4,0)")
+    true = size.cast("decimal(10,0)") * F.lit(1 << 57).cast("decimal(18,0)")
+    tenths, rest = F.floor(size / 100), size % 100
+    up = (rest > 50) | ((rest == 50) & ((held > true) | ((held == true) & (tenths % 2 == 1))))
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    short = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))
+    return F.when((c < 60000) & (c > -60000), short).otherwise(F.format_string("%dm %ds", F.floor(c / 60000), F.floor(F.pmod(c, F.lit(60000)) / 1000)))
 
 
 def fence_stripped(c: Column | str) -> Column:
