@@ -76,7 +76,8 @@ def emails(text: str):
 
 
 def ip_ok(found: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+    parts = [p.lstrip("0") or "0" for p in found.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def digits_of(found: str) -> str:

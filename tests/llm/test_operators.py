@@ -626,6 +626,14 @@ def brute_spans(text):
     return [(k, *m.span()) for k in range(4) for m in PATTERNS[k].finditer(text) if fine[k](m[0])]
 
 
+def test_long_runs_of_digits_are_no_crash():
+    """Leading zeros beyond what Python reads as a number, and as many digits."""
+    text = "x " + "0" * 5000 + "1.2.3.4 y " + "9" * 5000 + ".1.1.1 z " + "0" * 5000 + ".0.0.0"
+    assert [(k, text[a:b]) for k, a, b in pii.base_spans(text) if k == 1] == [(1, "0" * 5000 + "1.2.3.4"), (1, "0" * 5000 + ".0.0.0")]
+    short = re.sub("(.)\\1{4999}", lambda m: m[1] * 4000, text)
+    assert pii.base_spans(short) == brute_spans(short)
+
+
 def test_base_spans_against_the_patterns():
     r = random.Random(8)
     for _ in range(6000):
