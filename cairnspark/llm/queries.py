@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, lm_scoring, mixing, pii, quality, simhash, substring, token_output
+from . import chat, decontaminate, exact_dedup, filter_audit, lm_scoring, mixing, neighbours, pii, quality, simhash, substring, token_output, whitening
 from .base import read
 
 
@@ -54,5 +54,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op6_mixing, op7_chat, op8_substring, op9_lm_scoring, op10_pii)}
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_chat": chat.SQL, "op8_substring": substring.SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_output, op4_simhash, op5_quality, op6_mixing, op7_chat, op8_substring, op9_lm_scoring, op10_pii, op11_filter_audit, op12_whitening, op13_neighbours)}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_chat": chat.SQL, "op8_substring": substring.SQL, "op11_filter_audit": filter_audit.SQL}
