@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import stored
-from .search import per_pass, top_per_key
+from . import grams
+from .search import top_per_key
 
 # Edge kinds.
 CALL_KINDS = ("calls", "covered_by_test", "exposed_by_controller")
@@ -104,18 +105,18 @@ def children(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 def file_based_tests(symbols: DataFrame, targets: DataFrame) -> DataFrame:
     """Tests whose file is named after the target's module, or whose name
-    holds the target's name: (qualname of the target, test). The name rule is
-    a substring test against the stated targets, a bounded block of them at a
-    time."""
+    holds the target's name: (qualname of the target, test). Names of tests
+    and targets meet by runs of letters; the test's full name holds its short
+    one, and a target's name found in either counts."""
     tests = symbols.where(is_test_path(F.col("file_path")) & F.col("kind").isin("function", "method")).select(
         F.col("qualname").alias("test"), F.lower("name").alias("_tname"), F.lower("qualname").alias("_tqual"), F.regexp_extract("file_path", r"([^/]+)\.py$", 1).alias("_stem")
     )
     wanted = targets.select("qualname", F.lower("name").alias("_name"), F.concat(F.lit("test_"), F.element_at(F.split("module_name", r"\."), -1)).alias("_file"))
     by_file = tests.join(wanted, F.col("_stem") == F.col("_file")).select("qualname", "test")
-    out = by_file
-    for part in per_pass(wanted, "qualname"):
-        out = out.unionByName(tests.join(part, F.contains("_tname", F.col("_name")) | F.contains("_tqual", F.col("_name"))).select("qualname", "test"))
-    return out.distinct()
+    shown = tests.select("test", F.explode(F.array_distinct(F.array("_tname", "_tqual"))).alias("hay"))
+    held = grams.contained(shown, wanted.select(F.col("_name").alias("needle")))
+    by_name = shown.join(held, "hay").join(wanted.select("qualname", F.col("_name").alias("needle")), "needle").select("qualname", "test")
+    return by_file.unionByName(by_name).distinct()
 
 
 def related_symbols(edges: DataFrame, symbols: DataFrame, targets: DataFrame, keep: int = 12) -> DataFrame:

@@ -98,6 +98,29 @@ def batch_search(t):
     return found.select("query", "p_partkey", "score", "rank")
 
 
+_stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+#: Scores of every document for every benchmark item, from words alone.
+ITEM_SCORES = f"""q as (select trim(text) as query, min(item_id) as item_id from benchmark where trim(text) <> '' group by 1),
+    w as (select item_id, unnest(list_distinct(regexp_extract_all({folded("query")}, '{PATTERN}'))) as term from q),
+    k as (select * from w where term not in ({_stop})),
+    t as (select distinct item_id, term from (select item_id, term from k union all select item_id, {text.stem_sql("term")} from k where length(term) >= {text.LEAST_STEM}) where term <> ''),
+    r as (select distinct term, {text.stem_sql("term")} as root from t),
+    e as (select doc_id, token, max(weight) as weight from (
+      {" union all ".join(f"select doc_id, {w} as weight, unnest(list_distinct(regexp_extract_all({folded(f'coalesce({f}, {chr(39) * 2})')}, '{PATTERN}'))) as token from documents" for f, w in SEARCH_FIELDS.items())}) group by 1, 2),
+    h as (select token, term, case when token = term then 100 when contains(token, term) then 75 else 55 end as m from (select distinct token from e) join r on contains(token, root)),
+    b as (select doc_id, term, max(weight * m // 100) as points from e join h using (token) group by 1, 2),
+    s as (select item_id, doc_id, sum(points) as p from b join t using (term) group by 1, 2)"""
+ITEM_TOP = f"with {ITEM_SCORES} select item_id, doc_id, cast(p / 100.0 as decimal(12, 2)) as score, rank::int as rank from (select *, row_number() over (partition by item_id order by p desc, doc_id) as rank from s) where rank <= 5"
+
+
+@query(ITEM_TOP)
+def benchmark_search(t):
+    """Benchmark items as queries over all documents."""
+    asked = t("benchmark").select(F.col("text").alias("query"), F.col("item_id").alias("pos"))
+    found = search.batch_search(t("documents"), asked, {f: F.col(f) for f in SEARCH_FIELDS}, SEARCH_FIELDS, ["doc_id"], 5)
+    return found.select(F.col("pos").alias("item_id"), "doc_id", "score", "rank")
+
+
 _cosine = "list_cosine_distance(v, q)"
 _vectors = "select vec_id, label, embedding::double[] as v from embeddings"
 
