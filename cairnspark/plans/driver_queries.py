@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import diff, graph, knowledge, search, usage
+from ..functions.tables import shared_folder
+from ..operators import diff, graph, knowledge, postings, search, usage
 from ..sources import code
 from ..sources import documents as sources
 from .registry import QUERIES, SQL, query
@@ -121,6 +124,32 @@ def benchmark_search(t):
     return found.select(F.col("pos").alias("item_id"), "doc_id", "score", "rank")
 
 
+def _postings(t):
+    """An index of all documents, in the shared folder."""
+    index = postings.Postings(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}/index", {"doc_id": "long"}, SEARCH_FIELDS)
+    index.build(t("documents"), {f: F.col(f) for f in SEARCH_FIELDS})
+    return index
+
+
+@query(
+    f"""with d as (select documents.*, {_prepared}, quality from documents left join labels using (doc_id)),
+    s as (select doc_id, quality, ({points_sql(SEARCH_TERMS, SEARCH_FIELDS)}) as p from d)
+    select doc_id, quality, cast(p / 100.0 as decimal(12, 2)) as score from s where p > 0 order by p desc, doc_id limit 20"""
+)
+def indexed_search(t):
+    """``weighted_search`` by postings: blocks that cannot reach the 20th
+    score are not read."""
+    found = _postings(t).search(t.spark.createDataFrame([(SEARCH_TEXT, 0)], "query string, pos int"), 20)
+    return found.join(t("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "quality", "score")
+
+
+@query(ITEM_TOP)
+def indexed_items(t):
+    """``benchmark_search`` by postings."""
+    asked = t("benchmark").select(F.col("text").alias("query"), F.col("item_id").alias("pos"))
+    return _postings(t).search(asked, 5).select(F.col("pos").alias("item_id"), "doc_id", "score", "rank")
+
+
 _cosine = "list_cosine_distance(v, q)"
 _vectors = "select vec_id, label, embedding::double[] as v from embeddings"
 
