@@ -249,7 +249,8 @@ class Index:
         place = Window.partitionBy("hash").orderBy("vec_id")
         ids = self.members.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= most)
         ids = ids.groupBy("hash").agg(F.collect_list("vec_id").alias("ids"))
-        rows = salted_join(best.select("query", "hash", "score"), ids, ["hash"], F.xxhash64("query")).select("query", "hash", "score", F.explode("ids").alias("vec_id"))
+        best = stored(best.select("query", "hash", "score"), "best")  # read twice below
+        rows = salted_join(best, ids, ["hash"], F.xxhash64("query")).select("query", "hash", "score", F.explode("ids").alias("vec_id"))
         rows = rows.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id", "hash", "score")).alias("found"))
         return rows.select(F.col("query").alias("hash"), F.slice(F.array_sort("found"), 1, most).alias("found"))
 
