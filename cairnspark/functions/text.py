@@ -67,10 +67,15 @@ def tokens(c: Column | str, pattern: str = TERM_PATTERN) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(f"({pattern})"), F.lit(1))
 
 
-def stem(word: Column | str) -> Column:
-    """A folded word without the first suffix of the list that leaves four
+def stem(c: Column | str) -> Column:
+    """A word, folded, without the first suffix of the list that leaves four
     letters."""
-    w = _col(word)
+    # through an array, so that the folding stands in the plan once
+    return F.get(F.transform(F.array(normalise(c)), folded_stem), F.lit(0))
+
+
+def folded_stem(w: Column) -> Column:
+    """``stem`` of a word that is folded already."""
     fits = F.filter(F.array(*[F.lit(x) for x in SUFFIXES]), lambda x: F.endswith(w, x) & (F.length(w) - F.length(x) >= LEAST_STEM))
     return F.substring(w, F.lit(1), F.length(w) - F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0)))
 
@@ -83,13 +88,13 @@ def stem_sql(word: str) -> str:
 def query_terms(c: Column | str) -> Column:
     """Sorted distinct tokens but stop words, with the stems of long ones."""
     kept = F.filter(F.array_distinct(tokens(normalise(c))), lambda t: ~t.isin(*STOP_WORDS))
-    stems = F.transform(F.filter(kept, lambda t: F.length(t) >= LEAST_STEM), stem)
+    stems = F.transform(F.filter(kept, lambda t: F.length(t) >= LEAST_STEM), folded_stem)
     return F.array_sort(F.array_union(kept, F.filter(stems, lambda t: t != "")))
 
 
 def rooted(terms: Column) -> Column:
     """Terms with their stems, for matching: array<struct<term, root>>."""
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), stem(t).alias("root")))
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), folded_stem(t).alias("root")))
 
 
 def plain_stem(word: str) -> str:

@@ -98,12 +98,12 @@ class Engine:
             if changed:
                 # only documents that are new or differ are embedded again
                 fresh = new.join(changes.where("change <> 'removed'"), "doc_id", "left_semi")
-                kept = self._rows("doc_vectors").join(changes, "doc_id", "left_anti")
+                keys = self._mark(changes.select("doc_id"))
                 vectors = documents.embedded(fresh.select("doc_id", "qualname", "text"), self.embedder).drop("text")
 
                 def write() -> None:
-                    self.store.replace_project("search_docs", self.project, self._mark(new))
-                    self.store.replace_project("doc_vectors", self.project, self._mark(kept.unionByName(vectors.select(kept.columns))))
+                    self.store.merge("search_docs", self.project, self._mark(fresh), keys)
+                    self.store.merge("doc_vectors", self.project, self._mark(vectors), keys)
 
                 self.store.change(write)
             return changed
