@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .suggest import close_names
+
+__all__ = ["close_names"]
+
 # Texts the classifiers look for, in lower case.
 PROTECTIVE = (
     "не менять", "не изменять", "не трогать", "не реализовывать", "не подключать", "не добавлять", "не создавать", "не дублировать", "не удалять",
@@ -203,21 +204,3 @@ def flow_references(step: Column) -> Column:
     loose = F.regexp_extract_all(step, F.lit(r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)"), F.lit(1))
     fit = lambda n: F.contains(n, F.lit(".")) & ~n.rlike(r"^(self|cls)\.") & ((F.size(F.split(n, r"\.")) >= 3) | n.endswith(".py") | n.rlike("^[A-Z]"))
     return F.filter(F.array_distinct(F.concat(ticked, loose)), fit)
-
-
-def close_names(refs: DataFrame, names: DataFrame, most: int = 5, cutoff: float = 0.55) -> DataFrame:
-    """Suggestions for names that were not found: the same tail first, then
-    those close by difflib's ratio. Pairs meet on a shared token of the
-    names, so no all-pairs comparison is made; (ref, suggestion, rank)."""
-    from ..functions.text import identifier_tokens
-    from .search import top_per_key
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    tail = lambda c: F.element_at(F.split(c, r"\."), -1)
-    left = refs.select("ref", F.explode(identifier_tokens(tail(F.col("ref")))).alias("_t")).distinct()
-    right = names.select(F.col("name"), F.explode(identifier_tokens(tail(F.col("name")))).alias("_t")).distinct()
-    pairs = left.join(right, "_t").select("ref", "name").distinct().withColumn("_same", tail(F.col("ref")) == tail(F.col("name"))).withColumn("_r", ratio("ref", "name"))
-    return top_per_key(pairs.where(F.col("_same") | (F.col("_r") >= cutoff)), ["ref"], [F.desc("_same"), F.desc("_r"), F.col("name")], most).select("ref", F.col("name").alias("suggestion"), "rank")

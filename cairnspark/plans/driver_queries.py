@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.tables import shared_folder
-from ..operators import diff, graph, knowledge, postings, search, usage
+from ..operators import diff, graph, knowledge, postings, search, suggest, usage, vector_index
 from ..sources import code
 from ..sources import documents as sources
 from .registry import QUERIES, SQL, query
@@ -168,6 +168,32 @@ def vector_topk(t):
     return found.select("query_id", F.col("key").alias("label"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
+_nearest = f"""with e as ({_vectors}), q as (select vec_id as query_id, v as q from e where vec_id % 100 = 0),
+    s as (select query_id, vec_id, 1 / (1 + {_cosine}) as sim from e, q)
+    select query_id::bigint as query_id, vec_id::bigint as vec_id, round(sim, 6) as similarity, rank::int as rank from (
+      select *, row_number() over (partition by query_id order by sim desc, vec_id) as rank from s) where rank <= 10"""
+
+
+@query(_nearest)
+def clustered_topk(t):
+    """The ten nearest vectors of every id divisible by 100, by lists."""
+    vectors = t("embeddings")
+    index = vector_index.VectorIndex(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}/vectors")
+    index.build(vectors, "vec_id")
+    found = index.search(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    return found.select("query_id", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(None)
+def name_suggestions(t):
+    """Part names with a word cut and two joined, as references that were not
+    found, against all part names. Ratios are beyond SQL; the tests hold them
+    against all pairs."""
+    parts = t("part").select("p_partkey", F.lower("p_name").alias("name"))
+    refs = parts.where("p_partkey % 100 = 0").select(F.regexp_replace(F.regexp_replace("name", " [a-z]{2}", " "), "(?<=[a-z]) ", "_").alias("ref"))
+    return suggest.close_names(refs, parts.select("name"))
+
+
 @query(
     f"""with e as ({_vectors}), q as (select v as q from e where vec_id = 0), d as (select documents.*, {_prepared} from documents),
     s as (select doc_id, ({points_sql(SEARCH_TERMS, SEARCH_FIELDS)}) / 100.0 as lex, coalesce(1 / (1 + {_cosine}), 0) as sim

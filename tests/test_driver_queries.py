@@ -40,7 +40,7 @@ def table(names, rows):
     return [names[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: [(x is None, str(x)) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(dq.QUERIES))
+@pytest.mark.parametrize("name", sorted(dq.SQL))
 def test_query(name, spark, sf, con):
     df = dq.QUERIES[name](spark, sf)
     rel = con.sql(dq.SQL[name])
