@@ -45,27 +45,49 @@ def resolved(edges: DataFrame, symbols: DataFrame, exact: str = "target_qualname
     return out.withColumn("how", F.when(F.col("_full").isNotNull(), "exact").when(F.col("_short").isNotNull(), "short_name").otherwise("unresolved")).drop("_full", "_name", "_short")
 
 
+#: Roots that share the bits of one long, at most 64; hashed groups of about
+#: so many are cut into such.
+ROOTS_A_GROUP = 48
+
+
+def _grouped(roots: DataFrame) -> DataFrame:
+    """(root, group, bit) of distinct roots."""
+    groups = -(-roots.count() // ROOTS_A_GROUP)
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("root")) - 1
+    dealt = roots.withColumn("_g", F.pmod(F.xxhash64("root"), F.lit(max(1, groups)))).withColumn("_n", place)
+    return dealt.select("root", (F.col("_g") + F.lit(max(1, groups)) * F.floor(F.col("_n") / 64)).cast("long").alias("group"), (F.col("_n") % 64).cast("int").alias("bit"))
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst: str = "dst", expand: DataFrame | None = None) -> DataFrame:
     """Nodes from which ``start`` (root, node) is reached within ``depth``
     edges, with the fewest: (root, node, hops). Only nodes of ``expand``, if
-    given, are passed through. Each level is one join on the node; visited
-    nodes go by an anti-join, so cycles end. A level is written to the shared
-    folder, so the next one reads it in place of working it out again; a hub's
-    edges are a skewed join, which the adaptive planner splits."""
+    given, are passed through.
+
+    Up to 64 roots are the bits of one long, so a node that many roots reach
+    is one row for all of them. A level is one join on the node and a
+    ``bit_or``; the bits that were not there before are those reached at this
+    level, so cycles end. A level is written to the shared folder, and the
+    next one reads it in place of working it out again; a hub's edges are a
+    skewed join, which the adaptive planner splits."""
     back = edges.select(F.col(src).alias("_from"), F.col(dst).alias("node")).where("_from is not null and node is not null").distinct()
     back = stored(back, "edges") if depth > 1 else back
-    seen = start.select("root", "node").distinct().withColumn("hops", F.lit(0))
-    edge = seen
+    begin = start.select("root", "node").where("root is not null and node is not null").distinct()
+    roots = stored(_grouped(begin.select("root").distinct()), "roots")
+    edge = stored(begin.join(roots, "root").groupBy("group", "node").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "hop0")
+    seen = levels = edge.withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
-        via = edge.select("root", "node") if expand is None or hop == 1 else edge.select("root", "node").join(expand.select("node"), "node", "left_semi")
-        new = via.join(back, "node").select("root", F.col("_from").alias("node")).distinct()
-        edge = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        via = edge if expand is None or hop == 1 else edge.join(expand.select("node").distinct(), "node", "left_semi")
+        new = via.join(back, "node").groupBy("group", F.col("_from").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("group", "node").agg(F.bit_or("bits").alias("_known"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
+        edge = new.join(known, ["group", "node"], "left").select("group", "node", fresh.alias("bits")).where("bits <> 0")
         if hop < depth:
             edge = stored(edge, f"hop{hop}")
             if edge.isEmpty():
                 break
-        seen = seen.unionByName(edge)
-    return seen
+        seen = levels = levels.unionByName(edge.withColumn("hops", F.lit(hop)))
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(F.col("bits"), b) == 1)
+    return levels.select("group", "node", "hops", F.explode(set_).alias("bit")).join(roots, ["group", "bit"]).select("root", "node", "hops")
 
 
 def unresolved(names: DataFrame, known: DataFrame, key: str) -> DataFrame:

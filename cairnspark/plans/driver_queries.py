@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.tables import shared_folder
-from ..operators import diff, graph, knowledge, postings, search, suggest, usage, vector_index
+from ..operators import budget, diff, graph, knowledge, postings, search, suggest, usage, vector_index
 from ..sources import code
 from ..sources import documents as sources
 from .registry import QUERIES, SQL, query
@@ -360,6 +360,56 @@ def bfs_reach(t):
     return graph.reach(edges, start, 3)
 
 
+@query(
+    f"""with recursive e as ({_edges}), r as (select dst as root from e union select src from e where src like 'c%'), w as (select root, root as node, 0 as hops from r
+    union select root, src, hops + 1 from w join e on e.dst = w.node where hops < 2) select root, node, min(hops)::int as hops from w group by 1, 2"""
+)
+def many_roots(t):
+    """Every region, nation and customer as a root of its own."""
+    edges, _ = _graph(t)
+    roots = edges.select(F.col("dst").alias("root")).union(edges.where("src like 'c%'").select("src")).distinct()
+    return graph.reach(edges, roots.select("root", F.col("root").alias("node")), 2)
+
+
+#: Characters of a request, and what is done to its turns, in order.
+REQUEST_CHARS = 1500
+REQUEST_STEPS = [budget.Halve("fewer turns", "turns", 4), budget.Clip("shorter texts", "turns", 120), budget.Drop("no roles", "turns", "role"), budget.Halve("one turn", "turns", 1)]
+
+
+def _total(sizes: str, n: str) -> str:
+    return f"(13 + coalesce(list_sum({sizes}[1:{n}]), 0) + 2 * greatest({n} - 1, 0))"
+
+
+def _halvings(sizes: str, n: str, least: int) -> str:
+    """Halvings of the first ``n`` items until they fit, or no more change."""
+    kept = f"greatest({n} // (2 ** j)::bigint, least({n}, {least}))"
+    return f"case when {_total(sizes, n)} <= {REQUEST_CHARS} then 0 else coalesce(list_filter(range(0, 32), lambda j: {_total(sizes, kept)} <= {REQUEST_CHARS})[1], list_filter(range(0, 32), lambda j: {kept} = least({n}, {least}))[1]) end"
+
+
+_turn = "10 + length(to_json({text})::varchar) + 8"
+_with_role = f"{_turn} + 10 + length(to_json(role)::varchar) - 8"
+
+
+@query(
+    f"""with c as (select conv_id, count(*) as n, list({_with_role.format(text='text')} order by turn, role, text) as full_, list({_with_role.format(text='text[1:120]')} order by turn, role, text) as short_,
+      list(2 + 8 + length(to_json(text[1:120])::varchar) order by turn, role, text) as bare from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations) group by 1),
+    a as (select *, {_halvings('full_', 'n', 4)} as h1 from c), b as (select *, greatest(n // (2 ** h1)::bigint, least(n, 4)) as n1 from a),
+    d as (select *, {_total('full_', 'n1')} as s1, {_total('short_', 'n1')} as s2, {_total('bare', 'n1')} as s3 from b),
+    e as (select *, s1 > {REQUEST_CHARS} as clip, s1 > {REQUEST_CHARS} and full_[1:n1] <> short_[1:n1] as clipped, case when s1 > {REQUEST_CHARS} then s2 else s1 end > {REQUEST_CHARS} as dropped from d),
+    f as (select *, case when dropped then {_halvings('bare', 'n1', 1)} else 0 end as h2 from e),
+    g as (select *, case when dropped then greatest(n1 // (2 ** h2)::bigint, least(n1, 1)) else n1 end as n2 from f)
+    select conv_id, n2::int as turns, (case when dropped then {_total('bare', 'n2')} when clip then s2 else s1 end)::bigint as size,
+    array_to_string(list_concat(list_concat(list_transform(range(0, h1), lambda x: 'fewer turns'), case when clipped then ['shorter texts'] else [] end), list_concat(case when dropped then ['no roles'] else [] end, list_transform(range(0, h2), lambda x: 'one turn'))), ',') as steps from g"""
+)
+def budgeted_requests(t):
+    """Conversations as requests of a bounded size, with the steps taken."""
+    turns = t("conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    listed = listed.withColumn("turns", F.transform("turns", lambda x: F.create_map(F.lit("role"), x.role, F.lit("text"), x.text)))
+    out = budget.reduced(listed, F.lit(len('{"turns": []}')), ["turns"], REQUEST_STEPS, REQUEST_CHARS)
+    return out.select("conv_id", F.size("turns").alias("turns"), "size", F.array_join("steps", ",").alias("steps"))
+
+
 @query(_walk.format(edges=_edges, depth=2) + " select root as target, count(*) filter (hops = 1) as direct, count(*) filter (hops = 2) as indirect, count(*) filter (node like 's%') as tests from (select root, node, min(hops) as hops from w group by 1, 2) group by 1")
 def impact_2hop(t):
     edges, start = _graph(t)

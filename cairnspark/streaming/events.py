@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tables import stored
+from ..operators import diff
 from ..operators.store import Store
 from ..sources import code
 
@@ -60,3 +62,32 @@ def index_changes(spark: SparkSession, folder: str, store: Store, project: str,
         changed.unpersist()
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def swept(spark: SparkSession, folder: str, store: Store, project: str) -> dict[str, int]:
+    """Bring a project's index in step with a folder as it stands now. The
+    store's files are the state: what they list and the folder lacks is
+    deleted with its symbols and relations, what is new or differs is
+    extracted. A sweep that is run again leaves the same tables."""
+    scan = code.scan(spark, folder)
+    states = stored(diff.status(store.known_files(project), scan.select("file_path", "file_hash"), ["file_path"], "file_hash").where("status <> 'unchanged'"), "states")
+    gone = states.where("status = 'deleted'").select(F.lit(project).alias("project_root"), "file_path")
+    fresh = states.where("status <> 'deleted'").select("file_path")
+    counts = {r["status"]: r["count"] for r in states.groupBy("status").count().collect()}
+
+    def apply() -> None:
+        if counts.get("deleted"):
+            store.delete_files(gone)
+        if sum(counts.values()) > counts.get("deleted", 0):
+            reindexed(store, project, scan.join(fresh, "file_path", "left_semi"))
+
+    store.change(apply)
+    return counts
+
+
+def follow(spark: SparkSession, folder: str, store: Store, project: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Sweep a folder at each tick, so that files that vanish leave the index
+    too, which a stream of arriving files never sees. A tick that is played
+    again after a failure finds nothing to do."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, _: swept(spark, folder, store, project)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
