@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analysis, bundles, contracts, decisions, diff, graph, knowledge, search, services, store, usage, workspace
 from ..sources import documents as sources
-from .registry import Literal, query
+from .registry import Literal, case, query
 
 Q = "'"
 
@@ -33,7 +33,7 @@ REQUESTS = Literal(
     (1, "Нужно реализовать метод build_text в shop.texts"), (2, "– Не менять API, оставить как есть"), (3, "  • keep the service as it is"), (4, "Заменить импорт json на orjson"),
     (5, "Исправить: установленный пакет не найден при запуске"), (6, "Добавить кнопку на панель инструментов"), (7, "Add a report summary per ticket, reuse the existing service"), (8, "do not duplicate helper code"),
     (9, "def f():\n    raise NotImplementedError"), (10, "x = 1  # TODO: later"), (11, "# todo: реализовать позже"), (12, "Свод по тикетам a_b.c_d и __init__"), (13, ""), (14, None), (15, "don't touch; never avoid this"),
-)
+).over("documents", "doc_id", body="v.body || ' ' || k.text")
 _lower = "lower(coalesce(body, ''))"
 _bare = "trim(lower(regexp_replace(coalesce(body, ''), '^[\\s\\-–—•]+', '')))"
 _none = "[]::varchar[]"
@@ -51,7 +51,7 @@ _none = "[]::varchar[]"
 def request_classes(t):
     """The classifiers of requests and sources."""
     c = F.col("body")
-    return REQUESTS.df(t.spark).select(
+    return REQUESTS.of(t).select(
         "id", decisions.protective(c).alias("protective"), decisions.import_change(c).alias("import_change"), decisions.implementation(c).alias("implementation"), decisions.stub(c).alias("stub"), decisions.ui_action(c).alias("ui"),
         decisions.reuse(c).alias("reuse"), F.array_join(decisions.topics(c), ",").alias("topics"), F.array_join(F.array_sort(decisions.meaningful(c)), ",").alias("meaningful"),
     )
@@ -66,7 +66,7 @@ _named = "list_filter(regexp_extract_all(coalesce(body, ''), '[A-Za-z_][A-Za-z0-
 )
 def request_names(t):
     """Symbols that a request names outright."""
-    return REQUESTS.df(t.spark).select("id", F.array_join(F.array_sort(decisions.named_symbols(F.col("body"))), ",").alias("names"))
+    return REQUESTS.of(t).select("id", F.array_join(F.array_sort(decisions.named_symbols(F.col("body"))), ",").alias("names"))
 
 
 STUBS = Literal(
@@ -82,7 +82,7 @@ STUBS = Literal(
 _bag = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[A-Za-zА-Яа-яЁё0-9_]+'), lambda w: length(w) >= 3 and w not in " + in_sql(decisions.MEANINGLESS) + "))"
 
 
-@query(
+@case(
     f"""with b as (select *, {_bag.format('query')} as qt, {_bag.format("concat_ws(' ', name, qualname, docstring, title, docstring)")} as ct from {STUBS}),
     r as (select *, case when least(len(qt), len(ct)) > 0 then len(list_intersect(qt, ct)) / least(len(qt), len(ct)) else 0 end as relevance from b),
     s as (select *, relevance + greatest(score, 0) / 100 + greatest(confidence, 0) / 10 as total from r where {any_sql('source', decisions.STUBS)} and relevance >= 0.12 and kind in ('method', 'function'))
@@ -100,7 +100,7 @@ KEPT = Literal(
     (4, "insert_after_symbol", "insert_after_symbol", False, [], "реализовать", "method", True, 0.5), (5, "insert_after_symbol", "replace_symbol", True, [], "реализовать", "method", True, 0.5), (6, "insert_after_symbol", "replace_symbol", False, ["missing_stub_module"], "реализовать", "method", True, 0.5),
     (7, "insert_after_symbol", "replace_symbol", False, ["other"], "change", "method", True, 0.5), (8, "insert_after_symbol", "replace_symbol", False, [], "реализовать", "class", True, 0.5), (9, "insert_after_symbol", "replace_symbol", False, [], "реализовать", "method", False, 0.5),
     (10, "insert_after_symbol", "replace_symbol", False, [], "реализовать", "method", True, 0.1), (11, "insert_after_symbol", "replace_symbol", False, [], None, None, None, None),
-)
+).over("orders", "o_orderkey", relevance="case when v.relevance is not null then cast(k.o_orderkey % 25 as double) / 100 end")
 
 
 @query(
@@ -109,7 +109,7 @@ KEPT = Literal(
 )
 def stub_override(t):
     c = F.col
-    return KEPT.df(t.spark).select("id", decisions.stub_kept(c("operation"), c("recommended"), c("review"), c("codes"), c("body"), c("kind"), c("is_stub"), c("relevance")).alias("kept"))
+    return KEPT.of(t).select("id", decisions.stub_kept(c("operation"), c("recommended"), c("review"), c("codes"), c("body"), c("kind"), c("is_stub"), c("relevance")).alias("kept"))
 
 
 CHOICES = Literal(
@@ -120,7 +120,7 @@ CHOICES = Literal(
     (4, None, "module_body", "method", "class", "m.c", 0.64, "replace_symbol", "class", "Добавить метод", False, False, True, ["w"]),
     (5, "", "", "function", None, None, None, "replace_symbol", "class", "rename", None, None, None, None),
     (6, "class_body", None, "method", None, "m.d", 1.0, "replace_symbol", "class", "new thing", True, None, True, None),
-)
+).over("orders", "o_orderkey", sure="case when v.sure is not null then cast(k.o_orderkey % 101 as double) / 100 end")
 _scope = "coalesce(case when scope1 in ('module_body', 'class_body') then scope1 end, case when scope2 in ('module_body', 'class_body') then scope2 end)"
 _kind = "coalesce({0})".format(", ".join(f"case when (case when k{i} = 'property' then 'method' else k{i} end) in ('class', 'function', 'method') then (case when k{i} = 'property' then 'method' else k{i} end) end" for i in (1, 2)).replace("k1", "kind1").replace("k2", "kind2"))
 _target = "case when trim(coalesce(target, '')) <> '' and coalesce(sure, 0) >= 0.65 then target end"
@@ -135,7 +135,7 @@ _target = "case when trim(coalesce(target, '')) <> '' and coalesce(sure, 0) >= 0
 def target_choices(t):
     c = F.col
     scope, kind, target = decisions.insert_scope(c("scope1"), c("scope2")), decisions.expected_kind(c("kind1"), c("kind2")), decisions.accepted_target(c("target"), c("sure"))
-    return CHOICES.df(t.spark).select(
+    return CHOICES.of(t).select(
         "id", scope.alias("scope"), kind.alias("kind"), target.alias("target"), decisions.generation_block(c("operation"), c("anchor_kind"), scope).alias("block"),
         decisions.member_insert(c("operation"), c("anchor_kind"), kind, c("body")).alias("operation"), decisions.manual_review(c("reranked"), c("plan_review"), c("rerank_review"), target, c("codes"), ("w",)).alias("review"),
     )
@@ -162,7 +162,7 @@ ANALYSES = Literal(
     (4, "unknown", None, None, True, False, False, [], [], None, "", None),
     (5, None, "m.z", 1.0, True, None, True, None, ["m.z"], ["a", "b", "c", "d", "e", "f"], None, None),
     (6, "unknown", "m.q", 0.65, False, False, False, ["missing_stub_module", "unsupported_new_file_required"], ["m.a"], None, "c1", None),
-)
+).over("orders", "o_orderkey", sure="case when v.sure is not null then cast(k.o_orderkey % 101 as double) / 100 end")
 _acc = "case when not coalesce(review, false) and coalesce(sure, 0) >= 0.65 and list_contains(found, nullif(trim(target), '')) then nullif(trim(target), '') end"
 _settled = "not coalesce(review, false) and target is not null and coalesce(sure, 0) >= 0.65"
 _trimmed = "list_filter(list_transform(coalesce({0}, " + _none + "), lambda x: trim(x)), lambda x: coalesce(x, '') <> '')"
@@ -182,7 +182,7 @@ def analysis_outcomes(t):
     c = F.col
     accepted = analysis.accepted(c("target"), c("sure"), c("review"), c("found"))
     join = lambda x: F.array_join(x, ",")
-    return ANALYSES.df(t.spark).select(
+    return ANALYSES.of(t).select(
         "id", accepted.alias("accepted"), analysis.request_quality(c("status"), c("target"), c("sure"), c("review")).alias("quality"),
         analysis.review_required(c("reranked"), c("plan_review"), c("review"), c("codes"), accepted, c("target")).alias("needs_review"), join(analysis.new_file_marked(c("codes"))).alias("marked"),
         join(analysis.kept_warnings(c("codes"), c("review"), c("target"), c("sure"))).alias("kept"), join(analysis.ranked_items(c("ranked"), c("recommended"), c("alternatives"))).alias("items"),
@@ -238,7 +238,7 @@ INSERTS = Literal(
     "id int, operation string, insert_scope string, target string",
     (1, "insert_after_symbol", None, "a.F"), (2, "insert_after_symbol", "class_body", "a.F.go"), (3, "insert_after_symbol", "module_body", "a.F.go"), (4, "replace_symbol", None, "a.F"), (5, "insert_after_symbol", None, "b.only"),
     (6, "insert_after_symbol", "class_body", "a.last"), (7, "insert_after_symbol", None, "gone"), (8, "insert_after_symbol", "module_body", "c.d.x.go"), (9, "insert_after_symbol", None, "tests.test_a.test_go"),
-)
+).over("orders", "o_orderkey")
 _anchor = f"""m as (select file_path, min(qualname) as m from {SYMBOLS} where kind = 'module' group by 1),
     a as (select file_path, qualname as anchor, kind as anchor_kind from {SYMBOLS} left join m using (file_path) where kind in ('class', 'function') and (m is null or parent_qualname = m)
       qualify row_number() over (partition by file_path order by end_line desc, start_line desc, qualname desc) = 1)"""
@@ -252,7 +252,7 @@ _anchor = f"""m as (select file_path, min(qualname) as m from {SYMBOLS} where ki
 )
 def insert_anchors(t):
     """Where insertions go."""
-    return analysis.anchored(INSERTS.df(t.spark), SYMBOLS.df(t.spark)).select("id", "final_target", "role", "scope")
+    return analysis.anchored(INSERTS.of(t), SYMBOLS.df(t.spark)).select("id", "final_target", "role", "scope")
 
 
 REPLIES = Literal(
@@ -263,7 +263,7 @@ REPLIES = Literal(
 CARDS = Literal("reply_id int, candidate_id string, qualname string", *[(i, f"c{k}", f"m.f{k}") for i in (1, 2, 3, 4) for k in (1, 2)])
 
 
-@query(
+@case(
     f"""with ids as (select r.reply_id, raw, list_concat(case when rec is not null then [rec] else {_none} end, regexp_extract_all(raw, '"candidate_id"\\s*:\\s*"([^"]+)"', 1)) as ids, rec from
       (select *, case when regexp_matches(raw, '"recommended_candidate_id"\\s*:\\s*"') then regexp_extract(raw, '"recommended_candidate_id"\\s*:\\s*"([^"]*)"', 1) end as rec from {REPLIES}) r),
     e as (select reply_id, c.candidate_id, qualname, min(place) as place from (select reply_id, unnest(ids) as candidate_id, generate_subscripts(ids, 1) as place from ids) i join {CARDS} c using (reply_id, candidate_id) group by 1, 2, 3),
@@ -293,7 +293,7 @@ def prompt_diagnostics(t):
 EDGES = Literal("kind string, direction string, origin string, target string, module string", *[(k, d, o, "m.T", f"shop.{k}.{x}") for k, x in (("calls", "api"), ("imports", "storage"), ("exposed_by_controller", "x"), ("belongs_to_layer", "domain"), ("contains", "services")) for d in ("outbound", "inbound") for o in ("m.T", "m.T.go")], ("calls", "both", "m.T", "m.T", "services.api"))
 
 
-@query(
+@case(
     f"""select kind, direction, origin, module, case when kind = 'calls' and direction = 'outbound' then (case when origin <> target then 'called_by_class_member' else 'called_by_target' end) when kind = 'calls' and direction = 'inbound' then (case when origin <> target then 'caller_of_class_member' else 'caller_of_target' end)
     when kind = 'imports' then 'imported_contract' when kind = 'exposed_by_controller' then 'controller_or_endpoint_contract' when kind = 'belongs_to_layer' then 'same_layer_contract' else direction || '_' || kind end as role,
     case when list_contains(string_split(module, '.'), 'api') then 'api' when list_contains(string_split(module, '.'), 'services') then 'services' when list_contains(string_split(module, '.'), 'storage') then 'storage' when list_contains(string_split(module, '.'), 'domain') then 'domain' end as layer from {EDGES}"""
@@ -323,7 +323,7 @@ def related_selection(t):
     return analysis.selected_related(rows, ["root"], 4, 60).select("root", "qualname", "rank", "truncated", "source_excerpt", F.col("total_chars").cast("long").alias("total_chars"))
 
 
-NOTES = Literal("id int, title string, description string, ids array<string>, titles array<string>, raw_constraints array<string>, priority string", (1, " T ", "D", ["R1", "R2"], ["one", "two"], [" a ", "", "b"], "high"), (2, "", None, [], [], [], ""), (3, None, "only", ["R9"], ["nine"], [" "], None))
+NOTES = Literal("id int, title string, description string, ids array<string>, titles array<string>, raw_constraints array<string>, priority string", (1, " T ", "D", ["R1", "R2"], ["one", "two"], [" a ", "", "b"], "high"), (2, "", None, [], [], [], ""), (3, None, "only", ["R9"], ["nine"], [" "], None)).over("part", "p_partkey", title="case when v.title <> '' then v.title || k.p_name else v.title end", description="v.description || ' ' || k.p_type")
 
 
 @query(
@@ -335,7 +335,7 @@ def notes_and_payloads(t):
     c = F.col
     reqs = F.transform(F.arrays_zip("ids", "titles"), lambda x: F.struct(x.ids.alias("id"), x.titles.alias("title")))
     one = analysis.requirement(c("title"), c("description"), c("raw_constraints"), F.lit(None).cast("string"), c("priority"))
-    rows = NOTES.df(t.spark).withColumn("p", one)
+    rows = NOTES.of(t).withColumn("p", one)
     return rows.select("id", F.array_join(analysis.annotations(c("title"), c("description"), reqs), "|").alias("notes"), c("p.title").alias("clean_title"), c("p.description").alias("clean_description"), F.array_join("p.constraints", "|").alias("constraints"), c("p.priority").alias("priority"))
 
 
@@ -343,7 +343,7 @@ PLANS = Literal(
     "id int, plan string",
     (1, '{"request_quality": {"status": "ok"}, "operation": {"value": "replace_symbol", "confidence": 0.5}, "search_plan": {"search_queries": ["a", "b", "c", "d"], "preferred_files": ["x.py"]}, "multi_target_likely": true, "junk": 1}'),
     (2, "{}"), (3, '{"search_plan": {"avoid_layers": ["api"]}, "expected_new_symbols": ["n"], "manual_review_required": true}'),
-)
+).over("orders", "o_orderkey", plan="replace(v.plan, 'replace_symbol', k.o_orderpriority)")
 
 
 @query(
@@ -352,7 +352,7 @@ PLANS = Literal(
 )
 def search_plans(t):
     """Search plans cut to what a prompt needs."""
-    p = PLANS.df(t.spark).select("id", analysis.compact_plan(F.col("plan"), 3).alias("p"))
+    p = PLANS.of(t).select("id", analysis.compact_plan(F.col("plan"), 3).alias("p"))
     return p.select("id", F.col("p.request_quality.status").alias("status"), F.col("p.operation.value").alias("operation"), F.array_join("p.search_plan.search_queries", ",").alias("queries"), F.array_join("p.search_plan.avoid_layers", ",").alias("avoid"), F.col("p.multi_target_likely").alias("multi"), F.col("p.manual_review_required").alias("review"))
 
 
@@ -383,7 +383,7 @@ _bundle_sql = f"""with b as (select *, regexp_replace(workspace_path, '/+$', '')
     """
 
 
-@query(_bundle_sql + "select run_id, 'excluded' as list, string_agg(file_path, ',' order by place) as files from ex group by 1 union all select run_id, 'changed', string_agg(file_path, ',' order by place) from ch group by 1")
+@case(_bundle_sql + "select run_id, 'excluded' as list, string_agg(file_path, ',' order by place) as files from ex group by 1 union all select run_id, 'changed', string_agg(file_path, ',' order by place) from ch group by 1")
 def bundle_files(t):
     """Files that runs changed and files that must not be copied."""
     b = BUNDLES.df(t.spark)
@@ -394,7 +394,7 @@ def bundle_files(t):
 SESSIONS = Literal("session_id string, project_id string, workspace_id string, last_workspace_id string, last_run_id string", ("s1", "p", "w1", "w1", "r1"), ("s2", "p", "w2", "w3", "r2"), ("s3", "q", "w5", None, "r5"))
 
 
-@query(
+@case(
     _bundle_sql + f"""select workspace_id, session_id, s.last_run_id as run_id, coalesce((select string_agg(file_path, ',' order by place) from ch where ch.run_id = s.last_run_id), '') as changed, coalesce((select string_agg(file_path, ',' order by place) from ex where ex.run_id = s.last_run_id), '') as excluded,
     coalesce(last_workspace_id = workspace_id, false) as is_last_workspace from {SESSIONS} s"""
 )
@@ -413,7 +413,7 @@ TRACES = Literal(
 _js = lambda path: f"json_extract_string(bundle, '$.{path}')"
 
 
-@query(
+@case(
     f"""with s as (select qualname from {SYMBOLS} where kind <> 'module'), m as (select qualname as module from {SYMBOLS} where kind = 'module'),
     b as (select run_id, coalesce({_js('apply_result.artifact.operation')}, {_js('execution_summary.operation')}, '') = 'insert_after_symbol' as ins, coalesce({_js('apply_result.artifact.parent_qualname')}, {_js('execution_summary.parent_qualname')}) as parent,
       list_filter(list_concat({_j('apply_result.impact.changed_symbols')}, {_j('execution_summary.changed_symbols')}), lambda x: trim(x) <> '' and not starts_with(x, 'tests.')) as changed,
@@ -437,7 +437,7 @@ RESULTS = Literal(
 _r = lambda path: f"json_extract_string(result, '$.{path}')"
 
 
-@query(
+@case(
     f"""select unit, coalesce(nullif({_r('code_artifact.target_qualname')}, ''), fallback_target) as target_qualname, {_r('code_artifact.code')} as code, coalesce({_r('code_artifact.operation')}, 'replace_symbol') as operation, nullif({_r('code_artifact.insert_scope')}, '') as insert_scope,
     coalesce(array_to_string(from_json(json_extract(result, '$.code_artifact.import_changes'), '["VARCHAR"]'), ','), '') as import_changes,
     case when coalesce({_r('status')}, 'None') <> 'ok' then coalesce({_r('status')}, 'None') || ' (' || coalesce({_r('message')}, {_r('planner_result.reason')}, {_r('error_type')}, {_r('status')}, 'None') || coalesce('. Suggested next step: ' || {_r('planner_result.suggested_next_step')}, '') || ')'
@@ -486,7 +486,7 @@ REJECTED = Literal("run_id string, file_path string", ("r", "tests/a.py"), ("r",
 PRESENT = Literal("run_id string, file_path string", ("r", "tests/a.py"), ("r", "tests/b.py"), ("r", "tests/../c.py"), ("r", "src/d.py"))
 
 
-@query(f"""select distinct run_id, {_rel.format('file_path')} as file_path from {REJECTED} where regexp_matches({_rel.format('file_path')}, '^tests/.*\\.py$') and not list_contains(string_split({_rel.format('file_path')}, '/'), '..') and (run_id, {_rel.format('file_path')}) in (select (run_id, file_path) from {PRESENT})""")
+@case(f"""select distinct run_id, {_rel.format('file_path')} as file_path from {REJECTED} where regexp_matches({_rel.format('file_path')}, '^tests/.*\\.py$') and not list_contains(string_split({_rel.format('file_path')}, '/'), '..') and (run_id, {_rel.format('file_path')}) in (select (run_id, file_path) from {PRESENT})""")
 def rejected_test_files(t):
     return bundles.rejected_files(REJECTED.df(t.spark), PRESENT.df(t.spark))
 
@@ -523,7 +523,7 @@ def source_edits(t):
     )
 
 
-NOTE_TYPES = Literal("id int, expected string, actual string", (1, "typing.List[int]", "list"), (2, "'DateTime'", "datetime.datetime"), (3, "int", "str"), (4, "", "str"), (5, "pathlib.PurePath", "Path"), (6, "Sequence[Order]", "tuple"), (7, "Order", "shop.Order"), (8, None, "x"))
+NOTE_TYPES = Literal("id int, expected string, actual string", (1, "typing.List[int]", "list"), (2, "'DateTime'", "datetime.datetime"), (3, "int", "str"), (4, "", "str"), (5, "pathlib.PurePath", "Path"), (6, "Sequence[Order]", "tuple"), (7, "Order", "shop.Order"), (8, None, "x")).over("part", "p_partkey", actual="case when k.p_size % 4 = 0 then v.expected else v.actual end")
 _aliases = {"DateTime": "datetime", "Datetime": "datetime", "List": "list", "Dict": "dict", "Set": "set", "Tuple": "tuple", "Sequence": "list", "MutableSequence": "list", "PathLike": "Path", "PurePath": "Path", "PurePosixPath": "Path", "PureWindowsPath": "Path"}
 _bare_type = lambda c: f"string_split(regexp_replace(regexp_replace(replace(replace(trim({c}), '''', ''), '\"', ''), 'typing\\.', ''), '\\[.*$', ''), '.')[-1]"
 _type = lambda c: f"(case {_bare_type(c)} " + " ".join(f"when '{k}' then '{v}'" for k, v in _aliases.items()) + f" else {_bare_type(c)} end)"
@@ -535,10 +535,10 @@ _type = lambda c: f"(case {_bare_type(c)} " + " ".join(f"when '{k}' then '{v}'"
 )
 def type_names(t):
     e, a = F.col("expected"), F.col("actual")
-    return NOTE_TYPES.df(t.spark).select("id", text.type_name(e).alias("expected"), text.type_name(a).alias("actual"), text.types_fit(e, a).alias("fits"), contracts.item_type(e).alias("item"))
+    return NOTE_TYPES.of(t).select("id", text.type_name(e).alias("expected"), text.type_name(a).alias("actual"), text.types_fit(e, a).alias("fits"), contracts.item_type(e).alias("item"))
 
 
-OUTPUTS = Literal("id int, body string", (1, 'FAILED tests/a.py::t - x\n  File "b.py", line 1\nERROR tests/a.py'), (2, "ok\n\n\n all good \n"), (3, None), (4, "run `a.b.c` then self.x.y and Svc.go or a.b and `m.py`"))
+OUTPUTS = Literal("id int, body string", (1, 'FAILED tests/a.py::t - x\n  File "b.py", line 1\nERROR tests/a.py'), (2, "ok\n\n\n all good \n"), (3, None), (4, "run `a.b.c` then self.x.y and Svc.go or a.b and `m.py`")).over("documents", "doc_id", body=("concat(v.body, char(10), k.text)", "v.body || chr(10) || k.text"))
 
 
 @query(
@@ -547,7 +547,7 @@ OUTPUTS = Literal("id int, body string", (1, 'FAILED tests/a.py::t - x\n  File "
 )
 def failure_texts(t):
     c = F.col("body")
-    return OUTPUTS.df(t.spark).select("id", F.array_join(decisions.failed_paths(c), ",").alias("paths"), decisions.failure_excerpt(c, 2, 30).alias("excerpt"))
+    return OUTPUTS.of(t).select("id", F.array_join(decisions.failed_paths(c), ",").alias("paths"), decisions.failure_excerpt(c, 2, 30).alias("excerpt"))
 
 
 TARGETS = Literal("target string", ("a.py",), ("a.py::t",), ("b.py",), ("tests.t.C.m",), ("tests.t.gone",), ("tests.t",), ("no.such",))
@@ -555,7 +555,7 @@ TEST_FILES = Literal("file_path string", ("tests/t.py",))
 TEST_NODES = Literal("path string, node string", ("tests/t.py", "C::m"))
 
 
-@query(
+@case(
     f"""with t as (select * from {TARGETS} where target not in (select string_split(target, '::')[1] from {TARGETS} where contains(target, '::'))), p as (select target, string_split(target, '.') as p from t),
     e as (select target, n, array_to_string(p[1:n], '/') || '.py' as path, array_to_string(p[n + 1:], '::') as node from p, (select unnest(range(1, 9)) as n) where n <= len(p)),
     h as (select e.*, node = '' or (path, node) in (select (path, node) from {TEST_NODES}) as has from e where path in (select file_path from {TEST_FILES})), b as (select * from h qualify row_number() over (partition by target order by has desc, n desc) = 1)
@@ -570,7 +570,7 @@ PATHS = Literal("file_path string, sha string", ("./a/b.py", "1"), ("a\\b\\c.py"
 OTHER = Literal("file_path string, sha string", ("a/b.py", "1"), ("z.py", "3"), ("new.py", "1"))
 
 
-@query(
+@case(
     f"""with n as (select regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '') as file_path, sha from {PATHS})
     select n.file_path, list_contains(string_split(n.file_path, '/'), '.venv') or ends_with(lower(n.file_path), '.png') as skipped, contains('/' || n.file_path, '/tests/') as is_test, regexp_matches(n.file_path, '^tests/(.*/)?test_generated_[^/]*\\.py$') as generated,
     case when o.file_path is null or o.sha <> n.sha then true else false end as differs, replace(regexp_replace(n.file_path, '\\.py$', ''), '/', '.') as module from n left join {OTHER} o using (file_path)"""
@@ -589,7 +589,7 @@ def path_rules(t):
 GUARDED = Literal("file_path string, s boolean, d boolean", ("a", True, True), ("b", True, False), ("c", False, True), ("e", False, False))
 
 
-@query(f"""select file_path, case when s then 'copied' when d then 'deleted' else 'none' end as action from {GUARDED}""")
+@case(f"""select file_path, case when s then 'copied' when d then 'deleted' else 'none' end as action from {GUARDED}""")
 def apply_actions(t):
     g = GUARDED.df(t.spark)
     return diff.apply_actions(g, g.where("s"), g.where("d"))
@@ -597,7 +597,7 @@ def apply_actions(t):
 
 # --- knowledge and graph --------------------------------------------------------
 
-LISTS = Literal("id int, a array<string>, b array<string>, csv string, history array<string>, item string", (1, [" x", "y"], ["y ", "", "z"], "R2, ,R3", ["h", "h2"], "h"), (2, [], [], "", [], "new"), (3, None, ["q", "q"], None, ["a", "", "a"], ""))
+LISTS = Literal("id int, a array<string>, b array<string>, csv string, history array<string>, item string", (1, [" x", "y"], ["y ", "", "z"], "R2, ,R3", ["h", "h2"], "h"), (2, [], [], "", [], "new"), (3, None, ["q", "q"], None, ["a", "", "a"], "")).over("part", "p_partkey", a=("case when v.a is not null then concat(v.a, array(k.p_name)) end", "case when v.a is not null then list_append(v.a, k.p_name) end"), csv="v.csv || ',' || k.p_brand")
 
 
 @query(
@@ -608,7 +608,7 @@ LISTS = Literal("id int, a array<string>, b array<string>, csv string, history a
 def merged_lists(t):
     c = F.col
     join = lambda x: F.array_join(x, ",")
-    return LISTS.df(t.spark).select("id", join(knowledge.merged_list(c("a"), c("b"))).alias("merged"), join(services.requirement_ids(c("a"), c("csv"))).alias("ids"), join(services.appended(c("history"), c("item"))).alias("history"))
+    return LISTS.of(t).select("id", join(knowledge.merged_list(c("a"), c("b"))).alias("merged"), join(services.requirement_ids(c("a"), c("csv"))).alias("ids"), join(services.appended(c("history"), c("item"))).alias("history"))
 
 
 @query(
@@ -633,14 +633,14 @@ K_REQS = Literal("req_id string, title string, description string", ("R1", "one"
 K_LAYERS = Literal("module string, own string, listed string", ("m.a", "services", "api"), ("m.b", None, None), ("m.c", None, "api"), ("m.d", None, "storage"))
 
 
-@query(
+@case(
     f"""select qualname, req_id, (row_number() over (partition by qualname order by o, req_id) - 1)::int as ord, coalesce(nullif(title, ''), req_id) as title, coalesce(description, '') as description from (select qualname, req_id, min(side * 100 + pos) as o from {K_LINKS} group by 1, 2) left join {K_REQS} using (req_id)"""
 )
 def requirement_details(t):
     return knowledge.requirement_details(knowledge.from_document(t.spark, DOC))
 
 
-@query(
+@case(
     f"""select distinct * from (select module as source_qualname, 'belongs_to_layer' as relation_kind, coalesce(own, listed) as target_ref from {K_LAYERS} where coalesce(own, listed) is not null union all select req_id, 'implements_requirement', qualname from {K_LINKS} where side = 1 union all select qualname, 'implements_requirement', req_id from {K_LINKS} where side = 0)"""
 )
 def knowledge_edges(t):
@@ -655,7 +655,7 @@ RELATIONS = Literal(
 )
 
 
-@query(
+@case(
     f"""with t as (select qualname from {SYMBOLS} where contains('/' || file_path, '/tests/')), e as (select source_qualname as s, target_qualname as d from {RELATIONS} where relation_kind in ('calls', 'covered_by_test', 'exposed_by_controller') and target_qualname is not null),
     r1 as (select distinct d as root, s as node, 1 as hops from e), p1 as (select * from r1 where node in (select qualname from {SYMBOLS} where not contains('/' || file_path, '/tests/'))),
     r2 as (select distinct p1.root, e.s as node, 2 as hops from p1 join e on e.d = p1.node), p2 as (select * from r2 where node in (select qualname from {SYMBOLS} where not contains('/' || file_path, '/tests/'))), r3 as (select distinct p2.root, e.s as node, 3 as hops from p2 join e on e.d = p2.node),
@@ -671,7 +671,7 @@ def related_tests(t):
     return tests.join(files, "test").join(commands, "command", "left_semi").select("root", "test", "hops", "command")
 
 
-@query(
+@case(
     f"""with s as {SYMBOLS}, r as {RELATIONS}, shown as (select * from r where relation_kind <> 'contains'), t as (select * from s where qualname in ('a.F.go', 'a.last', 'b.only')),
     near as (select t.qualname, o.qualname as other, row_number() over (partition by t.qualname order by o.start_line, o.qualname) as n from t join s o using (file_path) where o.qualname <> t.qualname),
     o as (select qualname, coalesce(target_qualname, target_ref) as other, relation_confidence, row_number() over (partition by qualname order by relation_kind, coalesce(target_qualname, target_ref), ord) as n from t join shown on source_qualname = qualname),
@@ -688,7 +688,7 @@ def neighbourhoods(t):
     return pack.select("qualname", names("neighbors"), names("outbound"), names("inbound"), "high", "low")
 
 
-@query(
+@case(
     f"""select 'outbound' as lookup, source_qualname as a, coalesce(target_qualname, target_ref) as b from {RELATIONS} where source_qualname = 'a' union all select 'root', string_split(coalesce(target_qualname, target_ref), '.')[1], null from {RELATIONS} where relation_kind = 'imports' group by 2
     union all select 'child', s.parent_qualname, e.target_ref from {SYMBOLS} s join {RELATIONS} e on s.qualname = e.source_qualname where s.kind = 'method' union all select 'unique', name, min(qualname) from {SYMBOLS} group by name having count(*) = 1
     union all select 'type', regexp_replace(source_qualname, '\\.[^.]+$', ''), regexp_replace(target_qualname, '\\.[^.]+$', '') from {RELATIONS} where relation_kind = 'calls' and target_qualname is not null and regexp_replace(source_qualname, '\\.[^.]+$', '') <> regexp_replace(target_qualname, '\\.[^.]+$', '') group by all
@@ -707,7 +707,7 @@ def symbol_lookups(t):
     return out.unionByName(row(services.direct_children(s, "a").withColumn("p", F.lit("a")), "direct", "p", "name"))
 
 
-@query(
+@case(
     f"""with k as (select qualname as module from {SYMBOLS} where kind = 'module'), s as (select qualname, module_name from {SYMBOLS} where kind <> 'module'), n as (select qualname, module, row_number() over (partition by qualname order by length(module) desc) as n from s join k on qualname like module || '.%' or qualname = module)
     select s.qualname, coalesce(case when s.qualname in ('a.F', 'b.only') then s.qualname end, k.module, n.module) as target, case when s.qualname in ('a.F', 'b.only') then 'symbol' when k.module is not null then 'module' when n.module is not null then 'nearest_module' end as how
     from s left join k on s.module_name = k.module left join n on s.qualname = n.qualname and n.n = 1"""
@@ -718,7 +718,7 @@ def traced_symbols(t):
     return services.traced(s.where("kind <> 'module'"), known, s.where("kind = 'module'").select(F.col("qualname").alias("module")))
 
 
-REFS = Literal("id int, ref string", (1, "a"), (2, "c/d/x.py"), (3, "c.d.x.py"), (4, "x"), (5, "zzz"), (6, "c/__init__.py"))
+REFS = Literal("id int, ref string", (1, "a"), (2, "c/d/x.py"), (3, "c.d.x.py"), (4, "x"), (5, "zzz"), (6, "c/__init__.py")).over("orders", "o_orderkey")
 
 
 @query(
@@ -727,14 +727,14 @@ REFS = Literal("id int, ref string", (1, "a"), (2, "c/d/x.py"), (3, "c.d.x.py"),
     select id, r.ref, arg_min(target, o) as target, arg_min(step, o) as step from {REFS} r left join u using (ref) group by 1, 2"""
 )
 def module_references(t):
-    return services.module_refs(REFS.df(t.spark), SYMBOLS.df(t.spark)).select("id", "ref", "target", "step")
+    return services.module_refs(REFS.of(t), SYMBOLS.df(t.spark)).select("id", "ref", "target", "step")
 
 
 LAYER_ROWS = Literal("layer string, module string", ("old", "a"), ("api", "c"), ("api", "gone"))
 NEW_LAYERS = Literal("layer string, module string", ("api", "a"), ("api", "zz"), ("data", "c.d.x"), ("api", "a"))
 
 
-@query(
+@case(
     f"""with k as (select qualname as module from {SYMBOLS} where kind = 'module') select layer, module, 'kept' as list from {LAYER_ROWS} where layer not in (select layer from {NEW_LAYERS}) union select layer, module, 'kept' from {NEW_LAYERS} where module in (select module from k) union select layer, module, 'unknown' from {NEW_LAYERS} where module not in (select module from k)"""
 )
 def layers_replaced(t):
@@ -780,7 +780,7 @@ def project_map(t):
 RUNS = Literal("path string, run_id string, project string, ok boolean, ms array<string>, total_tokens string, generated_tests long", ("p3", "r3", "x", None, [], "x", 0), ("p1", "r1", "x", True, ["5", None], "12", 1), ("p2", "R2", "y", False, ["7", "8"], None, None))
 
 
-@query(
+@case(
     f"""select path, run_id, case when ok is null then 'unknown' when ok then 'passed' else 'failed' end as status, coalesce(list_sum(list_transform(ms, lambda x: coalesce(x::bigint, 0))), 0)::bigint as duration_ms, coalesce(try_cast(total_tokens as bigint), 0) as total_tokens, coalesce(generated_tests, 0) > 0 as had_generated_tests,
     ok is not null and ok and contains(lower(run_id), 'r') as filtered from {RUNS}"""
 )
@@ -795,7 +795,7 @@ HITS = Literal("qualname string, score double, query_pos int, pos int", ("a.F",
 RANKED = Literal("qualname string, rank int", ("b.only", 1), ("a.last", 2), ("b.only", 3))
 
 
-@query(
+@case(
     f"""with u as (select qualname, score, query_pos from {HITS} qualify row_number() over (partition by qualname order by score desc, query_pos) = 1), h as (select * from u union all select qualname, 100.0, -1 from {SYMBOLS} where (name in ('go', 'a.F') or qualname in ('go', 'a.F')) and qualname not in (select qualname from u)),
     o as (select h.*, row_number() over (order by query_pos, qualname) - 1 as p from h), r as (select qualname, min(rank) as rank from {RANKED} group by 1)
     select qualname, score, query_pos, (row_number() over (order by r.rank nulls last, p))::int as place, (row_number() over (order by case when qualname = 'a.last' then 0 else 1 end, p))::int as moved from o left join r using (qualname)"""
@@ -833,7 +833,7 @@ CONSUMED = Literal("file_path string, relation_kind string, target_qualname stri
 SOURCES = Literal("id int, body string", (1, "import a\nx\nname()\nnames\ny\nz = name"), (2, "from b import name\nname\n"), (3, ""))
 
 
-@query(
+@case(
     f"""select file_path as a, string_agg(distinct substring(target_qualname, 3), ',' order by substring(target_qualname, 3)) as b from {CONSUMED} where relation_kind = 'imports' and starts_with(target_qualname, 'm.') and not contains('/' || file_path, '/tests/') and target_qualname <> 'm.here' group by 1
     union all select id::varchar, (with l as (select unnest(string_split(body, chr(10))) as x, generate_subscripts(string_split(body, chr(10)), 1) as i), k as (select x, i, lag(i) over (order by i) as p from l where regexp_matches(x, '^\\s*(import|from)\\s') or regexp_matches(x, '(^|[^A-Za-z0-9_])(name)([^A-Za-z0-9_]|$)'))
       select coalesce(string_agg(case when p < i - 1 then '...' || chr(10) || x else x end, chr(10) order by i), '') from k) from {SOURCES}"""
@@ -862,7 +862,7 @@ PROJECTS = Literal("project_id string, project_root string", ("a", "/r"), ("b",
 NEW_PROJECTS = Literal("project_id string, project_root string", ("d", "/r"), ("e", "/t"))
 
 
-@query(
+@case(
     f"""select project_id, project_root, 'kept' as list from {PROJECTS} union all select project_id, project_root, case when project_root in (select project_root from {PROJECTS}) then 'rejected' else 'kept' end from {NEW_PROJECTS} union all select project_id, project_root, 'by_root' from {PROJECTS} where rtrim(project_root, '/') = '/s'"""
 )
 def project_registry(t):
@@ -897,7 +897,7 @@ CHOSEN = Literal(
 )
 
 
-@query(
+@case(
     f"""select session_id, target as selected_target, coalesce(nullif(operation, ''), requested_operation) as requested_operation, coalesce(case when scope in ('module_body', 'class_body') then scope end, insert_scope) as insert_scope, case when coalesce(thin, false) then 'needs_user_decision' else 'target_selected' end as status,
     nullif(trim(target), '') is distinct from coalesce(nullif(trim(selected_target), ''), nullif(trim(recommended_target), '')) as selection_changed, coalesce(nullif(trim(selected_target), ''), nullif(trim(recommended_target), '')) as resolved,
     case when nullif(trim(selected_target), '') is not null then 'session_selected' when nullif(trim(recommended_target), '') is not null then 'session_recommended' end as source, case when coalesce(nullif(trim(selected_target), ''), nullif(trim(recommended_target), '')) is null then 'no target given and none recommended' end as error from {CHOSEN}"""
@@ -919,7 +919,7 @@ MADE = Literal(
 _up = "case when contains(coalesce(target, ''), '.') then regexp_replace(target, '\\.[^.]+$', '') end"
 
 
-@query(
+@case(
     f"""with p as (select *, coalesce(nullif(trim(parent), ''), case when scope = 'class_body' then nullif(trim(target), '') else {_up} end) as p from {MADE}),
     b as (select *, case when p is null then {_none} else list_filter(coalesce(changed, {_none}), lambda x: starts_with(x, p || '.') and not contains(substring(x, length(p) + 2), '.')) end as below from p),
     k as (select *, case when kind = 'method' and len(list_filter(below, lambda x: not ends_with(x, '.__init__'))) > 0 then list_filter(below, lambda x: not ends_with(x, '.__init__')) else below end as kept, nullif(regexp_extract(coalesce(code, ''), '(?m)^(?:async def|def|class)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') as first,
@@ -933,7 +933,7 @@ def inserted_symbols(t):
 REPORTS = Literal("run_id string, verdict string, generated_only boolean, paths array<string>", ("a", "verification_failed", True, ["t.py"]), ("b", "verification_failed", False, ["t.py"]), ("c", "generated_test_verification_failed", None, []), ("d", "ready_for_merge_review", False, []))
 
 
-@query(
+@case(
     f"""select run_id, case when coalesce(generated_only, false) then 'generated_test_verification_failed' else verdict end as verdict, not coalesce(generated_only, false) and verdict = 'verification_failed' as production_failed, coalesce(generated_only, false) or verdict = 'generated_test_verification_failed' as generated_test_failed,
     coalesce(generated_only, false) as runtime_only, case when coalesce(generated_only, false) then array_to_string(paths, ',') else '' end as excluded from {REPORTS}"""
 )
@@ -941,7 +941,7 @@ def reclassified_reports(t):
     return services.reclassified(REPORTS.df(t.spark)).select("run_id", "verdict", "production_failed", "generated_test_failed", "runtime_only", F.array_join("excluded_files", ",").alias("excluded"))
 
 
-CHANGES = Literal("id int, review boolean, target string, sure double, codes array<string>, import_change boolean, score double", (1, False, "m.a", 0.9, ["w"], True, 4.0), (2, None, "m.a", 0.9, None, False, 12.0), (3, True, None, 0.1, [], None, 0.0))
+CHANGES = Literal("id int, review boolean, target string, sure double, codes array<string>, import_change boolean, score double", (1, False, "m.a", 0.9, ["w"], True, 4.0), (2, None, "m.a", 0.9, None, False, 12.0), (3, True, None, 0.1, [], None, 0.0)).over("orders", "o_orderkey", score="cast(k.o_orderkey % 17 as double)")
 
 
 @query(
@@ -951,7 +951,7 @@ CHANGES = Literal("id int, review boolean, target string, sure double, codes arr
 def import_reviews(t):
     """Changes of imports lose their target; symbols that are candidates without a search."""
     c = F.col
-    rows = CHANGES.df(t.spark).select("id", analysis.non_symbol_change(c("review"), c("target"), c("sure"), c("codes"), c("import_change")).alias("r"), analysis.symbol_candidate(c("score")).alias("s"))
+    rows = CHANGES.of(t).select("id", analysis.non_symbol_change(c("review"), c("target"), c("sure"), c("codes"), c("import_change")).alias("r"), analysis.symbol_candidate(c("score")).alias("s"))
     return rows.select("id", "r.review", "r.target", "r.sure", "r.role", F.array_join("r.codes", ",").alias("codes"), "r.previous_target", "s.confidence", "s.category")
 
 
@@ -959,7 +959,7 @@ BATCH = Literal("target string, pos int", ("tests.t", 2), ("tests.t.C.m", 0), ("
 BATCH_FILES = Literal("file_path string", ("tests/t.py",), ("tests/u.py",))
 
 
-@query(
+@case(
     f"""with t as (select trim(target) as target, pos from {BATCH} where trim(target) <> ''), p as (select distinct target, string_split(target, '.') as p from t), e as (select target, n, array_to_string(p[1:n], '/') || '.py' as path, array_to_string(p[n + 1:], '::') as node from p, (select unnest(range(1, 9)) as n) where n <= len(p)),
     h as (select e.*, node = '' or (path, node) in (select (path, node) from {TEST_NODES}) as has from e where path in (select file_path from {BATCH_FILES})), b as (select * from h qualify row_number() over (partition by target order by has desc, n desc) = 1),
     r as (select t.*, case when has then path || case when node <> '' then '::' || node else '' end else path end as path, case when path is null then 'unresolved' when has then 'resolved' else 'fallback_file' end as status from t left join b using (target)),

@@ -13,6 +13,7 @@ import pytest
 
 from cairnspark.functions import text
 from cairnspark.plans import driver_queries as dq
+from cairnspark.plans.registry import CASE_SQL, CASES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -40,10 +41,10 @@ def table(names, rows):
     return [names[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: [(x is None, str(x)) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(dq.SQL))
+@pytest.mark.parametrize("name", [*sorted(dq.SQL), *sorted(CASES)])
 def test_query(name, spark, sf, con):
-    df = dq.QUERIES[name](spark, sf)
-    rel = con.sql(dq.SQL[name])
+    df = (dq.QUERIES.get(name) or CASES[name])(spark, sf)
+    rel = con.sql(dq.SQL.get(name) or CASE_SQL[name])
     names, rows = table(df.columns, df.collect())
     want_names, want = table(rel.columns, rel.fetchall())
     assert names == want_names
