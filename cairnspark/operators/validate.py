@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import stored
 from ..functions.text import type_name, types_fit
+from . import dataflow
 from .decisions import any_of
 from .usage import verdict
 
@@ -718,12 +719,32 @@ def _(c):
     return found(typed.where((F.col("_t") != "") & ~F.col("_t").isin(*PATH_LIKE, *NUMBERS)), F.concat_ws(".", "type", "field"), F.col("_t"))
 
 
+def fitting(expected: Column, actual: Column) -> Column:
+    """Equal or unknown types, whole numbers as floats and truth values as
+    whole numbers."""
+    return types_fit(expected, actual) | ((expected == "float") & (actual == "int")) | ((expected == "int") & (actual == "bool"))
+
+
+def misfits(c: Case, uses: DataFrame, expected: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """Values through variables (keys, owner, value) none of whose types fits
+    the ``expected`` (on, _t): with ``_t`` and ``_a``, the types it has. A
+    value with a type that is not known is left alone."""
+    types = dataflow.variable_types(c.after).withColumnRenamed("name", "value")
+    rows = uses.join(expected.where(F.col("_t").isin(*CONCRETE)), on).join(types, ["unit", "file_path", "owner", "value"])
+    wrong = (F.col("type") != dataflow.UNKNOWN) & ~fitting(F.col("_t"), F.col("type"))
+    each = rows.groupBy(*keys, "value", "_t").agg(F.bool_and(wrong).alias("_wrong"), F.array_join(F.array_sort(F.collect_set("type")), " or ").alias("_a"))
+    return each.where("_wrong").drop("_wrong", "value")
+
+
 @rule("model_constructor_field_type_mismatch", "production")
 def _(c):
+    fields = c.fields.select("type", "field", visible_type(F.col("note")).alias("_t")).distinct()
     values = of(c.after, "value_type").select("unit", "file_path", F.col("detail").alias("type"), F.col("name").alias("field"), F.col("items")[0].alias("_a"))
-    typed = values.join(c.fields.select("type", "field", visible_type(F.col("note")).alias("_t")).distinct(), ["type", "field"]).where(F.col("_t").isin(*CONCRETE))
-    fits = types_fit(F.col("_t"), F.col("_a")) | ((F.col("_t") == "float") & (F.col("_a") == "int")) | ((F.col("_t") == "int") & (F.col("_a") == "bool"))
-    return found(typed.where(~fits), F.concat_ws(".", "type", "field"), F.concat_ws(" for ", "_a", "_t"))
+    typed = values.join(fields, ["type", "field"]).where(F.col("_t").isin(*CONCRETE) & ~fitting(F.col("_t"), F.col("_a")))
+    uses = of(c.after, "value_flow").select("unit", "file_path", "owner", F.col("detail").alias("type_"), F.col("name").alias("field"), F.col("items")[0].alias("value"))
+    through = misfits(c, uses, fields.withColumnRenamed("type", "type_"), ["type_", "field"], ["unit", "file_path", "type_", "field"]).withColumnRenamed("type_", "type")
+    rows = typed.select("unit", "file_path", "type", "field", "_a", "_t").unionByName(through.select("unit", "file_path", "type", "field", "_a", "_t"))
+    return found(rows, F.concat_ws(".", "type", "field"), F.concat_ws(" for ", "_a", "_t"))
 
 
 @rule("model_constructor_default_field_overridden_with_none", "production")
@@ -754,10 +775,13 @@ def contract_names(c: Case) -> DataFrame:
 @rule("contract_call_argument_type_mismatch", "production")
 def _(c):
     notes = of(c.after, "argument_types").unionByName(of(c.before, "argument_types")).where("owner = ''").select("unit", "name", F.posexplode("items").alias("n", "_note")).distinct()
+    notes = notes.withColumn("_t", visible_type(F.col("_note"))).drop("_note")
     given = of(c.after, "argument_type").select("unit", "file_path", "name", "n", F.col("detail").alias("_a"))
-    rows = given.join(notes, ["unit", "name", "n"]).withColumn("_t", visible_type(F.col("_note"))).where(F.col("_t").isin(*CONCRETE))
-    fits = types_fit(F.col("_t"), F.col("_a")) | ((F.col("_t") == "float") & (F.col("_a") == "int")) | ((F.col("_t") == "int") & (F.col("_a") == "bool"))
-    return found(rows.where(~fits), "name", F.concat_ws(" for ", "_a", "_t"))
+    rows = given.join(notes, ["unit", "name", "n"]).where(F.col("_t").isin(*CONCRETE) & ~fitting(F.col("_t"), F.col("_a")))
+    uses = of(c.after, "argument_flow").select("unit", "file_path", "owner", "name", "n", F.col("detail").alias("value"))
+    through = misfits(c, uses.withColumnRenamed("name", "called"), notes.withColumnRenamed("name", "called"), ["unit", "called", "n"], ["unit", "file_path", "called", "n"]).withColumnRenamed("called", "name")
+    rows = rows.select("unit", "file_path", "name", "_a", "_t").unionByName(through.select("unit", "file_path", "name", "_a", "_t"))
+    return found(rows, "name", F.concat_ws(" for ", "_a", "_t"))
 
 
 @rule("contract_call_uses_unrequested_literal_arg", "production")

@@ -40,6 +40,23 @@ def may_be_none(node) -> bool:
     return isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "get" and len(node.args) == 1
 
 
+def sources_of(node) -> list[tuple[str, str]]:
+    """Where a value's type comes from: (type, name or call, which)."""
+    if isinstance(node, ast.IfExp):
+        return [*sources_of(node.body), *sources_of(node.orelse)]
+    if isinstance(node, ast.BoolOp):
+        return [x for v in node.values for x in sources_of(v)]
+    if isinstance(node, ast.NamedExpr):
+        return sources_of(node.value)
+    if kind := literal_type(node):
+        return [("type", kind)]
+    if isinstance(node, ast.Name):
+        return [("name", node.id)]
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
+        return [("call", node.func.id)]
+    return [("type", "?")]
+
+
 class Reader(ast.NodeVisitor):
     """Walks one module and lists its facts.
 
@@ -50,13 +67,16 @@ class Reader(ast.NodeVisitor):
     function_signature, required_keywords, method_keywords, local_import,
     string_keyword, dependency_read, division, value_type, none_value,
     argument_types, argument_type, literal_argument, returns, returned_call,
-    assigned_value, used_value, compile_error, text (the file's own, in lower case).
+    assigned_value, used_value, compile_error, text (the file's own, in lower case),
+    derived (a class with bases), flow (a variable and where a type comes to it from), value_flow and argument_flow (a
+    value handed over, under a variable of its own).
     """
 
     def __init__(self):
         self.rows: list[dict] = []
         self.classes: list[str] = []
         self.functions: list[ast.AST] = []
+        self.flowing: set[int] = set()
 
     def owner(self) -> str:
         names = [*self.classes, *(f.name for f in self.functions)]
@@ -65,6 +85,10 @@ class Reader(ast.NodeVisitor):
     def add(self, fact: str, node, name: str | None = None, detail: str | None = None, n: int | None = None, items: list[str] | None = None, owner: str | None = None) -> None:
         self.rows.append({"fact": fact, "owner": self.owner() if owner is None else owner, "name": name, "detail": detail, "n": n, "items": items, "line": getattr(node, "lineno", 0)})
 
+    def flow(self, node, name: str, value) -> None:
+        for kind, what in sources_of(value):
+            self.add("flow", node, name, kind, items=[what])
+
     def visit_Import(self, node):
         for a in node.names:
             self.add("import", node, a.name, a.asname or a.name.split(".")[0])
@@ -96,6 +120,8 @@ class Reader(ast.NodeVisitor):
                 for t in x.targets:
                     if isinstance(t, ast.Name):
                         self.add("known_attribute", x, t.id, owner=node.name)
+        if node.bases:
+            self.add("derived", node, node.name, owner="")
         if init is not None:
             args, gaps = init.args.args[1:], len(init.args.args) - len(init.args.defaults)
             for i, a in enumerate(args, 1):
@@ -113,8 +139,13 @@ class Reader(ast.NodeVisitor):
     def _function(self, node):
         self._definition(node, "async" if isinstance(node, ast.AsyncFunctionDef) else "function")
         every = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, (node.args.vararg, node.args.kwarg))]
+        inner = ".".join(x for x in (self.owner(), node.name) if x)
         for a in every:
             self.add("bind", node, a.arg)
+            starred = a in (node.args.vararg, node.args.kwarg)
+            self.add("flow", node, a.arg, "note", items=[ast.unparse(a.annotation) if a.annotation and not starred else ""], owner=inner)
+        if isinstance(node, ast.AsyncFunctionDef):
+            self.add("flow", node, "return", "type", items=["?"], owner=inner)
         plain = [a.arg for a in node.args.args]
         if node.name.startswith("test_"):
             for a in plain[1:] if self.classes and plain[:1] in (["self"], ["cls"]) else plain:
@@ -183,6 +214,9 @@ class Reader(ast.NodeVisitor):
 
     def visit_AnnAssign(self, node):
         self.note(node.annotation)
+        if isinstance(node.target, ast.Name):
+            self.flowing.add(id(node.target))
+            self.add("flow", node, node.target.id, "note", items=[ast.unparse(node.annotation)])
         self.generic_visit(node)
 
     def note(self, annotation):
@@ -192,6 +226,30 @@ class Reader(ast.NodeVisitor):
 
     def visit_Name(self, node):
         self.add("load" if isinstance(node.ctx, ast.Load) else "bind", node, node.id)
+        if not isinstance(node.ctx, ast.Load) and id(node) not in self.flowing:
+            self.add("flow", node, node.id, "type", items=["?"])
+
+    def visit_Global(self, node):
+        for name in node.names:
+            self.add("flow", node, name, "type", items=["?"])
+
+    visit_Nonlocal = visit_Global
+
+    def visit_NamedExpr(self, node):
+        self.flowing.add(id(node.target))
+        self.flow(node, node.target.id, node.value)
+        self.generic_visit(node)
+
+    def visit_Return(self, node):
+        if node.value is not None:
+            self.flow(node, "return", node.value)
+        self.generic_visit(node)
+
+    def visit_Yield(self, node):
+        self.add("flow", node, "return", "type", items=["?"])
+        self.generic_visit(node)
+
+    visit_YieldFrom = visit_Yield
 
     def visit_Attribute(self, node):
         if isinstance(node.value, ast.Name) and node.value.id == "self" and self.classes:
@@ -221,11 +279,19 @@ class Reader(ast.NodeVisitor):
                     self.add("string_keyword", node, k.arg, last)
                 if k.arg and (kind := literal_type(k.value)):
                     self.add("value_type", node, k.arg, last, items=[kind])
+                elif k.arg:
+                    value = f"@{k.value.lineno}:{k.value.col_offset}"
+                    self.flow(node, value, k.value)
+                    self.add("value_flow", node, k.arg, last, items=[value])
                 if k.arg and may_be_none(k.value):
                     self.add("none_value", node, k.arg, last)
             for i, a in enumerate(node.args):
                 if kind := literal_type(a):
                     self.add("argument_type", node, last, kind, i)
+                elif not starred:
+                    value = f"@{a.lineno}:{a.col_offset}"
+                    self.flow(node, value, a)
+                    self.add("argument_flow", node, last, value, i)
                 if isinstance(a, ast.Constant) and isinstance(a.value, (str, int, float)) and not isinstance(a.value, bool):
                     self.add("literal_argument", node, last, str(a.value), i)
             if name in ("pytest.raises", "raises"):
@@ -246,6 +312,10 @@ class Reader(ast.NodeVisitor):
     def visit_Assign(self, node):
         if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call) and (c := dotted(node.value.func)):
             self.add("instance", node, node.targets[0].id, c)
+        for t in node.targets:
+            if isinstance(t, ast.Name):
+                self.flowing.add(id(t))
+                self.flow(node, t.id, node.value)
         self.generic_visit(node)
 
     def visit_Assert(self, node):
