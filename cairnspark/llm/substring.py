@@ -9,8 +9,10 @@ over it also starts in a document with a smaller doc_id.
 
 Each task settles what it can among its own documents, those it holds at once
 and, of anchors and windows that were frequent in these, those that come
-later. So a frequent key sends one document's entries a task and another's only
-where that is smaller; entries travel as packed arrays, by hash bucket.
+later. So a frequent key sends one document's entry a task and another's only
+where that is smaller; a key that a document repeats is one entry too, and its
+other places are found again where the document is read next. Entries travel
+as packed arrays, by hash bucket.
 Windows are compared by 128-bit hashes of 128-bit word hashes.
 """
 
@@ -175,6 +177,8 @@ def settled_and_sent(buckets, lo, hi, doc, row, pos, smaller: bool, known: Known
     ``smaller`` True: an entry counts where its key is in a smaller document.
     Entries of other documents than the smallest so far count; the smallest
     document's entries are sent.
+    Of the equal keys of a document the first is sent, and its place p as
+    -p - 2 if there are others (-1: counted here).
     """
     group, n = grouped(lo, hi)
     least, most = extent(group, n, doc)
@@ -197,7 +201,20 @@ def settled_and_sent(buckets, lo, hi, doc, row, pos, smaller: bool, known: Known
     if often.any():
         known.add(lo[head][often], hi[head].astype(np.uint64)[often], least[often], np.bincount(group, minlength=n)[often])
     yield from sent(buckets, True, lo[done], hi[done], doc[done], row[done], pos[done])
-    yield from sent(buckets, False, lo[send], hi[send], doc[send], row[send], place[send])
+    own = np.flatnonzero(send)
+    own = own[np.lexsort((pos[own], row[own], doc[own], group[own]))]
+    same = (group[own][1:] == group[own][:-1]) & (doc[own][1:] == doc[own][:-1]) & (row[own][1:] == row[own][:-1])
+    head = own[np.concatenate([[True], ~same])] if len(own) else own
+    again = np.zeros(len(lo), bool)
+    again[own[:-1][same]] = True  # the next one is equal
+    place = np.where(again & (place >= 0), -place - 2, place)
+    yield from sent(buckets, False, lo[head], hi[head], doc[head], row[head], place[head])
+
+
+def whole(places: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places as they stand, and those that stand for all of an equal key."""
+    all_ = np.unique(np.array([p for x in places for p in x], dtype=np.int64))
+    return all_[all_ >= 0], -all_[all_ < -1] - 2
 
 
 FOUND = "doc_id long, row long, places array<int>"
@@ -215,7 +232,7 @@ def _met(smaller: bool):
         lo, hi, doc, row, pos = (take(c, False) for c in ("lo", "hi", "doc", "row", "pos"))
         group, n = grouped(lo, hi)
         least, most = extent(group, n, doc)
-        counts = (doc > least[group]) if smaller else (least != most)[group] & (pos >= 0)
+        counts = (doc > least[group]) if smaller else (least != most)[group] & (pos != -1)
         doc, row, pos = (np.concatenate([x[counts], take(c, True)]) for c, x in (("doc", doc), ("row", row), ("pos", pos)))
         order = np.lexsort((pos, row, doc))
         doc, row, pos = doc[order], row[order], pos[order]
@@ -248,7 +265,12 @@ def _windows(buckets: int):
             at = 0
             for d, r, words, places in docs:
                 mark = np.zeros(len(words) + 1, dtype=np.int32)
-                places = np.unique(np.array([p for x in places for p in x], dtype=np.int64))
+                places, standing = whole(places)
+                if len(standing):
+                    anchors = np.arange(len(words) - ANCHOR + 1)
+                    anchors = anchors[np.isin(anchors % PERIOD, COVER)]
+                    equal = np.isin(window_codes(codes[:, 0], anchors + at, ANCHOR, 1), window_codes(codes[:, 0], standing + at, ANCHOR, 1))
+                    places = np.concatenate([places, anchors[equal]])
                 np.add.at(mark, np.maximum(places - (WINDOW - ANCHOR), 0), 1)
                 np.add.at(mark, np.minimum(places + 1, len(words)), -1)
                 own = np.flatnonzero(np.cumsum(mark) > 0)
@@ -286,6 +308,19 @@ def kept_words(words: list[bytes], places: np.ndarray) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0).tolist()]
 
 
+def every_place(words: list[bytes], places: list[list[int]]) -> np.ndarray:
+    """Starts of the windows that go, those equal to a standing one included."""
+    known, standing = whole(places)
+    if not len(standing):
+        return known
+    codes, starts = word_codes(words), np.arange(len(words) - WINDOW + 1)
+    lo, hi = window_codes(codes[:, 0], starts, WINDOW, 3), window_codes(codes[:, 1], starts, WINDOW, 5)
+    group, n = grouped(lo, hi)
+    gone = np.zeros(n, bool)
+    gone[group[standing]] = True
+    return np.concatenate([known, starts[gone[group]]])
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -296,7 +331,7 @@ def _cut(with_text: bool):
             places = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * batch.num_rows
             for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), places, strict=True):
                 words = text.split()
-                kept = kept_words(words, np.array([p for x in own for p in x], dtype=np.int64)) if own else words
+                kept = kept_words(words, every_place(words, own)) if own else words
                 joined = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
             n, gone, sha, left = zip(*out, strict=True) if out else ((), (), (), ())
@@ -320,7 +355,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = texts(docs, id_col, text_col)
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    buckets = buckets_for(input_bytes(docs), each_mb=2)
+    buckets = buckets_for(input_bytes(docs), each_mb=8)
     anchors = rows.mapInArrow(tidied(_anchors(buckets)), ENTRY).groupBy("bucket").applyInArrow(_met(False), FOUND)
     gather = lambda found: found.groupBy("doc_id", "row").agg(F.collect_list("places").alias("places"))
     shared = stored(gather(anchors), "anchors")

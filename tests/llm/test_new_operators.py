@@ -12,7 +12,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from cairnspark.llm import filter_audit, neighbours, whitening
+from cairnspark.llm import filter_audit, neighbours, substring, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, part string, fails int, good boolean, n long, step int, digest binary, words string"
@@ -248,3 +248,41 @@ def test_tables_reach_every_code_within_the_radius():
             rows, found = chunk.within(chunk.codes[q], radius)
             assert rows.tolist() == np.flatnonzero(far <= radius).tolist() and found.tolist() == far[far <= radius].tolist()
     assert all(sum(s + 1 for s in neighbours.shares(radius)) > radius for radius in range(129))
+
+
+# --- texts of few words that are repeated very often ---------------------------
+
+
+def removed_by_force(rows):
+    """Words covered by a window that starts in a smaller document too."""
+    first: dict = {}
+    for d, text in rows:
+        w = WORD.findall(text)
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, d), d)
+    out = {}
+    for d, text in rows:
+        w = WORD.findall(text)
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < d for p in range(k, k + 13)}
+        out[d] = (len(w), len(gone))
+    return out
+
+
+def test_repeated_lines_within_documents(spark):
+    """Documents of one repeated word or line, alone and shared, in one task
+    and in many."""
+    r = random.Random(12)
+    line = " ".join(f"w{i}" for i in range(17))
+    rows = [(1, "a " * 3000), (2, "b " * 2000 + "end"), (3, "x " + "a " * 40 + "y"), (4, f"{line} " * 90), (5, f"z {line} {line} " + "b " * 12), (6, "c " * 5000), (7, "b " * 13), (8, f"{line} " * 30 + "c " * 14)]
+    rows += [(10 + i, " ".join(r.choice("pqr") for _ in range(120))) for i in range(20)]
+    want = removed_by_force(rows)
+    for parts in (1, 12):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring.deduplicated(df).collect()} == want
+
+
+def test_equal_keys_of_a_document_are_one_entry():
+    keys = np.repeat(np.arange(3, dtype=np.uint64), 1000)
+    out = list(substring.settled_and_sent(16, keys, np.zeros(3000, np.uint64), np.zeros(3000, np.int64), np.zeros(3000, np.int64), np.arange(3000, dtype=np.int32), True, substring.Known()))
+    assert sum(len(substring.unpack(b.column("pos")[0].as_py(), "<i4")) for b in out) == 3
