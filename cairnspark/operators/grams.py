@@ -18,8 +18,9 @@ Q = 3
 #: A table of at most so many rows and bytes is sent to all tasks; a larger
 #: one is shuffled.
 SENT_ROWS, SENT_BYTES = 100_000, 32 << 20
-#: Parts that the rows of one key are spread over where both sides are large.
-SALTS = 32
+#: Parts that the rows of a frequent key are spread over where both sides are
+#: large, and the rows that make a key frequent at least.
+SALTS, HOT_ROWS = 32, 10_000
 
 
 def runs(c: Column | str, size: int = Q) -> Column:
@@ -38,13 +39,20 @@ def small(df: DataFrame, rows: int = SENT_ROWS, size: int = SENT_BYTES) -> bool:
 
 def key_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join of many rows to a stored table on one column. The table is
-    sent to all tasks where its size allows; else rows of a frequent key are
-    spread and the table's rows of it go to each part."""
+    sent to all tasks where its size allows; else both are shuffled, and rows
+    of keys that hold more than a thousandth of all rows are spread: the
+    table's rows of these few keys go to each part."""
     if small(right):
         return left.join(F.broadcast(right), key)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [key, "_salt"]).drop("_salt")
+    counts = stored(left.groupBy(key).agg(F.count("*").alias("_n")), "key_counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") > max(HOT_ROWS, total // 1000)).select(key, F.lit(True).alias("_hot")))  # fewer than 1,000 rows
+    spread_over = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    salted = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread_over).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = right.join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    # the planner does not know that the parts multiply its rows and might send them to all tasks
+    return salted.join(table.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def contained(hays: DataFrame, needles: DataFrame) -> DataFrame:

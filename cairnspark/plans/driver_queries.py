@@ -143,13 +143,6 @@ def indexed_search(t):
     return found.join(t("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "quality", "score")
 
 
-@query(ITEM_TOP)
-def indexed_items(t):
-    """``benchmark_search`` by postings."""
-    asked = t("benchmark").select(F.col("text").alias("query"), F.col("item_id").alias("pos"))
-    return _postings(t).search(asked, 5).select(F.col("pos").alias("item_id"), "doc_id", "score", "rank")
-
-
 _cosine = "list_cosine_distance(v, q)"
 _vectors = "select vec_id, label, embedding::double[] as v from embeddings"
 

@@ -35,6 +35,7 @@ def test_contained_by_shuffles(spark, monkeypatch):
     """Beyond the size that is sent to all tasks the rows are the same."""
     monkeypatch.setattr(grams, "SENT_ROWS", 0)
     monkeypatch.setattr(grams.small, "__defaults__", (0, 0))
+    monkeypatch.setattr(grams, "HOT_ROWS", 3)
     hays, needles = [f"alpha{i}beta" for i in range(50)], ["ha1", "beta", "al", "9", "none"]
     assert pairs(spark, hays, needles) == by_force(hays, needles)
 
