@@ -628,4 +628,4 @@ def json_recovery(t):
     return sources.replies(rows).select((~F.col("needs_review")).alias("ok"), "doc_id", "json")
 
 
-from . import operator_queries  # noqa: E402, F401  registers its queries
+from . import operator_queries, rule_queries  # noqa: E402, F401  register their queries
