@@ -12,7 +12,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from cairnspark.llm import filter_audit, neighbours, substring, whitening
+from cairnspark.llm import filter_audit, neighbours, pii, substring, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, part string, fails int, good boolean, n long, step int, digest binary, words string"
@@ -286,3 +286,44 @@ def test_equal_keys_of_a_document_are_one_entry():
     keys = np.repeat(np.arange(3, dtype=np.uint64), 1000)
     out = list(substring.settled_and_sent(16, keys, np.zeros(3000, np.uint64), np.zeros(3000, np.int64), np.zeros(3000, np.int64), np.arange(3000, dtype=np.int32), True, substring.Known()))
     assert sum(len(substring.unpack(b.column("pos")[0].as_py(), "<i4")) for b in out) == 3
+
+
+# --- what the links of the field add -------------------------------------------
+
+
+def test_links_find_mentions_that_no_feature_tells(monkeypatch):
+    """Mentions repeated in other forms, with the links and without: with
+    them more are found, and nothing else is."""
+    r = random.Random(9)
+    make = (lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}")
+    plain = lambda: r.choice(["in 1999", "version 2.0.", "1,200 of 3.14", "2024-05-06", "room 7-12"])
+    field = pii.train([n for _ in range(200) for n in pii.lessons(f"so {r.choice(make)()} and {plain()} or {plain()} end", 1)])
+    cases = []
+    for _ in range(80):
+        kind = r.choice([1, 3])
+        first = make[kind == 3]()
+        again = pii.FORMS[kind](r, first)
+        text = f"so {first} and {plain()} then {again} or {plain()}"
+        base = pii.base_spans(text)
+        if [k for k, *_ in base] == [kind]:
+            cases.append((text, base, kind, text.rindex(again)))
+
+    def found():
+        hits = extra = 0
+        for text, base, kind, at in cases:
+            got = pii.added_spans(text, base, field)
+            hits += any(k == kind and e > at for k, _, e in got)
+            extra += sum(e <= at for _, _, e in got)
+        return hits, extra
+
+    on = found()
+    real = pii.nodes_of
+
+    def unlinked(text, base):
+        n = real(text, base)
+        n.links = np.zeros((0, 2), np.int64)
+        return n
+
+    monkeypatch.setattr(pii, "nodes_of", unlinked)
+    off = found()
+    assert len(cases) > 50 and on[0] > off[0] + len(cases) // 10 and on[1] == off[1] == 0
