@@ -44,6 +44,10 @@ class Recorder:
         return spark.createDataFrame(self.rows, STEP_SCHEMA)
 
 
+#: Changed files that are opened by name; more are found by reading the tree.
+FEW_FILES = 10_000
+
+
 @dataclass
 class Engine:
     """One project in a store. ``knowledge_doc`` is its curated knowledge;
@@ -71,12 +75,17 @@ class Engine:
         extracted, vanished ones deleted (in a full build too), knowledge
         edges and search documents replaced where they differ."""
         run = recorder or Recorder("build")
-        scan = run.step("scan", lambda: code.scan(self.spark, root).persist())
+        # hashes are kept, contents are not: those of changed files are read again
+        scan = run.step("scan", lambda: stored(code.scan(self.spark, root).drop("content"), "scan"))
         states = diff.status(self.store.known_files(self.project), scan, ["file_path"], "file_hash", force=full).persist()
         report = diff.build_report(states).first().asDict()
 
         def index() -> None:
-            touched = scan.join(states.where("status in ('new', 'changed')"), "file_path", "left_semi")
+            changed = states.where("status in ('new', 'changed')")
+            if report["indexed"] <= FEW_FILES:
+                touched = code.scan(self.spark, root, only=sorted(r[0] for r in changed.select("file_path").collect()))
+            else:
+                touched = code.scan(self.spark, root).join(changed, "file_path", "left_semi")
             gone = states.where("status = 'deleted'").select(F.lit(self.project).alias("project_root"), "file_path")
             if report["deleted"]:
                 self.store.delete_files(gone)
@@ -111,7 +120,6 @@ class Engine:
         run.step("graph_indexing", index)
         run.step("knowledge_relations", edges)
         report["documents_changed"] = run.step("search_documents", docs)
-        scan.unpersist()
         states.unpersist()
         return report
 

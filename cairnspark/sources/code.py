@@ -54,12 +54,20 @@ def fingerprint(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def scan(spark: SparkSession, root: str, suffix: str = ".py", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+def scan(spark: SparkSession, root: str, suffix: str = ".py", ignored: tuple[str, ...] = IGNORED, only: list[str] | None = None) -> DataFrame:
     """(file_path, file_hash, module_name, content) of a tree's files, paths
     relative to ``root``. Executors read all contents; only the names of
-    package files pass through the driver. Files of no bytes are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path", "content")
-    hidden = _underscored(spark, root, suffix)
+    package files pass through the driver. Files of no bytes are left out.
+    With ``only``, no more than the files of these paths are opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    if only is None:
+        files, hidden = reader.load(root).select("path", "content"), _underscored(spark, root, suffix)
+    else:
+        own = [f"{root.rstrip('/')}/{p}" for p in only]
+        # names that Spark's listing hides, and such that it would take for patterns
+        hidden = [p for p in own if p.rsplit("/", 1)[-1][:1] in ("_", ".") or set(p) & set("{}[]*?\\")]
+        shown = sorted(set(own) - set(hidden))
+        files = reader.load(shown).select("path", "content") if shown else spark.createDataFrame([], "path string, content binary")
     if hidden:
         named = spark.createDataFrame([(p,) for p in hidden], "path string")
         files = files.unionByName(named.mapInArrow(_contents, "path string, content binary").where(F.length("content") > 0))
