@@ -19,8 +19,8 @@ DEFECTS = {
     "unknown_runtime_name": "p_brand like '%3'",
     "self_method_call_missing_required_args": "p_size % 4 = 1",
     "self_method_call_unknown_keyword_arg": "p_partkey % 6 = 2",
-    "self_method_call_missing_required_keyword_only_args": "p_retailprice > 1500",
-    "duplicate_symbol_definition": "p_type like '%STEEL%' or p_type like '%steel%'",
+    "self_method_call_missing_required_keyword_only_args": "p_retailprice > 950",
+    "duplicate_symbol_definition": "p_type = 'SMALL'",
     "unknown_annotation_name": "p_partkey % 11 = 3",
     "model_constructor_field_type_mismatch": "p_size > 25",
     "unknown_model_constructor_keyword": "p_partkey % 3 = 1",
