@@ -58,6 +58,12 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
+def released(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed now: Spark does so
+    when the driver collects what refers to them, which may be much later."""
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

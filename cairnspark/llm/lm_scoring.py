@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import dropped, stored, texts
+from .base import dropped, released, stored, texts
 from .blobs import LOWER, buckets_for, input_bytes, pack, tidied, unpack, word_hashes
 
 #: Words whose pairs are answered by the dense automaton; a cache, whose size
@@ -309,6 +309,7 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES,
     packed = stored(rows.mapInArrow(tidied(_packed(fold, held, batch_words)), PACKED), "packed")
     asked = packed.select("batch_id", "words", "counts").mapInArrow(tidied(_asked(shards)), "shard int, batch_id long, words binary, counts binary")
     answers = stored(asked.groupBy("shard").applyInArrow(_answered(states), ANSWERS), "answers")
+    released(spark)
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     tops = answers.where("batch_id is null").select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("t")).select("t.top_words", "t.top_counts")
     picked = tops.orderBy(F.desc("top_counts"), "top_words").limit(states).collect()
@@ -327,6 +328,7 @@ def scored(docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES,
     shared = spark.sparkContext.broadcast((Automaton(pairs, root, backoff), top, n, v, backoff))
     asked = packed.select("batch_id", "trained", "lens", "words", "tokens").mapInArrow(tidied(_asked_pairs(sent, shards)), "shard int, batch_id long, words binary, counts binary")
     pair_answers = stored(asked.groupBy("shard").applyInArrow(_answered(0), ANSWERS), "pair_answers")
+    released(spark)
     every = answers.withColumn("pairs", F.lit(False)).unionByName(pair_answers.withColumn("pairs", F.lit(True))).where("batch_id is not null")
     back = every.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pairs", "shard", "totals"))).alias("answers"))
     joined = packed.select("batch_id", "doc_ids", "lens", "tokens", "words").join(back, "batch_id")
