@@ -11,8 +11,9 @@ import builtins
 import sys
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,16 @@ class Case:
     project: DataFrame
     fields: DataFrame
     members: DataFrame
+    _types: DataFrame | None = None
+    _once: Lock = field(default_factory=Lock)
+
+    def variable_types(self) -> DataFrame:
+        """``dataflow.variable_types`` of the new version, worked out once for
+        all rules that ask."""
+        with self._once:
+            if self._types is None:
+                self._types = dataflow.variable_types(self.after)
+            return self._types
 
 
 #: Rules that are planned together. One plan of all rules has hundreds of
@@ -729,7 +740,7 @@ def misfits(c: Case, uses: DataFrame, expected: DataFrame, on: list[str], keys:
     """Values through variables (keys, owner, value) none of whose types fits
     the ``expected`` (on, _t): with ``_t`` and ``_a``, the types it has. A
     value with a type that is not known is left alone."""
-    types = dataflow.variable_types(c.after).withColumnRenamed("name", "value")
+    types = c.variable_types().withColumnRenamed("name", "value")
     rows = uses.join(expected.where(F.col("_t").isin(*CONCRETE)), on).join(types, ["unit", "file_path", "owner", "value"])
     wrong = (F.col("type") != dataflow.UNKNOWN) & ~fitting(F.col("_t"), F.col("type"))
     each = rows.groupBy(*keys, "value", "_t").agg(F.bool_and(wrong).alias("_wrong"), F.array_join(F.array_sort(F.collect_set("type")), " or ").alias("_a"))
@@ -859,12 +870,15 @@ def report(issues: DataFrame, units: DataFrame, blocks: tuple[str, ...] = ("prod
 def case_of(request: DataFrame, facts: DataFrame, project: DataFrame) -> Case:
     """A case from facts whose files are named before/…, after/… and
     tests/…; classes of the patched versions count as known. The facts are
-    written once, as every rule reads them."""
-    facts = stored(facts, "facts")
+    written once, as every rule reads them, and so are the classes' few
+    fields and members, for which all facts would be gone through again."""
+    # in the order of their kinds: a rule then reads the pages of its own kinds alone
+    facts = stored(facts.sortWithinPartitions("fact", "file_path"), "facts")
     part = lambda p: facts.where(F.col("file_path").startswith(p))
     own = facts.where(~F.col("file_path").startswith("tests/"))
     fields = of(own, "field").select(F.col("owner").alias("type"), F.col("name").alias("field"), F.col("detail").alias("note"), (F.col("n") == 1).alias("required")).distinct()
     members = of(own, "method", "known_attribute").select(F.col("owner").alias("type"), F.col("name").alias("member")).distinct()
+    fields, members = stored(fields, "fields"), stored(members, "members")
     return Case(request, part("before/"), part("after/"), part("tests/"), project, fields, members)
 
 

@@ -102,6 +102,6 @@ def rule_counts(t):
         F.array(F.lit("a.py")).alias("changed"), F.lit("a.py").alias("target_file"), F.array(F.lit("m.g")).alias("contracts"),
     )
     project = t.spark.createDataFrame([("shop.storage", "Store"), ("os", "path")], "module string, name string")
-    issues = validate.validated(validate.case_of(request, facts.facts(_sources(parts)), project), codes=list(DEFECTS))
+    issues = validate.validated(validate.case_of(request, facts.facts(_sources(facts.spread(parts, "p_partkey")), dealt=True), project), codes=list(DEFECTS))
     each = issues.select("code", F.col("unit").cast("long").alias("unit")).distinct()
     return each.groupBy("code").agg(F.count("*").alias("units"), F.min("unit").alias("first_unit"), F.max("unit").alias("last_unit"))

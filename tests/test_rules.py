@@ -238,3 +238,27 @@ def test_rule_on_the_order_of_preserved_values(spark):
     sources = [(u, f"{v}/a.py", s) for u in "xyz" for v, s in (("before", before), ("after", before if u == "z" else late))]
     request = asked(spark, *[(u, "replace_symbol", "f", None, "m.f", "keep the order" if u != "y" else "rework", ["a.py"], "a.py") for u in "xyz"])
     assert issues_of(spark, sources, request, ["preserved_assignment_used_before_assignment"]) == {("x", "preserved_assignment_used_before_assignment", "m.f", "o.total")}
+
+
+def test_sources_are_spread(spark, monkeypatch):
+    """However few files a table's sources lie in, they are read by many
+    tasks, and give the same facts; equal texts are told apart by unit."""
+    sources = [(f"u{i}", f"after/{i % 3}.py", f"x = {i % 4}\n" if i % 5 else "def (") for i in range(40)]
+    rows = spark.createDataFrame(sources, UNITS).coalesce(1)
+    whole = sorted(map(str, facts.facts(rows).collect()))
+    monkeypatch.setattr(facts, "FILES_A_TASK", 10)
+    monkeypatch.setattr(facts, "ROWS_AT_ONCE", 7)
+    spread = facts.facts(rows)
+    assert spread.rdd.getNumPartitions() == 4 and sorted(map(str, spread.collect())) == whole
+    assert {r["unit"] for r in spread.collect()} == {u for u, _, _ in sources}
+
+
+def test_types_once_for_all_rules(spark, monkeypatch):
+    """The fixpoint over variables runs once, whichever rules ask for it."""
+    asked = []
+    monkeypatch.setattr(validate.dataflow, "variable_types", lambda f, work=validate.dataflow.variable_types: asked.append(1) or work(f))
+    source = "def g(x: int):\n    return x\n\n\ndef use():\n    w = 'a'\n    g(w)\n"
+    request = spark.createDataFrame([("u", "replace_symbol", "g", None, "m.g", "t", ["a.py"], "a.py")], "unit string, operation string, target string, parent string, qualname string, text string, changed array<string>, target_file string")
+    case = validate.case_of(request, facts.facts(spark.createDataFrame([("u", "after/a.py", source)], UNITS)), spark.createDataFrame([], "module string, name string"))
+    codes = ["model_constructor_field_type_mismatch", "contract_call_argument_type_mismatch"]
+    assert [r["code"] for r in validate.validated(case, codes=codes).collect()] == codes[1:] and len(asked) == 1
