@@ -49,18 +49,20 @@ def _ranges(signs) -> str:
 
 
 _several = _ranges(_many)
+#: Signs that fold but ё and ß. What is ASCII is passed over at once.
+_rare = r"(?=[^\x00-\x7f])" + _ranges((_one | _many).keys() - {"ß"})
 
 
 def normalise(c: Column | str) -> Column:
     """Case-folded, with ё as е. Signs that fold to one other are translated
     at once; only texts that hold a sign that folds to several (ligatures and
-    the like) are taken apart sign by sign, and ASCII texts are not looked at
-    again."""
+    the like) are taken apart sign by sign, ASCII texts are not looked at
+    again, and in texts without rare signs only ё and ß are replaced."""
     small = F.lower(_col(c))
     plain = F.translate(small, "ё" + "".join(_one), "е" + "".join(_one.values()))
     table = F.create_map(*[F.lit(x) for kv in _many.items() for x in kv])
     apart = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(F.octet_length(small) == F.length(small), small).when(plain.rlike(_several), apart).otherwise(plain)
+    return F.when(F.octet_length(small) == F.length(small), small).when(~small.rlike(_rare), F.replace(F.replace(small, F.lit("ё"), F.lit("е")), F.lit("ß"), F.lit("ss"))).when(plain.rlike(_several), apart).otherwise(plain)
 
 
 def tokens(c: Column | str, pattern: str = TERM_PATTERN) -> Column:

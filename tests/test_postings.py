@@ -116,3 +116,24 @@ def test_odd_documents(spark, tmp_path):
     asked = spark.createDataFrame([("alpha beta gamma", 0), ("omega", 1)], "query string, pos int")
     got = [(r["query"], r["rank"], r["path"], r["no"], float(r["score"])) for r in index.search(asked, 2).orderBy("query", "rank").collect()]
     assert got == [("alpha beta gamma", 1, "a", 1, 7.2), ("alpha beta gamma", 2, "d", 10, 3.0), ("omega", 1, "b", 3, 1.2)]
+
+
+def test_scan_in_small_steps(spark, docs, tmp_path, monkeypatch):
+    """The scan works rows out in steps, forgets words, and takes rows of a
+    repeated key as one; it finds what the index does. Neither words nor the
+    rows that match are shuffled."""
+    data, words = docs
+    data = [*data[:250], *[(p, n, "zusatz straße", b, x) for p, n, _, b, x in data[:9]], ("p9", 1, None, "описание ﬁnal Ёлка", "b")]
+    df, asked = spark.createDataFrame(data, SCHEMA), queries(spark, words)
+    index = index_of(spark, tmp_path)
+    index.build(df, fields())
+    want = rows(index.search(asked, 7))
+    for cells, known, batch in ((1 << 21, 200_000, "10000"), (2_000, 3, "17")):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "WORDS_KNOWN", known)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found = search.batch_search(df, asked, fields(), WEIGHTS, ["path", "no"], 7)
+        assert sorted(set(rows(found))) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    moved = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert moved and not [x for x in moved if "term#" in x or "token#" in x or "query#" in x]
