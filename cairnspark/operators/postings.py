@@ -16,15 +16,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..functions.tables import stored
 from . import grams, skipping
 from .manifests import Manifests
-from .search import query_words, top_per_key, word_matches
+from .search import query_words, top_per_key, word_matches, word_rows
 
 #: Documents of a block.
 BLOCK = 128
@@ -59,27 +59,25 @@ class Postings:
         """One segment. Documents are dealt to blocks in the order of their
         keys, so that blocks are ranges of keys."""
         keys, root = list(self.key), f"{self.files.root}/segments/{name}"
-        words = [F.struct(F.lit(self.weights[f]).alias("w"), F.array_distinct(text.tokens(text.normalise(F.coalesce(c.cast("string"), F.lit(""))))).alias("tokens")) for f, c in fields.items()]
-        plain = docs.select(*[F.col(k).cast(t) for k, t in self.key.items()], F.array(*words).alias("_f"))
+        cast = {k: F.col(k).cast(t) for k, t in self.key.items()}
+        known = docs.where(reduce(lambda a, b: a & b, [c.isNotNull() for c in cast.values()]))
         # within a task keys are in order, and a task's documents fill its own blocks
-        dealt = plain.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
         place = F.monotonically_increasing_id()
-        within = (place % (1 << 33)).alias("_n")
-        dealt = stored(dealt.select(*keys, F.shiftright(place, 33).alias("_task"), within), "places")
-        dealt = dealt.select(*keys, ((F.col("_task") * (1 << 24)) + F.floor(F.col("_n") / BLOCK)).cast("long").alias("block"), (F.col("_n") % BLOCK).cast("int").alias("doc"))
+        placed = word_rows(known, fields, self.weights, cast, ranges=True).select(*keys, F.shiftright(place, 33).alias("_task"), (place % (1 << 33)).alias("_n"), "words")
+        placed = stored(placed.select(*keys, ((F.col("_task") * (1 << 24)) + F.floor(F.col("_n") / BLOCK)).cast("long").alias("block"), (F.col("_n") % BLOCK).cast("int").alias("doc"), "words"), "places")
+        dealt = placed.select(*keys, "block", "doc")
         rows = dealt.withColumn("gone", F.lit(False))
         if gone is not None:
-            rows = rows.unionByName(gone.select(*[F.col(k).cast(t) for k, t in self.key.items()]).distinct().join(dealt.select(*keys), keys, "left_anti").select(*keys, F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("doc"), F.lit(True).alias("gone")))
+            rows = rows.unionByName(gone.select(*[c.alias(k) for k, c in cast.items()]).distinct().join(dealt.select(*keys), keys, "left_anti").select(*keys, F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("doc"), F.lit(True).alias("gone")))
         rows.write.parquet(f"{root}/rows")
-        each = plain.join(dealt, keys).select("block", "doc", F.explode("_f").alias("_f")).select("block", "doc", "_f.w", F.explode("_f.tokens").alias("token"))
-        each = each.groupBy("token", "block", "doc").agg(F.max("w").alias("w"))
-        self._write_lists(name, each)
+        self._write_lists(name, placed.select("block", "doc", F.explode("words").alias("_w")).select("_w.token", "block", "doc", "_w.w"))
 
     def _write_lists(self, name: str, each: DataFrame) -> None:
-        """Postings of (token, block, doc, w) by ranges of words."""
+        """Postings of (token, block, doc, w) by ranges of words, which are
+        shuffled once: a list lies in one range."""
         root = f"{self.files.root}/segments/{name}"
-        lists = each.groupBy("token", "block").agg(F.max("w").alias("best"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("doc", "w"))).alias("docs"))
-        lists.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{root}/postings")
+        lists = each.repartitionByRange("token", "block").groupBy("token", "block").agg(F.max("w").alias("best"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("doc", "w"))).alias("docs"))
+        lists.sortWithinPartitions("token", "block").write.parquet(f"{root}/postings")
         written = self._part(name, "postings")
         written.select("token").distinct().write.parquet(f"{root}/words")
         skipping.file_stats(written, ["token"], filters=False).write.parquet(f"{root}/files")

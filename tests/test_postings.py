@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from cairnspark.functions import text
@@ -120,8 +121,8 @@ def test_odd_documents(spark, tmp_path):
 
 def test_scan_in_small_steps(spark, docs, tmp_path, monkeypatch):
     """The scan works rows out in steps, forgets words, and takes rows of a
-    repeated key as one; it finds what the index does. Neither words nor the
-    rows that match are shuffled."""
+    repeated key as one; it finds what the index does. Where no key repeats,
+    neither words nor the rows that match are shuffled."""
     data, words = docs
     data = [*data[:250], *[(p, n, "zusatz straße", b, x) for p, n, _, b, x in data[:9]], ("p9", 1, None, "описание ﬁnal Ёлка", "b")]
     df, asked = spark.createDataFrame(data, SCHEMA), queries(spark, words)
@@ -135,5 +136,23 @@ def test_scan_in_small_steps(spark, docs, tmp_path, monkeypatch):
         found = search.batch_search(df, asked, fields(), WEIGHTS, ["path", "no"], 7)
         assert sorted(set(rows(found))) == want
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = search.batch_search(spark.createDataFrame(data[:60], SCHEMA), asked, fields(), WEIGHTS, ["path", "no"], 7)
     moved = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
     assert moved and not [x for x in moved if "term#" in x or "token#" in x or "query#" in x]
+
+
+def test_lists_are_shuffled_once(spark, docs, tmp_path, monkeypatch):
+    """Lists are written from one shuffle of (word, document), without a
+    join of the texts; rows with a null key are left out."""
+    plans, write = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        plans[path.rsplit("/", 1)[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    data = [*docs[0][:40], (None, 1, "nowhere", "nowhere", "b")]
+    index = index_of(spark, tmp_path)
+    index.build(spark.createDataFrame(data, SCHEMA), fields())
+    assert plans["postings"].count("Exchange") == 1 and "Join" not in plans["postings"]
+    assert index.search(spark.createDataFrame([("nowhere", 0)], "query string, pos int")).collect() == [] and index.live().count() == 40
