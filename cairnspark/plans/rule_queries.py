@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..operators import validate
 from ..sources import facts
 from .registry import query
@@ -37,11 +38,13 @@ DEFECTS = {
     "generated_test_import_points_to_missing_module": "p_partkey % 13 = 6",
     "generated_test_imports_missing_project_name": "p_partkey % 14 = 8",
 }
+#: Parts whose sources one task writes and hashes, about: tens of microseconds each.
+PARTS_A_TASK = 100_000
 BEFORE = 'class A:\n    def run(self, a, b=1):\n        """Doc."""\n        return a\n\n\ndef f():\n    pass\n'
 
 
-def _sources(parts):
-    """(unit, file_path, source): a file before and after, and its test."""
+def _files():
+    """A part's sources (file_path, source): a file before and after, and its test."""
     has = {code: F.expr(rule) for code, rule in DEFECTS.items()}
     piece = lambda code, yes, no="": F.when(has[code], yes).otherwise(no)
     after = F.concat(
@@ -82,9 +85,7 @@ def _sources(parts):
         F.lit("):\n    s = Store()\n"),
         piece("generated_test_only_trivial_asserts", "    assert True\n", "    assert s.run\n"),
     )
-    unit = F.col("p_partkey").cast("string").alias("unit")
-    files = F.array(*[F.struct(F.lit(p).alias("file_path"), s.alias("source")) for p, s in (("before/a.py", F.lit(BEFORE)), ("after/a.py", after), ("tests/t.py", test))])
-    return parts.select(unit, F.explode(files).alias("f")).select("unit", "f.file_path", "f.source")
+    return F.array(*[F.struct(F.lit(p).alias("file_path"), s.alias("source")) for p, s in (("before/a.py", F.lit(BEFORE)), ("after/a.py", after), ("tests/t.py", test))])
 
 
 _cases = ", ".join(f"case when {rule} then '{code}' end" for code, rule in DEFECTS.items())
@@ -95,13 +96,23 @@ _cases = ", ".join(f"case when {rule} then '{code}' end" for code, rule in DEFEC
     where code is not null group by code"""
 )
 def rule_counts(t):
-    """Units of each issue code, by the rules over facts of their sources."""
-    parts = t("part")
-    request = parts.select(
-        F.col("p_partkey").cast("string").alias("unit"), F.lit("replace_symbol").alias("operation"), F.lit("run").alias("target"), F.lit("A").alias("parent"), F.lit("m.A.run").alias("qualname"), F.lit("change").alias("text"),
+    """Units of each issue code, by the rules over facts of their sources.
+    Every part's sources are written and hashed; of parts whose sources are
+    equal one is judged, and its issues are those of all of them."""
+    parts = facts.spread(t("part"), "p_partkey", a_task=PARTS_A_TASK)
+    key = validate.content_key(_files()).alias("unit")
+    units = parts.select("p_partkey", key).groupBy("unit").agg(F.count("*").alias("units"), F.min("p_partkey").alias("first_unit"), F.max("p_partkey").alias("last_unit"))
+    units = stored(units, "units")
+    some = units.select("first_unit").distinct()
+    # a key that several parts have brings more than one of a kind
+    cases = t("part").join(some, F.col("p_partkey").eqNullSafe(F.col("first_unit")), "left_semi").select(key, _files().alias("files")).dropDuplicates(["unit"])
+    cases = stored(cases, "cases")
+    sources = cases.select("unit", F.explode("files").alias("f")).select("unit", "f.file_path", "f.source")
+    request = cases.select(
+        "unit", F.lit("replace_symbol").alias("operation"), F.lit("run").alias("target"), F.lit("A").alias("parent"), F.lit("m.A.run").alias("qualname"), F.lit("change").alias("text"),
         F.array(F.lit("a.py")).alias("changed"), F.lit("a.py").alias("target_file"), F.array(F.lit("m.g")).alias("contracts"),
     )
     project = t.spark.createDataFrame([("shop.storage", "Store"), ("os", "path")], "module string, name string")
-    issues = validate.validated(validate.case_of(request, facts.facts(_sources(facts.spread(parts, "p_partkey")), dealt=True), project), codes=list(DEFECTS))
-    each = issues.select("code", F.col("unit").cast("long").alias("unit")).distinct()
-    return each.groupBy("code").agg(F.count("*").alias("units"), F.min("unit").alias("first_unit"), F.max("unit").alias("last_unit"))
+    issues = validate.validated(validate.case_of(request, facts.facts(sources), project), codes=list(DEFECTS))
+    each = issues.select("code", "unit").distinct().join(units, "unit")
+    return each.groupBy("code").agg(F.sum("units").alias("units"), F.min("first_unit").alias("first_unit"), F.max("last_unit").alias("last_unit"))

@@ -262,3 +262,37 @@ def test_types_once_for_all_rules(spark, monkeypatch):
     case = validate.case_of(request, facts.facts(spark.createDataFrame([("u", "after/a.py", source)], UNITS)), spark.createDataFrame([], "module string, name string"))
     codes = ["model_constructor_field_type_mismatch", "contract_call_argument_type_mismatch"]
     assert [r["code"] for r in validate.validated(case, codes=codes).collect()] == codes[1:] and len(asked) == 1
+
+
+def test_equal_sources_are_judged_once(spark, tmp_path, monkeypatch):
+    """``rule_counts`` judges one of the parts whose sources are equal and
+    counts all of them, rows of one key and rows without a key among them."""
+    import duckdb
+
+    from cairnspark.plans import driver_queries as dq
+    from cairnspark.plans import rule_queries
+
+    few = ["missing_docstring_after_replace", "unknown_runtime_name", "self_method_call_missing_required_keyword_only_args", "generated_test_import_points_to_missing_module"]
+    cycle = 360_360  # every remainder that the conditions ask for comes again
+    rows = [(i % 6 + cycle * copy, f"Brand#{i % 6}", "LARGE", i % 6 + 1, 945.0 + 2 * (i % 6)) for copy in range(40) for i in range(6)]
+    rows += [(2, "Brand#13", "SMALL", 30, 999.0)] * 3 + [(None, "Brand#13", "LARGE", 30, 900.0), (None, "Brand#4", "LARGE", 30, 960.0)] * 2
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    judged = []
+    monkeypatch.setattr(validate, "case_of", lambda request, *rest, work=validate.case_of: judged.append(request.count()) or work(request, *rest))
+    monkeypatch.setattr(validate, "validated", lambda case, codes, work=validate.validated: work(case, codes=few))
+    monkeypatch.setattr(rule_queries, "PARTS_A_TASK", 50)
+    got = sorted(map(tuple, dq.QUERIES["rule_counts"](spark, str(tmp_path)).select("code", "units", "first_unit", "last_unit").collect()))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(f"select code, units, first_unit, last_unit from ({dq.SQL['rule_counts']}) where code in {tuple(few)}").fetchall()
+    assert got == sorted(want) and judged == [9]
+
+
+def test_content_key(spark):
+    """Equal for files in another order; other for other texts, paths or requests."""
+    files = [[("a", "x"), ("b", "y")], [("b", "y"), ("a", "x")], [("a", 'x"},{"file_path":"b'), ("b", "y")], [("a", "y"), ("b", "x")], [("ab", "x"), ("", "y")], [("a", "x")], []]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id int, files array<struct<file_path: string, source: string>>")
+    keys = [r["k"] for r in rows.orderBy("id").select(validate.content_key(F.col("files")).alias("k")).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 6
+    asked = rows.where("id = 0").select(validate.content_key(F.col("files"), F.lit("m.A").alias("q")).alias("a"), validate.content_key(F.col("files"), F.lit("m.B").alias("q")).alias("b")).first()
+    assert len({asked["a"], asked["b"], keys[0]}) == 3
